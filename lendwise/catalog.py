@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from lendwise.operators import queries as Q
 from lendwise.operators import views as V
 from lendwise.sources.projection import AS_OF
 from lendwise.sources.tables import Tables
@@ -21,4 +22,36 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "v08_copy_inventory_by_branch": V.v08_copy_inventory_by_branch,
     "v09_eresource_usage_summary": V.v09_eresource_usage_summary,
     "v10_illrequest_detail": V.v10_illrequest_detail,
+    "q01_books_full": Q.q01_books_full,
+    "q02_books_in_subject": lambda t: Q.q02_books_in_subject(t, "widget"),
+    "q03_copies_of_isbn": lambda t: Q.q03_copies_of_isbn(t, "0000000000001"),
+    "q04_inventory_by_branch": Q.q04_inventory_by_branch,
+    "q05_patron_fines": Q.q05_patron_fines,
+    "q06_current_loans": Q.q06_current_loans,
+    "q07_overdue_loans": lambda t: Q.q07_overdue_loans(t, AS_OF),
+    "q08_loans_with_status": lambda t: Q.q08_loans_with_status(t, AS_OF),
+    "q09_top_patrons": lambda t: Q.q09_top_patrons(t, 5),
+    "q10_popular_books": Q.q10_popular_books,
+    "q11_above_avg_copies": Q.q11_above_avg_copies,
+    "q12_fine_rank": Q.q12_fine_rank,
+    "q13_duration_lag": lambda t: Q.q13_duration_lag(t, AS_OF),
+    "q14_multi_branch_patrons": Q.q14_multi_branch_patrons,
+    "q15_popularity_buckets": Q.q15_popularity_buckets,
+    "q16_reserved_never_borrowed": Q.q16_reserved_never_borrowed,
+    "q17_never_loaned_copies": Q.q17_never_loaned_copies,
+    "q18_action_items": lambda t: Q.q18_action_items(t, AS_OF),
+    "q18_action_items_intent": lambda t: Q.q18_action_items_intent(t, AS_OF),
+    "q19_repeat_borrowers": Q.q19_repeat_borrowers,
+    "q20_slow_branches": lambda t: Q.q20_slow_branches(t, AS_OF),
+    "q21_monthly_running": Q.q21_monthly_running,
+    "q22_subject_patterns": Q.q22_subject_patterns,
+    "q23_fine_analysis": Q.q23_fine_analysis,
+    "q24_consecutive_months": Q.q24_consecutive_months,
+    "q24_streaks_intent": Q.q24_streaks_intent,
+    "q25_monthly_by_type": Q.q25_monthly_by_type,
+    "q26_beats_all_older": lambda t: Q.q26_beats_all_older(t, 1991),
+    "q27_borrowed_by_both": Q.q27_borrowed_by_both,
+    "q28_first_last_loan": lambda t: Q.q28_first_last_loan(t, 20),
+    "q29_rollup_type_year": lambda t: Q.q29_rollup_type_year(t, AS_OF),
+    "q30_coauthors": Q.q30_coauthors,
 }
