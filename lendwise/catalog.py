@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from lendwise.operators import queries as Q
+from lendwise.operators import reports as R
 from lendwise.operators import views as V
 from lendwise.sources.projection import AS_OF
 from lendwise.sources.tables import Tables
@@ -54,4 +55,31 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "q28_first_last_loan": lambda t: Q.q28_first_last_loan(t, 20),
     "q29_rollup_type_year": lambda t: Q.q29_rollup_type_year(t, AS_OF),
     "q30_coauthors": Q.q30_coauthors,
+    "d01_dashboard_summary": lambda t: R.d01_dashboard_summary(t, AS_OF),
+    "d01_dashboard_summary_intent": lambda t: R.d01_dashboard_summary_intent(t, AS_OF),
+    "d02_overdue_risk": lambda t: R.d02_overdue_risk(t, AS_OF),
+    "d02_overdue_risk_top10": lambda t: R.d02_overdue_risk_top(t, AS_OF, 10),
+    "d03_book_catalog": R.d03_book_catalog,
+    "d03_book_catalog_search": lambda t: R.d03_book_catalog(t, search="GEAR"),
+    "d03_book_catalog_subject": lambda t: R.d03_book_catalog(t, subject_id=3),
+    "d04_patron_risk_profile": lambda t: R.d04_patron_risk_profile(t, AS_OF),
+    "d04_patron_risk_route": lambda t: R.d04_patron_risk_route(t, AS_OF),
+    "d05_loans_segmented": lambda t: R.d05_loans_segmented(t, AS_OF, "ALL"),
+    "d05_loans_overdue": lambda t: R.d05_loans_segmented(t, AS_OF, "OVERDUE"),
+    "d06_monthly_trends": R.d06_monthly_trends,
+    "a01_total_unpaid": R.a01_total_unpaid,
+    "a02_subject_list": R.a02_subject_list,
+    "a03_book_detail": lambda t: R.a03_book_detail(t, "0000000000001"),
+    "a04_book_copies": lambda t: R.a04_book_copies(t, "0000000000001"),
+    "a05_patron_detail": lambda t: R.a05_patron_detail(t, 1),
+    "a06_patron_loan_history": lambda t: R.a06_patron_loan_history(t, AS_OF, 1),
+    "a07_patron_fines": lambda t: R.a07_patron_fines(t, 1),
+    "a08_open_fines": R.a08_open_fines,
+    "a09_top_books": lambda t: R.a09_top_books(t, 10),
+    "a10_top_patrons": lambda t: R.a10_top_patrons(t, 10),
+    "a11_payment_band": R.a11_payment_band,
+    "a12_row_position": lambda t: R.a12_row_position(t, 10),
+    "f16_dateformat": R.f16_dateformat,
+    "f17_split_subjects": R.f17_split_subjects,
+    "f18_money": R.f18_money,
 }

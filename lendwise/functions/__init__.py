@@ -120,7 +120,7 @@ def split_list(x, sep: str = ", ") -> Column:
 
 def money(x) -> Column:
     """Two-decimal money text; NULL shows as 0.00."""
-    return F.format_string("%.2f", F.coalesce(_c(x).cast("decimal(18,2)"), F.lit(Decimal("0.00"))))
+    return F.coalesce(_c(x).cast("decimal(18,2)"), F.lit(Decimal("0.00")).cast("decimal(18,2)")).cast("string")
 
 
 def full_name(first="first_name", last="last_name") -> Column:
