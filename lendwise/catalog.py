@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from lendwise import standins as S
+from lendwise.operators import admission as T
+from lendwise.operators import quality as C
 from lendwise.operators import queries as Q
 from lendwise.operators import reports as R
 from lendwise.operators import views as V
@@ -82,4 +85,27 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "f16_dateformat": R.f16_dateformat,
     "f17_split_subjects": R.f17_split_subjects,
     "f18_money": R.f18_money,
+    "c01_pk_violations": C.c01_pk_violations,
+    "c02_composite_pk": C.c02_composite_pk,
+    "c03_fk_orphans": C.c03_fk_orphans,
+    "c04_unique_violations": C.c04_unique_violations,
+    "c05_isbn_length": C.c05_isbn_length,
+    "c06_not_null": C.c06_not_null,
+    "c07_apply_defaults": lambda t: C.c07_apply_defaults(t.patron, "patron", AS_OF),
+    "c08_type_conformance": C.c08_type_conformance,
+    "t01_admit_loans": lambda t: T.t01_admit_loans(S.split_by_time(t.loan, "loan_ts", S.LOAN_SPLIT)[1],
+                                                   S.split_by_time(t.loan, "loan_ts", S.LOAN_SPLIT)[0]),
+    "t02_validate_loan_updates": lambda t: T.t02_validate_loan_updates(S.loans_before_returns(t), t.loan),
+    "t03_admit_fines": lambda t: T.t03_admit_fines(t.fine, t.loan),
+    "t04_admit_reservations": lambda t: T.t04_admit_reservations(
+        S.split_by_time(t.reservation, "created_at", S.EVENT_SPLIT)[1],
+        S.split_by_time(t.reservation, "created_at", S.EVENT_SPLIT)[0]),
+    "t05_admit_sessions": lambda t: T.t05_admit_sessions(
+        S.split_by_time(t.accesssession, "start_time", S.EVENT_SPLIT)[1], t.eresource, t.license,
+        S.split_by_time(t.accesssession, "start_time", S.EVENT_SPLIT)[0], now=AS_OF),
+    "t06_validate_session_updates": lambda t: T.t06_validate_session_updates(S.sessions_before_end(t),
+                                                                             t.accesssession),
+    "t07_copy_barcode": lambda t: T.t07_copy_barcode(t.copy),
+    "t08_patron_type_warning": lambda t: T.t08_patron_type_warning(t.patron),
+    "k02_append_patrons": lambda t: T.k02_append_patrons(t.patron, S.patron_registrations(t)),
 }
