@@ -21,12 +21,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lendwise.session import ensure_checkpoint_dir
+
 
 def shared_item_pairs(links: DataFrame, member: str, item: str, min_shared: int = 2,
                       heavy_threshold: int = 256) -> DataFrame:
     lk = links.select(F.col(member).alias("m"), F.col(item).alias("i")).distinct()
     deg = lk.groupBy("i").agg(F.count(F.lit(1)).alias("deg"))
-    lk = lk.join(deg, "i")
+    # every branch below starts from the links with their item degree: materialize them once (reliable
+    # checkpoint in the cluster's checkpoint folder) instead of re-deriving them per branch
+    ensure_checkpoint_dir(links.sparkSession)
+    lk = lk.join(deg, "i").checkpoint(eager=True)
     light = lk.filter(F.col("deg") <= heavy_threshold).select("m", "i")
     heavy = lk.filter(F.col("deg") > heavy_threshold).select("m", "i")
 

@@ -61,16 +61,25 @@ def fk_orphan_rows(t: Tables, child: str, column: str, parent: str, parent_colum
 
 
 def c03_fk_orphans(t: Tables) -> DataFrame:
+    """Foreign keys: per child table one scan, one left join per reference (against the parent's distinct
+    keys) and one aggregation giving checked (non-NULL) and orphan counts for every reference."""
     rows = []
     for child, spec in TABLES.items():
-        for column, parent, pcol in spec.fks:
-            checked = t[child].filter(F.col(column).isNotNull())
-            orphans = fk_orphan_rows(t, child, column, parent, pcol)
-            rows.append(checked.agg(F.count(F.lit(1)).alias("checked_rows"))
-                        .crossJoin(orphans.agg(F.count(F.lit(1)).alias("orphan_rows")))
-                        .select(F.lit(child).alias("child_table"), F.lit(column).alias("child_column"),
-                                F.lit(parent).alias("parent_table"), F.lit(pcol).alias("parent_column"),
-                                "checked_rows", "orphan_rows"))
+        if not spec.fks:
+            continue
+        df = t[child].select(*[F.col(col) for col, _, _ in spec.fks])
+        for i, (col, parent, pcol) in enumerate(spec.fks):
+            keys = t[parent].select(F.col(pcol).alias(f"_p{i}")).distinct()
+            df = df.join(keys, df[col] == keys[f"_p{i}"], "left")
+        agg = df.agg(*[F.count(col).alias(f"n{i}") for i, (col, _, _) in enumerate(spec.fks)],
+                     *[F.count(F.when(F.col(col).isNotNull() & F.col(f"_p{i}").isNull(), 1)).alias(f"o{i}")
+                       for i, (col, _, _) in enumerate(spec.fks)])
+        per_fk = F.explode(F.array(*[
+            F.struct(F.lit(col).alias("child_column"), F.lit(parent).alias("parent_table"),
+                     F.lit(pcol).alias("parent_column"), F.col(f"n{i}").alias("checked_rows"),
+                     F.col(f"o{i}").alias("orphan_rows"))
+            for i, (col, parent, pcol) in enumerate(spec.fks)])).alias("c")
+        rows.append(agg.select(per_fk).select(F.lit(child).alias("child_table"), "c.*"))
     return _union(rows)
 
 

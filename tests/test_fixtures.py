@@ -129,3 +129,18 @@ def test_rollup_leaves_equal_group_by(projected):
          .agg(F.count("loan_id").alias("total_loans")))
     assert r.select("patron_type", "loan_year", "total_loans").exceptAll(g).count() == 0
     assert g.count() == r.count()
+
+
+def test_append_and_reload(spark):
+    import tempfile
+
+    from lendwise.sources.sinks import append_table, write_tables
+    from lendwise.sources.tables import load_table, load_tables
+
+    root = tempfile.mkdtemp(prefix="lendwise-sink-")
+    t = fixture_tables(spark)
+    write_tables(t, root)
+    append_table(t.loan.limit(2), "loan", f"{root}/loan.parquet")
+    assert load_table(spark, "loan", f"{root}/loan.parquet").count() == t.loan.count() + 2
+    back = load_tables(spark, root)
+    assert back.book.count() == 4 and back.loan.schema == t.loan.schema
