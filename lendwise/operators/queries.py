@@ -120,13 +120,15 @@ def q12_fine_rank(t: Tables) -> DataFrame:
 
 
 def q13_duration_lag(t: Tables, as_of) -> DataFrame:
+    """Each returned loan's duration next to the patron's previous returned loan (LAG over loan_ts, loan_id).
+    The previous row comes from ``ranking.lag_within`` so a patron with a huge history is not one task."""
+    from lendwise.operators.ranking import lag_within
     base = (V.v07_patron_loans_with_status(t, as_of).filter(F.col("return_ts").isNotNull())
-            .withColumn("loan_duration_days", loan_duration(as_of)))
-    w = Window.partitionBy("patron_id").orderBy("loan_ts", "loan_id")
-    prev = F.lag("loan_duration_days").over(w)
-    return (base.select("loan_id", "patron_id", "isbn", "title", "loan_ts", "return_ts", "loan_duration_days",
-                        prev.alias("prev_loan_duration"))
-            .withColumn("duration_diff", F.col("loan_duration_days") - F.col("prev_loan_duration"))
+            .select("loan_id", "patron_id", "isbn", "title", "loan_ts", "return_ts",
+                    loan_duration(as_of).alias("loan_duration_days")))
+    lagged = lag_within(base, ["patron_id"], [("loan_ts", False), ("loan_id", False)], "loan_duration_days",
+                        "prev_loan_duration")
+    return (lagged.withColumn("duration_diff", F.col("loan_duration_days") - F.col("prev_loan_duration"))
             .orderBy("patron_id", "loan_ts", "loan_id"))
 
 
@@ -278,7 +280,10 @@ def q22_subject_patterns(t: Tables, patron_id=None, min_total: int = 5, limit: i
            # (loan, subject) pairs are unique: one book per loan and a primary key on (isbn, subject)
            .groupBy("patron_id", "subject_id", "subject_name")
            .agg(F.count("loan_id").alias("loan_count"), F.countDistinct("isbn").alias("unique_books")))
-    psl = psl.withColumn("total_loans", F.sum("loan_count").over(Window.partitionBy("patron_id")))
+    # patron totals by aggregation + join (one row per patron on the small side) rather than a window over
+    # each patron's rows
+    totals = psl.groupBy("patron_id").agg(F.sum("loan_count").alias("total_loans"))
+    psl = psl.join(totals, "patron_id")
     out = (psl.filter(F.col("total_loans") >= min_total)
            .join(t.patron.select("patron_id", full_name().alias("patron_name"), "patron_type"), "patron_id")
            .select("patron_id", "patron_name", "patron_type", "subject_name", "loan_count", "unique_books",

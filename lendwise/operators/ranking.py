@@ -114,3 +114,19 @@ def top_k_ranked(df: DataFrame, order_by: OrderSpec, tie_break: Sequence[str], k
     top = df.orderBy(*sort).limit(k)
     w = Window.orderBy(*_sort_exprs((), order_by))
     return top.withColumn(rank, F.rank().over(w))
+
+
+def lag_within(df: DataFrame, partition_by: Sequence[str], order_by: OrderSpec, column: str,
+               out: str) -> DataFrame:
+    """LAG(column) OVER (PARTITION BY ... ORDER BY ...) without a per-partition window.
+
+    ``order_by`` must make rows unique inside a partition (end it with a primary key). Each row gets its
+    position from ``prefix_counts``; the previous row is found by an equi-join on (partition, position - 1),
+    whose key is unique, so a partition holding a third of the rows is still spread over all tasks."""
+    numbered = prefix_counts(df.withColumn("_one", F.lit(1)), partition_by, order_by, ["_one"])
+    prev = numbered.select(*[F.col(c).alias("_l_" + c) for c in partition_by],
+                           (F.col("before__one") + 1).alias("_l_pos"), F.col(column).alias(out))
+    cond = numbered["before__one"] == prev["_l_pos"]
+    for c in partition_by:
+        cond = cond & numbered[c].eqNullSafe(prev["_l_" + c])
+    return numbered.join(prev, cond, "left").select(*[numbered[c] for c in df.columns], prev[out])

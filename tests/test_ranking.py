@@ -51,3 +51,13 @@ def test_top_k_ranked(spark):
                                                  .alias("rk")).collect()}
     assert len(got) == 10
     assert all(full[r["id"]] == r["rk"] for r in got)
+
+
+def test_lag_within_matches_window(spark):
+    from lendwise.operators.ranking import lag_within
+
+    df = _data(spark)
+    got = lag_within(df, ["p"], [("s", False), ("id", False)], "t", "prev_t")
+    w = Window.partitionBy("p").orderBy(F.col("s").asc_nulls_first(), "id")
+    want = df.select("*", F.lag("t").over(w).alias("prev_t"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
