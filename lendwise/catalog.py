@@ -49,6 +49,8 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "q20_slow_branches": lambda t: Q.q20_slow_branches(t, AS_OF),
     "q21_monthly_running": Q.q21_monthly_running,
     "q22_subject_patterns": Q.q22_subject_patterns,
+    "q22_subject_patterns_patron": lambda t: Q.q22_subject_patterns(t, patron_id=10),
+    "q22_subject_patterns_top100": lambda t: Q.q22_subject_patterns(t, limit=100),
     "q23_fine_analysis": Q.q23_fine_analysis,
     "q24_consecutive_months": Q.q24_consecutive_months,
     "q24_streaks_intent": Q.q24_streaks_intent,
@@ -69,6 +71,7 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "d04_patron_risk_route": lambda t: R.d04_patron_risk_route(t, AS_OF),
     "d05_loans_segmented": lambda t: R.d05_loans_segmented(t, AS_OF, "ALL"),
     "d05_loans_overdue": lambda t: R.d05_loans_segmented(t, AS_OF, "OVERDUE"),
+    "d05_loans_route": lambda t: R.d05_loans_segmented(t, AS_OF, "ALL", limit=200, with_patron_id=True),
     "d06_monthly_trends": R.d06_monthly_trends,
     "a01_total_unpaid": R.a01_total_unpaid,
     "a02_subject_list": R.a02_subject_list,
