@@ -23,12 +23,14 @@ def ordered_distinct_concat(value, order_by=None, sep: str = ", ") -> Column:
     order key differs from the value, (order key..., value) structs are collected as a set, sorted, mapped
     back to the value and de-duplicated on the value, keeping the first position. Partial aggregation
     de-duplicates map-side, so the shuffle carries at most one entry per distinct value and group.
+    Value and order keys are handled as plain (binary-collated) text: set aggregation does not accept
+    collated strings.
     """
-    value = _c(value)
+    value = _c(value).cast("string")
     if order_by is None:
         arr = F.array_sort(F.collect_set(value))
     else:
-        keys = [_c(k) for k in (order_by if isinstance(order_by, (list, tuple)) else [order_by])]
+        keys = [_c(k).cast("string") for k in (order_by if isinstance(order_by, (list, tuple)) else [order_by])]
         fields = [k.alias(f"k{i}") for i, k in enumerate(keys)] + [value.alias("v")]
         packed = F.when(value.isNotNull(), F.struct(*fields))
         arr = F.array_distinct(F.transform(F.array_sort(F.collect_set(packed)), lambda s: s["v"]))

@@ -143,6 +143,15 @@ def d02_overdue_risk_top(t: Tables, as_of, k: int = 10) -> DataFrame:
 
 # --------------------------------------------------------------------------------------------- D-03
 
+def _matches(df: DataFrame, column: str, text: str):
+    """Case-insensitive substring test. Binary text uses ILIKE (user '%'/'_' act as wildcards); text under a
+    case/accent-insensitive collation uses ``contains``, which honours the collation."""
+    dtype = df.schema[column].dataType
+    if getattr(dtype, "collation", "UTF8_BINARY") not in ("UTF8_BINARY", None):
+        return F.col(column).contains(F.lit(text))
+    return F.col(column).ilike(f"%{text}%")
+
+
 def d03_book_catalog(t: Tables, search: str | None = None, subject_id: int | None = None) -> DataFrame:
     """Catalog with popularity, availability and rank within the primary (smallest id) subject.
 
@@ -151,8 +160,7 @@ def d03_book_catalog(t: Tables, search: str | None = None, subject_id: int | Non
     core = (t.book.join(t.booksubject.groupBy("isbn").agg(F.min("subject_id").alias("primary_subject_id")),
                         "isbn", "left"))
     if search:
-        pattern = f"%{search}%"
-        core = core.filter(F.col("title").ilike(pattern) | F.col("isbn").ilike(pattern))
+        core = core.filter(_matches(core, "title", search) | _matches(core, "isbn", search))
     if subject_id is not None:
         core = core.filter(F.col("primary_subject_id") == subject_id)
     loaned = Q.loans_per_book(t).select("isbn", F.col("loan_count").cast(BIG).alias("times_loaned"))

@@ -42,14 +42,23 @@ class Tables(Mapping):
             df.createOrReplaceTempView(prefix + name)
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """Select and cast ``df`` to the declared column order and types of ``table``."""
+def conform(df: DataFrame, table: str, collation: str | None = None) -> DataFrame:
+    """Select and cast ``df`` to the declared column order and types of ``table``.
+
+    ``collation`` (e.g. ``UNICODE_CI_AI_RTRIM``) makes every text column compare, group and sort
+    case-, accent- and trailing-space-insensitively, like the source database's default collation."""
     spec = TABLES[table]
-    return df.select([F.col(c.name).cast(c.dtype).alias(c.name) for c in spec.columns])
+    cols = []
+    for c in spec.columns:
+        col = F.col(c.name).cast(c.dtype)
+        if collation and c.dtype.simpleString() == "string":
+            col = F.collate(col, collation)
+        cols.append(col.alias(c.name))
+    return df.select(cols)
 
 
 def load_table(spark: SparkSession, table: str, path: str, fmt: str = "parquet",
-               options: Mapping[str, str] | None = None) -> DataFrame:
+               options: Mapping[str, str] | None = None, collation: str | None = None) -> DataFrame:
     """Read one table with its declared schema. ``fmt`` is any Spark source: parquet, orc, csv, json.
 
     For a remote database use ``load_jdbc``. Zone-less timestamps are read under the session time zone.
@@ -58,7 +67,7 @@ def load_table(spark: SparkSession, table: str, path: str, fmt: str = "parquet",
     reader = spark.read.schema(spec.schema).options(**(options or {}))
     if fmt == "csv":
         reader = reader.option("header", "true")
-    return conform(reader.format(fmt).load(path), table)
+    return conform(reader.format(fmt).load(path), table, collation)
 
 
 def load_jdbc(spark: SparkSession, table: str, url: str, properties: Mapping[str, str],
@@ -79,10 +88,15 @@ def load_jdbc(spark: SparkSession, table: str, url: str, properties: Mapping[str
 
 
 def load_tables(spark: SparkSession, root: str, fmt: str = "parquet",
-                names: Iterable[str] | None = None) -> Tables:
+                names: Iterable[str] | None = None, collation: str | None = None) -> Tables:
     """Load ``<root>/<table>.<fmt>`` for each library table."""
     names = list(names or TABLES)
-    return Tables({n: load_table(spark, n, f"{root}/{n}.{fmt}", fmt) for n in names})
+    return Tables({n: load_table(spark, n, f"{root}/{n}.{fmt}", fmt, collation=collation) for n in names})
+
+
+def with_collation(t: Tables, collation: str) -> Tables:
+    """The same tables with every text column under ``collation``."""
+    return Tables({n: conform(df, n, collation) for n, df in t.items()})
 
 
 def from_rows(spark: SparkSession, table: str, rows: Iterable) -> DataFrame:

@@ -145,3 +145,12 @@ def test_append_and_reload(spark):
     back = load_tables(spark, root)
     assert back.book.count() == 4
     assert back.loan.dtypes == t.loan.dtypes
+
+
+def test_collation_makes_text_insensitive(spark):
+    from lendwise.sources.tables import with_collation
+
+    t = with_collation(fixture_tables(spark), "UNICODE_CI_AI_RTRIM")
+    assert Q.q02_books_in_subject(t, "ART").count() == 1           # 'Art' matches 'ART'
+    assert R.d03_book_catalog(t, search="alp").count() == 1          # 'Alpha'
+    assert R.d03_book_catalog(fixture_tables(spark), search="ALP").count() == 1
