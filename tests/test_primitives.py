@@ -45,7 +45,7 @@ PRIMITIVES = {
     "W-02 RANK partitioned": ("d03_book_catalog", "Window"),
     "W-03 DENSE_RANK": ("q12_fine_rank", "Window"),
     "W-04 RANK global (distributed)": ("d02_overdue_risk", "Window"),
-    "W-05 LAG": ("q13_duration_lag", "lag("),
+    "W-05 LAG (distributed: join on position - 1)": ("q13_duration_lag", "_l_pos"),
     "W-06 LAG on an aggregate": ("q21_monthly_running", "lag("),
     "W-07 running SUM": ("d06_monthly_trends", "sum(total_loans"),
     "W-08 whole-set SUM": ("q21_monthly_running", "all_loans"),
