@@ -129,3 +129,15 @@ def test_new_patron_ids(spark):
     got = {r["seq"]: (r["patron_id"], r["address_id"], r["accepted"]) for r in
            A.k02_append_patrons(existing, batch).collect()}
     assert got == {1: (None, 3, False), 2: (6, None, True), 3: (7, 4, True)}
+
+
+def test_reservation_and_session_splits_are_stable(projected):
+    res = A.t04_admit_reservations(projected.reservation)
+    assert res.count() == projected.reservation.count()
+    again = A.t04_admit_reservations(res.filter("accepted").select(*projected.reservation.columns))
+    assert again.filter(~F.col("accepted")).count() == 0
+    ses = A.t05_admit_sessions(projected.accesssession, projected.eresource, projected.license)
+    assert ses.count() == projected.accesssession.count()
+    again = A.t05_admit_sessions(ses.filter("accepted").select(*projected.accesssession.columns),
+                                 projected.eresource, projected.license)
+    assert again.filter(~F.col("accepted")).count() == 0

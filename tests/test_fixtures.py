@@ -154,3 +154,12 @@ def test_collation_makes_text_insensitive(spark):
     assert Q.q02_books_in_subject(t, "ART").count() == 1           # 'Art' matches 'ART'
     assert R.d03_book_catalog(t, search="alp").count() == 1          # 'Alpha'
     assert R.d03_book_catalog(fixture_tables(spark), search="ALP").count() == 1
+
+
+def test_dashboard_fan_out_count_equals_literal_join(projected):
+    """The dashboard's COUNT(*) over Book LEFT JOIN Copy LEFT JOIN BookSubject, computed from per-book counts,
+    equals the count of the materialized join."""
+    t = projected
+    literal = (t.book.select("isbn").join(t.copy.select("isbn", "copy_id"), "isbn", "left")
+               .join(t.booksubject, "isbn", "left").count())
+    assert R.d01_dashboard_summary(t, AS_OF).first()["total_books"] == literal
