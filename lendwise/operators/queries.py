@@ -324,23 +324,30 @@ def patron_months(t: Tables) -> DataFrame:
 
 def q24_consecutive_months(t: Tables) -> DataFrame:
     """Literal form: start months (no loans in the previous month) counted per (patron, month) - always 1 -
-    then HAVING >= 3, so the result is always empty. Runs the full plan anyway."""
-    ml = patron_months(t)
-    prev = ml.select("patron_id", F.col("loan_month").alias("pm"))
-    starts = (ml.join(prev, (ml.patron_id == prev.patron_id) & (prev.pm == previous_month_key(ml.loan_month)),
-                      "left_anti")
-              .groupBy("patron_id", F.col("loan_month").alias("start_month"))
-              .agg(F.count(F.lit(1)).alias("consecutive_months")))
-    later = ml.select(F.col("patron_id").alias("p2"), F.col("loan_month").alias("m2"), "loans_in_month")
-    return (starts.join(later, (starts.patron_id == later.p2) & (later.m2 >= starts.start_month))
-            .groupBy("patron_id", "start_month", "consecutive_months")
-            .agg(F.sum("loans_in_month").alias("total_loans_in_period"))
-            .filter(F.col("consecutive_months") >= 3)
+    then HAVING >= 3, so the result is always empty. Runs the full plan anyway.
+
+    The loans from a start month onwards (the query's join to every later month of the patron) are a suffix
+    sum over the patron's distinct months, so no month pairs are produced."""
+    return (consecutive_month_starts(t).filter(F.col("consecutive_months") >= 3)
             .join(_patron_names(t), "patron_id")
             .select("patron_id", "patron_name", "start_month", "consecutive_months", "total_loans_in_period")
             .orderBy(F.desc("consecutive_months"), F.desc("total_loans_in_period"), "patron_id", "start_month"))
 
 
+def consecutive_month_starts(t: Tables) -> DataFrame:
+    """Q-24 before its HAVING: (patron, start month, 1, loans from that month on)."""
+    ml = patron_months(t)
+    prev = ml.select(F.col("patron_id").alias("pp"), F.col("loan_month").alias("pm"))
+    later = Window.partitionBy("patron_id").orderBy("loan_month").rowsBetween(0, Window.unboundedFollowing)
+    with_tail = ml.withColumn("tail_loans", F.sum("loans_in_month").over(later))
+    starts = (with_tail.join(prev, (with_tail.patron_id == prev.pp) & (prev.pm == previous_month_key(with_tail.loan_month)),
+                             "left_anti")
+              .groupBy("patron_id", F.col("loan_month").alias("start_month"))
+              .agg(F.count(F.lit(1)).alias("consecutive_months"),
+                   F.first("tail_loans").alias("total_loans_in_period")))
+    return starts
+
+
 def q24_streaks_intent(t: Tables, min_months: int = 3) -> DataFrame:
     """Stated intent: runs of >= ``min_months`` consecutive calendar months with loans (gaps and islands).
 

@@ -163,3 +163,20 @@ def test_dashboard_fan_out_count_equals_literal_join(projected):
     literal = (t.book.select("isbn").join(t.copy.select("isbn", "copy_id"), "isbn", "left")
                .join(t.booksubject, "isbn", "left").count())
     assert R.d01_dashboard_summary(t, AS_OF).first()["total_books"] == literal
+
+
+def test_consecutive_month_totals_equal_range_join(projected):
+    """Suffix sums over a patron's months equal the query's join to every later month (brute force)."""
+    months = {}
+    for r in Q.patron_months(projected).collect():
+        months.setdefault(r["patron_id"], {})[r["loan_month"]] = r["loans_in_month"]
+
+    def prev(m):
+        y, mo = int(m[:4]), int(m[5:])
+        return f"{y - 1}-12" if mo == 1 else f"{y}-{mo - 1:02d}"
+
+    want = {(p, m): sum(n for m2, n in ms.items() if m2 >= m)
+            for p, ms in months.items() for m in ms if prev(m) not in ms}
+    got = {(r["patron_id"], r["start_month"]): r["total_loans_in_period"]
+           for r in Q.consecutive_month_starts(projected).collect()}
+    assert got == want

@@ -22,7 +22,7 @@ PRIMITIVES = {
     "J-04 cross join of one row": ("q11_above_avg_copies", "NestedLoopJoin"),
     "J-05 USING join": ("q12_fine_rank", "Join"),
     "J-06 self join with theta": ("q30_coauthors", "(m#"),
-    "J-07 equi + range join": ("q24_consecutive_months", ">= start_month"),
+    "J-07 equi + range join (as a suffix sum over months)": ("q24_consecutive_months", "tail_loans"),
     "J-08 semi join": ("q27_borrowed_by_both", "LeftSemi"),
     "J-09 anti join": ("q17_never_loaned_copies", "LeftAnti"),
     "J-10 anti join on computed key": ("q24_consecutive_months", "LeftAnti"),
