@@ -47,6 +47,12 @@ def build_session(master: str | None = None, app_name: str = "lendwise",
     return spark
 
 
+def recommended_shuffle_partitions(input_bytes: int, cores: int, target_bytes: int = 256 << 20) -> int:
+    """Shuffle partition count for a job reading ``input_bytes``: about ``target_bytes`` per partition, at least
+    two waves of the cluster's cores. AQE coalesces partitions that turn out small, so erring high is cheap."""
+    return max(2 * cores, -(-input_bytes // target_bytes))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, configuring the context from ``spark.checkpoint.dir``.
 

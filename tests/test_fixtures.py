@@ -180,3 +180,22 @@ def test_consecutive_month_totals_equal_range_join(projected):
     got = {(r["patron_id"], r["start_month"]): r["total_loans_in_period"]
            for r in Q.consecutive_month_starts(projected).collect()}
     assert got == want
+
+
+def test_clustered_layout_and_partition_sizing(spark, projected):
+    import tempfile
+
+    from lendwise.plans import pushed_filters
+    from lendwise.session import recommended_shuffle_partitions
+    from lendwise.sources.sinks import write_tables
+    from lendwise.sources.tables import load_tables
+    from pyspark.sql import functions as F
+
+    root = tempfile.mkdtemp(prefix="lendwise-layout-")
+    write_tables(projected, root, cluster_by_time=True)
+    t = load_tables(spark, root)
+    assert t.loan.count() == projected.loan.count()
+    recent = t.loan.filter(F.col("loan_ts") >= F.lit("2001-05-01").cast("timestamp"))
+    assert any("loan_ts" in f for f in pushed_filters(recent))
+    assert recommended_shuffle_partitions(100 << 40, 8000) == 409600
+    assert recommended_shuffle_partitions(1 << 20, 8) == 16
