@@ -23,26 +23,46 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _key_summary(df: DataFrame, table: str, cols: tuple[str, ...]) -> DataFrame:
+def _key_rows(df: DataFrame, table: str, cols: tuple[str, ...]) -> DataFrame:
+    """(table_name, key_columns, key text, NULL flag) for every row; composite keys become one text key."""
     any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
-    counted = (df.select(*cols, any_null.alias("_null"))
-               .groupBy(*cols, "_null").agg(F.count(F.lit(1)).alias("n")))
+    key = F.to_json(F.struct(*[F.col(c) for c in cols]))
+    return df.select(F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"),
+                     key.alias("key"), any_null.alias("_null"))
+
+
+def _key_summaries(t: Tables, specs: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
+    """Key use per table in two shuffles for all tables together: count rows per (table, key), then summarize
+    per table (a hot key is collapsed by partial aggregation before the first shuffle)."""
+    rows = _union([_key_rows(t[n], n, cols) for n, cols in specs])
+    counted = rows.groupBy("table_name", "key_columns", "key", "_null").agg(F.count(F.lit(1)).alias("n"))
     real = ~F.col("_null")
-    return counted.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast(BIG).alias("total_rows"),
+    return counted.groupBy("table_name", "key_columns").agg(
+        F.sum("n").cast(BIG).alias("total_rows"),
         F.coalesce(F.sum(F.when(F.col("_null"), F.col("n"))), F.lit(0)).cast(BIG).alias("null_keys"),
         F.count(F.when(real & (F.col("n") > 1), 1)).alias("duplicate_keys"),
-        F.coalesce(F.sum(F.when(real & (F.col("n") > 1), F.col("n"))), F.lit(0)).cast(BIG).alias("duplicate_rows"),
-    ).select(F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"), "*")
+        F.coalesce(F.sum(F.when(real & (F.col("n") > 1), F.col("n"))), F.lit(0)).cast(BIG).alias("duplicate_rows"))
+
+
+def _with_empty_tables(summary: DataFrame, t: Tables, specs) -> DataFrame:
+    """Tables without rows produce no key rows; give them a zero summary line."""
+    names = summary.sparkSession.createDataFrame(
+        [(n, ",".join(c)) for n, c in specs], "table_name string, key_columns string")
+    zero = F.lit(0).cast(BIG)
+    return (names.join(summary, ["table_name", "key_columns"], "left")
+            .select("table_name", "key_columns", *[F.coalesce(c, zero).alias(c) for c in
+                                                  ("total_rows", "null_keys", "duplicate_keys", "duplicate_rows")]))
 
 
 def c01_pk_violations(t: Tables) -> DataFrame:
     """Single-column primary keys: rows, NULL keys, keys used more than once, rows carrying them."""
-    return _union([_key_summary(t[n], n, s.pk) for n, s in TABLES.items() if len(s.pk) == 1])
+    specs = [(n, s.pk) for n, s in TABLES.items() if len(s.pk) == 1]
+    return _with_empty_tables(_key_summaries(t, specs), t, specs)
 
 
 def c02_composite_pk(t: Tables) -> DataFrame:
-    return _union([_key_summary(t[n], n, s.pk) for n, s in TABLES.items() if len(s.pk) > 1])
+    specs = [(n, s.pk) for n, s in TABLES.items() if len(s.pk) > 1]
+    return _with_empty_tables(_key_summaries(t, specs), t, specs)
 
 
 def pk_violation_rows(t: Tables, table: str) -> DataFrame:
@@ -84,18 +104,22 @@ def c03_fk_orphans(t: Tables) -> DataFrame:
 
 
 def c04_unique_violations(t: Tables) -> DataFrame:
-    """UNIQUE columns: several NULLs are allowed; non-NULL values used more than once are violations."""
-    rows = []
-    for name, spec in TABLES.items():
-        for col in spec.unique:
-            counted = (t[name].filter(F.col(col).isNotNull()).groupBy(col)
-                       .agg(F.count(F.lit(1)).alias("n")))
-            rows.append(counted.agg(
-                F.coalesce(F.sum("n"), F.lit(0)).cast(BIG).alias("non_null_rows"),
-                F.count(F.when(F.col("n") > 1, 1)).alias("duplicate_values"),
-                F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).cast(BIG).alias("duplicate_rows"))
-                .select(F.lit(name).alias("table_name"), F.lit(col).alias("column_name"), "*"))
-    return _union(rows)
+    """UNIQUE columns: several NULLs are allowed; non-NULL values used more than once are violations.
+    All constrained columns go through one (table, column, value) count and one summary aggregation."""
+    specs = [(n, col) for n, spec in TABLES.items() for col in spec.unique]
+    rows = _union([t[n].filter(F.col(col).isNotNull()).select(
+        F.lit(n).alias("table_name"), F.lit(col).alias("column_name"), F.col(col).cast("string").alias("v"))
+        for n, col in specs])
+    counted = rows.groupBy("table_name", "column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    summary = counted.groupBy("table_name", "column_name").agg(
+        F.sum("n").cast(BIG).alias("non_null_rows"),
+        F.count(F.when(F.col("n") > 1, 1)).alias("duplicate_values"),
+        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).cast(BIG).alias("duplicate_rows"))
+    names = t.patron.sparkSession.createDataFrame(specs, "table_name string, column_name string")
+    zero = F.lit(0).cast(BIG)
+    return (names.join(summary, ["table_name", "column_name"], "left")
+            .select("table_name", "column_name", *[F.coalesce(c, zero).alias(c) for c in
+                                                  ("non_null_rows", "duplicate_values", "duplicate_rows")]))
 
 
 def c05_isbn_length(t: Tables) -> DataFrame:

@@ -199,3 +199,20 @@ def test_clustered_layout_and_partition_sizing(spark, projected):
     assert any("loan_ts" in f for f in pushed_filters(recent))
     assert recommended_shuffle_partitions(100 << 40, 8000) == 409600
     assert recommended_shuffle_partitions(1 << 20, 8) == 16
+
+
+def test_quality_reports_on_empty_and_dirty_tables(spark):
+    from lendwise.operators import quality as C
+
+    empty = fixture_tables(spark, empty=True)
+    rows = C.c01_pk_violations(empty).collect()
+    assert len(rows) == 20 and all(r["total_rows"] == 0 for r in rows)
+    assert C.c04_unique_violations(empty).count() == 9
+    dirty = fixture_tables(spark, copy=[(1, "0000000000001", 1, None, "X"), (1, "0000000000001", 2, None, "X"),
+                                       (None, "0000000000009", 3, None, None)])
+    pk = {r["table_name"]: r for r in C.c01_pk_violations(dirty).collect()}["copy"]
+    assert (pk["total_rows"], pk["null_keys"], pk["duplicate_keys"], pk["duplicate_rows"]) == (3, 1, 1, 2)
+    uq = {(r["table_name"], r["column_name"]): r for r in C.c04_unique_violations(dirty).collect()}[("copy", "barcode")]
+    assert (uq["non_null_rows"], uq["duplicate_values"]) == (2, 1)
+    fk = {(r["child_table"], r["child_column"]): r["orphan_rows"] for r in C.c03_fk_orphans(dirty).collect()}
+    assert fk[("copy", "isbn")] == 1 and fk[("copy", "branch_id")] == 1
