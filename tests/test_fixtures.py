@@ -208,8 +208,13 @@ def test_quality_reports_on_empty_and_dirty_tables(spark):
     rows = C.c01_pk_violations(empty).collect()
     assert len(rows) == 20 and all(r["total_rows"] == 0 for r in rows)
     assert C.c04_unique_violations(empty).count() == 9
-    dirty = fixture_tables(spark, copy=[(1, "0000000000001", 1, None, "X"), (1, "0000000000001", 2, None, "X"),
-                                       (None, "0000000000009", 3, None, None)])
+    from pyspark.sql import types as T
+
+    from lendwise.sources.schemas import TABLES
+    loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in TABLES["copy"].schema.fields])
+    bad_copies = spark.createDataFrame([(1, "0000000000001", 1, None, "X"), (1, "0000000000001", 2, None, "X"),
+                                        (None, "0000000000009", 3, None, None)], loose)
+    dirty = fixture_tables(spark).replace(copy=bad_copies)
     pk = {r["table_name"]: r for r in C.c01_pk_violations(dirty).collect()}["copy"]
     assert (pk["total_rows"], pk["null_keys"], pk["duplicate_keys"], pk["duplicate_rows"]) == (3, 1, 1, 2)
     uq = {(r["table_name"], r["column_name"]): r for r in C.c04_unique_violations(dirty).collect()}[("copy", "barcode")]
