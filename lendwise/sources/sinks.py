@@ -14,6 +14,8 @@ def append_table(df: DataFrame, table: str, path: str, fmt: str = "parquet",
     """Append ``df`` (cast to the table's declared columns) to ``path``. Pair with the admission rules to
     append only accepted rows."""
     writer = conform(df, table).write.mode("append").format(fmt)
+    if fmt == "csv":
+        writer = writer.option("header", "true")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
@@ -35,4 +37,7 @@ def write_tables(tables, root: str, fmt: str = "parquet", cluster_by_time: bool
         if cluster_by_time and name in EVENT_TIME:
             col = EVENT_TIME[name]
             out = out.repartitionByRange(col).sortWithinPartitions(col)
-        out.write.mode("overwrite").format(fmt).save(f"{root}/{name}.{fmt}")
+        writer = out.write.mode("overwrite").format(fmt)
+        if fmt == "csv":
+            writer = writer.option("header", "true")
+        writer.save(f"{root}/{name}.{fmt}")
