@@ -88,6 +88,13 @@ def exact_avg(x) -> Column:
     return F.avg(_c(x).cast("decimal(20,0)"))
 
 
+def exact_avg_from_sums(total, count) -> Column:
+    """``exact_avg`` recombined from partial sums and counts of pre-aggregated rows: the same decimal division
+    (sum as decimal(30,0) by count as decimal(20,0), then decimal(24,4)) that the aggregate itself performs,
+    so the result is identical to averaging the raw rows."""
+    return F.try_divide(_c(total).cast("decimal(30,0)"), _c(count).cast("decimal(20,0)")).cast("decimal(24,4)")
+
+
 def pct(part, whole, scale: int = 2) -> Column:
     """ROUND(100.0 * part / whole, scale) on decimals, HALF_UP; NULL when whole is 0 or NULL."""
     ratio = F.try_divide(F.lit(Decimal("100.0")) * _c(part).cast("decimal(20,0)"), _c(whole).cast("decimal(20,0)"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendwise.functions import (as_timestamp, days_between, exact_avg, full_name, month_key,
+from lendwise.functions import (as_timestamp, days_between, exact_avg, exact_avg_from_sums, full_name, month_key,
                                 ordered_distinct_concat, pct, previous_month_key, year_key)
 from lendwise.operators import views as V
 from lendwise.sources.schemas import PIVOT_TYPES, RESERVATION_OPEN
@@ -429,16 +429,21 @@ def q28_first_last_loan(t: Tables, k: int = 20) -> DataFrame:
 
 
 def q29_rollup_type_year(t: Tables, as_of) -> DataFrame:
-    rows = (t.loan.join(t.patron.select("patron_id", "patron_type"), "patron_id")
-            .select("patron_id", "loan_id", "patron_type", year_key("loan_ts").alias("yr"),
-                    loan_duration(as_of).alias("d")))
-    return (rows.rollup("patron_type", "yr").agg(
-        F.countDistinct("patron_id").alias("unique_patrons"), F.count("loan_id").alias("total_loans"),
-        exact_avg("d").alias("avg_duration_days"),
+    """ROLLUP(patron_type, year): distinct patrons, loans and average duration per level.
+
+    Loans are first reduced to one row per (patron, type, year) with their count and duration sum; the
+    rollup (which expands its input once per grouping level) then runs over those rows only. The average is
+    recombined from the sums exactly."""
+    per = (t.loan.join(t.patron.select("patron_id", "patron_type"), "patron_id")
+           .groupBy("patron_id", "patron_type", year_key("loan_ts").alias("yr"))
+           .agg(F.count("loan_id").alias("n"), F.sum(loan_duration(as_of)).alias("sd")))
+    return (per.rollup("patron_type", "yr").agg(
+        F.countDistinct("patron_id").alias("unique_patrons"), F.sum("n").alias("total_loans"),
+        exact_avg_from_sums(F.sum("sd"), F.sum("n")).alias("avg_duration_days"),
         F.grouping("patron_type").alias("g_type"), F.grouping("yr").alias("g_year"))
         .select(F.when(F.col("g_type") == 1, "ALL TYPES").otherwise(F.col("patron_type")).alias("patron_type"),
                 F.when(F.col("g_year") == 1, "ALL YEARS").otherwise(F.col("yr")).alias("loan_year"),
-                "unique_patrons", "total_loans", "avg_duration_days")
+                "unique_patrons", F.col("total_loans").cast("bigint").alias("total_loans"), "avg_duration_days")
         .orderBy("patron_type", "loan_year"))
 
 

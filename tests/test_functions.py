@@ -57,3 +57,15 @@ def test_views_are_queryable_with_sql(spark):
     assert [(r["patron_id"], r["loan_status"]) for r in rows] == [(1, "Overdue"), (5, "Overdue")]
     t.register_views()
     assert spark.sql("SELECT COUNT(*) AS n FROM loan").first()["n"] == 6
+
+
+def test_average_from_sums_equals_direct_average(spark):
+    import random
+
+    rnd = random.Random(11)
+    rows = [(rnd.randint(0, 40), rnd.randint(0, 5), rnd.randint(-3, 400)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "g int, sub int, x int")
+    direct = df.groupBy("g").agg(L.exact_avg("x").alias("a"))
+    pre = df.groupBy("g", "sub").agg(F.sum("x").alias("s"), F.count("x").alias("n"))
+    recombined = pre.groupBy("g").agg(L.exact_avg_from_sums(F.sum("s"), F.sum("n")).alias("a"))
+    assert direct.exceptAll(recombined).count() == 0 and recombined.exceptAll(direct).count() == 0
