@@ -26,7 +26,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def _key_rows(df: DataFrame, table: str, cols: tuple[str, ...]) -> DataFrame:
     """(table_name, key_columns, key text, NULL flag) for every row; composite keys become one text key."""
     any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
-    key = F.to_json(F.struct(*[F.col(c) for c in cols]))
+    key = F.col(cols[0]).cast("string") if len(cols) == 1 else F.to_json(F.struct(*[F.col(c) for c in cols]))
     return df.select(F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"),
                      key.alias("key"), any_null.alias("_null"))
 
