@@ -107,12 +107,13 @@ def rank_within(df: DataFrame, partition_by: Sequence[str] = (), order_by: Order
 
 
 def top_k_ranked(df: DataFrame, order_by: OrderSpec, tie_break: Sequence[str], k: int,
-                 rank: str = "rank") -> DataFrame:
-    """First ``k`` rows in order, with their global RANK. Exact: a row's rank depends only on rows ahead of it,
-    all of which are inside the top k. The window runs over k rows only."""
+                 rank: str = "rank", rank_on: int | None = None) -> DataFrame:
+    """First ``k`` rows in order, with their global RANK over the first ``rank_on`` order columns (default:
+    all). Exact: a row's rank depends only on rows ahead of it, all of which are inside the top k. The window
+    runs over the k kept rows only."""
     sort = _sort_exprs((), order_by) + [F.col(c).asc() for c in tie_break]
     top = df.orderBy(*sort).limit(k)
-    w = Window.orderBy(*_sort_exprs((), order_by))
+    w = Window.orderBy(*_sort_exprs((), list(order_by)[:rank_on]))
     return top.withColumn(rank, F.rank().over(w))
 
 

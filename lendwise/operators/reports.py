@@ -126,9 +126,9 @@ def d02_overdue_risk(t: Tables, as_of, limit: int | None = None) -> DataFrame:
     rows = overdue_risk_rows(t, as_of)
     order = [("risk_score", True)]
     if limit:
-        ranked = top_k_ranked(rows, order + [("days_overdue", True)], ["loan_id"], limit, rank="risk_rank")
-        # rank ties are decided by score only, as in the report
-        ranked = ranked.withColumn("risk_rank", F.rank().over(Window.orderBy(F.col("risk_score").desc_nulls_last())))
+        # rows are kept in the report's order (score, days overdue); the rank itself is by score only
+        ranked = top_k_ranked(rows, order + [("days_overdue", True)], ["loan_id"], limit, rank="risk_rank",
+                              rank_on=1)
     else:
         ranked = rank_within(rows, order_by=order, rank="risk_rank")
     return (ranked.drop("patron_id")
