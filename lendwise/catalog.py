@@ -104,11 +104,15 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
         S.split_by_time(t.reservation, "created_at", S.EVENT_SPLIT)[1],
         S.split_by_time(t.reservation, "created_at", S.EVENT_SPLIT)[0]),
     "t05_admit_sessions": lambda t: T.t05_admit_sessions(
-        S.split_by_time(t.accesssession, "start_time", S.EVENT_SPLIT)[1], t.eresource, t.license,
-        S.split_by_time(t.accesssession, "start_time", S.EVENT_SPLIT)[0], now=AS_OF),
+        S.split_by_time(t.accesssession, "start_time", S.SESSION_SPLIT)[1], t.eresource, t.license,
+        S.split_by_time(t.accesssession, "start_time", S.SESSION_SPLIT)[0], now=AS_OF),
     "t06_validate_session_updates": lambda t: T.t06_validate_session_updates(S.sessions_before_end(t),
                                                                              t.accesssession),
     "t07_copy_barcode": lambda t: T.t07_copy_barcode(t.copy),
     "t08_patron_type_warning": lambda t: T.t08_patron_type_warning(t.patron),
+    "t09_license_insert": lambda t: T.t09_license_insert(S.license_batch(t, 0)),
+    "t10_license_update": lambda t: T.t10_license_update(S.license_batch(t, 1)),
+    "t11_term_insert": lambda t: T.t11_term_insert(S.term_batch(t, 0)),
+    "t12_term_update": lambda t: T.t12_term_update(S.term_batch(t, 1)),
     "k02_append_patrons": lambda t: T.k02_append_patrons(t.patron, S.patron_registrations(t)),
 }

@@ -12,6 +12,8 @@ from lendwise.sources.tables import Tables
 
 LOAN_SPLIT = "2000-01-01 00:00:00"
 EVENT_SPLIT = "2024-01-15 00:00:00"
+# sessions: an early cut, so the stored part holds few open sessions and the limits decide inside the batch
+SESSION_SPLIT = "2024-01-01 12:00:00"
 
 
 def split_by_time(df, column: str, at: str):
@@ -32,3 +34,23 @@ def patron_registrations(t: Tables):
     """Registration form rows (text address id, batch sequence) carrying the patrons' details."""
     return t.patron.select("first_name", "last_name", "email", "patron_type",
                            F.col("address_id").cast("string").alias("address_id"), F.col("patron_id").alias("seq"))
+
+
+def license_batch(t: Tables, variant: int = 0):
+    """License rows shaped from loans (one per loan): start = loan day, end = due day minus 0..19 days
+    (``variant`` shifts the pattern), limit 0..5. Only rows in the license schema; no rule is applied here."""
+    shift = F.col("loan_id") % 20 if variant == 0 else (F.col("loan_id") + 7) % 20
+    return t.loan.select(F.col("loan_id").alias("license_id"), (F.col("patron_id") % 5 + 1).alias("provider_id"),
+                         F.to_date("loan_ts").alias("start_date"),
+                         F.date_sub(F.to_date("due_ts"), shift.cast("int")).alias("end_date"),
+                         ((F.col("copy_id") + variant) % 6).cast("int").alias("concurrent_limit"))
+
+
+def term_batch(t: Tables, variant: int = 0):
+    """Term rows shaped from loans: start = loan day, end = due day minus 0..15 days; open loans have no
+    start date. Only rows in the term schema; no rule is applied here."""
+    shift = F.col("loan_id") % 16 if variant == 0 else (F.col("loan_id") + 5) % 16
+    return t.loan.select(F.col("loan_id").alias("term_id"), F.lit("Loan term").alias("name"),
+                         F.year("loan_ts").alias("year"),
+                         F.when(F.col("return_ts").isNotNull(), F.to_date("loan_ts")).alias("start_date"),
+                         F.date_sub(F.to_date("due_ts"), shift.cast("int")).alias("end_date"))
