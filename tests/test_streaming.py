@@ -37,3 +37,32 @@ def test_stream_equals_batch(spark, projected):
     assert accepted.count() + rejected.count() == loans.count()
     assert accepted.exceptAll(want.filter("accepted").select("loan_id")).count() == 0
     assert want.filter("accepted").select("loan_id").exceptAll(accepted).count() == 0
+
+
+def test_session_stream_equals_batch(spark, projected):
+    import glob
+    import os
+    import shutil
+
+    from lendwise.operators.admission import t05_admit_sessions
+
+    root = tempfile.mkdtemp(prefix="lendwise-stream-s-")
+    ses = projected.accesssession.select(*[c.name for c in TABLES["accesssession"].columns])
+    cuts = ["2024-01-01 08:00:00", "2024-01-01 16:00:00"]
+    parts = [ses.filter(F.col("start_time") < cuts[0]),
+             ses.filter((F.col("start_time") >= cuts[0]) & (F.col("start_time") < cuts[1])),
+             ses.filter(F.col("start_time") >= cuts[1])]
+    os.makedirs(f"{root}/src")
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{root}/in/{i}")
+        for j, f in enumerate(sorted(glob.glob(f"{root}/in/{i}/*.parquet"))):
+            shutil.copy(f, f"{root}/src/{i:02d}-{j}.parquet")
+            os.utime(f"{root}/src/{i:02d}-{j}.parquet", (1000 + i, 1000 + i))
+    stream = (spark.readStream.schema(TABLES["accesssession"].schema).option("maxFilesPerTrigger", 1)
+              .parquet(f"{root}/src"))
+    q = start_admission_stream(stream, "accesssession", f"{root}/table", f"{root}/quarantine", f"{root}/ckpt",
+                               eresource=projected.eresource, license_=projected.license)
+    q.awaitTermination(300)
+    accepted = spark.read.parquet(f"{root}/table").select("session_id")
+    want = t05_admit_sessions(ses, projected.eresource, projected.license).filter("accepted").select("session_id")
+    assert accepted.exceptAll(want).count() == 0 and want.exceptAll(accepted).count() == 0
