@@ -53,7 +53,8 @@ def _norm(v):
 
 def spark_rows(df):
     cols = sorted(df.columns)
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    # zone-less and session-zone timestamps both hold wall-clock values here (UTC session)
+    types = {f.name: f.dataType.simpleString().replace("timestamp_ntz", "timestamp") for f in df.schema.fields}
     rows = [tuple(_norm(r[c]) for c in cols) for r in df.select(*cols).collect()]
     return cols, [types[c] for c in cols], rows
 
