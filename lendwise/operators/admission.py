@@ -167,6 +167,7 @@ def t06_validate_session_updates(old: DataFrame, new: DataFrame, strict: bool =
 # --------------------------------------------------------------------------------------------- T-07 ... T-12
 
 def t07_copy_barcode(batch: DataFrame, strict: bool = False) -> DataFrame:
+    """New copies: an empty-string barcode is rejected (NULL is allowed)."""
     return _finish(batch, F.when(F.col("barcode") == "", MSG_BARCODE), batch.columns, strict)
 
 
@@ -177,6 +178,7 @@ def t08_patron_type_warning(batch: DataFrame) -> DataFrame:
 
 
 def t09_license_insert(batch: DataFrame, strict: bool = False) -> DataFrame:
+    """Licenses: end_date must be after start_date, then concurrent_limit must be positive."""
     reason = (F.when(F.col("end_date") <= F.col("start_date"), MSG_LICENSE_DATES)
               .when(F.col("concurrent_limit") <= 0, MSG_LICENSE_LIMIT))
     return _finish(batch, reason, batch.columns, strict)
@@ -186,6 +188,7 @@ t10_license_update = t09_license_insert
 
 
 def t11_term_insert(batch: DataFrame, strict: bool = False) -> DataFrame:
+    """Terms: when both dates are present, end_date must be after start_date."""
     both = F.col("start_date").isNotNull() & F.col("end_date").isNotNull()
     reason = F.when(both & (F.col("end_date") <= F.col("start_date")), MSG_TERM_DATES)
     return _finish(batch, reason, batch.columns, strict)

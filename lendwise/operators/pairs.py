@@ -26,6 +26,8 @@ from lendwise.session import ensure_checkpoint_dir
 
 def shared_item_pairs(links: DataFrame, member: str, item: str, min_shared: int = 2,
                       heavy_threshold: int = 256) -> DataFrame:
+    """Member pairs (member1 < member2) sharing at least ``min_shared`` items, with the count (see module
+    docstring)."""
     lk = links.select(F.col(member).alias("m"), F.col(item).alias("i")).distinct()
     deg = lk.groupBy("i").agg(F.count(F.lit(1)).alias("deg"))
     # every branch below starts from the links with their item degree: materialize them once (reliable

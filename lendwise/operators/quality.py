@@ -61,6 +61,7 @@ def c01_pk_violations(t: Tables) -> DataFrame:
 
 
 def c02_composite_pk(t: Tables) -> DataFrame:
+    """Composite primary keys (book-subject, book-author): rows, NULL keys, repeated keys."""
     specs = [(n, s.pk) for n, s in TABLES.items() if len(s.pk) > 1]
     return _with_empty_tables(_key_summaries(t, specs), t, specs)
 

@@ -44,39 +44,47 @@ def loan_duration(as_of):
 # --------------------------------------------------------------------------------------------- Q-01..Q-10
 
 def q01_books_full(t: Tables) -> DataFrame:
+    """V-01 ordered by title."""
     return V.v01_book_details(t).orderBy("title", "isbn")
 
 
 def q02_books_in_subject(t: Tables, subject: str) -> DataFrame:
+    """Books filed under the subject named ``subject``, ordered by title."""
     s = t.subject.filter(F.col("name") == subject).select("subject_id", F.col("name").alias("subject_name"))
     return (t.booksubject.join(s, "subject_id").join(t.book.select("isbn", "title"), "isbn")
             .select("isbn", "title", "subject_name").orderBy("title", "isbn"))
 
 
 def q03_copies_of_isbn(t: Tables, isbn: str) -> DataFrame:
+    """Locations of the copies of one ISBN (from V-02)."""
     return (V.v02_copy_location(t).filter(F.col("isbn") == isbn)
             .select("copy_id", "barcode", "isbn", "title", "branch_name", "checkin_term"))
 
 
 def q04_inventory_by_branch(t: Tables) -> DataFrame:
+    """V-08 ordered by branch name and title."""
     return (V.v08_copy_inventory_by_branch(t).select("branch_name", "isbn", "title", "num_copies")
             .orderBy("branch_name", "title", "isbn"))
 
 
 def q05_patron_fines(t: Tables) -> DataFrame:
+    """V-04 ordered by unpaid fines (descending), last and first name."""
     return V.v04_patron_fines_summary(t).orderBy(
         F.desc("unpaid_fines"), "last_name", "first_name", "patron_id")
 
 
 def q06_current_loans(t: Tables) -> DataFrame:
+    """V-05 ordered by due time."""
     return V.v05_current_loans(t).orderBy("due_ts", "loan_id")
 
 
 def q07_overdue_loans(t: Tables, as_of) -> DataFrame:
+    """V-06 ordered by due time."""
     return V.v06_overdue_loans(t, as_of).orderBy("due_ts", "loan_id")
 
 
 def q08_loans_with_status(t: Tables, as_of) -> DataFrame:
+    """V-07 ordered by patron and loan time."""
     return V.v07_patron_loans_with_status(t, as_of).orderBy("patron_id", "loan_ts", "loan_id")
 
 
@@ -89,10 +97,12 @@ def patron_loan_counts(t: Tables) -> DataFrame:
 
 
 def q09_top_patrons(t: Tables, k: int = 5) -> DataFrame:
+    """The ``k`` patrons with most loans (patrons without loans count 0; ties by patron id)."""
     return patron_loan_counts(t).orderBy(F.desc("loan_count"), "patron_id").limit(k)
 
 
 def q10_popular_books(t: Tables) -> DataFrame:
+    """Loans per book for books loaned at least once, most loaned first."""
     return (loans_per_book(t).join(t.book.select("isbn", "title"), "isbn")
             .select("isbn", "title", F.col("loan_count").cast("bigint").alias("times_loaned"))
             .orderBy(F.desc("times_loaned"), "title", "isbn"))
@@ -101,6 +111,7 @@ def q10_popular_books(t: Tables) -> DataFrame:
 # --------------------------------------------------------------------------------------------- Q-11..Q-20
 
 def q11_above_avg_copies(t: Tables) -> DataFrame:
+    """Books with more copies than the average number of copies per ISBN."""
     per_isbn = t.copy.groupBy("isbn").agg(F.count("copy_id").alias("copy_count"))
     avg_row = per_isbn.agg(exact_avg("copy_count").alias("avg_copies"))  # one row
     return (per_isbn.join(t.book.select("isbn", "title"), "isbn").crossJoin(avg_row)
@@ -109,6 +120,8 @@ def q11_above_avg_copies(t: Tables) -> DataFrame:
 
 
 def q12_fine_rank(t: Tables) -> DataFrame:
+    """Patrons with fines ranked by total fines inside their patron type: ROW_NUMBER (ties by patron id), RANK and
+    DENSE_RANK, computed with the skew-safe rank."""
     from lendwise.operators.ranking import rank_within
     fines = (V.v04_patron_fines_summary(t).filter(F.col("total_fines") > 0)
              .join(t.patron.select("patron_id", "patron_type"), "patron_id")
@@ -133,6 +146,7 @@ def q13_duration_lag(t: Tables, as_of) -> DataFrame:
 
 
 def q14_multi_branch_patrons(t: Tables) -> DataFrame:
+    """Patrons who borrowed from more than one branch: number of branches, loans and the sorted branch list."""
     br = t.branch.select("branch_id", F.col("name").alias("branch_name"))
     per_branch = (t.loan.join(t.copy.select("copy_id", "branch_id"), "copy_id")
                   .groupBy("patron_id", "branch_id").agg(F.count("loan_id").alias("loans_at_branch"))
@@ -153,6 +167,7 @@ POPULARITY_BUCKETS = (  # fixed values: labels and bounds of the popularity cate
 
 
 def q15_popularity_buckets(t: Tables) -> DataFrame:
+    """Books grouped by loan count into five popularity buckets with count, average, min, max and sum of loans."""
     n = F.col("loan_count")
     b = POPULARITY_BUCKETS
     cat = (F.when(n == 0, b[0]).when(n.between(1, 5), b[1]).when(n.between(6, 15), b[2])
@@ -168,6 +183,7 @@ def q15_popularity_buckets(t: Tables) -> DataFrame:
 
 
 def q16_reserved_never_borrowed(t: Tables) -> DataFrame:
+    """Patrons with Active/Waiting reservations and no loan at all, with their number of such reservations."""
     res = (t.reservation.filter(F.col("status").isin(*RESERVATION_OPEN))
            .join(t.loan.select("patron_id"), "patron_id", "left_anti")
            .groupBy("patron_id").agg(F.count("reservation_id").alias("active_reservations")))
@@ -177,6 +193,7 @@ def q16_reserved_never_borrowed(t: Tables) -> DataFrame:
 
 
 def q17_never_loaned_copies(t: Tables) -> DataFrame:
+    """Per book: the copies that were never loaned and the number of branches holding them."""
     idle = t.copy.join(t.loan.select("copy_id"), "copy_id", "left_anti")
     return (idle.join(t.book.select("isbn", "title"), "isbn")
             .groupBy("isbn", "title").agg(F.countDistinct("copy_id").alias("num_copies"),
@@ -223,6 +240,7 @@ def q18_action_items_intent(t: Tables, as_of) -> DataFrame:
 
 
 def q19_repeat_borrowers(t: Tables) -> DataFrame:
+    """(patron, book) pairs with more than one loan: count, first and last loan and the days between them."""
     g = (t.loan.join(t.copy.select("copy_id", "isbn"), "copy_id")
          .groupBy("patron_id", "isbn").agg(F.count("loan_id").alias("times_borrowed"),
                                            F.min("loan_ts").alias("first_loan"), F.max("loan_ts").alias("last_loan"))
@@ -234,6 +252,7 @@ def q19_repeat_borrowers(t: Tables) -> DataFrame:
 
 
 def q20_slow_branches(t: Tables, as_of) -> DataFrame:
+    """Branches whose average loan duration exceeds the average over all loans."""
     dur = t.loan.withColumn("d", loan_duration(as_of))
     overall = dur.agg(exact_avg("d").alias("overall_avg_duration"))  # one row
     per = (dur.join(t.copy.select("copy_id", "branch_id"), "copy_id")
@@ -257,6 +276,7 @@ def monthly_loan_counts(t: Tables) -> DataFrame:
 
 
 def q21_monthly_running(t: Tables) -> DataFrame:
+    """Loans per month with running total, share of all loans and ratio to the previous month (percent)."""
     m = monthly_loan_counts(t)
     # month-sized input (one row per calendar month): a single ordered window partition is bounded
     w = Window.orderBy("loan_month")
@@ -270,6 +290,8 @@ def q21_monthly_running(t: Tables) -> DataFrame:
 
 
 def q22_subject_patterns(t: Tables, patron_id=None, min_total: int = 5, limit: int | None = None) -> DataFrame:
+    """Per patron and subject: loans and distinct books, and the share of the patron's subject-weighted total, for
+    patrons whose total is at least ``min_total`` (optionally one patron, optionally the first ``limit`` rows)."""
     loans = t.loan.select("loan_id", "patron_id", "copy_id")
     if patron_id is not None:
         loans = loans.filter(F.col("patron_id") == patron_id)
@@ -293,6 +315,8 @@ def q22_subject_patterns(t: Tables, patron_id=None, min_total: int = 5, limit: i
 
 
 def q23_fine_analysis(t: Tables) -> DataFrame:
+    """Per fine reason (also reasons without fines): count, sum, average, min and max amount, paid/unpaid sums and
+    counts, payment rate."""
     st, amt = F.col("status"), F.col("amount")
     per = t.fine.groupBy("reason_id").agg(
         F.count("fine_id").alias("total_fines"), F.sum(amt).alias("total_amount"),
@@ -318,6 +342,7 @@ def q23_fine_analysis(t: Tables) -> DataFrame:
 
 
 def patron_months(t: Tables) -> DataFrame:
+    """(patron, 'yyyy-MM') -> number of loans."""
     return (t.loan.groupBy("patron_id", month_key("loan_ts").alias("loan_month"))
             .agg(F.count(F.lit(1)).alias("loans_in_month")))
 
@@ -374,6 +399,7 @@ def monthly_type_counts(t: Tables) -> DataFrame:
 
 
 def q25_monthly_by_type(t: Tables) -> DataFrame:
+    """Loans per month for Student, Faculty, Staff and Alumni patrons, plus all loans of the month."""
     ty = F.col("patron_type")
     cols = [F.sum(F.when(ty == name, F.col("n")).otherwise(0)).alias(f"{name.lower()}_loans") for name in PIVOT_TYPES]
     return (monthly_type_counts(t).groupBy("loan_month").agg(*cols, F.sum("n").alias("total_loans"))
@@ -391,6 +417,7 @@ def q26_beats_all_older(t: Tables, year: int = 2010) -> DataFrame:
 
 
 def q27_borrowed_by_both(t: Tables, type_a: str = "Student", type_b: str = "Faculty") -> DataFrame:
+    """Books loaned by at least one patron of ``type_a`` and at least one of ``type_b``."""
     typed = (t.loan.select("copy_id", "patron_id")
              .join(t.patron.filter(F.col("patron_type").isin(type_a, type_b)).select("patron_id", "patron_type"),
                    "patron_id")
@@ -421,6 +448,7 @@ def book_loan_span_windowed(t: Tables) -> DataFrame:
 
 
 def q28_first_last_loan(t: Tables, k: int = 20) -> DataFrame:
+    """The ``k`` books with most loans (more than one): count, first and last loan and the days between."""
     return (book_loan_span(t).filter(F.col("total_loans") > 1)
             .join(t.book.select("isbn", "title"), "isbn")
             .select("isbn", "title", "total_loans", "first_loan_date", "last_loan_date",
@@ -448,6 +476,8 @@ def q29_rollup_type_year(t: Tables, as_of) -> DataFrame:
 
 
 def q30_coauthors(t: Tables, min_books: int = 2) -> DataFrame:
+    """Author pairs (smaller id first) sharing at least ``min_books`` books, counted exactly by
+    ``pairs.shared_item_pairs``."""
     from lendwise.operators.pairs import shared_item_pairs
     links = (t.bookauthor.join(t.book.select("isbn"), "isbn", "left_semi")
              .join(t.author.select("author_id"), "author_id", "left_semi"))

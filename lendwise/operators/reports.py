@@ -100,6 +100,8 @@ def patron_history(t: Tables, as_of) -> DataFrame:
 
 
 def overdue_risk_rows(t: Tables, as_of) -> DataFrame:
+    """Loans open and due before ``as_of`` with days overdue, patron history, unpaid fines and risk score (NULL
+    when the patron has no fine row)."""
     today = as_date(as_of)
     overdue = (t.loan.filter(F.col("return_ts").isNull() & (F.col("due_ts") < today))
                .select("loan_id", "patron_id", "copy_id", "due_ts",
@@ -214,6 +216,7 @@ def _risk_profile(t: Tables, as_of) -> DataFrame:
 
 
 def d04_patron_risk_profile(t: Tables, as_of) -> DataFrame:
+    """Per patron: loans (total, active, overdue), last loan, fines, risk level and recent-borrower flag (30 days)."""
     cutoff = _minus_days(as_of, 30)
     recent = (F.col("last_loan_ts").isNotNull() & (F.to_date("last_loan_ts") >= cutoff)).cast("int")
     return (_risk_profile(t, as_of)
@@ -270,6 +273,7 @@ def d05_loans_segmented(t: Tables, as_of, status_filter: str = "ALL", limit: int
 # --------------------------------------------------------------------------------------------- D-06
 
 def d06_monthly_trends(t: Tables) -> DataFrame:
+    """Loans per month by patron type (Student, Faculty, Staff, Alumni, other), total and running total."""
     ty = F.col("patron_type")
     cols = [F.sum(F.when(ty == name, F.col("n")).otherwise(0)).alias(f"{name.lower()}_loans") for name in PIVOT_TYPES]
     other = F.sum(F.when(~ty.isin(*PIVOT_TYPES), F.col("n")).otherwise(0)).alias("other_loans")
@@ -282,50 +286,60 @@ def d06_monthly_trends(t: Tables) -> DataFrame:
 # --------------------------------------------------------------------------------------------- A-01..A-12
 
 def a01_total_unpaid(t: Tables) -> DataFrame:
+    """Sum of unpaid fines (0 when there are none)."""
     return t.fine.filter(F.col("status") == "Unpaid").agg(
         F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(18,2)").alias("total_unpaid"))
 
 
 def a02_subject_list(t: Tables) -> DataFrame:
+    """Distinct subjects ordered by name."""
     return t.subject.select("subject_id", "name").distinct().orderBy("name", "subject_id")
 
 
 def a03_book_detail(t: Tables, isbn: str) -> DataFrame:
     # list order is unspecified by the route; the (last, first) / name order of the view is used
+    """V-01 for one ISBN."""
     return V.v01_book_details(t).filter(F.col("isbn") == isbn)
 
 
 def a04_book_copies(t: Tables, isbn: str) -> DataFrame:
+    """Copy id, barcode, branch and check-in term of one ISBN's copies."""
     return (V.v02_copy_location(t).filter(F.col("isbn") == isbn)
             .select("copy_id", "barcode", "branch_name", "checkin_term"))
 
 
 def a05_patron_detail(t: Tables, patron_id: int) -> DataFrame:
+    """One patron's columns with fine totals."""
     fs = V.v04_patron_fines_summary(t).select("patron_id", "total_fines", "unpaid_fines")
     return t.patron.filter(F.col("patron_id") == patron_id).join(fs, "patron_id", "left")
 
 
 def a06_patron_loan_history(t: Tables, as_of, patron_id: int) -> DataFrame:
+    """One patron's loans with status, newest first."""
     return (V.v07_patron_loans_with_status(t, as_of).filter(F.col("patron_id") == patron_id)
             .select("loan_id", "copy_id", "barcode", "isbn", "title", "loan_ts", "due_ts", "return_ts", "loan_status")
             .orderBy(F.desc("loan_ts"), "loan_id"))
 
 
 def a07_patron_fines(t: Tables, patron_id: int) -> DataFrame:
+    """One patron's total and unpaid fines."""
     return (V.v04_patron_fines_summary(t).filter(F.col("patron_id") == patron_id)
             .select("total_fines", "unpaid_fines"))
 
 
 def a08_open_fines(t: Tables) -> DataFrame:
+    """Patrons with unpaid fines, largest first."""
     return (V.v04_patron_fines_summary(t).filter(F.col("unpaid_fines") > 0)
             .orderBy(F.desc("unpaid_fines"), "patron_id"))
 
 
 def a09_top_books(t: Tables, k: int = 10) -> DataFrame:
+    """The ``k`` most loaned books (ties by title, ISBN)."""
     return Q.q10_popular_books(t).limit(k)
 
 
 def a10_top_patrons(t: Tables, k: int = 10) -> DataFrame:
+    """The ``k`` patrons with most loans (ties by patron id)."""
     return Q.q09_top_patrons(t, k)
 
 

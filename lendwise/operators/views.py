@@ -28,6 +28,8 @@ def book_subjects(t: Tables) -> DataFrame:
 
 
 def v01_book_details(t: Tables) -> DataFrame:
+    """Per book: publisher name, distinct author names ordered by (last, first) and distinct subjects ordered by
+    name, each joined with ', ' (NULL when none)."""
     pub = t.publisher.select("publisher_id", F.col("name").alias("publisher_name"))
     return (t.book.join(pub, "publisher_id", "left")
             .join(book_authors(t), "isbn", "left")
@@ -36,6 +38,7 @@ def v01_book_details(t: Tables) -> DataFrame:
 
 
 def v02_copy_location(t: Tables) -> DataFrame:
+    """Per copy: book title, branch (inner joins) and check-in term as 'name year' (NULL without a term)."""
     term = t.term.select("term_id", F.concat(F.col("name"), F.lit(" "), F.col("year").cast("string"))
                          .alias("checkin_term"))
     br = t.branch.select("branch_id", F.col("name").alias("branch_name"))
@@ -46,6 +49,7 @@ def v02_copy_location(t: Tables) -> DataFrame:
 
 
 def v03_patron_contact(t: Tables) -> DataFrame:
+    """Per patron: contact columns with city, state and country of the address (left join)."""
     addr = t.address.select("address_id", "city", "state", "country")
     return (t.patron.join(addr, "address_id", "left")
             .select("patron_id", "first_name", "last_name", "email", "patron_type", "balance",
@@ -60,6 +64,7 @@ def fine_totals(t: Tables) -> DataFrame:
 
 
 def v04_patron_fines_summary(t: Tables) -> DataFrame:
+    """Per patron: total fines and unpaid fines, 0 when the patron has none."""
     zero = F.lit(0).cast("decimal(18,2)")
     return (t.patron.join(fine_totals(t), "patron_id", "left")
             .select("patron_id", "first_name", "last_name", "email",
@@ -75,6 +80,7 @@ def _loan_detail(t: Tables, loans: DataFrame) -> DataFrame:
 
 
 def v05_current_loans(t: Tables) -> DataFrame:
+    """Open loans (no return time) with copy barcode, book and patron name."""
     open_loans = t.loan.filter(F.col("return_ts").isNull())
     return _loan_detail(t, open_loans).select(
         "loan_id", "copy_id", "barcode", "isbn", "title", "patron_id", "patron_name", "loan_ts", "due_ts")
@@ -88,6 +94,7 @@ def v06_overdue_loans(t: Tables, as_of) -> DataFrame:
 
 
 def v07_patron_loans_with_status(t: Tables, as_of) -> DataFrame:
+    """Every loan with copy, book, patron name and status Returned / Overdue (due before ``as_of``) / On loan."""
     status = (F.when(F.col("return_ts").isNotNull(), "Returned")
               .when(F.col("due_ts") < as_timestamp(as_of), "Overdue").otherwise("On loan"))
     return _loan_detail(t, t.loan).select(
@@ -96,6 +103,7 @@ def v07_patron_loans_with_status(t: Tables, as_of) -> DataFrame:
 
 
 def v08_copy_inventory_by_branch(t: Tables) -> DataFrame:
+    """Number of copies per (branch, book) with branch name and title."""
     counts = t.copy.groupBy("branch_id", "isbn").agg(F.count(F.lit(1)).alias("num_copies"))
     br = t.branch.select("branch_id", F.col("name").alias("branch_name"))
     return (counts.join(br, "branch_id").join(t.book.select("isbn", "title"), "isbn")
@@ -103,6 +111,7 @@ def v08_copy_inventory_by_branch(t: Tables) -> DataFrame:
 
 
 def v09_eresource_usage_summary(t: Tables) -> DataFrame:
+    """Per e-resource: type name, sessions and distinct patrons (0 for resources never used)."""
     use = t.accesssession.groupBy("resource_id").agg(
         F.count("session_id").alias("total_sessions"), F.countDistinct("patron_id").alias("distinct_patrons"))
     rt = t.resourcetype.select("resource_type_id", F.col("name").alias("resource_type"))
@@ -113,6 +122,7 @@ def v09_eresource_usage_summary(t: Tables) -> DataFrame:
 
 
 def v10_illrequest_detail(t: Tables) -> DataFrame:
+    """Inter-library requests with book title, patron name and partner library name."""
     pat = t.patron.select("patron_id", full_name().alias("patron_name"))
     pl = t.partnerlibrary.select("partner_id", F.col("name").alias("partner_name"))
     return (t.illrequest.join(pat, "patron_id").join(pl, "partner_id")
