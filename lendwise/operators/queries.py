@@ -418,12 +418,14 @@ def q26_beats_all_older(t: Tables, year: int = 2010) -> DataFrame:
 
 def q27_borrowed_by_both(t: Tables, type_a: str = "Student", type_b: str = "Faculty") -> DataFrame:
     """Books loaned by at least one patron of ``type_a`` and at least one of ``type_b``."""
-    typed = (t.loan.select("copy_id", "patron_id")
-             .join(t.patron.filter(F.col("patron_type").isin(type_a, type_b)).select("patron_id", "patron_type"),
-                   "patron_id")
-             .join(t.copy.select("copy_id", "isbn"), "copy_id"))
-    both = (typed.groupBy("isbn").agg(F.max((F.col("patron_type") == type_a).cast("int")).alias("a"),
-                                      F.max((F.col("patron_type") == type_b).cast("int")).alias("b"))
+    # loans are reduced to one row per copy (which of the two types borrowed it) before meeting the books
+    per_copy = (t.loan.select("copy_id", "patron_id")
+                .join(t.patron.filter(F.col("patron_type").isin(type_a, type_b)).select("patron_id", "patron_type"),
+                      "patron_id")
+                .groupBy("copy_id").agg(F.max((F.col("patron_type") == type_a).cast("int")).alias("a"),
+                                        F.max((F.col("patron_type") == type_b).cast("int")).alias("b")))
+    both = (per_copy.join(t.copy.select("copy_id", "isbn"), "copy_id")
+            .groupBy("isbn").agg(F.max("a").alias("a"), F.max("b").alias("b"))
             .filter((F.col("a") == 1) & (F.col("b") == 1)))
     return (t.book.select("isbn", "title").join(both, "isbn", "left_semi").orderBy("title", "isbn"))
 
