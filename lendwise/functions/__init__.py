@@ -40,12 +40,12 @@ def ordered_distinct_concat(value, order_by=None, sep: str = ", ") -> Column:
 # ---------------------------------------------------------------- dates (F-05 ... F-13)
 
 def as_timestamp(as_of) -> Column:
-    """Literal for an explicit 'now' (date means midnight)."""
+    """Literal for an explicit 'now' (date means midnight), as a zone-less wall-clock timestamp."""
     if isinstance(as_of, Column):
-        return as_of.cast("timestamp")
+        return as_of.cast("timestamp_ntz")
     if isinstance(as_of, dt.datetime):
-        return F.lit(as_of).cast("timestamp")
-    return F.lit(as_of).cast("date").cast("timestamp")
+        return F.lit(as_of.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(str(as_of)).cast("date").cast("timestamp_ntz")
 
 
 def as_date(as_of) -> Column:
@@ -53,8 +53,8 @@ def as_date(as_of) -> Column:
     if isinstance(as_of, Column):
         return as_of.cast("date")
     if isinstance(as_of, dt.datetime):
-        return F.lit(as_of.date())
-    return F.lit(as_of).cast("date")
+        return F.lit(as_of.date().isoformat()).cast("date")
+    return F.lit(str(as_of)).cast("date")
 
 
 def month_key(ts) -> Column:

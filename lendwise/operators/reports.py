@@ -57,7 +57,7 @@ def _dashboard(t: Tables, as_of, literal: bool) -> DataFrame:
                       F.count("nr").alias("active_patrons_90d"))
 
     open_ = F.col("return_ts").isNull()
-    dur = days_between(F.coalesce(F.col("return_ts"), today.cast("timestamp")), F.to_date("loan_ts"))
+    dur = days_between(F.coalesce(F.col("return_ts"), today.cast("timestamp_ntz")), F.to_date("loan_ts"))
     def flag(cond):
         return F.when(cond, 1).otherwise(0)
 
@@ -249,7 +249,7 @@ def d05_loans_segmented(t: Tables, as_of, status_filter: str = "ALL", limit: int
     today = as_date(as_of)
     st = (F.when(F.col("return_ts").isNotNull(), "RETURNED").when(F.col("due_ts") < today, "OVERDUE")
           .otherwise("CURRENT"))
-    dur = days_between(F.coalesce(F.col("return_ts"), today.cast("timestamp")), F.to_date("loan_ts"))
+    dur = days_between(F.coalesce(F.col("return_ts"), today.cast("timestamp_ntz")), F.to_date("loan_ts"))
     br = t.branch.select("branch_id", F.col("name").alias("branch_name"))
     enriched = (t.loan.join(t.copy.select("copy_id", "barcode", "isbn", "branch_id"), "copy_id")
                 .join(t.book.select("isbn", "title"), "isbn").join(br, "branch_id")

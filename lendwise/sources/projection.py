@@ -33,12 +33,14 @@ def _pad13(c):
 
 
 def _ts(c):
-    # zone-less parquet timestamps arrive as timestamp_ntz; the library works in session-zone timestamps
-    return c.cast("timestamp")
+    # zone-less parquet timestamps arrive as timestamp_ntz, which is what the library works in (wall clock)
+    return c.cast("timestamp_ntz")
 
 
 def _to_second(c):
-    return F.date_trunc("second", _ts(c))
+    # truncation through zone-less text: no session time zone is involved
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    return F.to_timestamp_ntz(F.date_format(_ts(c), fmt), F.lit(fmt))
 
 
 def _dims(spark: SparkSession) -> dict[str, DataFrame]:
@@ -146,7 +148,7 @@ def project(spark: SparkSession, sf_dir: str) -> Tables:
         F.col("o_custkey").alias("patron_id"),
         (odate + F.make_dt_interval(hours=(ok % 24).cast("int"))).alias("loan_ts"),
         (odate + F.make_dt_interval(F.lit(14), F.lit(23), F.lit(59), F.lit(59))).alias("due_ts"),
-        F.when((F.col("o_orderstatus") != "O") & (ret <= F.lit(RETURN_CUTOFF).cast("timestamp")),
+        F.when((F.col("o_orderstatus") != "O") & (ret <= F.lit(RETURN_CUTOFF).cast("timestamp_ntz")),
                ret + F.make_dt_interval(hours=F.lit(10))).alias("return_ts"),
         "o_orderpriority", "o_totalprice")
     t["loan"] = conform(src, "loan")

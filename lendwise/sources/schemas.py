@@ -14,7 +14,7 @@ ID = T.LongType()
 INT = T.IntegerType()
 STR = T.StringType()
 DATE = T.DateType()
-TS = T.TimestampType()
+TS = T.TimestampNTZType()  # wall-clock date-times, independent of the session time zone
 MONEY = T.DecimalType(8, 2)
 
 

@@ -17,17 +17,17 @@ SESSION_SPLIT = "2024-01-01 12:00:00"
 
 
 def split_by_time(df, column: str, at: str):
-    cut = F.lit(at).cast("timestamp")
+    cut = F.lit(at).cast("timestamp_ntz")
     return df.filter(F.col(column) < cut), df.filter(F.col(column) >= cut)
 
 
 def loans_before_returns(t: Tables):
     """The loan table as it was before any return was recorded."""
-    return t.loan.withColumn("return_ts", F.lit(None).cast("timestamp"))
+    return t.loan.withColumn("return_ts", F.lit(None).cast("timestamp_ntz"))
 
 
 def sessions_before_end(t: Tables):
-    return t.accesssession.withColumn("end_time", F.lit(None).cast("timestamp"))
+    return t.accesssession.withColumn("end_time", F.lit(None).cast("timestamp_ntz"))
 
 
 def patron_registrations(t: Tables):

@@ -195,7 +195,7 @@ def test_clustered_layout_and_partition_sizing(spark, projected):
     write_tables(projected, root, cluster_by_time=True)
     t = load_tables(spark, root)
     assert t.loan.count() == projected.loan.count()
-    recent = t.loan.filter(F.col("loan_ts") >= F.lit("2001-05-01").cast("timestamp"))
+    recent = t.loan.filter(F.col("loan_ts") >= F.lit("2001-05-01").cast("timestamp_ntz"))
     assert any("loan_ts" in f for f in pushed_filters(recent))
     assert recommended_shuffle_partitions(100 << 40, 8000) == 409600
     assert recommended_shuffle_partitions(1 << 20, 8) == 16
