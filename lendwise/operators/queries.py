@@ -148,8 +148,10 @@ def q13_duration_lag(t: Tables, as_of) -> DataFrame:
 def q14_multi_branch_patrons(t: Tables) -> DataFrame:
     """Patrons who borrowed from more than one branch: number of branches, loans and the sorted branch list."""
     br = t.branch.select("branch_id", F.col("name").alias("branch_name"))
-    per_branch = (t.loan.join(t.copy.select("copy_id", "branch_id"), "copy_id")
-                  .groupBy("patron_id", "branch_id").agg(F.count("loan_id").alias("loans_at_branch"))
+    # one row per (patron, copy) before the copy join, then per (patron, branch)
+    per_copy = t.loan.groupBy("patron_id", "copy_id").agg(F.count("loan_id").alias("n"))
+    per_branch = (per_copy.join(t.copy.select("copy_id", "branch_id"), "copy_id")
+                  .groupBy("patron_id", "branch_id").agg(F.sum("n").alias("loans_at_branch"))
                   .join(br, "branch_id"))
     multi = (per_branch.groupBy("patron_id").agg(
         F.countDistinct("branch_id").alias("num_branches"),
@@ -241,9 +243,12 @@ def q18_action_items_intent(t: Tables, as_of) -> DataFrame:
 
 def q19_repeat_borrowers(t: Tables) -> DataFrame:
     """(patron, book) pairs with more than one loan: count, first and last loan and the days between them."""
-    g = (t.loan.join(t.copy.select("copy_id", "isbn"), "copy_id")
-         .groupBy("patron_id", "isbn").agg(F.count("loan_id").alias("times_borrowed"),
-                                           F.min("loan_ts").alias("first_loan"), F.max("loan_ts").alias("last_loan"))
+    # one row per (patron, copy) before the copy join, then per (patron, book)
+    per_copy = t.loan.groupBy("patron_id", "copy_id").agg(
+        F.count("loan_id").alias("n"), F.min("loan_ts").alias("lo"), F.max("loan_ts").alias("hi"))
+    g = (per_copy.join(t.copy.select("copy_id", "isbn"), "copy_id")
+         .groupBy("patron_id", "isbn").agg(F.sum("n").alias("times_borrowed"),
+                                           F.min("lo").alias("first_loan"), F.max("hi").alias("last_loan"))
          .filter(F.col("times_borrowed") > 1))
     return (g.join(_patron_names(t), "patron_id").join(t.book.select("isbn", "title"), "isbn")
             .select("patron_id", "patron_name", "isbn", "title", "times_borrowed", "first_loan", "last_loan",
