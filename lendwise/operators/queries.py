@@ -301,12 +301,14 @@ def q22_subject_patterns(t: Tables, patron_id=None, min_total: int = 5, limit: i
     if patron_id is not None:
         loans = loans.filter(F.col("patron_id") == patron_id)
     subj = t.subject.select("subject_id", F.col("name").alias("subject_name"))
-    psl = (loans.join(t.copy.select("copy_id", "isbn"), "copy_id")
+    # loans reduced to one row per (patron, copy) before fanning out to the book's subjects; each loan counts
+    # once per subject of its book, so a subject's loan count is the sum over the patron's copies
+    per_copy = loans.groupBy("patron_id", "copy_id").agg(F.count("loan_id").alias("n"))
+    psl = (per_copy.join(t.copy.select("copy_id", "isbn"), "copy_id")
            .join(t.book.select("isbn"), "isbn")
            .join(t.booksubject, "isbn").join(subj, "subject_id")
-           # (loan, subject) pairs are unique: one book per loan and a primary key on (isbn, subject)
            .groupBy("patron_id", "subject_id", "subject_name")
-           .agg(F.count("loan_id").alias("loan_count"), F.countDistinct("isbn").alias("unique_books")))
+           .agg(F.sum("n").alias("loan_count"), F.countDistinct("isbn").alias("unique_books")))
     # patron totals by aggregation + join (one row per patron on the small side) rather than a window over
     # each patron's rows
     totals = psl.groupBy("patron_id").agg(F.sum("loan_count").alias("total_loans"))
