@@ -47,3 +47,11 @@ def test_entry_keys_match_in_comparison_form(spark, duck):
     q, o = mod.queries(), mod.oracle_sql()
     for key in ("d02_overdue_risk", "q23_fine_analysis", "t09_license_insert", "v07_patron_loans_with_status"):
         assert compare(q[key](spark, SMALL_SF), duck, o[key]) == [], key
+
+
+def test_command_line_list(capsys):
+    from lendwise.__main__ import main
+
+    main(["list"])
+    out = capsys.readouterr().out
+    assert "q10_popular_books" in out and len(out.splitlines()) == len(REGISTRY)
