@@ -15,8 +15,11 @@ SMALL_SF = os.environ.get("LENDWISE_TEST_SF", "/root/testdata/sf0.001")
 def spark():
     from lendwise.session import build_session, ensure_checkpoint_dir
 
+    import tempfile
+
     s = build_session("local[4]", "lendwise-tests", shuffle_partitions=8,
-                      extra={"spark.driver.memory": "4g"})
+                      extra={"spark.driver.memory": "4g",
+                             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="lendwise-warehouse-")})
     ensure_checkpoint_dir(s)
     yield s
     s.stop()

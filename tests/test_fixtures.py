@@ -243,3 +243,20 @@ def test_text_formats_round_trip(spark):
         for name in ("loan", "fine", "patron", "term"):
             assert back[name].exceptAll(t[name]).count() == 0, (fmt, name)
             assert back[name].count() == t[name].count()
+
+
+def test_bucketed_tables_join_without_shuffle(spark, projected):
+    from lendwise.operators import queries as Q
+    from lendwise.plans import physical_plan
+    from lendwise.sources.sinks import load_saved, save_bucketed
+
+    save_bucketed(projected.replace(), "lw_bucket_test", 4)
+    t = load_saved(spark, "lw_bucket_test")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # force a sort-merge join
+    try:
+        plan = physical_plan(t.loan.groupBy("copy_id").count().join(t.copy, "copy_id"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning(copy_id" not in plan
+    assert Q.q10_popular_books(t).count() == Q.q10_popular_books(projected).count()
