@@ -116,3 +116,19 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "t12_term_update": lambda t: T.t12_term_update(S.term_batch(t, 1)),
     "k02_append_patrons": lambda t: T.k02_append_patrons(t.patron, S.patron_registrations(t)),
 }
+
+
+def _document_bound_keys() -> None:
+    """Keys bound with fixed arguments (lambdas) take the docstring of the operator they call."""
+    modules = (Q, R, V, C, T)
+    for fn in REGISTRY.values():
+        if fn.__doc__ or fn.__name__ != "<lambda>":
+            continue
+        for name in fn.__code__.co_names:
+            target = next((getattr(m, name) for m in modules if callable(getattr(m, name, None))), None)
+            if target is not None and target.__doc__:
+                fn.__doc__ = target.__doc__
+                break
+
+
+_document_bound_keys()
