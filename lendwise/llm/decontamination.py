@@ -147,6 +147,17 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
+def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents, same columns, that are not contaminated. Only the contaminated texts' keys travel to the
+    documents; repeated rows share their text's verdict."""
+    rows, hits = text_hits(documents, benchmark)
+    covered = hits.groupBy("__t").agg(_covered(F.sort_array(F.collect_set(F.struct("start", "length")))).alias("n_hit"))
+    words_of = rows.select("__t", "n_words").join(covered, "__t").filter("20 * n_hit >= n_words")
+    bad = materialize(words_of.select("__t").distinct(), "contaminated")
+    names = [F.col(f"`{c}`") for c in documents.columns]
+    return documents.select(*names, text_key(F.col("text")).alias("__t")).join(bad, "__t", "left_anti").select(*names)
+
+
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
