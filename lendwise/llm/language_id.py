@@ -255,13 +255,27 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.toDF(*[f.name for f in kinds]).mapInArrow(task, schema).toDF(*names)
 
 
+def _most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """The counts from a level on, the lowest level at which at most ``limit`` remain. Levels are eighths of powers of
+    two, so their histogram has a few hundred rows; no task sorts all counts."""
+    level = F.floor(F.log2("n") * 8).cast("int")
+    sizes = sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True)
+    total, lowest = 0, None
+    for at, size in sizes:
+        total += size
+        if total > limit:
+            break
+        lowest = at
+    return counts.filter(level >= (lowest if lowest is not None else 1 << 30))
+
+
 def train(documents: DataFrame, max_pairs: int = MAX_PAIRS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """Model from the learnable rows (doc_id, text, lang) that have a language."""
     rows = documents.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     counts = materialize(count_grams(rows), "char-grams")
     n_langs = counts.select("lang").distinct().count()
     limit = min(max_pairs, MAX_CELLS // max(n_langs, 1))
-    kept = counts.orderBy(F.desc("n"), "lang", "gram").limit(limit).toArrow()
+    kept = _most_frequent(counts, limit).toArrow()
     lang = np.array(kept.column("lang").to_pylist(), dtype=object).astype(str)
     gram, n = kept.column("gram").to_numpy().view(np.uint64), kept.column("n").to_numpy()
     per = []
