@@ -29,7 +29,8 @@ from lendwise.llm.components import components
 
 GRAM, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, RECALL = 24, 8, 0.9999
-BLOCK_TEXTS, BLOCK_BYTES = 256, 1 << 24
+BLOCK_TEXTS, BLOCK_BYTES = 128, 1 << 24
+BUCKETS = 1 << 20  # hash buckets of candidate texts that are broadcast: at most so many numbers
 CACHE = 1 << 18
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -204,7 +205,12 @@ def text_classes(documents: DataFrame) -> DataFrame:
         "__t", "copies", "first_id", F.col("label").alias("part"), "blocks",
         F.pmod(F.xxhash64("__t", F.lit(1)), "blocks").cast("int").alias("block"))
     members = materialize(members, "candidates")
-    found = documents.select(text_key(F.col("text")).alias("__t"), "text", F.col("doc_id").alias("__id")).join(
+    # most texts are no candidates: a broadcast of the candidates' hash buckets, bounded whatever their number, keeps
+    # them out of the shuffle
+    bucket = F.pmod(F.xxhash64("__t"), F.lit(BUCKETS)).alias("bucket")
+    buckets = F.broadcast(members.select(bucket).distinct())
+    texts_of = documents.select(text_key(F.col("text")).alias("__t"), "text", F.col("doc_id").alias("__id"))
+    found = texts_of.select("*", bucket).join(buckets, "bucket", "left_semi").join(
         members, "__t").filter(F.col("__id").eqNullSafe(F.col("first_id"))).select(
         "__t", "text", "copies", "part", "blocks", "block").dropDuplicates(["__t"])
     dealt = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
