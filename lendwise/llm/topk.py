@@ -41,15 +41,32 @@ def segment_stats(x: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([np.stack([p.mean(1) for p in parts], 1) * root, np.stack([p.std(1) for p in parts], 1) * root])
 
 
+def _doubles_are_exact(q: np.ndarray, x: np.ndarray) -> bool:
+    return float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(q.shape[1], 1) < 2.0 ** 53
+
+
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Integer inner products of paired rows."""
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(q.shape[1], 1)
-    if top < 2.0 ** 53:
+    if _doubles_are_exact(q, x):
         return np.einsum("ij,ij->i", q, x).astype(np.int64)
     whole = [sum(int(a) * int(b) for a, b in zip(r, s, strict=True)) for r, s in zip(q.tolist(), x.tolist(), strict=True)]
     return np.array([max(-2 ** 63, min(2 ** 63 - 1, w)) for w in whole], np.int64)
 
 
+def _exact_block(q, x, ok, qid, xid, floor, k: int):
+    """(scores, query rows, candidate rows) of the surviving pairs that reach their query's floor or the k-th best of
+    this block, whichever is higher; all pairs of the block are multiplied at once where doubles are exact."""
+    if not _doubles_are_exact(q, x):
+        rows, cols = np.nonzero(ok)
+        return exact_scores(q[rows], x[cols]), rows, cols
+    scores = np.where(ok & (qid[:, None] != xid[None, :]), q @ x.T, -np.inf)
+    least = floor
+    if len(x) > k:
+        least = np.maximum(floor, np.partition(scores, len(x) - k, axis=1)[:, len(x) - k])
+    rows, cols = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+    return scores[rows, cols].astype(np.int64), rows, cols
+
+
 def best_in_block(qid, q, xid, x, k: int = K):
     """(query row, candidate row, score) of each query's k best among the candidates, by bounds, coarse to fine."""
     order = np.argsort(-np.linalg.norm(x, axis=1), kind="stable")  # long vectors first: the thresholds rise early
@@ -61,25 +78,23 @@ def best_in_block(qid, q, xid, x, k: int = K):
     held_q, held_x, held_s = none, none, none
     for at in range(0, len(x), STEP):
         end = min(at + STEP, len(x))
-        rows = cols = None
+        need = (floor - slack)[:, None]
+        ok, few = np.ones((len(q), end - at), bool), False
         for a, b in zip(qs, xs, strict=True):
-            if rows is None or len(rows) > DENSE * len(q) * (end - at):
-                ok = a @ b[at:end].T >= (floor - slack)[:, None]
-                if rows is not None:
-                    before = np.zeros_like(ok)
-                    before[rows, cols - at] = True
-                    ok &= before
-                rows, cols = np.nonzero(ok)
-                cols = cols + at
+            if few:  # so few are left that they are bounded one by one
+                keep = np.einsum("ij,ij->i", a[rows], b[cols + at]) >= floor[rows] - slack
+                rows, cols = rows[keep], cols[keep]
             else:
-                ok = np.einsum("ij,ij->i", a[rows], b[cols]) >= floor[rows] - slack
-                rows, cols = rows[ok], cols[ok]
-        other = qid[rows] != xid[cols]
-        rows, cols = rows[other], cols[other]
-        got = np.concatenate([exact_scores(q[rows[i:i + 65536]], x[cols[i:i + 65536]])
-                              for i in range(0, len(rows), 65536)] or [none])
-        new = got >= floor[rows]
-        hq, hx, hs = (np.concatenate(p) for p in ((held_q, rows[new]), (held_x, cols[new]), (held_s, got[new])))
+                ok &= a @ b[at:end].T >= need
+                few = ok.sum() <= DENSE * ok.size
+                rows, cols = np.nonzero(ok) if few else (None, None)
+        if few:
+            got = exact_scores(q[rows], x[cols + at])
+        else:
+            got, rows, cols = _exact_block(q, x[at:end], ok, qid, xid[at:end], floor, k)
+        other = (qid[rows] != xid[cols + at]) & (got >= floor[rows])
+        rows, cols, got = rows[other], cols[other] + at, got[other]
+        hq, hx, hs = (np.concatenate(p) for p in ((held_q, rows), (held_x, cols), (held_s, got)))
         o = np.lexsort((xid[hx], ~hs, hq))  # ~ reverses the order of integers without overflow
         hq, hx, hs = hq[o], hx[o], hs[o]
         first = np.searchsorted(hq, np.arange(len(q)))
@@ -93,7 +108,7 @@ def best_in_block(qid, q, xid, x, k: int = K):
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return np.floor(flat.reshape(-1, width))
+    return np.floor(flat.reshape(len(column), width))
 
 
 def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
