@@ -16,6 +16,19 @@ from pyspark.sql import functions as F
 from lendwise.llm.tokens import PrefixCounter, vocabulary
 
 
+def groups(texts: list[str], size: int = 1 << 21):
+    """Runs of texts of about ``size`` characters, to be learned together."""
+    out, n = [], 0
+    for t in texts:
+        out.append(t)
+        n += len(t)
+        if n >= size:
+            yield out
+            out, n = [], 0
+    if out:
+        yield out
+
+
 def _with_counts(documents: DataFrame, path: str | None, names: dict, columns) -> DataFrame:
     """doc_id and what ``columns(prefix counts, text)`` gives for each text."""
     content = documents.sparkSession.sparkContext.broadcast(vocabulary(path))
@@ -23,8 +36,9 @@ def _with_counts(documents: DataFrame, path: str | None, names: dict, columns) -
     def task(batches):
         counter = PrefixCounter(content.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            made = [columns(counter.counts(t), t) for t in texts]
+            texts, made = [t or "" for t in batch.column(1).to_pylist()], []
+            for group in groups(texts):
+                made += [columns(c, t) for c, t in zip(counter.counts_of(group), group, strict=True)]
             arrays = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(names.values())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *names])
 

@@ -1,8 +1,8 @@
-"""Byte-level BPE in tasks: a vocabulary file read once on the driver, texts split into words by the vocabulary's own
-pattern, and each distinct word encoded once per task.
+"""Byte-level BPE in tasks: a vocabulary file is read once on the driver and shipped to the tasks.
 
-A word encodes alike alone and inside a text, because merges never cross words. Special strings inside a text become
-their own id, as the library does by default.
+Encoding gives the ids of the tokenizers library for that file. Where merging by rank is the same thing (each merge of
+the file makes the next higher id), the ids are made by the faster rank encoder from the same vocabulary, else by the
+library itself. Special strings inside a text become their own id, as the library does by default.
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ from itertools import accumulate
 import numpy as np
 import public_tokenizers
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 # Fixed value: how a byte-level vocabulary splits a text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT = "byte_bpe_50k.json"
-CACHE = 1 << 18  # words a task remembers at once; beyond it the memory starts afresh
+BASE = 0x100000001B3F5A6D  # of the polynomial byte hashes
+CACHE = 1 << 19  # words a task remembers at once; beyond it the memory starts afresh
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -35,48 +37,63 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def ranks(content: str) -> dict[bytes, int] | None:
+    """Token bytes to id, if merging the pair of lowest id is what the file's merge list does; else None."""
+    model, letters = json.loads(content)["model"], byte_letters()
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [model["vocab"].get(a + b, -1) for a, b in pairs]
+    if any(x >= y for x, y in zip(made, made[1:], strict=False)) or not all(set(t) <= letters.keys() for t in model["vocab"]):
+        return None
+    return {bytes(letters[c] for c in t): i for t, i in model["vocab"].items()}
+
+
 class Splitter:
-    """Texts to segments (ordinary text or special id) and segments to words."""
+    """Texts to segments (ordinary text or special string) and segments to words."""
 
     def __init__(self, content: str):
         added = {t["content"]: t["id"] for t in json.loads(content).get("added_tokens", [])}
         self.specials = added
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.words = regex.compile(WORDS)
+        self.pattern = regex.compile(WORDS)
+        self.library = Tokenizer.from_str(content).pre_tokenizer
+        self.same: set[str] = set()  # characters around which the pattern and the library split alike
+        self.other: set[str] = set()
 
     def segments(self, text: str) -> list[str]:
         """Ordinary texts at even places, special strings at odd ones."""
         return self.cut.split(text) if self.cut and any(s in text for s in self.specials) else [text]
 
+    def _by_library(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
+
+    def words(self, text: str) -> list[str]:
+        """The text's words. The two know different versions of the character tables: a text with a character that
+        they take differently is left to the library."""
+        new = set(text) - self.same
+        for c in new - self.other:
+            probe = f"a{c}1 {c}.{c} "
+            (self.same if self._by_library(probe) == self.pattern.findall(probe) else self.other).add(c)
+        return self.pattern.findall(text) if not new & self.other else self._by_library(text)
+
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit numbers, through a word memory."""
+    """Texts to ids as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, content: str):
         self.split = Splitter(content)
         self.tokenizer = Tokenizer.from_str(content)
-        self.known: dict[str, bytes] = {}
+        by_rank = ranks(content)
+        self.by_rank = by_rank and tiktoken.Encoding("by-rank", pat_str=WORDS, mergeable_ranks=by_rank, special_tokens={})
+        self.blank = regex.compile(r"\s{1000}")  # runs of white space that are too deep for the rank encoder's pattern
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known = {}
-        new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+    def _ordinary(self, text: str) -> bytes:
+        if self.by_rank and not self.blank.search(text):
+            return np.array(self.by_rank.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        out = []
-        for k, segment in enumerate(self.split.segments(text)):
-            if k % 2:
-                out.append(np.array([self.split.specials[segment]], "<u4").tobytes())
-                continue
-            words = self.split.words.findall(segment)
-            if missing := {w for w in words if w not in self.known}:
-                missing = set(words) if len(self.known) + len(missing) > CACHE else missing
-                self._learn(missing)
-            known = self.known
-            out.append(b"".join([known[w] for w in words]))
-        return b"".join(out)
+        return b"".join(np.array([self.split.specials[s]], "<u4").tobytes() if k % 2 else self._ordinary(s)
+                        for k, s in enumerate(self.split.segments(text)))
 
 
 class PrefixCounter:
@@ -92,14 +109,29 @@ class PrefixCounter:
         model = json.loads(content)["model"]
         letters = byte_letters()
         spell = lambda s: bytes(letters[c] for c in s)
-        self.vocab = {spell(t): i for t, i in model["vocab"].items() if all(c in letters for c in t)}
+        self.vocab = {spell(t): i for t, i in model["vocab"].items() if set(t) <= letters.keys()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {(spell(a), spell(b)): k for k, (a, b) in enumerate(pairs)}
         self.longest = max(map(len, self.vocab))
-        self.joins: dict[tuple[bytes, bytes], bool] = {}
+        self.joins: dict[int, bool] = {}
         self.alone: dict[bytes, bool] = {}
         self.known: dict[str, bytes] = {}
         self.runs = regex.compile(r"\s{2,}(?=\S)")
+        # tokens by number, and their hashes in order, to look up many byte strings at once
+        self.tokens = list(self.vocab)
+        self.number = {t: k for k, t in enumerate(self.tokens)}
+        hashes = np.array([self._hash(t) for t in self.tokens], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.order = hashes[order], order
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("two tokens share a hash")
+
+    @staticmethod
+    def _hash(piece: bytes) -> int:
+        h = 0
+        for b in piece:
+            h = (h * BASE + b + 1) & 0xFFFFFFFFFFFFFFFF
+        return h
 
     def _merge(self, piece: bytes) -> list[bytes]:
         parts = [piece[k:k + 1] for k in range(len(piece))]
@@ -120,59 +152,113 @@ class PrefixCounter:
         return parts
 
     def _is_token(self, piece: bytes) -> bool:
+        """Whether BPE makes this one token of the piece."""
         ok = self.alone.get(piece)
         if ok is None:
             ok = self.alone[piece] = piece in self.vocab and self._merge(piece) == [piece]
         return ok
 
-    def _joins(self, a: bytes, b: bytes) -> bool:
-        ok = self.joins.get((a, b))
+    def _joins(self, a: int, b: int) -> bool:
+        """Whether BPE leaves tokens a and b side by side."""
+        key = a << 32 | b
+        ok = self.joins.get(key)
         if ok is None:
-            if len(self.joins) > 4 * CACHE:
-                self.joins = {}
-            ok = self.joins[a, b] = self._merge(a + b) == [a, b]
+            x, y = self.tokens[a], self.tokens[b]
+            ok = self.joins[key] = self._is_token(y) and self._merge(x + y) == [x, y]
         return ok
 
     def _bytes(self, word: bytes) -> list[int]:
-        """Token count of every byte prefix."""
-        if len(word) <= self.longest and self._is_token(word):
-            pass
-        last, count = [b""], [0]
-        vocab = self.vocab
+        """Token count of every byte prefix of one word."""
+        last, count = [-1], [0]
         for end in range(1, len(word) + 1):
             for start in range(max(0, end - self.longest), end):
-                piece = word[start:end]
-                if piece in vocab and self._is_token(piece) and (not start or self._joins(last[start], piece)):
-                    last.append(piece)
+                token = self.number.get(word[start:end])
+                if token is not None and (self._joins(last[start], token) if start else self._is_token(word[:end])):
+                    last.append(token)
                     count.append(count[start] + 1)
                     break
             else:
                 raise ValueError(f"no token ends at byte {end} of {word!r}")
-        return count
+        return count[1:]
+
+    def _many(self, raw: list[bytes]) -> np.ndarray:
+        """The same for many words at once: rows of counts, of which a word's first ones count. All distinct prefixes
+        of one length are solved together, so a beginning that many words share is solved once."""
+        sizes = np.array([len(r) for r in raw])
+        n = int(sizes.max())
+        letters = np.frombuffer(b"".join(r.ljust(n) for r in raw), np.uint8).reshape(len(raw), n)
+        prefix = np.zeros((len(raw), n + 1), np.uint64)
+        for k in range(n):
+            prefix[:, k + 1] = prefix[:, k] * np.uint64(BASE) + letters[:, k] + np.uint64(1)
+        power = [1]
+        for _ in range(n):
+            power.append(power[-1] * BASE & 0xFFFFFFFFFFFFFFFF)
+        last, count = np.full((len(raw), n + 1), -1, np.int32), np.zeros((len(raw), n + 1), np.int32)
+        for end in range(1, n + 1):
+            words = np.flatnonzero(sizes >= end)
+            full, first, back = np.unique(prefix[words, end], return_index=True, return_inverse=True)
+            rows = words[first]
+            token, total, left = np.full(len(rows), -1, np.int64), np.zeros(len(rows), np.int32), np.arange(len(rows))
+            for start in range(max(0, end - self.longest), end):
+                h = full[left] - prefix[rows[left], start] * np.uint64(power[end - start])
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                hit = np.flatnonzero(self.hashes[at] == h)
+                if not len(hit):
+                    continue
+                some, new = left[hit], self.order[at[hit]]
+                keys, same = np.unique(last[rows[some], start].astype(np.int64) << 32 | new, return_inverse=True)
+                if start:
+                    ok = [self._joins(k >> 32, k & 0xFFFFFFFF) for k in keys.tolist()]
+                else:
+                    ok = [self._is_token(self.tokens[k & 0xFFFFFFFF]) for k in keys.tolist()]
+                good = np.array(ok)[same]
+                token[some[good]], total[some[good]] = new[good], count[rows[some[good]], start] + 1
+                left = left[token[left] < 0]
+                if not len(left):
+                    break
+            if len(left):
+                raise ValueError(f"no token ends at byte {end} of {raw[rows[left[0]]]!r}")
+            last[words, end], count[words, end] = token[back], total[back]
+        return count[:, 1:].astype("<u4")
+
+    @staticmethod
+    def _by_character(word: str, raw: bytes, counts: np.ndarray) -> bytes:
+        if len(raw) == len(word):
+            return counts[:len(raw)].tobytes()
+        return counts[[e - 1 for e in accumulate(len(c.encode("utf-8")) for c in word)]].tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Remembers, per word, the token count of every character prefix, as unsigned 32-bit numbers."""
+        if len(self.joins) > 4 * CACHE:
+            self.joins = {}
+        long = [w for w in words if len(w.encode("utf-8")) > 48]
+        short = [w for w in words if len(w.encode("utf-8")) <= 48]
+        for group in (short[k:k + 65536] for k in range(0, len(short), 65536)):
+            raw = [w.encode("utf-8") for w in group]
+            rows = self._many(raw) if len(group) >= 16 else [np.array(self._bytes(r), "<u4") for r in raw]
+            for w, r, counts in zip(group, raw, rows, strict=True):
+                self.known[w] = self._by_character(w, r, counts)
+        for w in long:
+            raw = w.encode("utf-8")
+            self.known[w] = self._by_character(w, raw, np.array(self._bytes(raw), "<u4"))
+        for w in set(words) & {"'re", "'ve", "'ll"}:  # cut after two characters, these split into a quote and a letter
+            counts = np.frombuffer(self.known[w], "<u4").copy()
+            counts[1] = self._total("'") + self._total(w[1])
+            self.known[w] = counts.tobytes()
 
     def _word(self, word: str) -> bytes:
-        """Token count of every character prefix, as unsigned 32-bit numbers."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > CACHE:
-                self.known = {}
-            raw = word.encode("utf-8")
-            count = self._bytes(raw)
-            ends = range(1, len(raw) + 1) if len(raw) == len(word) else accumulate(len(c.encode("utf-8")) for c in word)
-            counts = np.array([count[e] for e in ends], "<u4")
-            if word in ("'re", "'ve", "'ll"):  # cut after two characters, it splits into a quote and a letter
-                counts[1] = self._total("'") + self._total(word[1])
-            found = self.known[word] = counts.tobytes()
-        return found
+        if word not in self.known:
+            self._learn([word])
+        return self.known[word]
 
     def _total(self, word: str) -> int:
         return int.from_bytes(self._word(word)[-4:], "little")
 
-    def _segment(self, text: str) -> np.ndarray:
-        words = self.split.words.findall(text)
+    def _segment(self, text: str, words: list[str]) -> np.ndarray:
+        known = self.known
         if not words:
             return np.zeros(0, np.int64)
-        counts = [self._word(w) for w in words]
+        counts = [known[w] for w in words]
         lengths = np.array([len(c) >> 2 for c in counts])
         inside = np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
         ends = np.cumsum(lengths)
@@ -183,17 +269,40 @@ class PrefixCounter:
             out[run.end() - 1] = before + self._total(run.group())
         return out
 
+    def _learned(self, text: str) -> list[str]:
+        words = self.split.words(text)
+        if missing := set(words).difference(self.known):
+            self._learn(list(missing))
+        return words
+
     def counts(self, text: str) -> np.ndarray:
         """counts[k]: tokens of the first k + 1 characters."""
+        return next(self.counts_of([text]))
+
+    def counts_of(self, texts: list[str]):
+        """The counts of many texts, whose words are learned together."""
+        if len(self.known) > CACHE:
+            self.known = {}
+        cut = [self.split.segments(t) for t in texts]
+        words = [[self.split.words(s) if k % 2 == 0 else [] for k, s in enumerate(segments)] for segments in cut]
+        missing = set()
+        for lists in words:
+            missing.update(*lists)
+        self._learn(list(missing.difference(self.known)))
+        for segments, lists in zip(cut, words, strict=True):
+            yield self._joined(segments, lists)
+
+    def _joined(self, segments: list[str], words: list[list[str]]) -> np.ndarray:
         parts, base, before = [], 0, ""
-        for k, segment in enumerate(self.split.segments(text)):
+        for k, segment in enumerate(segments):
             if k % 2:
-                start = parts[-1][0] if parts else 0
-                inner = [start + self._segment(before + segment[:n])[-1] for n in range(1, len(segment))]
+                start = parts[-1][0]
+                inner = [start + self._segment(before + segment[:n], self._learned(before + segment[:n]))[-1]
+                         for n in range(1, len(segment))]
                 base += 1
                 parts.append((base, np.array([*inner, base], np.int64)))
             else:
-                own = self._segment(segment)
+                own = self._segment(segment, words[k])
                 parts.append((base, own + base))
                 base += int(own[-1]) if len(own) else 0
             before = segment
