@@ -168,11 +168,11 @@ def build(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
             levels.append((g, c.astype(float)))
         per.append(levels)
     none = np.zeros(0, np.uint64)
-    alphabet = max([len(np.unique(np.concatenate([p[-1][0] for p in per]))) if per else 0]) + 1
+    alphabet = (len(np.unique(np.concatenate([p[-1][0] for p in per]))) if per else 0) + 1
     model = Model(langs, [none] * ORDER, [np.zeros((0, len(langs)), np.float32)] * ORDER, [none] * ORDER,
                   [np.zeros((0, len(langs)), np.float32)] * ORDER,
                   np.full(len(langs), -np.log2(alphabet), np.float32))
-    for level in range(ORDER - 1, -1, -1):
+    for level in range(ORDER - 1, -1, -1) if per else ():
         keys = np.unique(np.concatenate([p[level][0] for p in per]))
         contexts = np.unique(keys >> np.uint64(16))
         shorter = keys & np.uint64((1 << 16 * (ORDER - 1 - level)) - 1)
@@ -207,7 +207,7 @@ def score(texts, model: Model, table: np.ndarray) -> tuple[np.ndarray, np.ndarra
         key, row = grams(parts, table)
         if len(key):
             n += np.bincount(row, minlength=len(texts))
-            logs = _log_probs(model, key, 0)
+            logs = _log_probs(model, key, 0) if model.langs else None
             for k in range(len(model.langs)):
                 bits[:, k] -= np.bincount(row, logs[:, k], len(texts))
     return bits, n

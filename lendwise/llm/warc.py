@@ -69,7 +69,8 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 
 def _header(piece: bytes) -> dict | None:
     """Header fields (lower-case names) of a piece that starts after the magic, with ``body``, the payload's place."""
-    end = piece.find(b"\r\n\r\n")
+    # the cut takes the line end before the magic with it: it may be the header's last one
+    end = (piece + b"\n").find(b"\r\n\r\n")
     if end < 0 or not re.match(rb"[01]\r\n", piece):
         return None
     fields = {}
@@ -215,11 +216,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def _joined(spark: SparkSession, path: str, segments: DataFrame, records: DataFrame) -> DataFrame:
     """Records whose payload holds the cut, put together from their pieces. Pieces find their record as the last
     record start at or before them in the file; a window per file passes over narrow rows only."""
-    marks = records.select("file", F.col("start").alias("record"), "whole")
+    marks = records.select("file", F.col("start").alias("record"), F.col("whole").alias("done"))
     spots = segments.join(marks.withColumn("start", F.col("record")), ["file", "start"], "left")
     so_far = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    latest = F.last(F.when(F.col("record").isNotNull(), F.struct("record", "whole")), ignorenulls=True).over(so_far)
-    owned = spots.withColumn("owner", latest).filter("NOT owner.whole").select(
+    latest = F.last(F.when(F.col("record").isNotNull(), F.struct("record", "done")), ignorenulls=True).over(so_far)
+    owned = spots.withColumn("owner", latest).filter("NOT owner.done").select(
         "file", "block", "no", "start", F.col("owner.record").alias("record"))
     owned = materialize(owned, "warc-parts")
     parts = _pieces(spark, path).mapInArrow(_raw, "file string, block long, no long, value binary").join(

@@ -1,0 +1,62 @@
+import hashlib
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).parent))
+import helpers as H
+
+from lendwise.llm import secret_scan as S
+
+HEX = "0123456789abcdef" * 3
+MORE = [(30, f"PassWord = '{HEX}' and api_key:abcdef", "en", "s", 1), (31, "token=token:abcdefgh", "en", "s", 1),
+        (32, "secret: short, apikey=\"longer_value\"", "en", "s", 1), (33, "AKIA" + "A1" * 8 + "AKIA" + "Z" * 9, "en", "s", 1),
+        (34, "AKIAAKIA" + "Q" * 15 + " akia" + "A" * 20, "en", "s", 1), (35, "🎉é" + HEX + "\x01" + HEX, "en", "s", 1),
+        (36, "\x01\x03token=abcdefg\x01\x04", "en", "s", 1), (37, "key " * 3000 + "passwd:" + "x" * 5000, "en", "s", 1),
+        (38, "abcdef" * 4 + "g" + "abcdef" * 3 + "abcde", "en", "s", 1), (39, "toKen  =  \"aaaaaa\ntoken=aaaaa", "en", "s", 1)]
+ROWS = H.TRICKY + MORE
+
+
+def expected(row):
+    spans = H.secrets(row[1])
+    text = ",".join(f"{H.RULES[k][0]}:{a}:{b}" for a, k, b in spans)
+    n = [sum(k == i for _, k, _ in spans) for i in range(3)]
+    return (row[0], *n, hashlib.sha256(text.encode()).hexdigest(), text)
+
+
+def test_equals_brute_force(spark):
+    got = H.rows_of(S.scan(H.docs(spark, ROWS, extra=True)), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    assert got == sorted(map(expected, ROWS), key=repr)
+
+
+def test_sample_table(spark):
+    df = spark.read.parquet(f"{H.SF}/documents.parquet")
+    got = H.rows_of(S.scan(df), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    assert got == sorted((expected((r.doc_id, r.text)) for r in df.collect()), key=repr)
+
+
+def test_redaction(spark):
+    docs = H.docs(spark, ROWS, extra=True)
+    out = S.redact(docs)
+    assert out.schema.names == docs.schema.names
+    want = []
+    for r in ROWS:
+        hit = bool(H.secrets(r[1]))
+        text = H.masked(r[1]) if hit else r[1]
+        want.append((r[0], text, len(text) if hit else r[4]))
+    assert H.rows_of(out, "doc_id", "text", "n_chars") == sorted(want, key=repr)
+
+
+def test_empty_table(spark):
+    assert S.scan(H.docs(spark, [])).count() == 0
+    assert S.redact(H.docs(spark, [])).count() == 0
+
+
+def test_trigram_queries():
+    grams = lambda s: frozenset(s[i:i + 3] for i in range(len(s) - 2))
+    assert set(S.trigram_query(S.RULES[0].regex)) == {grams(w) for w in (
+        "password", "passwd", "secret", "token", "apikey", "api_key")}
+    assert S.trigram_query(S.RULES[1].regex) == [grams("akia")]
+    assert S.trigram_query(S.RULES[2].regex) is None
+    assert S.trigram_query("ab?c") is None
+    assert set(S.trigram_query("(foo|quux)bar[0-9]+tail")) == {
+        grams("foobar") | grams("tail"), grams("quuxbar") | grams("tail")}
