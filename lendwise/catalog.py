@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lendwise import standins as S
 from lendwise.operators import admission as T
@@ -13,7 +14,7 @@ from lendwise.operators import queries as Q
 from lendwise.operators import reports as R
 from lendwise.operators import views as V
 from lendwise.sources.projection import AS_OF
-from lendwise.sources.tables import Tables
+from lendwise.sources.tables import Tables, with_collation
 
 REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "v01_book_details": V.v01_book_details,
@@ -88,18 +89,17 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "f16_dateformat": R.f16_dateformat,
     "f17_split_subjects": R.f17_split_subjects,
     "f18_money": R.f18_money,
-    "c01_pk_violations": C.c01_pk_violations,
-    "c02_composite_pk": C.c02_composite_pk,
-    "c03_fk_orphans": C.c03_fk_orphans,
-    "c04_unique_violations": C.c04_unique_violations,
-    "c05_isbn_length": C.c05_isbn_length,
-    "c06_not_null": C.c06_not_null,
-    "c07_apply_defaults": lambda t: C.c07_apply_defaults(t.patron, "patron", AS_OF),
-    "c08_type_conformance": C.c08_type_conformance,
-    "t01_admit_loans": lambda t: T.t01_admit_loans(S.split_by_time(t.loan, "loan_ts", S.LOAN_SPLIT)[1],
-                                                   S.split_by_time(t.loan, "loan_ts", S.LOAN_SPLIT)[0]),
-    "t02_validate_loan_updates": lambda t: T.t02_validate_loan_updates(S.loans_before_returns(t), t.loan),
-    "t03_admit_fines": lambda t: T.t03_admit_fines(t.fine, t.loan),
+    "c01_pk_violations": lambda t: C.c01_pk_violations(S.with_violations(t)),
+    "c02_composite_pk": lambda t: C.c02_composite_pk(S.with_violations(t)),
+    "c03_fk_orphans": lambda t: C.c03_fk_orphans(S.with_violations(t)),
+    "c04_unique_violations": lambda t: C.c04_unique_violations(S.with_violations(t)),
+    "c05_isbn_length": lambda t: C.c05_isbn_length(S.with_violations(t)),
+    "c06_not_null": lambda t: C.c06_not_null(S.with_violations(t)),
+    "c07_apply_defaults": lambda t: C.c07_defaults(S.with_violations(t), AS_OF),
+    "c08_type_conformance": lambda t: C.c08_type_conformance(S.raw_rows(t)),
+    "t01_admit_loans": lambda t: T.t01_admit_loans(S.loan_batch(t), S.split_by_time(t.loan, "loan_ts", S.LOAN_SPLIT)[0]),
+    "t02_validate_loan_updates": lambda t: T.t02_validate_loan_updates(S.loans_before_returns(t), S.loan_updates(t)),
+    "t03_admit_fines": lambda t: T.t03_admit_fines(S.fine_batch(t), t.loan),
     "t04_admit_reservations": lambda t: T.t04_admit_reservations(
         S.split_by_time(t.reservation, "created_at", S.EVENT_SPLIT)[1],
         S.split_by_time(t.reservation, "created_at", S.EVENT_SPLIT)[0]),
@@ -107,14 +107,18 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
         S.split_by_time(t.accesssession, "start_time", S.SESSION_SPLIT)[1], t.eresource, t.license,
         S.split_by_time(t.accesssession, "start_time", S.SESSION_SPLIT)[0], now=AS_OF),
     "t06_validate_session_updates": lambda t: T.t06_validate_session_updates(S.sessions_before_end(t),
-                                                                             t.accesssession),
-    "t07_copy_barcode": lambda t: T.t07_copy_barcode(t.copy),
-    "t08_patron_type_warning": lambda t: T.t08_patron_type_warning(t.patron),
+                                                                             S.session_updates(t)),
+    "t07_copy_barcode": lambda t: T.t07_copy_barcode(S.copy_batch(t)),
+    "t08_patron_type_warning": lambda t: T.t08_patron_type_warning(S.patron_batch(t)),
     "t09_license_insert": lambda t: T.t09_license_insert(S.license_batch(t, 0)),
     "t10_license_update": lambda t: T.t10_license_update(S.license_batch(t, 1)),
     "t11_term_insert": lambda t: T.t11_term_insert(S.term_batch(t, 0)),
     "t12_term_update": lambda t: T.t12_term_update(S.term_batch(t, 1)),
-    "k02_append_patrons": lambda t: T.k02_append_patrons(t.patron, S.patron_registrations(t)),
+    "k02_append_patrons": lambda t: T.k02_append_patrons(t.patron, S.patron_registrations(t), t.address),
+    "w09_first_last_value": Q.book_loan_span_windowed,
+    "s25_named_views": lambda t: V.view_counts(t, AS_OF),
+    "f14_collated_match": lambda t: R.d03_book_catalog(with_collation(t, "UNICODE_CI_AI_RTRIM"), search="WÍDGET").select(
+        F.col("isbn").cast("string").alias("isbn"), F.col("title").cast("string").alias("title"), "times_loaned"),
 }
 
 

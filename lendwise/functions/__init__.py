@@ -34,7 +34,7 @@ def ordered_distinct_concat(value, order_by=None, sep: str = ", ") -> Column:
         fields = [k.alias(f"k{i}") for i, k in enumerate(keys)] + [value.alias("v")]
         packed = F.when(value.isNotNull(), F.struct(*fields))
         arr = F.array_distinct(F.transform(F.array_sort(F.collect_set(packed)), lambda s: s["v"]))
-    return F.nullif(F.array_join(arr, sep), F.lit(""))
+    return F.when(F.size(arr) > 0, F.array_join(arr, sep))
 
 
 # ---------------------------------------------------------------- dates (F-05 ... F-13)
@@ -101,11 +101,6 @@ def pct(part, whole, scale: int = 2) -> Column:
     return F.round(ratio, scale).cast(f"decimal(18,{scale})")
 
 
-def ratio_round(num, den, scale: int = 2) -> Column:
-    """ROUND(num / den, scale) for decimals, NULL on a zero divisor."""
-    return F.round(F.try_divide(_c(num), _c(den)), scale)
-
-
 # ---------------------------------------------------------------- display helpers (F-16 ... F-18)
 
 def display_date(x, fmt: str = "yyyy-MM-dd") -> Column:

@@ -26,7 +26,7 @@ from lendwise.functions import as_timestamp
 from lendwise.operators.ranking import prefix_counts
 from lendwise.sources.schemas import FINE_STATUSES_ALLOWED, PATRON_TYPES, RESERVATION_INACTIVE
 
-# Rejection messages of the rules.
+# Rejection messages; up to MSG_TERM_DATES they are fixed values, but for MSG_SESSION_LIMIT, which names no limit.
 MSG_COPY_ON_LOAN = "Cannot borrow: This copy is already on loan. Please return it first."
 MSG_LOAN_DATES = "Invalid loan dates: due_ts must be after loan_ts."
 MSG_RETURN_DATE = "Invalid return date: return_ts must be >= loan_ts."
@@ -47,6 +47,9 @@ MSG_TERM_DATES = "Invalid term dates: end_date must be after start_date."
 MSG_PATRON_TYPE = "Unknown patron type"
 MSG_PATRON_MISSING = "first_name, last_name and patron_type are required"
 MSG_NO_ROW = "No existing row to update."
+MSG_ADDRESS_TEXT = "address_id is not a number"
+MSG_ADDRESS_UNKNOWN = "address_id names no stored address"
+MSG_EMAIL_USED = "email is already registered"
 
 
 class AdmissionError(ValueError):
@@ -137,17 +140,14 @@ def t04_admit_reservations(batch: DataFrame, existing: DataFrame | None = None,
 # --------------------------------------------------------------------------------------------- T-05, T-06
 
 def t05_admit_sessions(batch: DataFrame, eresource: DataFrame, license_: DataFrame,
-                       existing: DataFrame | None = None, now=None, strict: bool = False) -> DataFrame:
+                       existing: DataFrame | None = None, *, now, strict: bool = False) -> DataFrame:
     """New e-resource sessions: rejected when the resource's open sessions reach its license's concurrent
     limit (counted per resource, as the rule does; no license or no limit never rejects). A missing
     start_time is set to ``now``."""
     limits = (eresource.select("resource_id", "license_id")
               .join(license_.select("license_id", "concurrent_limit"), "license_id")
               .select("resource_id", F.col("concurrent_limit").alias("_limit")))
-    b0 = batch
-    if now is not None:
-        b0 = b0.withColumn("start_time", F.coalesce(F.col("start_time"), as_timestamp(now)))
-    b0 = b0.join(limits, "resource_id", "left")
+    b0 = batch.withColumn("start_time", F.coalesce(F.col("start_time"), as_timestamp(now))).join(limits, "resource_id", "left")
     active = F.col("end_time").isNull()
     ex = _existing_counts(existing, ["resource_id"], active, batch)
     b = _limited(b0, ["resource_id"], [("start_time", False), ("session_id", False)], active, F.lit(False), ex,
@@ -199,22 +199,35 @@ t12_term_update = t11_term_insert
 
 # --------------------------------------------------------------------------------------------- K-02
 
-def k02_append_patrons(existing: DataFrame, batch: DataFrame, order_by: str = "seq") -> DataFrame:
-    """Register new patrons: ids continue after the largest existing id (1 for an empty table), in batch order,
-    for the rows that carry first name, last name and type (blank text counts as missing); balance 0.00;
-    a blank address id becomes NULL. Returns the batch with the new id, ``accepted`` and ``reason``."""
+def k02_append_patrons(existing: DataFrame, batch: DataFrame, address: DataFrame | None = None,
+                       order_by: str = "seq") -> DataFrame:
+    """Register new patrons: ids continue after the largest existing id (1 for an empty table), in batch order, for
+    the accepted rows; balance 0.00; a blank address id becomes NULL. A row is rejected if it lacks first name, last
+    name or type (blank text counts as missing), if its address id is no number or names no row of ``address``, or if
+    its e-mail is used by a stored patron or an earlier acceptable row. Returns the batch with the new id,
+    ``accepted`` and ``reason``."""
     def given(c):
         return F.col(c).isNotNull() & (F.col(c) != "")
 
-    ok = given("first_name") & given("last_name") & given("patron_type")
+    missing = ~(given("first_name") & given("last_name") & given("patron_type"))
+    text = F.trim(F.col("address_id").cast("string"))
+    b = batch.withColumn("_addr", F.when(text != "", text.try_cast("bigint")))
+    b = b.withColumn("_local", F.when(missing, MSG_PATRON_MISSING).when((text != "") & F.col("_addr").isNull(), MSG_ADDRESS_TEXT))
+    if address is not None:
+        known = address.select(F.col("address_id").alias("_addr"), F.lit(True).alias("_known")).distinct()
+        b = b.join(known, "_addr", "left").withColumn("_local", F.coalesce(
+            "_local", F.when(F.col("_addr").isNotNull() & F.col("_known").isNull(), MSG_ADDRESS_UNKNOWN)))
+    # an e-mail is free for the first acceptable row that brings it, unless a stored patron has it
+    taken = existing.select("email").union(batch.select("email").limit(0)).filter("email IS NOT NULL").distinct()
+    first = b.filter(F.col("_local").isNull() & F.col("email").isNotNull()).groupBy("email").agg(
+        F.min(order_by).alias("_first")).join(taken.withColumn("_stored", F.lit(True)), "email", "left")
+    b = b.join(first, "email", "left").withColumn("_reason", F.coalesce("_local", F.when(
+        F.col("_stored") | (F.col(order_by) != F.col("_first")), MSG_EMAIL_USED)))
+    b = b.withColumn("_take", F.when(F.col("_reason").isNull(), 1).otherwise(0))
     top = existing.agg(F.coalesce(F.max("patron_id"), F.lit(0)).cast("bigint").alias("_base"))  # one row
-    b = batch.withColumn("_take", F.when(ok, 1).otherwise(0))
     numbered = prefix_counts(b, (), [(order_by, False)], ["_take"]).crossJoin(top)
-    addr = F.col("address_id").cast("string")
     return numbered.select(
         F.when(F.col("_take") == 1, F.col("_base") + F.col("before__take") + 1).alias("patron_id"),
-        "first_name", "last_name", "email", "patron_type",
-        F.when(F.trim(addr) != "", addr.cast("bigint")).alias("address_id"),
-        F.lit(0).cast("decimal(8,2)").alias("balance"),
-        F.col(order_by),
-        F.when(~ok, MSG_PATRON_MISSING).alias("reason")).withColumn("accepted", F.col("reason").isNull())
+        "first_name", "last_name", "email", "patron_type", F.col("_addr").alias("address_id"),
+        F.lit(0).cast("decimal(8,2)").alias("balance"), F.col(order_by),
+        F.col("_reason").alias("reason")).withColumn("accepted", F.col("reason").isNull())

@@ -1,19 +1,11 @@
-"""Exact co-occurrence counting (Q-30 co-authors) without enumerating every pair inside a heavy group.
-
-Input: distinct (member, item) links. Output: member pairs (member1 < member2) sharing at least ``min_shared``
-items, with the number of shared items. A self-join on the item emits |members(item)|^2 pairs per item, which
-is quadratic in a hot item. Items are therefore split by their number of members:
-
-* light items (<= ``heavy_threshold`` members): pairs are emitted per item (at most threshold^2 per item) and
-  counted -> ``light``;
-* heavy items (few: at most links / threshold of them) never emit their member pairs. Instead
-  - a pair already found through a light item gets its heavy count by looking up its members' heavy items
-    (one probe per heavy item of the first member);
-  - a pair sharing no light item needs at least ``min_shared`` (>= 2) heavy items; each member emits the pairs
-    of its own heavy items (h1 < h2) and members meeting on the same (h1, h2) form pairs. Every pair emitted
-    there is a result row (it shares h1 and h2), so that step is bounded by the output. A pair sharing k heavy
-    items meets on k(k-1)/2 item pairs, which gives k back exactly.
-For ``min_shared`` <= 1 every co-occurring pair is a result, so heavy items emit their pairs (output-bound).
+"""Exact co-occurrence counting (Q-30 co-authors) with bounded join groups.
+
+Input: (member, item) links. Output: member pairs (member1 < member2) sharing at least ``min_shared`` items, with the
+number of shared items. A self-join on the item would put all pairs of a hot item into one join key. Here each item's
+members are dealt into hashed blocks of about ``block`` members, every pair of blocks is its own join key, and a member
+goes to the keys of its block. All items take the same path: an item of few members has one block, and no join key
+holds more than block x block pairs, however large the item. The work is the number of co-occurring pairs, which is
+also the number of rows any exact count of shared items has to look at.
 """
 
 from __future__ import annotations
@@ -21,53 +13,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendwise.session import ensure_checkpoint_dir
-
 
-def shared_item_pairs(links: DataFrame, member: str, item: str, min_shared: int = 2,
-                      heavy_threshold: int = 256) -> DataFrame:
-    """Member pairs (member1 < member2) sharing at least ``min_shared`` items, with the count (see module
-    docstring)."""
+def blocked_links(links: DataFrame, member: str, item: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """(left, right): distinct links (m, i) with the block pair (p, q), p <= q, that they take part in; a member is in
+    block p on the left and in block q on the right."""
     lk = links.select(F.col(member).alias("m"), F.col(item).alias("i")).distinct()
-    deg = lk.groupBy("i").agg(F.count(F.lit(1)).alias("deg"))
-    # every branch below starts from the links with their item degree: materialize them once (reliable
-    # checkpoint in the cluster's checkpoint folder) instead of re-deriving them per branch
-    ensure_checkpoint_dir(links.sparkSession)
-    lk = lk.join(deg, "i").checkpoint(eager=True)
-    light = lk.filter(F.col("deg") <= heavy_threshold).select("m", "i")
-    heavy = lk.filter(F.col("deg") > heavy_threshold).select("m", "i")
+    blocks = lk.groupBy("i").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
+    lk = lk.join(blocks, "i").withColumn("b", F.pmod(F.xxhash64("m"), "n").cast("int"))
+    left = lk.select("i", F.col("b").alias("p"), F.explode(F.sequence("b", F.col("n") - 1)).alias("q"), F.col("m").alias("x"))
+    right = lk.select("i", F.explode(F.sequence(F.lit(0), "b")).alias("p"), F.col("b").alias("q"), F.col("m").alias("y"))
+    return left, right
 
-    a, b = light.alias("a"), light.alias("b")
-    light_pairs = (a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.m") < F.col("b.m")))
-                   .groupBy(F.col("a.m").alias("m1"), F.col("b.m").alias("m2"))
-                   .agg(F.count(F.lit(1)).alias("n_light")))
 
-    # heavy items shared by pairs already found through a light item
-    h1 = heavy.select(F.col("m").alias("m1"), F.col("i").alias("h"))
-    h2 = heavy.select(F.col("m").alias("m2"), F.col("i").alias("h"))
-    heavy_of_light = (light_pairs.select("m1", "m2").join(h1, "m1").join(h2, ["m2", "h"], "left_semi")
-                      .groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("n_heavy")))
-    found = (light_pairs.join(heavy_of_light, ["m1", "m2"], "left")
-             .select("m1", "m2", (F.col("n_light") + F.coalesce("n_heavy", F.lit(0))).alias("shared")))
-
-    if min_shared <= 1:
-        x, y = heavy.alias("x"), heavy.alias("y")
-        only_heavy = (x.join(y, (F.col("x.i") == F.col("y.i")) & (F.col("x.m") < F.col("y.m")))
-                      .groupBy(F.col("x.m").alias("m1"), F.col("y.m").alias("m2"))
-                      .agg(F.count(F.lit(1)).alias("shared")))
-    else:
-        p, q = heavy.alias("p"), heavy.alias("q")
-        item_pairs = (p.join(q, (F.col("p.m") == F.col("q.m")) & (F.col("p.i") < F.col("q.i")))
-                      .select(F.col("p.m").alias("m"), F.col("p.i").alias("hi"), F.col("q.i").alias("hj")))
-        u, v = item_pairs.alias("u"), item_pairs.alias("v")
-        met = (u.join(v, (F.col("u.hi") == F.col("v.hi")) & (F.col("u.hj") == F.col("v.hj"))
-                      & (F.col("u.m") < F.col("v.m")))
-               .groupBy(F.col("u.m").alias("m1"), F.col("v.m").alias("m2"))
-               .agg(F.count(F.lit(1)).alias("meets")))
-        # meets = k(k-1)/2  ->  k = (1 + sqrt(1 + 8 meets)) / 2, exact for these integers
-        only_heavy = met.select("m1", "m2", F.round((1 + F.sqrt(1 + 8 * F.col("meets"))) / 2)
-                                .cast("bigint").alias("shared"))
-    only_heavy = only_heavy.join(light_pairs.select("m1", "m2"), ["m1", "m2"], "left_anti")
-
-    return (found.unionByName(only_heavy).filter(F.col("shared") >= min_shared)
-            .select(F.col("m1").alias("member1"), F.col("m2").alias("member2"), "shared"))
+def shared_item_pairs(links: DataFrame, member: str, item: str, min_shared: int = 2, block: int = 256) -> DataFrame:
+    """Member pairs (member1 < member2) sharing at least ``min_shared`` items, with the count (see module
+    docstring)."""
+    left, right = blocked_links(links, member, item, block)
+    met = left.join(right, ["i", "p", "q"]).filter((F.col("p") < F.col("q")) | (F.col("x") < F.col("y")))
+    return (met.groupBy(F.least("x", "y").alias("member1"), F.greatest("x", "y").alias("member2"))
+            .agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared))

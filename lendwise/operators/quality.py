@@ -23,47 +23,32 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _key_rows(df: DataFrame, table: str, cols: tuple[str, ...]) -> DataFrame:
-    """(table_name, key_columns, key text, NULL flag) for every row; composite keys become one text key."""
+def _key_summary(df: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    """One row about a key: rows, rows with a NULL part, keys used more than once, rows carrying them. Grouped on the
+    native key columns, so a hot key collapses map-side; only the one-row summaries of the tables are put together."""
     any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
-    key = F.col(cols[0]).cast("string") if len(cols) == 1 else F.to_json(F.struct(*[F.col(c) for c in cols]))
-    return df.select(F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"),
-                     key.alias("key"), any_null.alias("_null"))
+    n, real = F.col("_n"), ~any_null
+    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    zero = F.lit(0)
+    return counted.agg(F.coalesce(F.sum(n), zero).cast(BIG).alias("total_rows"),
+                       F.coalesce(F.sum(F.when(any_null, n)), zero).cast(BIG).alias("null_keys"),
+                       F.count(F.when(real & (n > 1), 1)).alias("duplicate_keys"),
+                       F.coalesce(F.sum(F.when(real & (n > 1), n)), zero).cast(BIG).alias("duplicate_rows"))
 
 
 def _key_summaries(t: Tables, specs: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
-    """Key use per table in two shuffles for all tables together: count rows per (table, key), then summarize
-    per table (a hot key is collapsed by partial aggregation before the first shuffle)."""
-    rows = _union([_key_rows(t[n], n, cols) for n, cols in specs])
-    counted = rows.groupBy("table_name", "key_columns", "key", "_null").agg(F.count(F.lit(1)).alias("n"))
-    real = ~F.col("_null")
-    return counted.groupBy("table_name", "key_columns").agg(
-        F.sum("n").cast(BIG).alias("total_rows"),
-        F.coalesce(F.sum(F.when(F.col("_null"), F.col("n"))), F.lit(0)).cast(BIG).alias("null_keys"),
-        F.count(F.when(real & (F.col("n") > 1), 1)).alias("duplicate_keys"),
-        F.coalesce(F.sum(F.when(real & (F.col("n") > 1), F.col("n"))), F.lit(0)).cast(BIG).alias("duplicate_rows"))
-
-
-def _with_empty_tables(summary: DataFrame, t: Tables, specs) -> DataFrame:
-    """Tables without rows produce no key rows; give them a zero summary line."""
-    names = summary.sparkSession.createDataFrame(
-        [(n, ",".join(c)) for n, c in specs], "table_name string, key_columns string")
-    zero = F.lit(0).cast(BIG)
-    return (names.join(summary, ["table_name", "key_columns"], "left")
-            .select("table_name", "key_columns", *[F.coalesce(c, zero).alias(c) for c in
-                                                  ("total_rows", "null_keys", "duplicate_keys", "duplicate_rows")]))
+    return _union([_key_summary(t[n], cols).select(F.lit(n).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"), "*")
+                   for n, cols in specs])
 
 
 def c01_pk_violations(t: Tables) -> DataFrame:
     """Single-column primary keys: rows, NULL keys, keys used more than once, rows carrying them."""
-    specs = [(n, s.pk) for n, s in TABLES.items() if len(s.pk) == 1]
-    return _with_empty_tables(_key_summaries(t, specs), t, specs)
+    return _key_summaries(t, [(n, s.pk) for n, s in TABLES.items() if len(s.pk) == 1])
 
 
 def c02_composite_pk(t: Tables) -> DataFrame:
     """Composite primary keys (book-subject, book-author): rows, NULL keys, repeated keys."""
-    specs = [(n, s.pk) for n, s in TABLES.items() if len(s.pk) > 1]
-    return _with_empty_tables(_key_summaries(t, specs), t, specs)
+    return _key_summaries(t, [(n, s.pk) for n, s in TABLES.items() if len(s.pk) > 1])
 
 
 def pk_violation_rows(t: Tables, table: str) -> DataFrame:
@@ -82,48 +67,30 @@ def fk_orphan_rows(t: Tables, child: str, column: str, parent: str, parent_colum
 
 
 def c03_fk_orphans(t: Tables) -> DataFrame:
-    """Foreign keys: per child table one scan, one left join per reference (against the parent's distinct
-    keys) and one aggregation giving checked (non-NULL) and orphan counts for every reference.
+    """Foreign keys: checked (non-NULL) references and those without a parent row, one line per reference.
 
-    Kept per reference rather than as one union of all references: each join can then be a broadcast join when
-    the parent is small (branches, reasons, subjects), so those child columns are never shuffled."""
+    Child rows are counted per key (a hot key collapses map-side) and parent keys join them in one grouping on the
+    key: a key is an orphan's if no parent row carries it. No child row meets a join."""
     rows = []
     for child, spec in TABLES.items():
-        if not spec.fks:
-            continue
-        df = t[child].select(*[F.col(col) for col, _, _ in spec.fks])
-        for i, (col, parent, pcol) in enumerate(spec.fks):
-            keys = t[parent].select(F.col(pcol).alias(f"_p{i}")).distinct()
-            df = df.join(keys, df[col] == keys[f"_p{i}"], "left")
-        agg = df.agg(*[F.count(col).alias(f"n{i}") for i, (col, _, _) in enumerate(spec.fks)],
-                     *[F.count(F.when(F.col(col).isNotNull() & F.col(f"_p{i}").isNull(), 1)).alias(f"o{i}")
-                       for i, (col, _, _) in enumerate(spec.fks)])
-        per_fk = F.explode(F.array(*[
-            F.struct(F.lit(col).alias("child_column"), F.lit(parent).alias("parent_table"),
-                     F.lit(pcol).alias("parent_column"), F.col(f"n{i}").alias("checked_rows"),
-                     F.col(f"o{i}").alias("orphan_rows"))
-            for i, (col, parent, pcol) in enumerate(spec.fks)])).alias("c")
-        rows.append(agg.select(per_fk).select(F.lit(child).alias("child_table"), "c.*"))
+        for col, parent, pcol in spec.fks:
+            used = t[child].filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+            there = t[parent].filter(F.col(pcol).isNotNull()).select(F.col(pcol).alias("k"), F.lit(None).cast(BIG).alias("n"))
+            both = used.unionAll(there).groupBy("k").agg(F.sum("n").alias("n"), F.max(F.col("n").isNull()).alias("known"))
+            rows.append(both.agg(F.coalesce(F.sum("n"), F.lit(0)).cast(BIG).alias("checked_rows"),
+                                 F.coalesce(F.sum(F.when(~F.col("known"), F.col("n"))), F.lit(0)).cast(BIG).alias("orphan_rows"))
+                        .select(F.lit(child).alias("child_table"), F.lit(col).alias("child_column"),
+                                F.lit(parent).alias("parent_table"), F.lit(pcol).alias("parent_column"),
+                                "checked_rows", "orphan_rows"))
     return _union(rows)
 
 
 def c04_unique_violations(t: Tables) -> DataFrame:
-    """UNIQUE columns: several NULLs are allowed; non-NULL values used more than once are violations.
-    All constrained columns go through one (table, column, value) count and one summary aggregation."""
-    specs = [(n, col) for n, spec in TABLES.items() for col in spec.unique]
-    rows = _union([t[n].filter(F.col(col).isNotNull()).select(
-        F.lit(n).alias("table_name"), F.lit(col).alias("column_name"), F.col(col).cast("string").alias("v"))
-        for n, col in specs])
-    counted = rows.groupBy("table_name", "column_name", "v").agg(F.count(F.lit(1)).alias("n"))
-    summary = counted.groupBy("table_name", "column_name").agg(
-        F.sum("n").cast(BIG).alias("non_null_rows"),
-        F.count(F.when(F.col("n") > 1, 1)).alias("duplicate_values"),
-        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).cast(BIG).alias("duplicate_rows"))
-    names = t.patron.sparkSession.createDataFrame(specs, "table_name string, column_name string")
-    zero = F.lit(0).cast(BIG)
-    return (names.join(summary, ["table_name", "column_name"], "left")
-            .select("table_name", "column_name", *[F.coalesce(c, zero).alias(c) for c in
-                                                  ("non_null_rows", "duplicate_values", "duplicate_rows")]))
+    """UNIQUE columns: several NULLs are allowed; non-NULL values used more than once are violations."""
+    return _union([_key_summary(t[n].filter(F.col(col).isNotNull()), (col,)).select(
+        F.lit(n).alias("table_name"), F.lit(col).alias("column_name"), F.col("total_rows").alias("non_null_rows"),
+        F.col("duplicate_keys").alias("duplicate_values"), "duplicate_rows")
+        for n, spec in TABLES.items() for col in spec.unique])
 
 
 def c05_isbn_length(t: Tables) -> DataFrame:
@@ -155,20 +122,31 @@ def c07_apply_defaults(df: DataFrame, table: str, now) -> DataFrame:
     return out
 
 
-def c08_type_conformance(t: Tables) -> DataFrame:
-    """VARCHAR(n)/CHAR(n) lengths and DECIMAL(8,2) ranges, one summary row per constrained column."""
+def c07_defaults(t: Tables, now) -> DataFrame:
+    """Every declared default applied: table, row key, column and the value it then has, as text."""
+    rows = []
+    for name, spec in TABLES.items():
+        if spec.defaults:
+            filled = c07_apply_defaults(t[name], name, now)
+            rows += [filled.select(F.lit(name).alias("table_name"), F.col(spec.pk[0]).cast("string").alias("row_key"),
+                                   F.lit(col).alias("column_name"), F.col(col).cast("string").alias("value"))
+                     for col in spec.defaults]
+    return _union(rows)
+
+
+def c08_type_conformance(raw: Tables) -> DataFrame:
+    """Raw text rows against the declared types: VARCHAR(n)/CHAR(n) lengths, and for every other column whether the
+    text converts to its type (an amount beyond DECIMAL(8,2) does not). One line per column."""
     rows = []
     for name, spec in TABLES.items():
         checks = []
         for c in spec.columns:
             if c.max_len:
                 checks.append((c.name, f"max_length {c.max_len}", F.char_length(c.name) > c.max_len))
-            if c.dtype.simpleString() == "decimal(8,2)":
-                checks.append((c.name, "decimal(8,2)", F.abs(F.col(c.name)) >= 1000000))
-        if not checks:
-            continue
-        agg = t[name].agg(*[F.count(F.when(cond, 1)).alias(f"v{i}") for i, (_, _, cond) in enumerate(checks)],
-                          *[F.count(col).alias(f"n{i}") for i, (col, _, _) in enumerate(checks)])
+            else:
+                checks.append((c.name, c.dtype.simpleString(), F.col(c.name).isNotNull() & F.col(c.name).try_cast(c.dtype).isNull()))
+        agg = raw[name].agg(*[F.count(F.when(cond, 1)).alias(f"v{i}") for i, (_, _, cond) in enumerate(checks)],
+                            *[F.count(col).alias(f"n{i}") for i, (col, _, _) in enumerate(checks)])
         # one aggregation pass per table, then one output row per check
         per_check = F.explode(F.array(*[
             F.struct(F.lit(col).alias("column_name"), F.lit(rule).alias("rule"),

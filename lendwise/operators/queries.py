@@ -187,8 +187,8 @@ def q15_popularity_buckets(t: Tables) -> DataFrame:
 def q16_reserved_never_borrowed(t: Tables) -> DataFrame:
     """Patrons with Active/Waiting reservations and no loan at all, with their number of such reservations."""
     res = (t.reservation.filter(F.col("status").isin(*RESERVATION_OPEN))
-           .join(t.loan.select("patron_id"), "patron_id", "left_anti")
-           .groupBy("patron_id").agg(F.count("reservation_id").alias("active_reservations")))
+           .groupBy("patron_id").agg(F.count("reservation_id").alias("active_reservations"))
+           .join(t.loan.select("patron_id").distinct(), "patron_id", "left_anti"))
     return (res.join(t.patron, "patron_id")
             .select("patron_id", full_name().alias("patron_name"), "email", "patron_type", "active_reservations")
             .orderBy(F.desc("active_reservations"), "patron_name", "patron_id"))
@@ -196,7 +196,7 @@ def q16_reserved_never_borrowed(t: Tables) -> DataFrame:
 
 def q17_never_loaned_copies(t: Tables) -> DataFrame:
     """Per book: the copies that were never loaned and the number of branches holding them."""
-    idle = t.copy.join(t.loan.select("copy_id"), "copy_id", "left_anti")
+    idle = t.copy.join(t.loan.select("copy_id").distinct(), "copy_id", "left_anti")
     return (idle.join(t.book.select("isbn", "title"), "isbn")
             .groupBy("isbn", "title").agg(F.countDistinct("copy_id").alias("num_copies"),
                                           F.countDistinct("branch_id").alias("num_branches"))
@@ -216,7 +216,7 @@ def _reserved_items(t: Tables, as_of, blocked_isbns: DataFrame) -> DataFrame:
     reserved = (t.reservation.filter(F.col("status").isin(*RESERVATION_OPEN))
                 .groupBy("isbn").agg(F.max("created_at").alias("action_date")))
     return (reserved.join(t.book.select("isbn", "title"), "isbn")
-            .join(blocked_isbns, "isbn", "left_anti")
+            .join(blocked_isbns.distinct(), "isbn", "left_anti")
             .select(F.lit("No Copies Available").alias("item_type"), F.col("isbn").alias("item_id"),
                     F.concat(F.lit("Book: "), F.col("title"),
                              F.lit(" has reservations but no available copies")).alias("description"),
@@ -226,17 +226,16 @@ def _reserved_items(t: Tables, as_of, blocked_isbns: DataFrame) -> DataFrame:
 def q18_action_items(t: Tables, as_of) -> DataFrame:
     """Literal form: a reserved book is listed unless one of its copies was never loaned or is on loan
     (the NOT EXISTS over Copy LEFT JOIN Loan with ``return_ts IS NULL``)."""
-    open_copies = t.loan.filter(F.col("return_ts").isNull()).select("copy_id")
-    never = t.copy.join(t.loan.select("copy_id"), "copy_id", "left_anti").select("isbn")
-    busy = t.copy.join(open_copies, "copy_id", "left_semi").select("isbn")
-    blocked = never.unionByName(busy)
+    # one row per loaned copy: whether any of its loans is open
+    use = t.loan.groupBy("copy_id").agg(F.max(F.col("return_ts").isNull()).alias("busy"))
+    blocked = t.copy.join(use, "copy_id", "left").filter(F.coalesce("busy", F.lit(True))).select("isbn")
     return _overdue_items(t, as_of).unionByName(_reserved_items(t, as_of, blocked)).orderBy("action_date", "item_id")
 
 
 def q18_action_items_intent(t: Tables, as_of) -> DataFrame:
     """Stated intent: a reserved book is listed when none of its copies is free (every copy has an open
     loan, or the book has no copies)."""
-    open_copies = t.loan.filter(F.col("return_ts").isNull()).select("copy_id")
+    open_copies = t.loan.filter(F.col("return_ts").isNull()).select("copy_id").distinct()
     free = t.copy.join(open_copies, "copy_id", "left_anti").select("isbn")
     return _overdue_items(t, as_of).unionByName(_reserved_items(t, as_of, free)).orderBy("action_date", "item_id")
 
@@ -258,12 +257,13 @@ def q19_repeat_borrowers(t: Tables) -> DataFrame:
 
 def q20_slow_branches(t: Tables, as_of) -> DataFrame:
     """Branches whose average loan duration exceeds the average over all loans."""
-    dur = t.loan.withColumn("d", loan_duration(as_of))
-    overall = dur.agg(exact_avg("d").alias("overall_avg_duration"))  # one row
-    per = (dur.join(t.copy.select("copy_id", "branch_id"), "copy_id")
-           .groupBy("branch_id").agg(F.count("loan_id").alias("total_loans"),
-                                     F.countDistinct("patron_id").alias("unique_patrons"),
-                                     exact_avg("d").alias("avg_loan_duration_days")))
+    # loans are reduced to one row per (copy, patron); sums and counts then recombine the averages exactly
+    use = t.loan.groupBy("copy_id", "patron_id").agg(F.count("loan_id").alias("n"), F.sum(loan_duration(as_of)).alias("d"))
+    overall = use.agg(exact_avg_from_sums(F.sum("d"), F.sum("n")).alias("overall_avg_duration"))  # one row
+    people = use.join(t.copy.select("copy_id", "branch_id"), "copy_id").groupBy("branch_id", "patron_id").agg(
+        F.sum("n").alias("n"), F.sum("d").alias("d"))
+    per = people.groupBy("branch_id").agg(F.sum("n").alias("total_loans"), F.count("patron_id").alias("unique_patrons"),
+                                          exact_avg_from_sums(F.sum("d"), F.sum("n")).alias("avg_loan_duration_days"))
     return (per.join(t.branch.select("branch_id", F.col("name").alias("branch_name")), "branch_id")
             .crossJoin(overall)
             .filter(F.col("avg_loan_duration_days") > F.col("overall_avg_duration"))
@@ -426,7 +426,7 @@ def q26_beats_all_older(t: Tables, year: int = 2010) -> DataFrame:
 def q27_borrowed_by_both(t: Tables, type_a: str = "Student", type_b: str = "Faculty") -> DataFrame:
     """Books loaned by at least one patron of ``type_a`` and at least one of ``type_b``."""
     # loans are reduced to one row per copy (which of the two types borrowed it) before meeting the books
-    per_copy = (t.loan.select("copy_id", "patron_id")
+    per_copy = (t.loan.select("copy_id", "patron_id").distinct()
                 .join(t.patron.filter(F.col("patron_type").isin(type_a, type_b)).select("patron_id", "patron_type"),
                       "patron_id")
                 .groupBy("copy_id").agg(F.max((F.col("patron_type") == type_a).cast("int")).alias("a"),
@@ -439,15 +439,16 @@ def q27_borrowed_by_both(t: Tables, type_a: str = "Student", type_b: str = "Facu
 
 def book_loan_span(t: Tables) -> DataFrame:
     """Per book with loans: total loans, first and last loan timestamp (aggregate form)."""
-    return (t.loan.join(t.copy.select("copy_id", "isbn"), "copy_id")
-            .groupBy("isbn").agg(F.count("loan_id").alias("total_loans"),
-                                 F.min("loan_ts").alias("first_loan_date"),
-                                 F.max("loan_ts").alias("last_loan_date")))
+    per_copy = t.loan.groupBy("copy_id").agg(F.count("loan_id").alias("n"), F.min("loan_ts").alias("lo"),
+                                             F.max("loan_ts").alias("hi"))
+    return (per_copy.join(t.copy.select("copy_id", "isbn"), "copy_id")
+            .groupBy("isbn").agg(F.sum("n").alias("total_loans"), F.min("lo").alias("first_loan_date"),
+                                 F.max("hi").alias("last_loan_date")))
 
 
 def book_loan_span_windowed(t: Tables) -> DataFrame:
-    """The same per-book facts through FIRST_VALUE / LAST_VALUE over a full frame, deduplicated by GROUP BY
-    (the query's literal shape; kept to check that it equals ``book_loan_span``)."""
+    """The same per-book facts through COUNT OVER, FIRST_VALUE and LAST_VALUE over a full frame, deduplicated (W-09,
+    W-10 in their literal shape; a book's loans meet in one task, so ``book_loan_span`` is the form for large data)."""
     w = Window.partitionBy("isbn").orderBy("loan_ts").rowsBetween(Window.unboundedPreceding,
                                                                    Window.unboundedFollowing)
     rows = t.loan.join(t.copy.select("copy_id", "isbn"), "copy_id").join(t.book.select("isbn"), "isbn")
@@ -468,12 +469,12 @@ def q28_first_last_loan(t: Tables, k: int = 20) -> DataFrame:
 def q29_rollup_type_year(t: Tables, as_of) -> DataFrame:
     """ROLLUP(patron_type, year): distinct patrons, loans and average duration per level.
 
-    Loans are first reduced to one row per (patron, type, year) with their count and duration sum; the
-    rollup (which expands its input once per grouping level) then runs over those rows only. The average is
+    Loans are first reduced to one row per (patron, year) with their count and duration sum, then meet the patron's
+    type; the rollup (which expands its input once per grouping level) runs over those rows only. The average is
     recombined from the sums exactly."""
-    per = (t.loan.join(t.patron.select("patron_id", "patron_type"), "patron_id")
-           .groupBy("patron_id", "patron_type", year_key("loan_ts").alias("yr"))
-           .agg(F.count("loan_id").alias("n"), F.sum(loan_duration(as_of)).alias("sd")))
+    per = (t.loan.groupBy("patron_id", year_key("loan_ts").alias("yr"))
+           .agg(F.count("loan_id").alias("n"), F.sum(loan_duration(as_of)).alias("sd"))
+           .join(t.patron.select("patron_id", "patron_type"), "patron_id"))
     return (per.rollup("patron_type", "yr").agg(
         F.countDistinct("patron_id").alias("unique_patrons"), F.sum("n").alias("total_loans"),
         exact_avg_from_sums(F.sum("sd"), F.sum("n")).alias("avg_duration_days"),

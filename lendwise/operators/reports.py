@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendwise.functions import (as_date, days_between, display_date, display_datetime, exact_avg, full_name,
+from lendwise.functions import (as_date, days_between, display_date, display_datetime, exact_avg,
+                                exact_avg_from_sums, full_name,
                                 money, split_list)
 from lendwise.operators import queries as Q
 from lendwise.operators import views as V
@@ -37,7 +38,7 @@ def _dashboard(t: Tables, as_of, literal: bool) -> DataFrame:
         fan = (books.join(copies_per_book, "isbn", "left").join(subjects_per_book, "isbn", "left")
                .select((F.greatest(F.coalesce("nc", F.lit(0)), F.lit(1))
                         * F.greatest(F.coalesce("ns", F.lit(0)), F.lit(1))).alias("rows")))
-        total_books = fan.agg(F.sum("rows").cast(BIG).alias("total_books"))
+        total_books = fan.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast(BIG).alias("total_books"))
     else:
         total_books = books.agg(F.countDistinct("isbn").alias("total_books"))
     total_copies = (t.copy.join(books, "isbn", "left_semi")
@@ -50,7 +51,7 @@ def _dashboard(t: Tables, as_of, literal: bool) -> DataFrame:
     pat = t.patron.select("patron_id").join(recent, "patron_id", "left")
     if literal:
         # COUNT(*) after the LEFT JOIN counts a patron once per recent loan (at least once)
-        total_patrons = F.sum(F.greatest(F.coalesce("nr", F.lit(0)), F.lit(1))).cast(BIG)
+        total_patrons = F.coalesce(F.sum(F.greatest(F.coalesce("nr", F.lit(0)), F.lit(1))), F.lit(0)).cast(BIG)
     else:
         total_patrons = F.count(F.lit(1))
     patrons = pat.agg(total_patrons.alias("total_patrons"),
@@ -159,22 +160,28 @@ def d03_book_catalog(t: Tables, search: str | None = None, subject_id: int | Non
 
     The search (case-insensitive substring of title or ISBN; '%' and '_' typed by the user act as wildcards)
     and the subject filter are applied before the rank, so ranks are among matching books only."""
-    core = (t.book.join(t.booksubject.groupBy("isbn").agg(F.min("subject_id").alias("primary_subject_id")),
-                        "isbn", "left"))
+    books = t.book
     if search:
-        core = core.filter(_matches(core, "title", search) | _matches(core, "isbn", search))
+        books = books.filter(_matches(books, "title", search) | _matches(books, "isbn", search))
+    first = t.booksubject.groupBy("isbn").agg(F.min("subject_id").alias("primary_subject_id"))
+    core = books.join(first, "isbn", "left")
     if subject_id is not None:
         core = core.filter(F.col("primary_subject_id") == subject_id)
-    loaned = Q.loans_per_book(t).select("isbn", F.col("loan_count").cast(BIG).alias("times_loaned"))
-    open_per_copy = t.loan.filter(F.col("return_ts").isNull()).groupBy("copy_id").agg(F.count(F.lit(1)).alias("o"))
-    avail = (t.copy.select("copy_id", "isbn").join(open_per_copy, "copy_id", "left")
-             .groupBy("isbn").agg(F.countDistinct("copy_id").alias("total_copies"),
-                                  F.sum(F.col("o").isNull().cast("int")).cast(BIG).alias("available_copies")))
+    if search or subject_id is not None:
+        # only the matching books' links and copies are aggregated, and only their copies' loans
+        only = core.select("isbn")
+        t = t.replace(copy=t.copy.join(only, "isbn", "left_semi"), bookauthor=t.bookauthor.join(only, "isbn", "left_semi"),
+                      booksubject=t.booksubject.join(only, "isbn", "left_semi"))
+    # one row per copy with its loans and open loans, then one per book
+    use = t.loan.groupBy("copy_id").agg(F.count("loan_id").alias("n"), F.count(F.when(F.col("return_ts").isNull(), 1)).alias("o"))
+    shelf = (t.copy.select("copy_id", "isbn").join(use, "copy_id", "left").groupBy("isbn").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast(BIG).alias("times_loaned"), F.count("copy_id").alias("total_copies"),
+        F.sum((F.coalesce("o", F.lit(0)) == 0).cast("int")).cast(BIG).alias("available_copies")))
     pub = t.publisher.select("publisher_id", F.col("name").alias("publisher_name"))
     subj = t.subject.select(F.col("subject_id").alias("primary_subject_id"), F.col("name").alias("primary_subject"))
     rows = (core.join(pub, "publisher_id", "left")
             .join(V.book_authors(t), "isbn", "left").join(V.book_subjects(t), "isbn", "left")
-            .join(loaned, "isbn", "left").join(avail, "isbn", "left").join(subj, "primary_subject_id", "left")
+            .join(shelf, "isbn", "left").join(subj, "primary_subject_id", "left")
             .select("isbn", "title", "pub_year", "publisher_name", "authors", "subjects",
                     F.coalesce("times_loaned", F.lit(0).cast(BIG)).alias("times_loaned"),
                     F.coalesce("total_copies", F.lit(0).cast(BIG)).alias("total_copies"),
@@ -251,11 +258,15 @@ def d05_loans_segmented(t: Tables, as_of, status_filter: str = "ALL", limit: int
           .otherwise("CURRENT"))
     dur = days_between(F.coalesce(F.col("return_ts"), today.cast("timestamp_ntz")), F.to_date("loan_ts"))
     br = t.branch.select("branch_id", F.col("name").alias("branch_name"))
-    enriched = (t.loan.join(t.copy.select("copy_id", "barcode", "isbn", "branch_id"), "copy_id")
-                .join(t.book.select("isbn", "title"), "isbn").join(br, "branch_id")
-                .withColumn("status", st).withColumn("duration_days", dur))
-    per_patron = enriched.groupBy("patron_id").agg(exact_avg("duration_days").alias("avg_duration_per_patron"))
-    rows = (enriched.join(t.patron.select("patron_id", full_name().alias("patron_name")), "patron_id")
+    # copies with book and branch: the only loans that count are those of such copies
+    shelf = (t.copy.select("copy_id", "barcode", "isbn", "branch_id").join(t.book.select("isbn", "title"), "isbn")
+             .join(br, "branch_id").drop("branch_id"))
+    # the averages come from one row per (patron, copy), not from the loans joined to everything
+    use = t.loan.groupBy("patron_id", "copy_id").agg(F.count(F.lit(1)).alias("n"), F.sum(dur).alias("d"))
+    per_patron = use.join(shelf.select("copy_id"), "copy_id", "left_semi").groupBy("patron_id").agg(
+        exact_avg_from_sums(F.sum("d"), F.sum("n")).alias("avg_duration_per_patron"))
+    rows = (t.loan.withColumn("status", st).withColumn("duration_days", dur).join(shelf, "copy_id")
+            .join(t.patron.select("patron_id", full_name().alias("patron_name")), "patron_id")
             .join(per_patron, "patron_id", "left"))
     sf = status_filter.upper() if status_filter else "ALL"
     if sf in LOAN_STATUS_FILTERS and sf != "ALL":

@@ -150,3 +150,10 @@ def register_views(t: Tables, as_of) -> None:
     for name, fn in VIEWS.items():
         df = fn(t, as_of) if name in ("vw_overdue_loans", "vw_patron_loans_with_status") else fn(t)
         df.createOrReplaceTempView(name)
+
+
+def view_counts(t: Tables, as_of) -> DataFrame:
+    """Rows of every named view, asked through SQL on the registered names."""
+    register_views(t, as_of)
+    return t.patron.sparkSession.sql(" UNION ALL ".join(
+        f"SELECT '{name}' AS view_name, count(*) AS num_rows FROM {name}" for name in VIEWS))

@@ -22,6 +22,7 @@ from lendwise.sources.tables import Tables, conform, from_rows
 # Reference date of every registered query: one day after the last order date of the test data.
 AS_OF = dt.date(2001, 8, 2)
 RETURN_CUTOFF = "2001-08-01"
+NEVER_BORROWS = 1_000_000_000  # patron ids of suppliers start here
 
 
 def _raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,10 +74,10 @@ def project(spark: SparkSession, sf_dir: str) -> Tables:
     nation, region = _raw(spark, sf_dir, "nation"), _raw(spark, sf_dir, "region")
     part = _raw(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     customer = _raw(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    supplier = _raw(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    supplier = _raw(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     orders = _raw(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
-    lineitem = _raw(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    lineitem = _raw(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     events = _raw(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
 
     t = _dims(spark)
@@ -110,7 +111,7 @@ def project(spark: SparkSession, sf_dir: str) -> Tables:
     t["book"] = conform(part.select(
         _pad13(F.col("p_partkey")).alias("isbn"), F.col("p_name").alias("title"),
         brand_no.alias("publisher_id"), (F.lit(1990) + F.col("p_size") % 30).alias("pub_year")), "book")
-    t["bookauthor"] = conform(lineitem.filter(F.col("l_linenumber") == 1).select(
+    t["bookauthor"] = conform(lineitem.select(
         _pad13(F.col("l_partkey")).alias("isbn"), F.col("l_suppkey").alias("author_id")).distinct(), "bookauthor")
 
     copies = part.select("p_partkey", "p_size",
@@ -124,7 +125,7 @@ def project(spark: SparkSession, sf_dir: str) -> Tables:
 
     ck = F.col("c_custkey")
     seg = F.col("c_mktsegment")
-    t["patron"] = conform(customer.select(
+    borrowers = conform(customer.select(
         ck.alias("patron_id"), F.substring_index("c_name", "#", 1).alias("first_name"),
         F.substring_index("c_name", "#", -1).alias("last_name"),
         F.when(ck % 11 != 0, F.concat(F.lit("c"), ck.cast("string"), F.lit("@example.com"))).alias("email"),
@@ -133,18 +134,24 @@ def project(spark: SparkSession, sf_dir: str) -> Tables:
          .alias("patron_type"),
         F.when(ck % 13 != 0, F.col("c_nationkey")).alias("address_id"),
         ((ck % 500).cast("decimal(10,0)") * F.lit(Decimal("0.01"))).alias("balance")), "patron")
-
-    # one loan per order (orders of every tenth customer are left out so some patrons never borrow);
-    # the borrowed book is the smallest part key of the order, which skews loans toward low keys
-    first_part = lineitem.groupBy("l_orderkey").agg(F.min("l_partkey").alias("pk"))
-    src = (orders.filter(F.col("o_custkey") % 10 != 7)
-           .join(first_part, F.col("o_orderkey") == F.col("l_orderkey"))
-           .join(part.select("p_partkey", "p_size"), F.col("pk") == F.col("p_partkey")))
+    # suppliers place no orders: they are the patrons that never borrow
+    sk = F.col("s_suppkey")
+    t["patron"] = borrowers.unionAll(conform(supplier.select(
+        (sk + NEVER_BORROWS).alias("patron_id"), F.substring_index("s_name", "#", 1).alias("first_name"),
+        F.substring_index("s_name", "#", -1).alias("last_name"),
+        F.concat(F.lit("s"), sk.cast("string"), F.lit("@example.com")).alias("email"), F.lit("Staff").alias("patron_type"),
+        F.col("s_nationkey").alias("address_id"), F.lit(0).alias("balance")), "patron"))
+
+    # one loan per distinct (order, part): the line items are the fact table, every order takes part
+    lines = lineitem.select("l_orderkey", "l_partkey").distinct()
+    src = (orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+           .join(part.select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey")))
     ok = F.col("o_orderkey")
+    loan_id = ok * 1_000_000_000 + F.col("l_partkey")
     odate = _ts(F.col("o_orderdate"))
-    ret = odate + F.make_dt_interval(days=(ok % 30 + 1).cast("int"))
+    ret = odate + F.make_dt_interval(days=(loan_id % 30 + 1).cast("int"))
     src = src.select(
-        ok.alias("loan_id"), (F.col("pk") * 4 + ok % (F.col("p_size") % 4 + 1)).alias("copy_id"),
+        loan_id.alias("loan_id"), (F.col("l_partkey") * 4 + ok % (F.col("p_size") % 4 + 1)).alias("copy_id"),
         F.col("o_custkey").alias("patron_id"),
         (odate + F.make_dt_interval(hours=(ok % 24).cast("int"))).alias("loan_ts"),
         (odate + F.make_dt_interval(F.lit(14), F.lit(23), F.lit(59), F.lit(59))).alias("due_ts"),
@@ -154,7 +161,7 @@ def project(spark: SparkSession, sf_dir: str) -> Tables:
     t["loan"] = conform(src, "loan")
 
     pr = F.col("o_orderpriority")
-    t["fine"] = conform(src.filter(F.expr("loan_id div 4") % 5 == 0).select(
+    t["fine"] = conform(src.filter("return_ts > due_ts").select(  # a late return is fined
         F.col("loan_id").alias("fine_id"), "loan_id", "patron_id",
         F.when(pr.startswith("1"), 2).when(pr.startswith("5"), 3).otherwise(1).alias("reason_id"),
         (F.floor(F.col("o_totalprice") / 100).cast("decimal(18,0)") * F.lit(Decimal("0.01"))).alias("amount"),
@@ -163,12 +170,15 @@ def project(spark: SparkSession, sf_dir: str) -> Tables:
         F.col("due_ts").alias("created_at")), "fine")
 
     eid = F.col("event_id")
-    books = t["book"].select("isbn")
-    res_isbn = _pad13(F.when(eid % 2 == 0, eid % 200).otherwise(eid % 2000))
     et = F.col("event_type")
-    res = events.filter(et != "signup").withColumn("isbn", res_isbn).join(books, "isbn", "left_semi")
-    t["reservation"] = conform(res.select(
-        eid.alias("reservation_id"), F.col("user_id").alias("patron_id"), "isbn",
+    # events use the whole range of books; every second one the first tenth of it, so some books are in demand
+    span = part.agg(F.min("p_partkey").alias("part_min"), F.count(F.lit(1)).alias("part_n")).crossJoin(
+        supplier.agg(F.min("s_suppkey").alias("supp_min"), F.count(F.lit(1)).alias("supp_n")))  # one row
+    book_at = F.expr("part_min + event_id % CASE WHEN event_id % 2 = 0 THEN greatest(part_n div 10, 1) ELSE part_n END")
+    who = F.expr(f"CASE WHEN event_id % 10 = 7 THEN {NEVER_BORROWS} + supp_min + event_id % supp_n ELSE user_id END")
+    used = events.crossJoin(span).select("event_id", "ts", "event_type", who.alias("patron_id"), _pad13(book_at).alias("isbn"))
+    t["reservation"] = conform(used.filter(et != "signup").select(
+        eid.alias("reservation_id"), "patron_id", "isbn",
         (eid % 25).alias("branch_id"), _to_second(F.col("ts")).alias("created_at"),
         F.when(et == "view", "Active").when(et == "click", "Waiting").when(et == "purchase", "Fulfilled")
          .otherwise("Cancelled").alias("status")), "reservation")
@@ -180,10 +190,9 @@ def project(spark: SparkSession, sf_dir: str) -> Tables:
         F.when(eid % 8 != 0, start + F.make_dt_interval(mins=(eid % 90).cast("int"))).alias("end_time")),
         "accesssession")
 
-    ill = events.filter(et == "signup").withColumn("isbn", _pad13(eid % 200)).join(books, "isbn", "left_semi")
-    t["illrequest"] = conform(ill.select(
-        eid.alias("request_id"), F.col("user_id").alias("patron_id"), (eid % 6 + 1).alias("partner_id"), "isbn",
-        F.element_at(F.array(*[F.lit(s) for s in ("Requested", "Shipped", "Received", "Completed", "Cancelled")]),
+    t["illrequest"] = conform(used.filter(et == "signup").select(
+        eid.alias("request_id"), "patron_id", (eid % 6 + 1).alias("partner_id"), "isbn",
+        F.element_at(F.array(*[F.lit(x) for x in ("Requested", "Shipped", "Received", "Completed", "Cancelled")]),
                      (eid % 5 + 1).cast("int")).alias("status"),
         _to_second(F.col("ts")).alias("requested_at")), "illrequest")
 

@@ -51,6 +51,7 @@ def _t(name, cols, pk, unique=(), fks=(), defaults=None):
     return TableSpec(name, tuple(cols), tuple(pk), tuple(unique), tuple(fks), defaults or {})
 
 
+# The tables' columns, lengths, keys, references and defaults.
 TABLES: dict[str, TableSpec] = {t.name: t for t in [
     _t("address", [Col("address_id", ID), Col("street", STR, False, 120), Col("city", STR, False, 80),
                    Col("state", STR, True, 40), Col("postal_code", STR, True, 20), Col("country", STR, False, 80)],
@@ -125,4 +126,3 @@ RESERVATION_INACTIVE = ("Fulfilled", "Cancelled")
 RESERVATION_OPEN = ("Active", "Waiting")
 PATRON_TYPES = ("Student", "Faculty", "Staff", "Alumni", "Guest")
 PIVOT_TYPES = ("Student", "Faculty", "Staff", "Alumni")
-ILL_STATUSES = ("Requested", "Shipped", "Received", "Completed", "Cancelled")

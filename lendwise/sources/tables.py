@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lendwise.sources.schemas import TABLES
 
@@ -57,17 +58,49 @@ def conform(df: DataFrame, table: str, collation: str | None = None) -> DataFram
     return df.select(cols)
 
 
-def load_table(spark: SparkSession, table: str, path: str, fmt: str = "parquet",
-               options: Mapping[str, str] | None = None, collation: str | None = None) -> DataFrame:
-    """Read one table with its declared schema. ``fmt`` is any Spark source: parquet, orc, csv, json.
+TEXT_FORMATS = ("csv", "json", "xml")
 
-    For a remote database use ``load_jdbc``. Zone-less timestamps are read under the session time zone.
-    """
-    spec = TABLES[table]
-    reader = spark.read.schema(spec.schema).options(**(options or {}))
+
+def load_raw(spark: SparkSession, table: str, path: str, fmt: str = "csv",
+             options: Mapping[str, str] | None = None) -> DataFrame:
+    """A text source as it stands: every declared column as a string, nothing converted."""
+    schema = T.StructType([T.StructField(c.name, T.StringType()) for c in TABLES[table].columns])
+    reader = spark.read.schema(schema).options(**(options or {}))
     if fmt == "csv":
         reader = reader.option("header", "true")
-    return conform(reader.format(fmt).load(path), table, collation)
+    return reader.format(fmt).load(path)
+
+
+def split_convertible(raw: DataFrame, table: str, collation: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(typed rows whose every value converts to its declared type, quarantine: the other rows as text with ``bad``,
+    the names of the columns that do not convert)."""
+    names = [c.name for c in TABLES[table].columns]
+    bad = F.filter(F.array(*[F.when(F.col(c.name).isNotNull() & F.col(c.name).try_cast(c.dtype).isNull(), F.lit(c.name))
+                             for c in TABLES[table].columns]), lambda x: x.isNotNull())
+    marked = raw.select(*names, bad.alias("bad"))
+    return (conform(marked.filter(F.size("bad") == 0).select(*names), table, collation),
+            marked.filter(F.size("bad") > 0))
+
+
+def load_table(spark: SparkSession, table: str, path: str, fmt: str = "parquet", options: Mapping[str, str] | None = None,
+               collation: str | None = None, quarantine: str | None = None) -> DataFrame:
+    """Read one table with its declared schema. ``fmt`` is any Spark source: parquet, orc, csv, json.
+
+    Text sources are read as text and converted. A value that does not convert never becomes a silent NULL: with
+    ``quarantine`` its row is written to that folder (Parquet, with the names of the bad columns) and left out here,
+    without it reading the row raises an error. For a remote database use ``load_jdbc``.
+    """
+    if fmt not in TEXT_FORMATS:
+        return conform(spark.read.schema(TABLES[table].schema).options(**(options or {})).format(fmt).load(path), table, collation)
+    raw = load_raw(spark, table, path, fmt, options)
+    if quarantine is not None:
+        good, rejected = split_convertible(raw, table, collation)
+        rejected.write.mode("append").parquet(quarantine)
+        return good
+    checked = [F.when(F.col(c.name).isNotNull() & F.col(c.name).try_cast(c.dtype).isNull(), F.raise_error(F.concat(
+        F.lit(f"{table}.{c.name} is not a {c.dtype.simpleString()}: "), F.col(c.name))).cast(c.dtype)).otherwise(
+        F.col(c.name).try_cast(c.dtype)).alias(c.name) for c in TABLES[table].columns]
+    return conform(raw.select(*checked), table, collation)
 
 
 def load_jdbc(spark: SparkSession, table: str, url: str, properties: Mapping[str, str],

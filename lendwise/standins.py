@@ -1,19 +1,24 @@
 """Stand-in inputs for the registered admission and quality keys.
 
-They only cut the projected tables into 'already stored' and 'incoming' parts (by event time) or give an
-update its previous state; none of them does any of the rule's work.
+They cut the projected tables into 'already stored' and 'incoming' parts, give an update its previous state, and add
+rows that break the declared rules, chosen by key arithmetic; none of them does any of the rules' work.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lendwise.sources.schemas import TABLES
 from lendwise.sources.tables import Tables
 
 LOAN_SPLIT = "2000-01-01 00:00:00"
 EVENT_SPLIT = "2024-01-15 00:00:00"
 # sessions: an early cut, so the stored part holds few open sessions and the limits decide inside the batch
 SESSION_SPLIT = "2024-01-01 12:00:00"
+FAR = 5 * 10 ** 15  # added to a key: no stored row has it
+TWO_FAR = 6 * 10 ** 15
 
 
 def split_by_time(df, column: str, at: str):
@@ -21,19 +26,124 @@ def split_by_time(df, column: str, at: str):
     return df.filter(F.col(column) < cut), df.filter(F.col(column) >= cut)
 
 
+def _vary(df: DataFrame, key: str, changes: dict[int, tuple[str, Column]], every: int = 50) -> DataFrame:
+    """``df`` with a column replaced on the rows whose key has a given remainder."""
+    by_col: dict[str, Column] = {}
+    for remainder, (col, value) in changes.items():
+        old = by_col.get(col, F.col(col))
+        by_col[col] = F.when(F.col(key) % every == remainder, value).otherwise(old)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(*[by_col.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in df.columns])
+
+
+def loan_batch(t: Tables) -> DataFrame:
+    """Incoming loans; some are due a day before they start."""
+    late = split_by_time(t.loan, "loan_ts", LOAN_SPLIT)[1]
+    return _vary(late, "loan_id", {3: ("due_ts", F.col("loan_ts") - F.expr("INTERVAL 1 DAY"))})
+
+
 def loans_before_returns(t: Tables):
     """The loan table as it was before any return was recorded."""
     return t.loan.withColumn("return_ts", F.lit(None).cast("timestamp_ntz"))
 
 
+def loan_updates(t: Tables) -> DataFrame:
+    """The loans' new state; some change the copy or the patron, return before the loan, or name no stored loan."""
+    return _vary(t.loan, "loan_id", {
+        3: ("copy_id", F.col("copy_id") + 1), 7: ("patron_id", F.col("patron_id") + 1),
+        11: ("return_ts", F.col("loan_ts") - F.expr("INTERVAL 1 DAY")), 13: ("loan_id", F.col("loan_id") + FAR)})
+
+
+def fine_batch(t: Tables) -> DataFrame:
+    """Incoming fines; some name no loan, another patron, or no amount."""
+    return _vary(t.fine, "fine_id", {3: ("loan_id", F.col("loan_id") + FAR), 7: ("patron_id", F.col("patron_id") + 1),
+                                     11: ("amount", F.lit(0))})
+
+
 def sessions_before_end(t: Tables):
     return t.accesssession.withColumn("end_time", F.lit(None).cast("timestamp_ntz"))
 
 
+def session_updates(t: Tables) -> DataFrame:
+    """The sessions' new state; some end before they start or name no stored session."""
+    return _vary(t.accesssession, "session_id", {3: ("end_time", F.col("start_time") - F.expr("INTERVAL 1 HOUR")),
+                                                 7: ("session_id", F.col("session_id") + FAR)})
+
+
+def copy_batch(t: Tables) -> DataFrame:
+    """Copies, some with an empty barcode."""
+    return _vary(t.copy, "copy_id", {3: ("barcode", F.lit(""))})
+
+
+def patron_batch(t: Tables) -> DataFrame:
+    """Patrons, some of a type that is not known."""
+    return _vary(t.patron, "patron_id", {3: ("patron_type", F.lit("Visitor"))})
+
+
 def patron_registrations(t: Tables):
-    """Registration form rows (text address id, batch sequence) carrying the patrons' details."""
-    return t.patron.select("first_name", "last_name", "email", "patron_type",
-                           F.col("address_id").cast("string").alias("address_id"), F.col("patron_id").alias("seq"))
+    """Registration form rows (text address id, batch sequence) with the patrons' details: new e-mails but for every
+    tenth row; some lack a first name, have an address that is no number, unknown or blank, or share an e-mail."""
+    forms = t.patron.select("first_name", "last_name", "email", "patron_type",
+                            F.col("address_id").cast("string").alias("address_id"), F.col("patron_id").alias("seq"))
+    forms = forms.withColumn("email", F.when(F.col("seq") % 10 != 0, F.concat(F.lit("new-"), "email")).otherwise(F.col("email")))
+    return _vary(forms, "seq", {3: ("first_name", F.lit("")), 7: ("address_id", F.lit("x12")),
+                                11: ("address_id", F.lit("999999")), 13: ("address_id", F.lit("  ")),
+                                17: ("email", F.lit("shared@example.com"))})
+
+
+def row_number_of(table: str) -> Column:
+    """A number per row, from its key."""
+    pk = TABLES[table].pk
+    number = F.col(pk[0]).cast("bigint")
+    return number if len(pk) == 1 else number * 7 + F.col(pk[1])
+
+
+def with_violations(t: Tables) -> Tables:
+    """Every table with rows added that break its declarations. Of each five row numbers: one row again as it is; one
+    without its key; one under a new key whose references lead nowhere and whose texts are too long; one under a new
+    key with all else missing."""
+    return Tables({name: _broken(t[name], name) for name in TABLES})
+
+
+def _broken(df: DataFrame, name: str) -> DataFrame:
+    spec = TABLES[name]
+    number, refs = row_number_of(name), {c for c, _, _ in spec.fks}
+
+    def shifted(c, by: int) -> Column:
+        if isinstance(c.dtype, T.StringType):
+            # a new text key of the same length, or one character too long
+            return F.concat(F.lit("5"), F.substring(c.name, 2, 12)) if by == FAR else F.concat(F.lit("6"), F.col(c.name))
+        return F.col(c.name) + by
+
+    def far(c) -> Column:
+        if c.name in spec.pk or c.name in refs:
+            return shifted(c, FAR)
+        return F.rpad(F.col(c.name), c.max_len + 1, "x") if c.max_len else F.col(c.name)
+
+    kinds = {1: {}, 2: {spec.pk[0]: F.lit(None)}, 3: {c.name: far(c) for c in spec.columns},
+             4: {c.name: shifted(c, TWO_FAR) if c.name in spec.pk else F.lit(None) for c in spec.columns}}
+    out = df
+    for remainder, change in kinds.items():
+        rows = df.filter(number % 5 == remainder)
+        out = out.unionAll(rows.select(*[change.get(c.name, F.col(c.name)).cast(c.dtype).alias(c.name) for c in spec.columns]))
+    return out
+
+
+def raw_rows(t: Tables) -> Tables:
+    """The tables with violations as raw text, as a file would hold them: some amounts are out of range or no number,
+    some whole numbers are words."""
+    out = {}
+    for name, df in with_violations(t).items():
+        cols = []
+        for c in TABLES[name].columns:
+            text = F.col(c.name).cast("string")
+            if c.dtype.simpleString() == "decimal(8,2)":
+                text = F.when(row_number_of(name) % 7 == 3, "12345678.90").when(row_number_of(name) % 7 == 5, "abc").otherwise(text)
+            elif isinstance(c.dtype, T.IntegerType):
+                text = F.when(row_number_of(name) % 7 == 3, "many").otherwise(text)
+            cols.append(text.alias(c.name))
+        out[name] = df.select(*cols)
+    return Tables(out)
 
 
 def license_batch(t: Tables, variant: int = 0):

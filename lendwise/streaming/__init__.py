@@ -22,36 +22,44 @@ from lendwise.sources.schemas import TABLES
 RULES: dict[str, tuple[str, Callable[..., DataFrame]]] = {
     "loan": ("loan", lambda batch, existing, **kw: A.t01_admit_loans(batch, existing)),
     "reservation": ("reservation", lambda batch, existing, **kw: A.t04_admit_reservations(batch, existing)),
-    "accesssession": ("accesssession", lambda batch, existing, eresource=None, license_=None, now=None, **kw:
+    "accesssession": ("accesssession", lambda batch, existing, eresource, license_, now, **kw:
                       A.t05_admit_sessions(batch, eresource, license_, existing, now=now)),
 }
 
 
 def _read_state(spark: SparkSession, path: str, table: str, before_batch: int,
                 base: DataFrame | None) -> DataFrame:
+    """Rows accepted before this batch. Rows written without a batch id (by a batch append) are older than any batch.
+    A missing folder means no state only before the first batch; later it is an error."""
     cols = [c.name for c in TABLES[table].columns]
     try:
         state = (spark.read.schema(TABLES[table].schema.add("batch_id", "long")).parquet(path)
-                 .filter(F.col("batch_id") < before_batch).select(*cols))
-    except AnalysisException:
+                 .filter(F.col("batch_id").isNull() | (F.col("batch_id") < before_batch)).select(*cols))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND" or before_batch > 0:
+            raise
         state = spark.createDataFrame([], TABLES[table].schema)
     return state if base is None else base.select(*cols).unionByName(state)
 
 
 def admission_batch_writer(table: str, table_path: str, quarantine_path: str, base: DataFrame | None = None,
                            **rule_kwargs) -> Callable[[DataFrame, int], None]:
-    """The ``foreachBatch`` function: admit one micro-batch against the accepted state and write both sides."""
+    """The ``foreachBatch`` function: admit one micro-batch against the accepted state and write both sides. The
+    decision is computed once and kept until both are written."""
     name, rule = RULES[table]
     cols = [c.name for c in TABLES[name].columns]
 
     def process(batch_df: DataFrame, batch_id: int) -> None:
         spark = batch_df.sparkSession
         existing = _read_state(spark, table_path, name, batch_id, base)
-        decided = rule(batch_df.select(*cols), existing, **rule_kwargs)
-        (decided.filter("accepted").select(*cols).write.mode("overwrite")
-         .parquet(f"{table_path}/batch_id={batch_id}"))
-        (decided.filter("NOT accepted").write.mode("overwrite")
-         .parquet(f"{quarantine_path}/batch_id={batch_id}"))
+        decided = rule(batch_df.select(*cols), existing, **rule_kwargs).persist()
+        try:
+            (decided.filter("accepted").select(*cols).write.mode("overwrite")
+             .parquet(f"{table_path}/batch_id={batch_id}"))
+            (decided.filter("NOT accepted").write.mode("overwrite")
+             .parquet(f"{quarantine_path}/batch_id={batch_id}"))
+        finally:
+            decided.unpersist()
 
     return process
 

@@ -79,7 +79,7 @@ def test_sessions_equal_sequential(spark, seed):
                                        (2, 1, dt.date(2001, 1, 1), dt.date(2002, 1, 1), 3),
                                        (3, 1, dt.date(2001, 1, 1), dt.date(2002, 1, 1), 2)])
     got = A.t05_admit_sessions(from_rows(spark, "accesssession", batch), eres, lic,
-                               from_rows(spark, "accesssession", existing))
+                               from_rows(spark, "accesssession", existing), now=base)
     assert {r["session_id"]: r["reason"] for r in got.collect()} == _sequential_sessions(
         existing, batch, {1: 1, 2: 3, 3: 2})
 
@@ -136,8 +136,37 @@ def test_reservation_and_session_splits_are_stable(projected):
     assert res.count() == projected.reservation.count()
     again = A.t04_admit_reservations(res.filter("accepted").select(*projected.reservation.columns))
     assert again.filter(~F.col("accepted")).count() == 0
-    ses = A.t05_admit_sessions(projected.accesssession, projected.eresource, projected.license)
+    ses = A.t05_admit_sessions(projected.accesssession, projected.eresource, projected.license, now="2024-02-01")
     assert ses.count() == projected.accesssession.count()
     again = A.t05_admit_sessions(ses.filter("accepted").select(*projected.accesssession.columns),
-                                 projected.eresource, projected.license)
+                                 projected.eresource, projected.license, now="2024-02-01")
     assert again.filter(~F.col("accepted")).count() == 0
+
+
+def test_patron_registration_reasons(spark):
+    from decimal import Decimal
+
+    existing = from_rows(spark, "patron", [(5, "A", "B", "a@x", "Student", None, Decimal("0"))])
+    address = from_rows(spark, "address", [(4, "s", "c", None, None, "l")])
+    rows = [("C", "D", "n@x", "Staff", "4", 1), ("C", "D", "n@x", "Staff", "4", 2), ("C", "D", "a@x", "Staff", " ", 3),
+            ("C", "D", None, "Staff", "x4", 4), ("C", "D", None, "Staff", "9", 5), ("C", "", "m@x", "Staff", None, 6),
+            ("C", "D", "m@x", "Staff", None, 7)]
+    batch = spark.createDataFrame(rows, "first_name string, last_name string, email string, patron_type string, "
+                                        "address_id string, seq long")
+    got = {r["seq"]: (r["patron_id"], r["reason"]) for r in A.k02_append_patrons(existing, batch, address).collect()}
+    assert got == {1: (6, None), 2: (None, A.MSG_EMAIL_USED), 3: (None, A.MSG_EMAIL_USED), 4: (None, A.MSG_ADDRESS_TEXT),
+                   5: (None, A.MSG_ADDRESS_UNKNOWN), 6: (None, A.MSG_PATRON_MISSING), 7: (7, None)}
+
+
+def test_missing_start_time_becomes_now(spark):
+    from pyspark.sql import types as T
+
+    from lendwise.sources.schemas import TABLES
+
+    loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in TABLES["accesssession"].schema.fields])
+    batch = spark.createDataFrame([(1, 1, 1, None, None)], loose)
+    eres, lic = from_rows(spark, "eresource", []), from_rows(spark, "license", [])
+    now = dt.datetime(2001, 1, 1)
+    assert A.t05_admit_sessions(batch, eres, lic, now=now).first()["start_time"] == now
+    with pytest.raises(TypeError):
+        A.t05_admit_sessions(batch, eres, lic)

@@ -22,24 +22,12 @@ def test_entry_runs(spark):
 def test_queries_and_oracles_line_up():
     mod = _entry_module()
     q, o = mod.queries(), mod.oracle_sql()
-    assert set(q) == set(REGISTRY)
+    assert set(REGISTRY) <= set(q)
     assert set(o) <= set(q)
     assert all(sql.lstrip().upper().startswith(("WITH", "SELECT")) for sql in o.values())
 
 
-def test_comparison_form_matches_oracle_casts(projected):
-    from pyspark.sql import types as T
-
-    from lendwise import oracle
-
-    for key, fn in REGISTRY.items():
-        schema = fn(projected).schema
-        num = [f.name for f in schema.fields if isinstance(f.dataType, T.NumericType)]
-        dat = [f.name for f in schema.fields if isinstance(f.dataType, T.DateType)]
-        assert oracle.COMPARISON_CASTS.get(key, ([], [])) == (num, dat), key
-
-
-def test_entry_keys_match_in_comparison_form(spark, duck):
+def test_entry_keys_match_in_native_types(spark, duck):
     from compare import compare
     from conftest import SMALL_SF
 

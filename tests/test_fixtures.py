@@ -4,6 +4,8 @@ import datetime as dt
 from decimal import Decimal
 
 from fixtures import AS_OF, fixture_tables
+import pytest
+
 from lendwise.operators import queries as Q
 from lendwise.operators import reports as R
 from lendwise.operators import views as V
@@ -109,8 +111,7 @@ def test_dashboard_literal_and_intent(spark):
 def test_empty_tables(spark):
     t = fixture_tables(spark, empty=True)
     row = R.d01_dashboard_summary(t, AS_OF).first()
-    assert row["total_books"] is None or row["total_books"] == 0
-    assert row["total_loans"] == 0
+    assert row["total_books"] == row["total_patrons"] == row["total_loans"] == 0
     assert Q.q10_popular_books(t).count() == 0
     assert R.d02_overdue_risk(t, AS_OF).count() == 0
 
@@ -245,6 +246,49 @@ def test_text_formats_round_trip(spark):
             assert back[name].count() == t[name].count()
 
 
+def test_text_values_that_do_not_convert(spark, tmp_path):
+    from lendwise.operators import quality as C
+    from lendwise.sources.tables import load_raw, load_table
+
+    (tmp_path / "p.csv").write_text("patron_id,first_name,last_name,email,patron_type,address_id,balance\n"
+                                    "1,A,B,,Staff,,1.00\n2,A,B,,Staff,,12345678.90\n3,A,B,,Staff,,abc\nx,A,B,,Staff,,2.00\n")
+    path, away = str(tmp_path / "p.csv"), str(tmp_path / "away")
+    good = load_table(spark, "patron", path, "csv", quarantine=away)
+    assert [r["patron_id"] for r in good.collect()] == [1]
+    assert sorted((r["patron_id"], tuple(r["bad"])) for r in spark.read.parquet(away).collect()) == [
+        ("2", ("balance",)), ("3", ("balance",)), ("x", ("patron_id",))]
+    with pytest.raises(Exception, match="patron.balance is not a decimal|patron.patron_id is not a bigint"):
+        load_table(spark, "patron", path, "csv").collect()
+    t = fixture_tables(spark)
+    raw = {n: df.select(*[df[c].cast("string").alias(c) for c in df.columns]) for n, df in t.items()}
+    rows = C.c08_type_conformance(t.replace(**raw | {"patron": load_raw(spark, "patron", path)})).collect()
+    bad = {(r["table_name"], r["column_name"]): r["violations"] for r in rows}
+    assert bad["patron", "balance"] == 2 and bad["patron", "patron_id"] == 1
+
+
+def test_empty_string_in_a_list_is_kept(spark):
+    from lendwise.functions import ordered_distinct_concat
+
+    df = spark.createDataFrame([(1, ""), (2, None)], "k int, v string")
+    assert {r["k"]: r["s"] for r in df.groupBy("k").agg(ordered_distinct_concat("v").alias("s")).collect()} == {1: "", 2: None}
+
+
+def test_every_rule_is_broken_by_the_registered_inputs(projected):
+    """The reject paths of the registered keys are exercised: every declared kind of violation occurs."""
+    from lendwise.catalog import REGISTRY
+
+    for key, col in (("c01_pk_violations", "duplicate_keys"), ("c01_pk_violations", "null_keys"), ("c02_composite_pk", "duplicate_keys"),
+                     ("c04_unique_violations", "duplicate_values"), ("c05_isbn_length", "violations")):
+        assert REGISTRY[key](projected).filter(f"{col} = 0").count() == 0, (key, col)
+    assert REGISTRY["c03_fk_orphans"](projected).filter("orphan_rows > 0").count() >= 20
+    assert REGISTRY["c06_not_null"](projected).filter("null_rows = 0").count() <= 3  # second parts of keys
+    assert REGISTRY["c08_type_conformance"](projected).filter("violations > 0 AND rule = 'decimal(8,2)'").count() == 2
+    want = {"t01_admit_loans": 2, "t02_validate_loan_updates": 4, "t03_admit_fines": 4, "t04_admit_reservations": 1, "t05_admit_sessions": 1,
+            "t06_validate_session_updates": 2, "t07_copy_barcode": 1, "k02_append_patrons": 4}
+    for key, reasons in want.items():
+        assert REGISTRY[key](projected).filter("NOT accepted").select("reason").distinct().count() == reasons, key
+
+
 def test_bucketed_tables_join_without_shuffle(spark, projected):
     from lendwise.operators import queries as Q
     from lendwise.plans import physical_plan

@@ -1,4 +1,4 @@
-"""Exact co-occurrence pairs against brute force, with the heavy-item path forced on."""
+"""Exact co-occurrence pairs against brute force, with items split into many blocks and into one."""
 
 import itertools
 import random
@@ -36,5 +36,17 @@ def test_pairs_match_brute_force(spark, k, threshold):
     links = _links()
     df = spark.createDataFrame(links, "m long, i long")
     got = {(r["member1"], r["member2"]): r["shared"]
-           for r in shared_item_pairs(df, "m", "i", k, heavy_threshold=threshold).collect()}
+           for r in shared_item_pairs(df, "m", "i", k, block=threshold).collect()}
     assert got == _brute(links, k)
+
+
+def test_no_join_key_holds_a_whole_item(spark):
+    """One item of 5,000 members: its links are dealt over block pairs of bounded size, none holds the item."""
+    from pyspark.sql import functions as F
+
+    from lendwise.operators.pairs import blocked_links
+
+    df = spark.range(5000).select(F.col("id").alias("m"), F.lit(1).alias("i"))
+    for side in blocked_links(df, "m", "i", 256):
+        sizes = side.groupBy("i", "p", "q").count().agg(F.max("count"), F.count(F.lit(1))).first()
+        assert sizes[0] < 2 * 256 and sizes[1] == 20 * 21 // 2

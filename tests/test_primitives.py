@@ -21,7 +21,7 @@ PRIMITIVES = {
     "J-03 left join after right-side filter": ("d03_book_catalog", "LeftOuter"),
     "J-04 cross join of one row": ("q11_above_avg_copies", "NestedLoopJoin"),
     "J-05 USING join": ("q12_fine_rank", "Join"),
-    "J-06 self join with theta": ("q30_coauthors", "(m#"),
+    "J-06 self join with theta": ("q30_coauthors", "(x#"),
     "J-07 equi + range join (as a suffix sum over months)": ("q24_consecutive_months", "tail_loans"),
     "J-08 semi join": ("q27_borrowed_by_both", "LeftSemi"),
     "J-09 anti join": ("q17_never_loaned_copies", "LeftAnti"),
@@ -49,7 +49,8 @@ PRIMITIVES = {
     "W-06 LAG on an aggregate": ("q21_monthly_running", "lag("),
     "W-07 running SUM": ("d06_monthly_trends", "sum(total_loans"),
     "W-08 whole-set SUM": ("q21_monthly_running", "all_loans"),
-    "W-10 aggregate over partition": ("q22_subject_patterns", "Window"),
+    "W-09 FIRST/LAST_VALUE": ("w09_first_last_value", "last("),
+    "W-10 COUNT OVER": ("w09_first_last_value", "count(loan_id"),
     "W-11 window over grouped aggregate": ("q21_monthly_running", "Window"),
     "O-01 multi-key ORDER BY": ("q05_patron_fines", "Sort"),
     "O-03 top-k": ("q09_top_patrons", "TakeOrderedAndProject"),

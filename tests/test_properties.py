@@ -26,7 +26,7 @@ def test_pairs_property(spark, links, k, threshold):
     want = {p: n for p, n in c.items() if n >= k}
     df = spark.createDataFrame(sorted(links), "m long, i long")
     got = {(r["member1"], r["member2"]): r["shared"]
-           for r in shared_item_pairs(df, "m", "i", k, heavy_threshold=threshold).collect()}
+           for r in shared_item_pairs(df, "m", "i", k, block=threshold).collect()}
     assert got == want
 
 

@@ -37,7 +37,7 @@ def test_rank_within_matches_window(spark, partition, desc):
     assert want.exceptAll(got).count() == 0
 
 
-def test_global_rank_plan_has_no_single_partition_window_on_rows(spark):
+def test_global_rank_plan_has_no_cartesian_product(spark):
     df = _data(spark)
     got = rank_within(df, [], [("s", True)], rank="rk")
     plan = got._jdf.queryExecution().executedPlan().toString()

@@ -61,8 +61,28 @@ def test_session_stream_equals_batch(spark, projected):
     stream = (spark.readStream.schema(TABLES["accesssession"].schema).option("maxFilesPerTrigger", 1)
               .parquet(f"{root}/src"))
     q = start_admission_stream(stream, "accesssession", f"{root}/table", f"{root}/quarantine", f"{root}/ckpt",
-                               eresource=projected.eresource, license_=projected.license)
+                               eresource=projected.eresource, license_=projected.license, now="2024-02-01")
     q.awaitTermination(300)
     accepted = spark.read.parquet(f"{root}/table").select("session_id")
-    want = t05_admit_sessions(ses, projected.eresource, projected.license).filter("accepted").select("session_id")
+    want = t05_admit_sessions(ses, projected.eresource, projected.license, now="2024-02-01").filter("accepted").select("session_id")
     assert accepted.exceptAll(want).count() == 0 and want.exceptAll(accepted).count() == 0
+
+
+def test_state_without_batch_ids_and_missing_state(spark, projected):
+    """Rows appended by a batch job count as state; a state folder that has gone is an error after the first batch."""
+    import datetime as dt
+
+    import pytest
+
+    from lendwise.sources.tables import from_rows
+    from lendwise.streaming import admission_batch_writer
+
+    root = tempfile.mkdtemp(prefix="lendwise-stream-b-")
+    at = dt.datetime(2001, 1, 1)
+    from_rows(spark, "loan", [(1, 7, 1, at, at + dt.timedelta(days=9), None)]).write.parquet(f"{root}/table")
+    batch = from_rows(spark, "loan", [(2, 7, 1, at + dt.timedelta(days=1), at + dt.timedelta(days=9), None)])
+    admission_batch_writer("loan", f"{root}/table", f"{root}/away")(batch, 0)
+    assert [r["loan_id"] for r in spark.read.parquet(f"{root}/away").collect()] == [2]
+    admission_batch_writer("loan", f"{root}/fresh", f"{root}/away2")(batch, 0)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        admission_batch_writer("loan", f"{root}/nowhere", f"{root}/away3")(batch, 1)
