@@ -120,6 +120,10 @@ class PrefixCounter:
         # tokens by number, and their hashes in order, to look up many byte strings at once
         self.tokens = list(self.vocab)
         self.number = {t: k for k, t in enumerate(self.tokens)}
+        # (rank, left, right) of the one merge that makes a token; single bytes have none
+        made = {self.number[a + b]: (k, self.number[a], self.number[b]) for (a, b), k in self.rank.items()}
+        self.made = [made.get(k, (-1, -1, -1)) for k in range(len(self.tokens))] if len(made) == len(self.rank) else []
+        self.cross = {self.number[a] << 32 | self.number[b]: k for (a, b), k in self.rank.items()}
         hashes = np.array([self._hash(t) for t in self.tokens], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.order = hashes[order], order
@@ -158,13 +162,30 @@ class PrefixCounter:
             ok = self.alone[piece] = piece in self.vocab and self._merge(piece) == [piece]
         return ok
 
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether BPE, having made tokens a and b side by side, never merges across their border. Merges are undone
+        from the latest back; a pair across the border that ranks before the merge just undone would have been merged
+        first. Of equal merges BPE takes the left one first."""
+        cross, made, limit = self.cross, self.made, 1 << 60
+        while True:
+            rank = cross.get(a << 32 | b)
+            if rank is not None and rank < limit:
+                return False
+            late_a, late_b = made[a][0], made[b][0]
+            if late_a < 0 and late_b < 0:
+                return True
+            if late_a > late_b:
+                limit, a = late_a, made[a][2]
+            else:
+                limit, b = late_b + 1, made[b][1]
+
     def _joins(self, a: int, b: int) -> bool:
         """Whether BPE leaves tokens a and b side by side."""
         key = a << 32 | b
         ok = self.joins.get(key)
         if ok is None:
             x, y = self.tokens[a], self.tokens[b]
-            ok = self.joins[key] = self._is_token(y) and self._merge(x + y) == [x, y]
+            ok = self.joins[key] = self._is_token(y) and (self._apart(a, b) if self.made else self._merge(x + y) == [x, y])
         return ok
 
     def _bytes(self, word: bytes) -> list[int]:
