@@ -9,8 +9,9 @@ active reservation per patron/book/branch, concurrent sessions per resource) the
 where ``prior_active`` counts the earlier batch rows (batch order = event time, then id) of the same key that
 are active and pass the row-local checks. Counting raw rather than accepted predecessors is exact: while the
 count is below the limit every earlier active row was accepted, and once it reaches the limit every later row
-is rejected. ``prior_active`` is a per-key running count computed by ``ranking.prefix_counts`` (range
-partitioned, no hot window partition), ``existing_active`` an aggregate of the target table joined on the key.
+is rejected. With a limit of one, ``prior_active`` is zero exactly up to the key's first active row, a minimum per key;
+for larger limits it is a per-key running count computed by ``ranking.prefix_counts`` (range partitioned, no hot window
+partition). ``existing_active`` is an aggregate of the target table joined on the key.
 The reference aborts the statement on the first violation; here the default is quarantine with a reason and
 ``strict=True`` raises instead.
 """
@@ -80,6 +81,21 @@ def _limited(batch: DataFrame, key: Sequence[str], order_by: Sequence[tuple[str,
     return b.withColumn("_over", F.coalesce(limit.isNotNull() & (used >= limit), F.lit(False)))
 
 
+def _single(batch: DataFrame, key: Sequence[str], order_by: Sequence[str], active: Column, local_fail: Column,
+            existing_active: DataFrame) -> DataFrame:
+    """``_limited`` for a limit of one: a row is over if the key is in use already or the row comes after the key's
+    first active batch row. That row is a minimum per key, so a hot key collapses map-side and nothing is ranked."""
+    key_ok = F.lit(True)
+    for k in key:
+        key_ok = key_ok & F.col(k).isNotNull()
+    place = F.struct(*[F.col(c) for c in order_by])
+    b = batch.withColumn("_local_fail", F.coalesce(local_fail, F.lit(False)))
+    first = b.filter(key_ok & F.coalesce(active, F.lit(False)) & ~F.col("_local_fail")).groupBy(*key).agg(
+        F.min(place).alias("_first"))
+    b = b.join(first, list(key), "left").join(existing_active, list(key), "left")
+    return b.withColumn("_over", F.coalesce(F.col("_existing") >= 1, F.lit(False)) | F.coalesce(place > F.col("_first"), F.lit(False)))
+
+
 def _existing_counts(existing: DataFrame | None, key: Sequence[str], active: Column,
                      template: DataFrame) -> DataFrame:
     src = existing if existing is not None else template.limit(0)
@@ -94,8 +110,7 @@ def t01_admit_loans(batch: DataFrame, existing: DataFrame | None = None, strict:
     cols = batch.columns
     active = F.col("return_ts").isNull()
     ex = _existing_counts(existing, ["copy_id"], active, batch)
-    b = _limited(batch, ["copy_id"], [("loan_ts", False), ("loan_id", False)], active,
-                 F.col("due_ts") <= F.col("loan_ts"), ex, F.lit(1))
+    b = _single(batch, ["copy_id"], ["loan_ts", "loan_id"], active, F.col("due_ts") <= F.col("loan_ts"), ex)
     reason = F.when(F.col("_over"), MSG_COPY_ON_LOAN).when(F.col("_local_fail"), MSG_LOAN_DATES)
     return _finish(b, reason, cols, strict)
 
@@ -133,7 +148,7 @@ def t04_admit_reservations(batch: DataFrame, existing: DataFrame | None = None,
     key = ["patron_id", "isbn", "branch_id"]
     active = ~F.col("status").isin(*RESERVATION_INACTIVE)
     ex = _existing_counts(existing, key, active, batch)
-    b = _limited(batch, key, [("created_at", False), ("reservation_id", False)], active, F.lit(False), ex, F.lit(1))
+    b = _single(batch, key, ["created_at", "reservation_id"], active, F.lit(False), ex)
     return _finish(b, F.when(F.col("_over"), MSG_RESERVATION), batch.columns, strict)
 
 
