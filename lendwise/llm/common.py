@@ -48,6 +48,16 @@ def text_key(c: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(c, F.lit("")).cast("binary")))
 
 
+def hashed_sample(df: DataFrame, column: str, n: int) -> DataFrame:
+    """About ``n`` rows, those whose hash of ``column`` lies below a share of the hash space; all rows if there are no
+    more than ``n``. A filter, so no task gathers a sorted prefix of every other task; rows that repeat one value are
+    in or out together, and 2 n is the most that is returned."""
+    total = df.count()
+    if total <= n:
+        return df
+    return df.filter(F.pmod(F.xxhash64(column), F.lit(1 << 32)) < int((1 << 32) * n / total)).limit(2 * n)
+
+
 def held_out(c: Column) -> Column:
     """crc32(doc_id as text) mod 5 = 0; a null id is neither held out nor learned from."""
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -7,7 +7,7 @@ the tasks, is bounded whatever the corpus. Per order it stores a sorted array of
 their interpolated log probabilities; contexts are stored likewise with their back-off weights.
 
 A text gets the language of the lowest cross-entropy per character. It is rejected if it has no letter, or if its
-cross-entropy lies far above what texts of that language and length have: the limit is calibrated on at most
+cross-entropy lies far above what texts of that language and length have: the limit is calibrated on about
 ``CALIBRATION_ROWS`` learnable documents (those with the smallest hash of their id).
 
 Cases: a null text, or one without a letter, is ``und`` with score 0, rejected; ties go to the first language in
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lendwise.llm.common import held_out, learnable, materialize
+from lendwise.llm.common import hashed_sample, held_out, learnable, materialize
 
 ORDER = 4
 MAX_PAIRS = 1 << 20
@@ -286,7 +286,7 @@ def train(documents: DataFrame, max_pairs: int = MAX_PAIRS, calibration_rows: in
     model = build(per)
     if not per:
         return model
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
+    sample = hashed_sample(rows, "doc_id", calibration_rows)
     seen = identify(sample.select("lang", "text"), model).filter("__chars > 0 AND __lang_pred = lang").select(
         "lang", "__bits", "__chars").toArrow()
     who, bits = np.array(seen.column(0).to_pylist(), dtype=object), seen.column(1).to_numpy()
