@@ -3,7 +3,7 @@ character count. Pairwise interactions have rank ``RANK`` and are scored in time
 
     sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f [ (sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2 ].
 
-It is fitted on at most ``TRAIN_ROWS`` labelled, learnable documents (those with the smallest hash of their id), whose
+It is fitted on about ``TRAIN_ROWS`` (at most twice as many) labelled, learnable documents (those with the smallest hash of their id), whose
 features go to the driver; every document is then scored in tasks. Labels, language, source and id are never features.
 
 Cases: a null text is empty and gets the score of an empty text; a null or wrong n_chars only sets its own feature;
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendwise.llm.common import held_out, learnable
+from lendwise.llm.common import hashed_sample, held_out, learnable
 
 TRAIN_ROWS = 8192
 BUCKETS = 1 << 13
@@ -151,8 +151,8 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
     """Model from a bounded sample of the labelled learnable documents."""
     known = labels.filter(learnable(F.col("doc_id")) & F.col("quality").isin(0, 1)).select(
         "doc_id", F.col("quality").cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows)
-    rows = documents.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id")  # at most train_rows rows
+    chosen = hashed_sample(known, "doc_id", train_rows)
+    rows = documents.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id")  # at most 2 * train_rows rows
     rows = rows.select("text", F.col("n_chars").cast("long"), "label", F.xxhash64("doc_id").alias("place"))
     table = rows.mapInArrow(_featured, "bucket array<int>, weight array<float>, stats array<double>, label int, place long")
     got = table.toArrow().sort_by([("place", "ascending"), ("label", "ascending")])
