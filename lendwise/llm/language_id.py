@@ -31,6 +31,8 @@ ORDER = 4
 MAX_PAIRS = 1 << 20
 MAX_CELLS = 1 << 23  # n-grams times languages in the model
 CALIBRATION_ROWS = 4096
+FAR_ABOVE = 1.5      # a rejected text's cross-entropy is at least so many times its language's; texts in two of the
+# learned languages stay below that
 CHUNK = 1 << 20      # characters handled at once in a task
 SPACE = 32
 
@@ -239,7 +241,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 rejected = ~some
                 if m.limits is not None:
                     mean, sd, z = m.limits[best].T
-                    rejected |= low > mean + z * sd * _spread(n)
+                    rejected |= low > np.maximum(mean + z * sd * _spread(n), FAR_ABOVE * mean)
                 names = np.array(m.langs, dtype=object)[best]
                 names[~some] = "und"
             else:
