@@ -1,10 +1,11 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Texts are lower-cased letters with single spaces between words. All learnable documents are counted: tasks count the
-4-grams of their own rows, Spark adds the counts up. The model keeps at most ``MAX_PAIRS`` (language, 4-gram) counts,
-the most frequent ones, and derives the lower orders' continuation counts from them, so its size, and what is sent to
-the tasks, is bounded whatever the corpus. Per order it stores a sorted array of packed n-grams and, per language,
-their interpolated log probabilities; contexts are stored likewise with their back-off weights.
+4-grams of their own rows, Spark adds the counts up, and every count is kept. Up to ``MAX_PAIRS`` (language, 4-gram)
+counts and ``MAX_CELLS`` cells the tasks hold the model: per order a sorted array of packed n-grams and, per language,
+their interpolated log probabilities; contexts likewise with their back-off weights. A larger model stays in written
+tables that Spark computes from all counts, and batches of texts are joined with the terms of their own n-grams; both
+forms give the same probabilities (the tasks' arrays in single precision).
 
 A text gets the language of the lowest cross-entropy per character. It is rejected if it has no letter, or if its
 cross-entropy lies far above what texts of that language and length have: the limit is calibrated on about
@@ -25,16 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lendwise.llm.common import hashed_sample, held_out, learnable, materialize
+from lendwise.llm.common import hashed_sample, held_out, learnable, materialize, text_key
 
 ORDER = 4
 MAX_PAIRS = 1 << 20
-MAX_CELLS = 1 << 23  # n-grams times languages in the model
+MAX_CELLS = 1 << 23  # n-grams times languages in a model that tasks hold
 CALIBRATION_ROWS = 4096
 FAR_ABOVE = 1.5      # a rejected text's cross-entropy is at least so many times its language's; texts in two of the
 # learned languages stay below that
+BATCH = 1 << 22      # bytes of text that are scored together against written tables
 CHUNK = 1 << 20      # characters handled at once in a task
 SPACE = 32
+SCORES = ["__lang_pred", "__score", "__bits", "__chars"]
 
 
 def letter_table() -> np.ndarray:
@@ -132,7 +135,6 @@ class Model:
     contexts: list[np.ndarray]
     weights: list[np.ndarray]
     unseen: np.ndarray
-    limits: np.ndarray | None = None
 
 
 def _lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -215,69 +217,189 @@ def score(texts, model: Model, table: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return bits, n
 
 
-def _spread(n: np.ndarray) -> np.ndarray:
-    """Cross-entropies of short texts scatter more."""
-    return np.sqrt(1 + 200 / np.maximum(n, 1))
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (any columns, with text) plus __lang_pred, __score, __bits (cross-entropy per character), __chars and
-    __rejected."""
+def _verdicts(bits: np.ndarray, n: np.ndarray, langs: list[str]) -> list[pa.Array]:
+    """(language, score, cross-entropy, characters) per text from its bits in every language."""
+    some = n > 0
+    if langs:
+        entropy = bits / np.maximum(n, 1)[:, None]
+        best = entropy.argmin(1)
+        low = entropy[np.arange(len(n)), best]
+        gap = (entropy - low[:, None]) * np.minimum(n, 64)[:, None]
+        sure = np.where(some, 1 / np.exp2(-gap).sum(1), 0.0)
+        names = np.array(langs, dtype=object)[best]
+        names[~some] = "und"
+    else:
+        low, sure = np.zeros(len(n)), np.zeros(len(n))
+        names = np.array(["und"] * len(n), dtype=object)
+    return [pa.array(list(names), pa.string()), pa.array(sure), pa.array(low), pa.array(n)]
+
+
+def scored(docs: DataFrame, model: Model | Tables, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs`` (which has text) plus __lang_pred, __score, __bits (cross-entropy per character) and
+    __chars; the score is 0 only for texts without language."""
+    if isinstance(model, Tables):
+        return _scored_by_join(docs, model, columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    where = docs.columns.index("text")
+    docs = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("__text"))
 
     def task(batches):
         m, table = shared.value, letter_table()
         for batch in batches:
-            texts = batch.column(where).to_pylist()
-            bits, n = score(texts, m, table)
-            some = n > 0
-            if m.langs:
-                entropy = bits / np.maximum(n, 1)[:, None]
-                best = entropy.argmin(1)
-                low = entropy[np.arange(len(n)), best]
-                gap = (entropy - low[:, None]) * np.minimum(n, 64)[:, None]
-                sure = np.where(some, 1 / np.exp2(-gap).sum(1), 0.0)
-                rejected = ~some
-                if m.limits is not None:
-                    mean, sd, z = m.limits[best].T
-                    rejected |= low > np.maximum(mean + z * sd * _spread(n), FAR_ABOVE * mean)
-                names = np.array(m.langs, dtype=object)[best]
-                names[~some] = "und"
-            else:
-                low, sure, rejected = np.zeros(len(n)), np.zeros(len(n)), np.ones(len(n), bool)
-                names = np.array(["und"] * len(n), dtype=object)
-            new = [pa.array(list(names), pa.string()), pa.array(sure), pa.array(low), pa.array(n), pa.array(rejected)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[f"c{k}" for k in range(batch.num_columns + 5)])
+            bits, n = score(batch.column(batch.num_columns - 1).to_pylist(), m, table)
+            made = [*batch.columns[:-1], *_verdicts(bits, n, m.langs)]
+            yield pa.RecordBatch.from_arrays(made, names=[f"c{k}" for k in range(len(made))])
 
     kinds = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)]
-    names = [*docs.columns, "__lang_pred", "__score", "__bits", "__chars", "__rejected"]
-    new = [T.StringType(), T.DoubleType(), T.DoubleType(), T.LongType(), T.BooleanType()]
-    schema = T.StructType(kinds + [T.StructField(f"c{len(kinds) + k}", t) for k, t in enumerate(new)])
-    return docs.toDF(*[f.name for f in kinds]).mapInArrow(task, schema).toDF(*names)
-
-
-def _most_frequent(counts: DataFrame, limit: int) -> DataFrame:
-    """The counts from a level on, the lowest level at which at most ``limit`` remain. Levels are eighths of powers of
-    two, so their histogram has a few hundred rows; no task sorts all counts."""
-    level = F.floor(F.log2("n") * 8).cast("int")
-    sizes = sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True)
-    total, lowest = 0, None
-    for at, size in sizes:
-        total += size
-        if total > limit:
-            break
-        lowest = at
-    return counts.filter(level >= (lowest if lowest is not None else 1 << 30))
-
-
-def train(documents: DataFrame, max_pairs: int = MAX_PAIRS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """Model from the learnable rows (doc_id, text, lang) that have a language."""
-    rows = documents.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    counts = materialize(count_grams(rows), "char-grams")
-    n_langs = counts.select("lang").distinct().count()
-    limit = min(max_pairs, MAX_CELLS // max(n_langs, 1))
-    kept = _most_frequent(counts, limit).toArrow()
+    new = [T.StringType(), T.DoubleType(), T.DoubleType(), T.LongType()]
+    schema = T.StructType(kinds[:-1] + [T.StructField(f"c{len(columns) + k}", t) for k, t in enumerate(new)])
+    return docs.toDF(*[f.name for f in kinds]).mapInArrow(task, schema).toDF(*columns, *SCORES)
+
+
+@dataclass
+class Tables:
+    """The same model as written tables, for more counts than tasks should hold. The log2 probability of an n-gram is
+    the unseen letter's plus one term per order for its context and one for itself, if the language has seen them;
+    ``deltas`` holds these terms: kind, key, langs, terms."""
+
+    langs: list[str]
+    unseen: float
+    deltas: DataFrame
+
+
+def tabulate(counts: DataFrame) -> Tables:
+    """Interpolated Kneser-Ney terms of all counts (lang, gram, n); ``build`` in Spark."""
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    names = counts.sparkSession.createDataFrame(list(enumerate(langs)), "l int, lang string")
+    levels = [materialize(counts.join(names, "lang").select("l", F.col("gram").alias("key"),
+                                                            F.col("n").cast("double").alias("c")), "char-level")]
+    for k in range(ORDER - 1, 0, -1):
+        ending = F.col("key").bitwiseAND(F.lit((1 << 16 * k) - 1).cast("long"))
+        levels.append(materialize(levels[-1].groupBy("l", ending.alias("key")).agg(
+            F.count(F.lit(1)).cast("double").alias("c")), "char-level"))
+    alphabet = levels[-1].select("key").distinct().count() + 1
+    parts, lower = [], None
+    of = lambda n: F.sum((F.col("c") == n).cast("long"))
+    for level in range(ORDER - 1, -1, -1):
+        rows = levels[level].withColumn("ctx", F.shiftrightunsigned("key", 16))
+        share = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.1)
+        discounts = materialize(rows.groupBy("l").agg(of(1).alias("n1"), of(2).alias("n2")).select(
+            "l", F.least(F.greatest(share, F.lit(0.1)), F.lit(0.95)).alias("d")), "char-discounts")
+        contexts = rows.groupBy("l", "ctx").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        contexts = materialize(contexts.join(discounts, "l").withColumn(
+            "back", F.col("d") * F.col("kinds") / F.col("total")), "char-contexts")
+        rows = rows.join(contexts, ["l", "ctx"])
+        if lower is None:
+            rows = rows.withColumn("low", F.lit(1.0 / alphabet))
+        else:
+            mask = F.lit((1 << 16 * (ORDER - 1 - level)) - 1).cast("long")
+            rows = rows.withColumn("ending", F.col("key").bitwiseAND(mask)).join(
+                lower.select("l", F.col("key").alias("ending"), F.col("p").alias("low")), ["l", "ending"])
+        p = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("back") * F.col("low")
+        lower = materialize(rows.select("l", "key", p.alias("p"), (
+            F.log2(p) - F.log2("back") - F.log2("low")).alias("term")), "char-probabilities")
+        parts += [lower.select(F.lit(2 * level).alias("kind"), "key", "l", "term"),
+                  contexts.select(F.lit(2 * level + 1), "ctx", "l", F.log2("back"))]
+    deltas = parts[0]
+    for part in parts[1:]:
+        deltas = deltas.unionAll(part)
+    both = F.collect_list(F.struct("l", "term"))
+    deltas = deltas.groupBy("kind", "key").agg(both.alias("b")).select(
+        "kind", "key", F.col("b.l").alias("langs"), F.col("b.term").alias("terms"))
+    return Tables(langs, float(-np.log2(alphabet)), materialize(deltas, "char-terms"))
+
+
+def _summed(row: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, key) with the sums of n."""
+    o = np.lexsort((key, row))
+    row, key = row[o], key[o]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])])
+    return row[first], key[first], np.add.reduceat(n[o], first)
+
+
+def _kinds(row: np.ndarray, key: np.ndarray):
+    """(kind, row, key, n) of what the terms of 4-grams are keyed by: per order the n-gram and its context."""
+    if len(key):
+        row, key, n = _summed(row, key, np.ones(len(key)))
+        for level in range(ORDER):
+            if level:
+                row, key, n = _summed(row, key & np.uint64((1 << 16 * (ORDER - level)) - 1), n)
+            yield 2 * level, row, key, n
+            yield 2 * level + 1, *_summed(row, key >> np.uint64(16), n)
+
+
+def _wanted(texts: pa.Table) -> pa.Table:
+    """Distinct (kind, key) of a batch's texts."""
+    table, held = letter_table(), [np.zeros(0, np.uint64)] * (2 * ORDER)
+    for parts in chunks(texts.column("text").to_pylist()):
+        key, row = grams(parts, table)
+        for kind, _, k, _ in _kinds(np.zeros_like(row), key):
+            held[kind] = np.union1d(held[kind], k)
+    batch = texts.column("batch")[0].as_py()
+    key = np.concatenate(held)
+    return pa.Table.from_arrays([pa.array([batch] * len(key), pa.int64()),
+                                 pa.array(np.repeat(np.arange(2 * ORDER), [len(h) for h in held]), pa.int32()),
+                                 pa.array(key.view(np.int64))], names=["batch", "kind", "key"])
+
+
+def _bits(texts, langs: int, unseen: float, found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(bits per text and language, letters and gaps per text) from the terms of all kinds and keys in the texts."""
+    kind, key = found.column("kind").to_numpy(), found.column("key").to_numpy().view(np.uint64)
+    flat = [found.column(c).combine_chunks().flatten().to_numpy() for c in ("langs", "terms")]
+    length = np.diff(np.r_[0, np.cumsum([len(x) for x in found.column("langs").to_pylist()], dtype=np.int64)])
+    start = np.cumsum(length) - length
+    places = {}
+    for k in range(2 * ORDER):
+        own = np.flatnonzero(kind == k)
+        places[k] = own[np.argsort(key[own])]
+    keys = {k: key[p] for k, p in places.items()}
+    table, n = letter_table(), np.zeros(len(texts), np.int64)
+    logs = np.zeros(len(texts) * langs)
+    for parts in chunks(texts, max(4096, min(CHUNK, (1 << 22) // langs))):
+        of, row = grams(parts, table)
+        n += np.bincount(row, minlength=len(texts))
+        for k, r, wanted, times in _kinds(row, of):
+            at = _lookup(keys[k], wanted)
+            hit = at >= 0
+            at, r, times = places[k][at[hit]], r[hit], times[hit]
+            many = length[at]
+            entry = np.arange(many.sum()) + np.repeat(start[at] - (np.cumsum(many) - many), many)
+            cell = np.repeat(r, many) * langs + flat[0][entry]
+            cells, back = np.unique(cell, return_inverse=True)
+            logs[cells] += np.bincount(back, np.repeat(times, many) * flat[1][entry], len(cells))
+    return -logs.reshape(len(texts), langs) - n[:, None] * unseen, n
+
+
+def _scored_by_join(docs: DataFrame, model: Tables, columns: list[str]) -> DataFrame:
+    """``scored`` with a written model: the distinct texts are dealt into batches of about BATCH bytes, each batch gets
+    the terms of its own n-grams by a join, and its texts are scored with those."""
+    langs, unseen = model.langs, model.unseen
+    texts = materialize(docs.select(text_key(F.col("text")).alias("__t"), F.coalesce("text", F.lit("")).alias("text"))
+                        .dropDuplicates(["__t"]), "language-texts")
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    texts = texts.withColumn("batch", F.pmod(F.xxhash64("__t"), F.lit(size // BATCH + 1)))
+    wanted = texts.groupBy("batch").applyInArrow(_wanted, "batch long, kind int, key long")
+    found = materialize(wanted.join(model.deltas, ["kind", "key"]), "language-terms")
+
+    def task(of_batch, terms):
+        bits, n = _bits(of_batch.column("text").to_pylist(), len(langs), unseen, terms)
+        return pa.Table.from_arrays([of_batch.column("__t").combine_chunks(), *_verdicts(bits, n, langs)],
+                                    names=["__t", *SCORES])
+
+    scores = texts.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(
+        task, "__t binary, __lang_pred string, __score double, __bits double, __chars long")
+    scores = materialize(scores, "language-scores")
+    return docs.withColumn("__t", text_key(F.col("text"))).join(scores, "__t").select(
+        *[F.col(f"`{c}`") for c in columns], *SCORES)
+
+
+def train(documents: DataFrame, max_pairs: int = MAX_PAIRS) -> Model | Tables:
+    """Model from all 4-grams of the learnable rows (doc_id, text, lang) that have a language: held by the tasks if at
+    most ``max_pairs`` (language, 4-gram) counts and MAX_CELLS cells make it up, as written tables otherwise."""
+    counts = materialize(count_grams(_learned(documents)), "char-grams")
+    n_langs, pairs = counts.select("lang").distinct().count(), counts.count()
+    if pairs > min(max_pairs, MAX_CELLS // max(n_langs, 1)):
+        return tabulate(counts)
+    kept = counts.toArrow()
     lang = np.array(kept.column("lang").to_pylist(), dtype=object).astype(str)
     gram, n = kept.column("gram").to_numpy().view(np.uint64), kept.column("n").to_numpy()
     per = []
@@ -285,31 +407,42 @@ def train(documents: DataFrame, max_pairs: int = MAX_PAIRS, calibration_rows: in
         own = lang == name
         order = np.argsort(gram[own])
         per.append((str(name), gram[own][order], n[own][order]))
-    model = build(per)
-    if not per:
-        return model
-    sample = hashed_sample(rows, "doc_id", calibration_rows)
-    seen = identify(sample.select("lang", "text"), model).filter("__chars > 0 AND __lang_pred = lang").select(
+    return build(per)
+
+
+def _learned(documents: DataFrame) -> DataFrame:
+    return documents.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
+
+
+def calibrate(documents: DataFrame, model: Model | Tables, calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
+    """(__of, __mean, __sd, __z) per language: what the rejection limit is made of."""
+    sample = hashed_sample(_learned(documents), "doc_id", calibration_rows)
+    seen = scored(sample, model, ["lang"]).filter("__chars > 0 AND __lang_pred = lang").select(
         "lang", "__bits", "__chars").toArrow()
     who, bits = np.array(seen.column(0).to_pylist(), dtype=object), seen.column(1).to_numpy()
-    spread = _spread(seen.column(2).to_numpy())
-    limits = np.full((len(per), 3), np.inf)
-    for k, name in enumerate(model.langs):
+    spread = np.sqrt(1 + 200 / np.maximum(seen.column(2).to_numpy(), 1))
+    limits = []
+    for name in sorted(set(who.tolist())):
         own = who == name
-        if own.sum() >= 8:
+        if own.sum() >= 8:  # with fewer texts to calibrate on: never reject on entropy
             mean, sd = np.median(bits[own]), max(bits[own].std(), 0.02 * bits[own].mean())
             z = (bits[own] - mean) / (sd * spread[own])
-            limits[k] = mean, sd, max(6.0, 1.5 * float(np.quantile(z, 0.999)))
-        else:  # too few texts to calibrate on: never reject on entropy
-            limits[k] = 1e9, 1.0, 0.0
-    model.limits = limits
-    return model
+            limits.append((name, float(mean), float(sd), max(6.0, 1.5 * float(np.quantile(z, 0.999)))))
+    return documents.sparkSession.createDataFrame(limits, "__of string, __mean double, __sd double, __z double")
+
+
+def judged(scores: DataFrame, limits: DataFrame) -> DataFrame:
+    """``scores`` with __rejected."""
+    spread = F.sqrt(1 + 200 / F.greatest(F.col("__chars"), F.lit(1)))  # cross-entropies of short texts scatter more
+    far = F.col("__bits") > F.greatest(F.col("__mean") + F.col("__z") * F.col("__sd") * spread, FAR_ABOVE * F.col("__mean"))
+    return scores.join(limits, F.col("__lang_pred") == F.col("__of"), "left").withColumn(
+        "__rejected", (F.col("__score") == 0) | F.coalesce(far, F.lit(False)))
 
 
 def language_id(documents: DataFrame) -> DataFrame:
     """One row per document row: doc_id, held_out, lang_pred, score, cross_entropy, rejected."""
     model = train(documents)
-    out = identify(documents.select("doc_id", "text"), model)
+    out = judged(scored(documents, model, ["doc_id"]), calibrate(documents, model))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang_pred").alias("lang_pred"),
                       F.col("__score").alias("score"), F.col("__bits").alias("cross_entropy"),
                       F.col("__rejected").alias("rejected"))
@@ -317,5 +450,6 @@ def language_id(documents: DataFrame) -> DataFrame:
 
 def accepted(documents: DataFrame) -> DataFrame:
     """The documents, same columns, that are not rejected."""
-    return identify(documents, train(documents)).filter("NOT __rejected").select(
-        *[F.col(f"`{c}`") for c in documents.columns])
+    model = train(documents)
+    return judged(scored(documents, model, documents.columns), calibrate(documents, model)).filter(
+        "NOT __rejected").select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -97,3 +97,16 @@ def test_linear_time_identity():
         for j in range(i):
             z += m.factors[at[i]] @ m.factors[at[j]] * x[i] * x[j]
     assert np.isclose(m.score(bucket, weight, stats), 1 / (1 + np.exp(-z)))
+
+
+def test_model_in_tables_is_the_whole_model(spark):
+    """More counts than tasks hold: no count is left out, and the scores are those of the model in arrays."""
+    docs = spark.read.parquet(f"{H.SF}/documents.parquet")
+    docs = docs.unionByName(H.docs(spark, H.TRICKY).select(*docs.columns))
+    whole, written = L.train(docs), L.train(docs, max_pairs=100)
+    assert isinstance(whole, L.Model) and isinstance(written, L.Tables) and whole.langs == written.langs
+    want, got = ([(r.text or "", r.lang_pred, round(r.score, 4), r.chars, r.bits) for r in L.scored(docs, m, ["text"]).selectExpr(
+        "text", "__lang_pred lang_pred", "__score score", "__chars chars", "__bits bits").collect()] for m in (whole, written))
+    want, got = sorted(want), sorted(got)
+    assert [r[:4] for r in want] == [r[:4] for r in got]
+    assert np.allclose([r[4] for r in want], [r[4] for r in got], atol=1e-4)
