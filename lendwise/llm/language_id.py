@@ -8,8 +8,8 @@ tables that Spark computes from all counts, and batches of texts are joined with
 forms give the same probabilities (the tasks' arrays in single precision).
 
 A text gets the language of the lowest cross-entropy per character. It is rejected if it has no letter, or if its
-cross-entropy lies far above what texts of that language and length have: the limit is calibrated on about
-``CALIBRATION_ROWS`` learnable documents (those with the smallest hash of their id).
+cross-entropy lies far above what texts of that language and length have: the limit is calibrated per language on all
+learnable documents of which the language is predicted.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0, rejected; ties go to the first language in
 sorted order; a null doc_id is not held out and never learned from; if nothing can be learned (an empty table, no
@@ -22,16 +22,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lendwise.llm.common import hashed_sample, held_out, learnable, materialize, text_key
+from lendwise.llm.common import held_out, learnable, materialize, text_key
 
 ORDER = 4
 MAX_PAIRS = 1 << 20
 MAX_CELLS = 1 << 23  # n-grams times languages in a model that tasks hold
-CALIBRATION_ROWS = 4096
+GRID = 1 << 12       # steps per bit, or deviation, in which calibration takes its quantiles
 FAR_ABOVE = 1.5      # a rejected text's cross-entropy is at least so many times its language's; texts in two of the
 # learned languages stay below that
 BATCH = 1 << 22      # bytes of text that are scored together against written tables
@@ -395,7 +395,7 @@ def _scored_by_join(docs: DataFrame, model: Tables, columns: list[str]) -> DataF
 def train(documents: DataFrame, max_pairs: int = MAX_PAIRS) -> Model | Tables:
     """Model from all 4-grams of the learnable rows (doc_id, text, lang) that have a language: held by the tasks if at
     most ``max_pairs`` (language, 4-gram) counts and MAX_CELLS cells make it up, as written tables otherwise."""
-    counts = materialize(count_grams(_learned(documents)), "char-grams")
+    counts = materialize(count_grams(_learned(documents).select("lang", "text")), "char-grams")
     n_langs, pairs = counts.select("lang").distinct().count(), counts.count()
     if pairs > min(max_pairs, MAX_CELLS // max(n_langs, 1)):
         return tabulate(counts)
@@ -411,45 +411,53 @@ def train(documents: DataFrame, max_pairs: int = MAX_PAIRS) -> Model | Tables:
 
 
 def _learned(documents: DataFrame) -> DataFrame:
-    return documents.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-
-
-def calibrate(documents: DataFrame, model: Model | Tables, calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
-    """(__of, __mean, __sd, __z) per language: what the rejection limit is made of."""
-    sample = hashed_sample(_learned(documents), "doc_id", calibration_rows)
-    seen = scored(sample, model, ["lang"]).filter("__chars > 0 AND __lang_pred = lang").select(
-        "lang", "__bits", "__chars").toArrow()
-    who, bits = np.array(seen.column(0).to_pylist(), dtype=object), seen.column(1).to_numpy()
-    spread = np.sqrt(1 + 200 / np.maximum(seen.column(2).to_numpy(), 1))
-    limits = []
-    for name in sorted(set(who.tolist())):
-        own = who == name
-        if own.sum() >= 8:  # with fewer texts to calibrate on: never reject on entropy
-            mean, sd = np.median(bits[own]), max(bits[own].std(), 0.02 * bits[own].mean())
-            z = (bits[own] - mean) / (sd * spread[own])
-            limits.append((name, float(mean), float(sd), max(6.0, 1.5 * float(np.quantile(z, 0.999)))))
-    return documents.sparkSession.createDataFrame(limits, "__of string, __mean double, __sd double, __z double")
+    return documents.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull())
+
+
+def _spread() -> Column:
+    """Cross-entropies of short texts scatter more."""
+    return F.sqrt(1 + 200 / F.greatest(F.col("__chars"), F.lit(1)))
+
+
+def calibrate(scores: DataFrame) -> DataFrame:
+    """(__of, __mean, __sd, __z) per language: what the rejection limit is made of, from all ``scores`` (lang and
+    SCORES of the learnable rows) whose language is predicted. Quantiles are taken of values rounded to GRID steps, so
+    what one group holds is bounded; with fewer than 8 such rows a language has no limit and never rejects."""
+    step = lambda c: F.round(c * GRID) / GRID
+    hits = scores.filter("__chars > 0 AND __lang_pred = lang").select(F.col("lang").alias("__of"), "__bits", "__chars")
+    per = hits.groupBy("__of").agg(
+        F.percentile(step(F.col("__bits")), 0.5).alias("__mean"),
+        F.greatest(F.stddev_pop("__bits"), 0.02 * F.avg("__bits")).alias("__sd"),
+        F.count(F.lit(1)).alias("n")).filter("n >= 8").drop("n")
+    per = materialize(per, "language-means")
+    z = (F.col("__bits") - F.col("__mean")) / (F.col("__sd") * _spread())
+    tops = hits.join(per, "__of").groupBy("__of").agg(F.percentile(step(z), 0.999).alias("top"))
+    return materialize(per.join(tops, "__of").withColumn(
+        "__z", F.greatest(F.lit(6.0), 1.5 * F.col("top"))).drop("top"), "language-limits")
 
 
 def judged(scores: DataFrame, limits: DataFrame) -> DataFrame:
     """``scores`` with __rejected."""
-    spread = F.sqrt(1 + 200 / F.greatest(F.col("__chars"), F.lit(1)))  # cross-entropies of short texts scatter more
-    far = F.col("__bits") > F.greatest(F.col("__mean") + F.col("__z") * F.col("__sd") * spread, FAR_ABOVE * F.col("__mean"))
+    far = F.col("__bits") > F.greatest(
+        F.col("__mean") + F.col("__z") * F.col("__sd") * _spread(), FAR_ABOVE * F.col("__mean"))
     return scores.join(limits, F.col("__lang_pred") == F.col("__of"), "left").withColumn(
         "__rejected", (F.col("__score") == 0) | F.coalesce(far, F.lit(False)))
 
 
 def language_id(documents: DataFrame) -> DataFrame:
     """One row per document row: doc_id, held_out, lang_pred, score, cross_entropy, rejected."""
-    model = train(documents)
-    out = judged(scored(documents, model, ["doc_id"]), calibrate(documents, model))
+    scores = materialize(scored(documents, train(documents), ["doc_id", "lang"]), "language-of-rows")
+    out = judged(scores, calibrate(_learned(scores)))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang_pred").alias("lang_pred"),
                       F.col("__score").alias("score"), F.col("__bits").alias("cross_entropy"),
                       F.col("__rejected").alias("rejected"))
 
 
 def accepted(documents: DataFrame) -> DataFrame:
-    """The documents, same columns, that are not rejected."""
-    model = train(documents)
-    return judged(scored(documents, model, documents.columns), calibrate(documents, model)).filter(
-        "NOT __rejected").select(*[F.col(f"`{c}`") for c in documents.columns])
+    """The documents, same columns, that are not rejected; equal texts share their verdict, so texts are scored once
+    and the documents meet only the keys of the rejected ones."""
+    keyed = documents.withColumn("__t", text_key(F.col("text")))
+    scores = materialize(scored(keyed, train(documents), ["doc_id", "lang", "__t"]), "language-of-rows")
+    out = judged(scores, calibrate(_learned(scores))).filter("__rejected").select("__t").distinct()
+    return keyed.join(materialize(out, "language-rejected"), "__t", "left_anti").select(
+        *[F.col(f"`{c}`") for c in documents.columns])

@@ -110,3 +110,16 @@ def test_model_in_tables_is_the_whole_model(spark):
     want, got = sorted(want), sorted(got)
     assert [r[:4] for r in want] == [r[:4] for r in got]
     assert np.allclose([r[4] for r in want], [r[4] for r in got], atol=1e-4)
+
+
+def test_rare_language_is_calibrated_in_a_large_table(spark):
+    """A language with few documents among very many has its limit: noise in its letters is rejected."""
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter(
+        "lang = 'de' AND length(text) BETWEEN 500 AND 3000").orderBy("doc_id").limit(40).collect()]
+    rare = [(i, t, "de", "s", 1) for i, t in enumerate(texts)]
+    noise = (50, "".join(texts[0][(i * 367) % len(texts[0])] for i in range(len(texts[0]))), None, "s", 1)
+    many = spark.range(1000, 41000).selectExpr("id AS doc_id", "'μερικα απλα λογια της κοινης γλωσσας' AS text",
+                                               "'el' AS lang", "'s' AS source", "1L AS n_chars")
+    docs = H.docs(spark, [*rare, noise]).unionByName(many)
+    out = L.language_id(docs).filter("lang_pred = 'de'").collect()
+    assert len(out) == 41 and [r.doc_id for r in out if r.rejected] == [50]
