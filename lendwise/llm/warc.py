@@ -93,7 +93,9 @@ MAGIC = CUT[1:].encode()
 
 
 def _number(text: str | None) -> int | None:
-    return int(text) if text and re.fullmatch(r"-?[0-9]{1,18}", text) else None
+    """A number in the range of a long, or none."""
+    n = int(text) if text and re.fullmatch(r"-?[0-9]{1,19}", text) else None
+    return n if n is not None and -2 ** 63 <= n < 2 ** 63 else None
 
 
 def _described(fields: dict, payload: bytes | None) -> tuple:

@@ -65,3 +65,12 @@ def test_oracle_and_empty(spark):
     got = H.rows_of(warc.round_trip(spark.read.parquet(f"{H.SF}/pages.parquet")), *COLS)
     assert got == sorted(con.execute(warc.ORACLE).fetchall(), key=repr)
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_ids_over_the_whole_long_range(spark):
+    ids = [2 ** 63 - 1, -2 ** 63, 1234567890123456789, -1234567890123456789, 10 ** 18]
+    rows = [(i, f"http://h/{i}", "x" * 2000) for i in ids]
+    out = warc.round_trip(spark.createDataFrame(rows, PAGES)).collect()
+    assert sorted(r.page_id for r in out) == sorted(ids)
+    assert {r.page_id: r.refers_to for r in out} == {i: None if i == max(ids) else max(ids) for i in ids}
+    assert warc._number("9223372036854775808") is None
