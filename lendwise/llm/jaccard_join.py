@@ -1,9 +1,10 @@
-"""Near-duplicate join on word 5-grams: MinHash LSH forest, then exact verification.
+"""Near-duplicate join on word 5-grams: MinHash banding of fixed depth, then exact verification.
 
-Every distinct text gets TREES signatures, each a sequence of MinHash values; as sorted sequences they form prefix
-tries. Texts that share a prefix of length d in some trie are candidates; a pair of similarity s shares one with
-probability s^d per trie. The matched prefix starts at MAX_DEPTH and is shortened until pairs at the threshold are
-met in at least one trie with probability RECALL. Runs of texts under one trie node are joined to the run's first
+Every distinct text gets TREES bands of MinHash values, each folded into one key (a node below). Texts that share a node
+are candidates; a pair of similarity s shares a band of d values with probability s^d. d is the largest number up to
+MAX_DEPTH with which pairs at the threshold meet in at least one band with probability RECALL; it follows from these
+constants (24 bands of 5) and does not adapt to the data, as the prefixes of an LSH forest would.
+Texts under one node are joined to the run's first
 text, and the resulting candidate components are verified exactly: every pair of a component is compared on its full
 shingle sets. A component is dealt into blocks of bounded size and each pair of blocks is one task input, which
 returns a count and a label per text and never its pairs.
