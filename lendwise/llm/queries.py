@@ -4,7 +4,10 @@ DuckDB SQL where SQL can express the result."""
 from __future__ import annotations
 
 from lendwise.llm import (
+    chat_format,
     decontamination,
+    filter_audit,
+    importance_sample,
     jaccard_join,
     language_id,
     packing,
@@ -68,8 +71,25 @@ def op10_topk(spark, sf_dir):
     return topk.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_importance_sample(spark, sf_dir):
+    """Weight, score and rank of every document in a draw towards the benchmark's word distribution."""
+    return importance_sample.sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    """What each of five filters removes, at every place of every order, per source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_chat_format(spark, sf_dir):
+    """All conversations folded from an event log, formatted, and read back."""
+    return chat_format.round_trip(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_decontamination, op3_secret_scan, op4_packing, op5_warc, op6_ngram_jaccard, op7_quality,
-    op8_token_counts, op9_language_id, op10_topk)}
+    op8_token_counts, op9_language_id, op10_topk, op11_importance_sample, op12_filter_audit, op13_chat_format)}
 ORACLES = {"op1_url_filter": url_filter.ORACLE, "op2_decontamination": decontamination.ORACLE,
-           "op5_warc": warc.ORACLE, "op10_topk": topk.ORACLE}
+           "op5_warc": warc.ORACLE, "op10_topk": topk.ORACLE,
+           "op11_importance_sample": importance_sample.ORACLE, "op12_filter_audit": filter_audit.ORACLE,
+           "op13_chat_format": chat_format.ORACLE}
