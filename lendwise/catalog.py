@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendwise import standins as S
+from lendwise import streaming
 from lendwise.operators import admission as T
 from lendwise.operators import quality as C
 from lendwise.operators import queries as Q
 from lendwise.operators import reports as R
 from lendwise.operators import views as V
+from lendwise.session import ensure_checkpoint_dir
 from lendwise.sources.projection import AS_OF
 from lendwise.sources.tables import Tables, with_collation
 
+
+
+def _stream(t: Tables, table: str, changes: DataFrame, cuts: list[str], **kwargs) -> DataFrame:
+    """Decisions of the streaming admission over change rows in micro-batches: id, op, accepted, reason."""
+    root = f"{ensure_checkpoint_dir(changes.sparkSession)}/admission-{uuid.uuid4().hex}"
+    return streaming.replay(S.in_batches(changes, cuts), table, root, **kwargs)
+
+
 REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "v01_book_details": V.v01_book_details,
     "v02_copy_location": V.v02_copy_location,
@@ -114,8 +125,13 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "t10_license_update": lambda t: T.t10_license_update(S.license_batch(t, 1)),
     "t11_term_insert": lambda t: T.t11_term_insert(S.term_batch(t, 0)),
     "t12_term_update": lambda t: T.t12_term_update(S.term_batch(t, 1)),
+    "t01_loan_stream": lambda t: _stream(t, "loan", S.loan_changes(t), S.LOAN_CUTS),
+    "t04_reservation_stream": lambda t: _stream(t, "reservation", S.reservation_changes(t), S.EVENT_CUTS),
+    "t05_session_stream": lambda t: _stream(t, "accesssession", S.session_changes(t), S.EVENT_CUTS, now=AS_OF,
+                                            eresource=t.eresource, license_=t.license),
     "k02_append_patrons": lambda t: T.k02_append_patrons(t.patron, S.patron_registrations(t), t.address),
-    "w09_first_last_value": Q.book_loan_span_windowed,
+    "w09_first_last_value": Q.book_loan_values,
+    "j07_loans_from_month": Q.j07_loans_from_month,
     "s25_named_views": lambda t: V.view_counts(t, AS_OF),
     "f14_collated_match": lambda t: R.d03_book_catalog(with_collation(t, "UNICODE_CI_AI_RTRIM"), search="WÍDGET").select(
         F.col("isbn").cast("string").alias("isbn"), F.col("title").cast("string").alias("title"), "times_loaned"),

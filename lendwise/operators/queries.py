@@ -9,12 +9,13 @@ Shape rules used throughout:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendwise.functions import (as_timestamp, days_between, exact_avg, exact_avg_from_sums, full_name, month_key,
                                 ordered_distinct_concat, pct, previous_month_key, year_key)
 from lendwise.operators import views as V
+from lendwise.operators.ranges import domain_of, range_join
 from lendwise.sources.schemas import PIVOT_TYPES, RESERVATION_OPEN
 from lendwise.sources.tables import Tables
 
@@ -354,6 +355,24 @@ def patron_months(t: Tables) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("loans_in_month")))
 
 
+def _month_index(month: Column) -> Column:
+    """'yyyy-MM' as a number that grows by one a month."""
+    return (F.substring(month, 1, 4).cast("int") * 12 + F.substring(month, 6, 2).cast("int")).cast("int")
+
+
+def j07_loans_from_month(t: Tables) -> DataFrame:
+    """Each month in which a patron starts to borrow again (no loans the month before), with each of the patron's months
+    from then on and its loans: the join of equal patrons and ``loan_month >= start_month``, through month ranges."""
+    months = patron_months(t).withColumn("_m", _month_index(F.col("loan_month")))
+    before = months.select("patron_id", (F.col("_m") + 1).alias("_from"))
+    starts = months.select("patron_id", F.col("loan_month").alias("start_month"), F.col("_m").alias("_from")).join(
+        before, ["patron_id", "_from"], "left_anti")
+    # the ends of the calendar come from the loans themselves, one row
+    ends = t.loan.select(F.year("loan_ts") * 12 + F.month("loan_ts")).toDF("_m")
+    return range_join(months, starts, ["patron_id"], "_m", "_from", None, domain_of(ends, "_m")).select(
+        "patron_id", "start_month", "loan_month", "loans_in_month")
+
+
 def q24_consecutive_months(t: Tables) -> DataFrame:
     """Literal form: start months (no loans in the previous month) counted per (patron, month) - always 1 -
     then HAVING >= 3, so the result is always empty. Runs the full plan anyway.
@@ -446,15 +465,18 @@ def book_loan_span(t: Tables) -> DataFrame:
                                  F.max("hi").alias("last_loan_date")))
 
 
-def book_loan_span_windowed(t: Tables) -> DataFrame:
-    """The same per-book facts through COUNT OVER, FIRST_VALUE and LAST_VALUE over a full frame, deduplicated (W-09,
-    W-10 in their literal shape; a book's loans meet in one task, so ``book_loan_span`` is the form for large data)."""
-    w = Window.partitionBy("isbn").orderBy("loan_ts").rowsBetween(Window.unboundedPreceding,
-                                                                   Window.unboundedFollowing)
-    rows = t.loan.join(t.copy.select("copy_id", "isbn"), "copy_id").join(t.book.select("isbn"), "isbn")
-    return (rows.select("isbn", F.count("loan_id").over(Window.partitionBy("isbn")).alias("total_loans"),
-                        F.first("loan_ts").over(w).alias("first_loan_date"),
-                        F.last("loan_ts").over(w).alias("last_loan_date")).distinct())
+def book_loan_values(t: Tables) -> DataFrame:
+    """COUNT OVER, FIRST_VALUE and LAST_VALUE over a book's loans (full frame, by loan time), one row per book (W-09,
+    W-10). Both values are those of the frame's ends, so they are partial aggregates: per copy before the copies meet
+    their books, then per book. No task holds a book's loans, however many there are. NULL times come first in the
+    frame's order, so a book with one has a NULL first value."""
+    none_first = F.struct(F.col("loan_ts").isNotNull().alias("known"), F.col("loan_ts").alias("ts"))
+    per_copy = t.loan.groupBy("copy_id").agg(F.count("loan_id").alias("n"), F.min(none_first).alias("lo"),
+                                             F.max(none_first).alias("hi"))
+    books = per_copy.join(t.copy.select("copy_id", "isbn"), "copy_id").groupBy("isbn").agg(
+        F.sum("n").alias("total_loans"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return books.join(t.book.select("isbn"), "isbn", "left_semi").select(
+        "isbn", "total_loans", F.col("lo.ts").alias("first_loan_date"), F.col("hi.ts").alias("last_loan_date"))
 
 
 def q28_first_last_loan(t: Tables, k: int = 20) -> DataFrame:

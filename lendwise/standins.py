@@ -17,6 +17,9 @@ LOAN_SPLIT = "2000-01-01 00:00:00"
 EVENT_SPLIT = "2024-01-15 00:00:00"
 # sessions: an early cut, so the stored part holds few open sessions and the limits decide inside the batch
 SESSION_SPLIT = "2024-01-01 12:00:00"
+# micro-batches of the streaming keys
+LOAN_CUTS = ["1997-01-01 00:00:00", "1999-06-01 00:00:00"]
+EVENT_CUTS = ["2024-01-08 00:00:00", "2024-01-20 00:00:00"]
 FAR = 5 * 10 ** 15  # added to a key: no stored row has it
 TWO_FAR = 6 * 10 ** 15
 
@@ -171,3 +174,49 @@ def term_batch(t: Tables, variant: int = 0):
                          F.year("loan_ts").alias("year"),
                          F.when(F.col("return_ts").isNotNull(), F.to_date("loan_ts")).alias("start_date"),
                          F.date_sub(F.to_date("due_ts"), shift.cast("int")).alias("end_date"))
+
+
+def as_changes(rows: DataFrame, item: str, opened_at: str, closed_at: str, opened: dict[str, Column]) -> DataFrame:
+    """Each row as it was inserted (``opened`` replaces columns), and for the closed ones an update with its final
+    values: change rows with ``op`` and ``at``."""
+    inserted = rows.select(*[opened.get(c, F.col(c)).alias(c) if c in opened else F.col(c) for c in rows.columns],
+                           F.lit("insert").alias("op"), F.col(opened_at).alias("at"))
+    updates = rows.filter(F.col(closed_at).isNotNull()).select(
+        *rows.columns, F.lit("update").alias("op"), F.col(closed_at).alias("at"))
+    return inserted.unionByName(updates)
+
+
+def loan_changes(t: Tables) -> DataFrame:
+    """Loans as they are made and returned; some are due a day before they start."""
+    cols = [c.name for c in TABLES["loan"].columns]
+    rows = _vary(t.loan.select(*cols), "loan_id", {3: ("due_ts", F.col("loan_ts") - F.expr("INTERVAL 1 DAY"))})
+    return as_changes(rows, "loan_id", "loan_ts", "return_ts", {"return_ts": F.lit(None).cast("timestamp_ntz")})
+
+
+def session_changes(t: Tables) -> DataFrame:
+    """Sessions as they start and end; some end an hour before they start (and so never)."""
+    cols = [c.name for c in TABLES["accesssession"].columns]
+    rows = _vary(t.accesssession.select(*cols), "session_id", {3: ("end_time", F.col("start_time") - F.expr("INTERVAL 1 HOUR"))})
+    return as_changes(rows, "session_id", "start_time", "end_time", {"end_time": F.lit(None).cast("timestamp_ntz")})
+
+
+def reservation_changes(t: Tables) -> DataFrame:
+    """Reservations as they are made (active) and, two days later, fulfilled or cancelled."""
+    cols = [c.name for c in TABLES["reservation"].columns]
+    later = F.when(F.col("status").isin("Fulfilled", "Cancelled"), F.col("created_at") + F.expr("INTERVAL 2 DAYS"))
+    rows = t.reservation.select(*cols).withColumn("_closed", later)
+    return as_changes(rows, "reservation_id", "created_at", "_closed", {"status": F.lit("Active")}).drop("_closed")
+
+
+def in_batches(changes: DataFrame, cuts: list[str]) -> list[DataFrame]:
+    """The change rows in the order of their times, cut at the given times."""
+    edges = [None, *cuts, None]
+    out = []
+    for low, high in zip(edges, edges[1:]):
+        rows = changes
+        if low is not None:
+            rows = rows.filter(F.col("at") >= F.lit(low).cast("timestamp_ntz"))
+        if high is not None:
+            rows = rows.filter(F.coalesce(F.col("at") < F.lit(high).cast("timestamp_ntz"), F.lit(True)))
+        out.append(rows)
+    return out

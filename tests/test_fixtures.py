@@ -118,7 +118,7 @@ def test_empty_tables(spark):
 
 def test_window_form_equals_aggregate_form(projected):
     a = Q.book_loan_span(projected).join(projected.book.select("isbn"), "isbn", "left_semi")
-    w = Q.book_loan_span_windowed(projected)
+    w = Q.book_loan_values(projected)
     assert a.exceptAll(w).count() == 0 and w.exceptAll(a).count() == 0
 
 
