@@ -14,17 +14,23 @@ from lendwise.operators import admission as T
 from lendwise.operators import quality as C
 from lendwise.operators import queries as Q
 from lendwise.operators import reports as R
+from lendwise.operators import summaries as M
 from lendwise.operators import views as V
+from lendwise.operators.search import TitleIndex, search_all
 from lendwise.session import ensure_checkpoint_dir
 from lendwise.sources.projection import AS_OF
-from lendwise.sources.tables import Tables, with_collation
+from lendwise.sources.tables import Tables
 
 
 
+def _scratch(t: Tables, label: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(t.book.sparkSession)}/{label}-{uuid.uuid4().hex}"
+
+
 def _stream(t: Tables, table: str, changes: DataFrame, cuts: list[str], **kwargs) -> DataFrame:
     """Decisions of the streaming admission over change rows in micro-batches: id, op, accepted, reason."""
-    root = f"{ensure_checkpoint_dir(changes.sparkSession)}/admission-{uuid.uuid4().hex}"
-    return streaming.replay(S.in_batches(changes, cuts), table, root, **kwargs)
+    return streaming.replay(S.in_batches(changes, cuts), table, _scratch(t, "admission"), **kwargs)
 
 
 REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
@@ -103,6 +109,7 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "c01_pk_violations": lambda t: C.c01_pk_violations(S.with_violations(t)),
     "c02_composite_pk": lambda t: C.c02_composite_pk(S.with_violations(t)),
     "c03_fk_orphans": lambda t: C.c03_fk_orphans(S.with_violations(t)),
+    "c03_orphan_keys": lambda t: C.c03_orphan_keys(S.with_violations(t)),
     "c04_unique_violations": lambda t: C.c04_unique_violations(S.with_violations(t)),
     "c05_isbn_length": lambda t: C.c05_isbn_length(S.with_violations(t)),
     "c06_not_null": lambda t: C.c06_not_null(S.with_violations(t)),
@@ -133,8 +140,16 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "w09_first_last_value": Q.book_loan_values,
     "j07_loans_from_month": Q.j07_loans_from_month,
     "s25_named_views": lambda t: V.view_counts(t, AS_OF),
-    "f14_collated_match": lambda t: R.d03_book_catalog(with_collation(t, "UNICODE_CI_AI_RTRIM"), search="WÍDGET").select(
-        F.col("isbn").cast("string").alias("isbn"), F.col("title").cast("string").alias("title"), "times_loaned"),
+    "f14_collated_match": lambda t: R.d03_book_catalog(t, search="WÍDGET", fold=True).select("isbn", "title", "times_loaned"),
+    "p06_title_search": lambda t: search_all(
+        TitleIndex(_scratch(t, "titles")).write(t.book), t.book.sparkSession, S.NEEDLES),
+    "g03_distinct_levels": lambda t: M.g03_distinct_levels(t, _scratch(t, "distinct")),
+    "s25_kept_v04": lambda t: M.v04_from_kept(t, M.kept_after(M.kept_fines(_scratch(t, "v04"), 2), [
+        M.fine_changes(b) for b in S.signed_batches(t.fine, "fine_id", "status", F.lit("Unpaid"))])),
+    "s25_kept_v08": lambda t: M.v08_from_kept(t, M.kept_after(M.kept_inventory(_scratch(t, "v08"), 2), [
+        M.copy_changes(b) for b in S.signed_batches(t.copy, "copy_id", "branch_id", (F.col("branch_id") + 1) % 25)])),
+    "s25_kept_v09": lambda t: M.v09_from_kept(t, M.kept_after(M.kept_sessions(_scratch(t, "v09"), 2), [
+        M.session_changes(b) for b in S.signed_batches(t.accesssession, "session_id", "patron_id", F.col("patron_id") + 1)])),
 }
 
 

@@ -66,23 +66,88 @@ def fk_orphan_rows(t: Tables, child: str, column: str, parent: str, parent_colum
     return t[child].filter(F.col(column).isNotNull()).join(parents, column, "left_anti")
 
 
+# every declared reference: (child, column, parent, parent column), and its place among those to the same parent key
+_REFERENCES = [(child, col, parent, pcol) for child, spec in TABLES.items() for col, parent, pcol in spec.fks]
+_DOMAINS = sorted({(parent, pcol) for _, _, parent, pcol in _REFERENCES})
+_SLOTS = max(sum((p, c) == d for _, _, p, c in _REFERENCES) for d in _DOMAINS)
+
+
+def _slot(ref: tuple[str, str, str, str]) -> tuple[int, int]:
+    """(domain, slot) of a reference."""
+    same = [r for r in _REFERENCES if r[2:] == ref[2:]]
+    return _DOMAINS.index(ref[2:]), same.index(ref)
+
+
+def _key_uses(t: Tables, text: bool = True) -> DataFrame:
+    """(domain, slot, k or s) for every key that a row holds or refers to; slot -1 is the parent's own key. One pass over
+    each table, whatever the number of its references. Numeric keys are in ``k``, text keys in ``s``."""
+    frames = []
+    for name, spec in TABLES.items():
+        uses = [(d, -1, pcol) for d, (parent, pcol) in enumerate(_DOMAINS) if parent == name]
+        uses += [(*_slot(r), r[1]) for r in _REFERENCES if r[0] == name]
+        if not text:
+            uses = [u for u in uses if spec.col(u[2]).dtype.typeName() != "string"]
+        if not uses:
+            continue
+        each = F.array(*[F.struct(
+            F.lit(d).alias("domain"), F.lit(slot).alias("slot"),
+            (F.lit(None) if spec.col(c).dtype.typeName() == "string" else F.col(c)).cast(BIG).alias("k"),
+            (F.col(c) if spec.col(c).dtype.typeName() == "string" else F.lit(None)).cast("string").alias("s"))
+            for d, slot, c in uses])
+        frames.append(t[name].select(F.explode(each).alias("u")).select("u.*").filter("k IS NOT NULL OR s IS NOT NULL"))
+    return _union(frames)
+
+
+def _per_reference(sums: DataFrame, *names: str) -> DataFrame:
+    """One row per declared reference from one row per domain with arrays over the slots; zeros for unused domains."""
+    refs = F.explode(F.array(*[F.struct(
+        F.lit(child).alias("child_table"), F.lit(col).alias("child_column"), F.lit(parent).alias("parent_table"),
+        F.lit(pcol).alias("parent_column"), F.lit(d).alias("domain"), F.lit(slot).alias("slot"))
+        for (child, col, parent, pcol), (d, slot) in ((r, _slot(r)) for r in _REFERENCES)])).alias("r")
+    every = sums.sparkSession.range(1).select(refs).select("r.*")
+    zero = F.lit(0).cast(BIG)
+    return every.join(sums, "domain", "left").select(
+        "child_table", "child_column", "parent_table", "parent_column",
+        *[F.coalesce(F.get(F.col(n), F.col("slot")), zero).cast(BIG).alias(n) for n in names])
+
+
 def c03_fk_orphans(t: Tables) -> DataFrame:
     """Foreign keys: checked (non-NULL) references and those without a parent row, one line per reference.
 
-    Child rows are counted per key (a hot key collapses map-side) and parent keys join them in one grouping on the
-    key: a key is an orphan's if no parent row carries it. No child row meets a join."""
-    rows = []
-    for child, spec in TABLES.items():
-        for col, parent, pcol in spec.fks:
-            used = t[child].filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-            there = t[parent].filter(F.col(pcol).isNotNull()).select(F.col(pcol).alias("k"), F.lit(None).cast(BIG).alias("n"))
-            both = used.unionAll(there).groupBy("k").agg(F.sum("n").alias("n"), F.max(F.col("n").isNull()).alias("known"))
-            rows.append(both.agg(F.coalesce(F.sum("n"), F.lit(0)).cast(BIG).alias("checked_rows"),
-                                 F.coalesce(F.sum(F.when(~F.col("known"), F.col("n"))), F.lit(0)).cast(BIG).alias("orphan_rows"))
-                        .select(F.lit(child).alias("child_table"), F.lit(col).alias("child_column"),
-                                F.lit(parent).alias("parent_table"), F.lit(pcol).alias("parent_column"),
-                                "checked_rows", "orphan_rows"))
-    return _union(rows)
+    Each table is read once for all its references, and all tables meet in one grouping on (parent key's domain, key):
+    a key's row holds how often each reference uses it (a hot key collapses map-side) and whether a parent row carries
+    it. No child row meets a join."""
+    uses = _key_uses(t)
+    counts = [F.count(F.when(F.col("slot") == i, 1)).alias(f"n{i}") for i in range(_SLOTS)]
+    keys = uses.groupBy("domain", "k", "s").agg(F.max(F.col("slot") == -1).alias("known"), *counts)
+    # a domain's keys spread over the partitions: partial sums, then a row per domain
+    sums = keys.groupBy("domain").agg(
+        F.array(*[F.sum(f"n{i}") for i in range(_SLOTS)]).alias("checked_rows"),
+        F.array(*[F.sum(F.when(~F.col("known"), F.col(f"n{i}")).otherwise(0)) for i in range(_SLOTS)]).alias("orphan_rows"))
+    return _per_reference(sums, "checked_rows", "orphan_rows")
+
+
+def c03_orphan_keys(t: Tables) -> DataFrame:
+    """Numeric foreign keys: distinct keys that a reference uses and those that no parent row carries (0 for text keys,
+    which have no bit).
+
+    Keys are bits, 32,768 to a bitmap. Each table is read once; a reference's bits and its parents' bits meet per bucket,
+    and the keys without a parent are the bits of the union less those of the parents. What is shuffled grows with the
+    buckets in use, an eighth of a byte per possible key, and not with rows."""
+    uses = _key_uses(t, text=False)
+    bits = uses.groupBy("domain", "slot", F.bitmap_bucket_number("k").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("bits"))
+    used = F.when(F.col("slot") >= 0, F.array("slot")).otherwise(F.sequence(F.lit(0), F.lit(_SLOTS - 1)))
+    met = bits.select("domain", "bucket", "bits", (F.col("slot") == -1).alias("own"), F.explode(used).alias("slot"))
+    size = F.bitmap_count("bits")
+    per_bucket = met.groupBy("domain", "slot", "bucket").agg(
+        F.bitmap_count(F.bitmap_or_agg("bits")).alias("both"), F.sum(F.when(F.col("own"), size).otherwise(0)).alias("parents"),
+        F.sum(F.when(~F.col("own"), size).otherwise(0)).alias("used"))
+    per_slot = per_bucket.groupBy("domain", "slot").agg(F.sum("used").alias("u"), F.sum(F.col("both") - F.col("parents")).alias("o"))
+    sums = per_slot.groupBy("domain").agg(
+        F.array(*[F.sum(F.when(F.col("slot") == i, F.col("u"))) for i in range(_SLOTS)]).alias("used_keys"),
+        F.array(*[F.sum(F.when(F.col("slot") == i, F.col("o"))) for i in range(_SLOTS)]).alias("orphan_keys"))
+    return _per_reference(sums, "used_keys", "orphan_keys")
 
 
 def c04_unique_violations(t: Tables) -> DataFrame:

@@ -6,24 +6,24 @@ prefix sums instead:
 
 1. rows are reduced to their distinct (partition, order) keys with a count (partial aggregation collapses any
    hot key before the shuffle);
-2. the keys are range-partitioned on (partition, order); each range partition gets a running sum by a window
-   over that range partition only (one row per distinct key, so no range partition holds a hot group), and the
-   per-range-partition totals (one row per shuffle partition: a proven small size) give each range its offset.
-   The range assignment is frozen with a reliable ``checkpoint()`` so both uses see the same assignment, even
-   when tasks are retried after an executor loss;
-3. the start of each partition group is the smallest prefix inside it; rank = prefix - start + 1;
-4. the ranks are joined back to the rows on the key (null-safe); AQE splits a hot key on the row side.
+2. the keys' order is cut into ranges by explicit splitters: a bounded sample of the keys, the lowest by hash, is sorted
+   and every so many-th of it is held as a literal. The range of a row is the number of splitters at or before its key, a
+   pure function of the key: whatever is computed twice, retried or lost gets the same range, so nothing is checkpointed.
+   The sample is one small job and decides only how even the ranges are;
+3. each range gets a running sum by a window over that range only (one row per distinct key, so no range holds a hot
+   group), and the ranges' totals (one row per range: a proven small size) give each range its offset;
+4. the start of each partition group is the smallest prefix inside it; rank = prefix - start + 1;
+5. the ranks are joined back to the rows on the key (null-safe); AQE splits a hot key on the row side.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from lendwise.session import ensure_checkpoint_dir
-
 OrderSpec = Sequence[tuple[str, bool]]  # (column, descending)
 
 
@@ -50,26 +50,71 @@ def _attach(df: DataFrame, ranks: DataFrame, keycols: Sequence[str], names: Sequ
     return df.join(r, _null_safe_on(df, r, keycols, "_k_")).select(*[df[c] for c in df.columns], *[r[n] for n in names])
 
 
+SAMPLES = 32  # sampled keys per range
+
+
+def splitters(keys: DataFrame, partition_by: Sequence[str], order_by: OrderSpec, ranges: int) -> list[Row]:
+    """At most ``ranges - 1`` keys, in order, that cut the keys into ranges of like sizes: one job, which brings
+    ``SAMPLES`` keys per range to the driver."""
+    cols = [*partition_by, *[c for c, _ in order_by]]
+    plain = [F.col(c).cast("string") for c in cols]  # collated text has no hash of its own
+    low = keys.select(*cols).orderBy(F.xxhash64(*plain)).limit(SAMPLES * ranges)
+    got = low.orderBy(*_sort_exprs(partition_by, order_by)).collect()
+    at = sorted({len(got) * k // ranges for k in range(1, ranges)})
+    return [got[i] for i in at if i < len(got)]
+
+
+def _before(a: Sequence[Column], b: Sequence[Column], descending: Sequence[bool]) -> Column:
+    """Key ``a`` sorts strictly before key ``b``; NULL is the lowest value."""
+    out = F.lit(False)
+    for x, y, desc in reversed(list(zip(a, b, descending))):
+        x, y = (y, x) if desc else (x, y)
+        less = F.coalesce(x < y, x.isNull() & y.isNotNull())
+        out = less | (x.eqNullSafe(y) & out)
+    return out
+
+
+def range_of(keys: DataFrame, cuts: list[Row], partition_by: Sequence[str], order_by: OrderSpec) -> Column:
+    """Number of splitters at or before a row's key. Two levels of comparisons: about twice the square root of their
+    number per row."""
+    if not cuts:
+        return F.lit(0)
+    cols = [*partition_by, *[c for c, _ in order_by]]
+    descending = [False] * len(partition_by) + [d for _, d in order_by]
+    kinds = [keys.schema[c].dataType for c in cols]
+    key = [F.col(c) for c in cols]
+
+    def literal(row: Row) -> Column:
+        return F.struct(*[F.lit(v).cast(kind).alias(f"f{i}") for i, (v, kind) in enumerate(zip(row, kinds))])
+
+    def passed(splits: Column) -> Column:
+        return F.size(F.filter(splits, lambda s: ~_before(key, [s[f"f{i}"] for i in range(len(cols))], descending)))
+
+    width = math.isqrt(len(cuts) - 1) + 1
+    groups = [cuts[i:i + width] for i in range(0, len(cuts), width)]
+    group = passed(F.array(*[literal(g[0]) for g in groups]))  # groups whose first splitter is at or before the key
+    inside = F.element_at(F.array(*[F.array(*[literal(r) for r in g]) for g in groups]), group)
+    return F.when(group > 0, (group - 1) * width + passed(inside)).otherwise(0)
+
+
 def prefix_counts(keys: DataFrame, partition_by: Sequence[str], order_by: OrderSpec,
                   values: Sequence[str]) -> DataFrame:
     """For each row of ``keys`` (unique on partition+order columns), add ``before_<v>``: the sum of the
     non-negative column ``v`` over all rows that sort strictly before it inside the same partition."""
-    spark = keys.sparkSession
-    ensure_checkpoint_dir(spark)
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sort = _sort_exprs(partition_by, order_by)
-    ranged = (keys.repartitionByRange(n_parts, *sort)
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    cuts = splitters(keys, partition_by, order_by, n_parts)
+    # both uses below read one shuffle if the planner reuses it, and agree on the ranges if it does not
+    ranged = keys.withColumn("_pid", range_of(keys, cuts, partition_by, order_by)).repartition(n_parts, "_pid")
     inside = Window.partitionBy("_pid").orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_loc_{v}") for v in values])
     totals = ranged.groupBy("_pid").agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])
-    # one row per shuffle partition: a window over it is tiny and the result is safe to broadcast
+    # one row per range: a window over it is tiny and the result is safe to broadcast
     before_parts = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_tot_{v}").over(before_parts), F.lit(0))
-                                      .alias(f"_off_{v}") for v in values])
-    glob = local.join(F.broadcast(offsets), "_pid").select(
-        *keys.columns, *[(F.col(f"_off_{v}") + F.col(f"_loc_{v}")).alias(f"_g_{v}") for v in values])
+    offsets = totals.select(F.col("_pid").alias("_opid"), *[F.coalesce(F.sum(f"_tot_{v}").over(before_parts), F.lit(0))
+                                                            .alias(f"_off_{v}") for v in values])
+    glob = local.join(F.broadcast(offsets), F.col("_pid") == F.col("_opid")).select(
+        *[local[c] for c in keys.columns], *[(F.col(f"_off_{v}") + F.col(f"_loc_{v}")).alias(f"_g_{v}") for v in values])
     if not partition_by:
         return glob.select(*keys.columns, *[F.col(f"_g_{v}").alias(f"before_{v}") for v in values])
     starts = glob.groupBy(*partition_by).agg(*[F.min(f"_g_{v}").alias(f"_s_{v}") for v in values])
@@ -123,11 +168,15 @@ def lag_within(df: DataFrame, partition_by: Sequence[str], order_by: OrderSpec,
 
     ``order_by`` must make rows unique inside a partition (end it with a primary key). Each row gets its
     position from ``prefix_counts``; the previous row is found by an equi-join on (partition, position - 1),
-    whose key is unique, so a partition holding a third of the rows is still spread over all tasks."""
-    numbered = prefix_counts(df.withColumn("_one", F.lit(1)), partition_by, order_by, ["_one"])
+    whose key is unique, so a partition holding a third of the rows is still spread over all tasks. Only the key and the
+    lagged column are numbered; the rows' other columns meet the result once, on the key."""
+    cols = [*partition_by, *[c for c, _ in order_by]]
+    keys = df.select(*cols, F.col(column).alias("_lagged"), F.lit(1).alias("_one"))
+    numbered = prefix_counts(keys, partition_by, order_by, ["_one"])
     prev = numbered.select(*[F.col(c).alias("_l_" + c) for c in partition_by],
-                           (F.col("before__one") + 1).alias("_l_pos"), F.col(column).alias(out))
+                           (F.col("before__one") + 1).alias("_l_pos"), F.col("_lagged").alias(out))
     cond = numbered["before__one"] == prev["_l_pos"]
     for c in partition_by:
         cond = cond & numbered[c].eqNullSafe(prev["_l_" + c])
-    return numbered.join(prev, cond, "left").select(*[numbered[c] for c in df.columns], prev[out])
+    lagged = numbered.join(prev, cond, "left").select(*[numbered[c] for c in cols], prev[out])
+    return _attach(df, lagged, cols, [out])

@@ -16,6 +16,8 @@ from lendwise.functions import (as_date, days_between, display_date, display_dat
 from lendwise.operators import queries as Q
 from lendwise.operators import views as V
 from lendwise.operators.ranking import rank_within, top_k_ranked
+from lendwise.operators.search import TitleIndex, matches
+from lendwise.operators.search import fold as fold_column
 from lendwise.sources.schemas import PIVOT_TYPES
 from lendwise.sources.tables import Tables
 
@@ -155,13 +157,20 @@ def _matches(df: DataFrame, column: str, text: str):
     return F.col(column).ilike(f"%{text}%")
 
 
-def d03_book_catalog(t: Tables, search: str | None = None, subject_id: int | None = None) -> DataFrame:
+def d03_book_catalog(t: Tables, search: str | None = None, subject_id: int | None = None, fold: bool = False,
+                     index: TitleIndex | None = None) -> DataFrame:
     """Catalog with popularity, availability and rank within the primary (smallest id) subject.
 
     The search (case-insensitive substring of title or ISBN; '%' and '_' typed by the user act as wildcards)
-    and the subject filter are applied before the rank, so ranks are among matching books only."""
+    and the subject filter are applied before the rank, so ranks are among matching books only. With ``fold`` the match
+    ignores accents too, as the source database's collation does: the searched columns alone are folded, all joins stay
+    binary. A stored ``index`` (``operators.search``) finds the same books by the postings of the needle's trigrams."""
     books = t.book
-    if search:
+    if search and index is not None:
+        books = books.join(index.search(books.sparkSession, search).select("isbn").distinct(), "isbn", "left_semi")
+    elif search and fold:
+        books = books.filter(matches(fold_column(F.col("title")), search) | matches(fold_column(F.col("isbn")), search))
+    elif search:
         books = books.filter(_matches(books, "title", search) | _matches(books, "isbn", search))
     first = t.booksubject.groupBy("isbn").agg(F.min("subject_id").alias("primary_subject_id"))
     core = books.join(first, "isbn", "left")

@@ -20,6 +20,8 @@ SESSION_SPLIT = "2024-01-01 12:00:00"
 # micro-batches of the streaming keys
 LOAN_CUTS = ["1997-01-01 00:00:00", "1999-06-01 00:00:00"]
 EVENT_CUTS = ["2024-01-08 00:00:00", "2024-01-20 00:00:00"]
+# accented, upper-case, short, with wildcards, part of an ISBN, without a match, with a run of literals on both sides
+NEEDLES = ["WÍDGET", "ar", "g%r", "b_lt", "Ød %ring", "0000012", "no such title", "ll gi"]
 FAR = 5 * 10 ** 15  # added to a key: no stored row has it
 TWO_FAR = 6 * 10 ** 15
 
@@ -220,3 +222,16 @@ def in_batches(changes: DataFrame, cuts: list[str]) -> list[DataFrame]:
             rows = rows.filter(F.coalesce(F.col("at") < F.lit(high).cast("timestamp_ntz"), F.lit(True)))
         out.append(rows)
     return out
+
+
+def signed_batches(rows: DataFrame, key: str, column: str, value: Column) -> list[DataFrame]:
+    """Three batches of signed rows of a table: three quarters of it; a changed ``column`` for every fifth of those (the old
+    row out, the new one in); the last quarter in and one of the first three out."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    changed = F.when(F.col(key) % 5 == 0, value.cast(kinds[column])).otherwise(F.col(column)).alias(column)
+    now = rows.select(*[changed if c == column else F.col(c) for c in rows.columns])
+    plus, minus = F.lit(1).alias("sign"), F.lit(-1).alias("sign")
+    first, fifth = F.col(key) % 4 != 3, F.col(key) % 5 == 0
+    return [rows.filter(first).select("*", plus),
+            rows.filter(first & fifth).select("*", minus).unionByName(now.filter(first & fifth).select("*", plus)),
+            rows.filter(~first).select("*", plus).unionByName(now.filter(F.col(key) % 4 == 0).select("*", minus))]

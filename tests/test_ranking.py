@@ -61,3 +61,43 @@ def test_lag_within_matches_window(spark):
     w = Window.partitionBy("p").orderBy(F.col("s").asc_nulls_first(), "id")
     want = df.select("*", F.lag("t").over(w).alias("prev_t"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_ranges_are_a_function_of_the_key(spark):
+    """Splitters are literals: two evaluations agree, ranges are in key order and about even, nothing is checkpointed."""
+    from lendwise.operators import ranking
+    from lendwise.plans import physical_plan
+
+    df = _data(spark, 2000).select("p", "s", "t", "id")
+    order = [("s", True), ("t", False), ("id", True)]
+    cuts = ranking.splitters(df, ["p"], order, 8)
+    assert len(cuts) == 7
+    with_range = df.withColumn("r", ranking.range_of(df, cuts, ["p"], order))
+    rows = with_range.orderBy(F.col("p").asc_nulls_first(), F.col("s").desc_nulls_last(), "t", F.desc("id")).collect()
+    got = [r["r"] for r in rows]
+    assert got == sorted(got) and set(got) == set(range(8))
+    assert max(got.count(k) for k in set(got)) < 3 * 2000 / 8
+    again = {tuple(r[:4]): r["r"] for r in with_range.repartition(5).collect()}
+    assert again == {tuple(r[:4]): r["r"] for r in rows}
+    plan = physical_plan(ranking.prefix_counts(df.withColumn("n", F.lit(1)), ["p"], order, ["n"]))
+    assert "Existing" not in plan.replace("Scan ExistingRDD[p", "").replace("Scan ExistingRDD[id", "") and "Checkpoint" not in plan
+
+
+def test_splitters_of_few_and_no_keys(spark):
+    from lendwise.operators import ranking
+
+    empty = _data(spark, 5).filter("id < 0")
+    assert ranking.splitters(empty, [], [("s", False)], 8) == []
+    assert rank_within(empty, [], [("s", True)], rank="rk").count() == 0
+    one = _data(spark, 1)
+    assert [r["rk"] for r in rank_within(one, ["p"], [("s", True)], rank="rk").collect()] == [1]
+
+
+def test_ranks_over_dates_decimals_and_timestamps(spark):
+    rows = spark.range(300).selectExpr("id", "CAST(id % 17 AS DECIMAL(8,2)) / 3 AS d", "DATE'2001-01-01' + CAST(id % 5 AS INT) AS day",
+                                       "CAST(DATE'2001-01-01' + CAST(id % 7 AS INT) AS TIMESTAMP_NTZ) AS ts")
+    order = [("day", True), ("ts", False), ("d", True)]
+    got = rank_within(rows, [], order, rank="rk")
+    w = Window.orderBy(F.desc("day"), "ts", F.desc("d"))
+    want = rows.select("*", F.rank().over(w).alias("rk"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
