@@ -16,9 +16,12 @@ from lendwise.operators import queries as Q
 from lendwise.operators import reports as R
 from lendwise.operators import summaries as M
 from lendwise.operators import views as V
+from lendwise.operators.quantified import OPERATORS, quantified
+from lendwise.operators.reports_sql import register_reports
 from lendwise.operators.search import TitleIndex, search_all
 from lendwise.session import ensure_checkpoint_dir
 from lendwise.sources.projection import AS_OF
+from lendwise.sources.script import load_script, write_script
 from lendwise.sources.tables import Tables
 
 
@@ -28,6 +31,16 @@ def _scratch(t: Tables, label: str) -> str:
     return f"{ensure_checkpoint_dir(t.book.sparkSession)}/{label}-{uuid.uuid4().hex}"
 
 
+COMPARISONS = [(op, q, f"{name}_{q.lower()}") for op, name in zip(OPERATORS, ("eq", "ne", "lt", "le", "gt", "ge")) for q in ("ALL", "ANY")]
+
+
+def _through_script(t: Tables, table: str, rows: DataFrame) -> DataFrame:
+    """Rows written as a script of INSERT statements and read back."""
+    path = _scratch(t, "script")
+    write_script(rows, table, path)
+    return load_script(rows.sparkSession, table, path)
+
+
 def _stream(t: Tables, table: str, changes: DataFrame, cuts: list[str], **kwargs) -> DataFrame:
     """Decisions of the streaming admission over change rows in micro-batches: id, op, accepted, reason."""
     return streaming.replay(S.in_batches(changes, cuts), table, _scratch(t, "admission"), **kwargs)
@@ -143,6 +156,14 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "f14_collated_match": lambda t: R.d03_book_catalog(t, search="WÍDGET", fold=True).select("isbn", "title", "times_loaned"),
     "p06_title_search": lambda t: search_all(
         TitleIndex(_scratch(t, "titles")).write(t.book), t.book.sparkSession, S.NEEDLES),
+    "p07_overdue_risk_sql": lambda t: register_reports(t).sql(f"SELECT * FROM overdue_risk(DATE'{AS_OF}')"),
+    "p07_book_catalog_sql": lambda t: register_reports(t).sql("SELECT * FROM book_catalog(NULL, NULL)"),
+    "p07_book_search_sql": lambda t: register_reports(t).sql("SELECT * FROM book_catalog(search => 'GEAR')"),
+    "p07_patron_risk_sql": lambda t: register_reports(t).sql(f"SELECT * FROM patron_risk_profile(DATE'{AS_OF}')"),
+    "p07_loans_segmented_sql": lambda t: register_reports(t).sql(f"SELECT * FROM loans_segmented(DATE'{AS_OF}', NULL)"),
+    "b02_quantified": lambda t: quantified(S.book_measures(t), "measure", S.older_measures(t).withColumnRenamed("measure", "old"),
+                                           "old", COMPARISONS, ["publisher_id"]),
+    "s23_insert_script": lambda t: _through_script(t, "patron", S.awkward_patrons(t)),
     "g03_distinct_levels": lambda t: M.g03_distinct_levels(t, _scratch(t, "distinct")),
     "s25_kept_v04": lambda t: M.v04_from_kept(t, M.kept_after(M.kept_fines(_scratch(t, "v04"), 2), [
         M.fine_changes(b) for b in S.signed_batches(t.fine, "fine_id", "status", F.lit("Unpaid"))])),

@@ -39,8 +39,11 @@ def ordered_distinct_concat(value, order_by=None, sep: str = ", ") -> Column:
 
 # ---------------------------------------------------------------- dates (F-05 ... F-13)
 
-def as_timestamp(as_of) -> Column:
-    """Literal for an explicit 'now' (date means midnight), as a zone-less wall-clock timestamp."""
+def as_timestamp(as_of=None) -> Column:
+    """Literal for an explicit 'now' (date means midnight), as a zone-less wall-clock timestamp. None is the time at
+    which the query runs (one value for the whole query), in the session's time zone."""
+    if as_of is None:
+        return F.localtimestamp()
     if isinstance(as_of, Column):
         return as_of.cast("timestamp_ntz")
     if isinstance(as_of, dt.datetime):
@@ -48,8 +51,10 @@ def as_timestamp(as_of) -> Column:
     return F.lit(str(as_of)).cast("date").cast("timestamp_ntz")
 
 
-def as_date(as_of) -> Column:
-    """Literal for an explicit 'today' (CURDATE)."""
+def as_date(as_of=None) -> Column:
+    """Literal for an explicit 'today' (CURDATE); None is the date on which the query runs."""
+    if as_of is None:
+        return F.current_date()
     if isinstance(as_of, Column):
         return as_of.cast("date")
     if isinstance(as_of, dt.datetime):

@@ -7,9 +7,10 @@ Every per-table step is an aggregation or an anti join on the constrained key; n
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendwise.functions import as_timestamp
@@ -78,15 +79,13 @@ def _slot(ref: tuple[str, str, str, str]) -> tuple[int, int]:
     return _DOMAINS.index(ref[2:]), same.index(ref)
 
 
-def _key_uses(t: Tables, text: bool = True) -> DataFrame:
+def _key_uses(t: Tables) -> DataFrame:
     """(domain, slot, k or s) for every key that a row holds or refers to; slot -1 is the parent's own key. One pass over
     each table, whatever the number of its references. Numeric keys are in ``k``, text keys in ``s``."""
     frames = []
     for name, spec in TABLES.items():
         uses = [(d, -1, pcol) for d, (parent, pcol) in enumerate(_DOMAINS) if parent == name]
         uses += [(*_slot(r), r[1]) for r in _REFERENCES if r[0] == name]
-        if not text:
-            uses = [u for u in uses if spec.col(u[2]).dtype.typeName() != "string"]
         if not uses:
             continue
         each = F.array(*[F.struct(
@@ -111,42 +110,32 @@ def _per_reference(sums: DataFrame, *names: str) -> DataFrame:
         *[F.coalesce(F.get(F.col(n), F.col("slot")), zero).cast(BIG).alias(n) for n in names])
 
 
-def c03_fk_orphans(t: Tables) -> DataFrame:
-    """Foreign keys: checked (non-NULL) references and those without a parent row, one line per reference.
-
-    Each table is read once for all its references, and all tables meet in one grouping on (parent key's domain, key):
-    a key's row holds how often each reference uses it (a hot key collapses map-side) and whether a parent row carries
-    it. No child row meets a join."""
-    uses = _key_uses(t)
+def _key_counts(t: Tables) -> DataFrame:
+    """One row per (domain, key): whether a parent row carries it, and how often each reference uses it (n0, n1, ...). A
+    hot key collapses map-side, and no child row meets a join."""
     counts = [F.count(F.when(F.col("slot") == i, 1)).alias(f"n{i}") for i in range(_SLOTS)]
-    keys = uses.groupBy("domain", "k", "s").agg(F.max(F.col("slot") == -1).alias("known"), *counts)
-    # a domain's keys spread over the partitions: partial sums, then a row per domain
-    sums = keys.groupBy("domain").agg(
-        F.array(*[F.sum(f"n{i}") for i in range(_SLOTS)]).alias("checked_rows"),
-        F.array(*[F.sum(F.when(~F.col("known"), F.col(f"n{i}")).otherwise(0)) for i in range(_SLOTS)]).alias("orphan_rows"))
+    return _key_uses(t).groupBy("domain", "k", "s").agg(F.max(F.col("slot") == -1).alias("known"), *counts)
+
+
+def _sums(keys: DataFrame, of: Callable[[Column], Column], only: Column) -> Column:
+    """Array over the slots: the sum of ``of(n_i)`` over the keys that ``only`` picks."""
+    return F.array(*[F.sum(F.when(only, of(F.col(f"n{i}"))).otherwise(0)) for i in range(_SLOTS)])
+
+
+def c03_fk_orphans(t: Tables) -> DataFrame:
+    """Foreign keys: checked (non-NULL) references and those without a parent row, one line per reference. Each table is
+    read once for all its references, and all tables meet in one grouping on (parent key's domain, key)."""
+    keys = _key_counts(t)
+    sums = keys.groupBy("domain").agg(_sums(keys, lambda n: n, F.lit(True)).alias("checked_rows"),
+                                      _sums(keys, lambda n: n, ~F.col("known")).alias("orphan_rows"))
     return _per_reference(sums, "checked_rows", "orphan_rows")
 
 
 def c03_orphan_keys(t: Tables) -> DataFrame:
-    """Numeric foreign keys: distinct keys that a reference uses and those that no parent row carries (0 for text keys,
-    which have no bit).
-
-    Keys are bits, 32,768 to a bitmap. Each table is read once; a reference's bits and its parents' bits meet per bucket,
-    and the keys without a parent are the bits of the union less those of the parents. What is shuffled grows with the
-    buckets in use, an eighth of a byte per possible key, and not with rows."""
-    uses = _key_uses(t, text=False)
-    bits = uses.groupBy("domain", "slot", F.bitmap_bucket_number("k").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("bits"))
-    used = F.when(F.col("slot") >= 0, F.array("slot")).otherwise(F.sequence(F.lit(0), F.lit(_SLOTS - 1)))
-    met = bits.select("domain", "bucket", "bits", (F.col("slot") == -1).alias("own"), F.explode(used).alias("slot"))
-    size = F.bitmap_count("bits")
-    per_bucket = met.groupBy("domain", "slot", "bucket").agg(
-        F.bitmap_count(F.bitmap_or_agg("bits")).alias("both"), F.sum(F.when(F.col("own"), size).otherwise(0)).alias("parents"),
-        F.sum(F.when(~F.col("own"), size).otherwise(0)).alias("used"))
-    per_slot = per_bucket.groupBy("domain", "slot").agg(F.sum("used").alias("u"), F.sum(F.col("both") - F.col("parents")).alias("o"))
-    sums = per_slot.groupBy("domain").agg(
-        F.array(*[F.sum(F.when(F.col("slot") == i, F.col("u"))) for i in range(_SLOTS)]).alias("used_keys"),
-        F.array(*[F.sum(F.when(F.col("slot") == i, F.col("o"))) for i in range(_SLOTS)]).alias("orphan_keys"))
+    """Foreign keys: distinct keys that a reference uses and those that no parent row carries, from the same grouping."""
+    keys, one = _key_counts(t), lambda n: F.when(n > 0, 1).otherwise(0)
+    sums = keys.groupBy("domain").agg(_sums(keys, one, F.lit(True)).alias("used_keys"),
+                                      _sums(keys, one, ~F.col("known")).alias("orphan_keys"))
     return _per_reference(sums, "used_keys", "orphan_keys")
 
 

@@ -37,7 +37,7 @@ def loans_per_book_all(t: Tables) -> DataFrame:
             .withColumn("loan_count", F.coalesce(F.col("loan_count"), F.lit(0)).cast("bigint")))
 
 
-def loan_duration(as_of):
+def loan_duration(as_of=None):
     """DATEDIFF(COALESCE(return_ts, now), loan_ts)."""
     return days_between(F.coalesce(F.col("return_ts"), as_timestamp(as_of)), F.col("loan_ts"))
 
@@ -79,12 +79,12 @@ def q06_current_loans(t: Tables) -> DataFrame:
     return V.v05_current_loans(t).orderBy("due_ts", "loan_id")
 
 
-def q07_overdue_loans(t: Tables, as_of) -> DataFrame:
+def q07_overdue_loans(t: Tables, as_of=None) -> DataFrame:
     """V-06 ordered by due time."""
     return V.v06_overdue_loans(t, as_of).orderBy("due_ts", "loan_id")
 
 
-def q08_loans_with_status(t: Tables, as_of) -> DataFrame:
+def q08_loans_with_status(t: Tables, as_of=None) -> DataFrame:
     """V-07 ordered by patron and loan time."""
     return V.v07_patron_loans_with_status(t, as_of).orderBy("patron_id", "loan_ts", "loan_id")
 
@@ -133,7 +133,7 @@ def q12_fine_rank(t: Tables) -> DataFrame:
     return ranked.orderBy("patron_type", F.desc("total_fines"), "row_num")
 
 
-def q13_duration_lag(t: Tables, as_of) -> DataFrame:
+def q13_duration_lag(t: Tables, as_of=None) -> DataFrame:
     """Each returned loan's duration next to the patron's previous returned loan (LAG over loan_ts, loan_id).
     The previous row comes from ``ranking.lag_within`` so a patron with a huge history is not one task."""
     from lendwise.operators.ranking import lag_within
@@ -204,7 +204,7 @@ def q17_never_loaned_copies(t: Tables) -> DataFrame:
             .orderBy(F.desc("num_copies"), "title", "isbn"))
 
 
-def _overdue_items(t: Tables, as_of) -> DataFrame:
+def _overdue_items(t: Tables, as_of=None) -> DataFrame:
     now = as_timestamp(as_of)
     return V.v06_overdue_loans(t, as_of).select(
         F.lit("Overdue Loan").alias("item_type"), F.col("loan_id").cast("string").alias("item_id"),
@@ -224,7 +224,7 @@ def _reserved_items(t: Tables, as_of, blocked_isbns: DataFrame) -> DataFrame:
                     "action_date", days_between(now, F.col("action_date")).alias("days_overdue")))
 
 
-def q18_action_items(t: Tables, as_of) -> DataFrame:
+def q18_action_items(t: Tables, as_of=None) -> DataFrame:
     """Literal form: a reserved book is listed unless one of its copies was never loaned or is on loan
     (the NOT EXISTS over Copy LEFT JOIN Loan with ``return_ts IS NULL``)."""
     # one row per loaned copy: whether any of its loans is open
@@ -233,7 +233,7 @@ def q18_action_items(t: Tables, as_of) -> DataFrame:
     return _overdue_items(t, as_of).unionByName(_reserved_items(t, as_of, blocked)).orderBy("action_date", "item_id")
 
 
-def q18_action_items_intent(t: Tables, as_of) -> DataFrame:
+def q18_action_items_intent(t: Tables, as_of=None) -> DataFrame:
     """Stated intent: a reserved book is listed when none of its copies is free (every copy has an open
     loan, or the book has no copies)."""
     open_copies = t.loan.filter(F.col("return_ts").isNull()).select("copy_id").distinct()
@@ -256,7 +256,7 @@ def q19_repeat_borrowers(t: Tables) -> DataFrame:
             .orderBy(F.desc("times_borrowed"), "patron_name", "title", "patron_id", "isbn"))
 
 
-def q20_slow_branches(t: Tables, as_of) -> DataFrame:
+def q20_slow_branches(t: Tables, as_of=None) -> DataFrame:
     """Branches whose average loan duration exceeds the average over all loans."""
     # loans are reduced to one row per (copy, patron); sums and counts then recombine the averages exactly
     use = t.loan.groupBy("copy_id", "patron_id").agg(F.count("loan_id").alias("n"), F.sum(loan_duration(as_of)).alias("d"))
@@ -488,7 +488,7 @@ def q28_first_last_loan(t: Tables, k: int = 20) -> DataFrame:
             .orderBy(F.desc("total_loans"), "isbn").limit(k))
 
 
-def q29_rollup_type_year(t: Tables, as_of) -> DataFrame:
+def q29_rollup_type_year(t: Tables, as_of=None) -> DataFrame:
     """ROLLUP(patron_type, year): distinct patrons, loans and average duration per level.
 
     Loans are first reduced to one row per (patron, year) with their count and duration sum, then meet the patron's

@@ -78,19 +78,19 @@ def _dashboard(t: Tables, as_of, literal: bool) -> DataFrame:
                     "returns_last_7d"))
 
 
-def d01_dashboard_summary(t: Tables, as_of) -> DataFrame:
+def d01_dashboard_summary(t: Tables, as_of=None) -> DataFrame:
     """Dashboard counters exactly as the report's SQL computes them (fan-out counts included)."""
     return _dashboard(t, as_of, literal=True)
 
 
-def d01_dashboard_summary_intent(t: Tables, as_of) -> DataFrame:
+def d01_dashboard_summary_intent(t: Tables, as_of=None) -> DataFrame:
     """Dashboard counters with the stated meaning: distinct books, every patron once."""
     return _dashboard(t, as_of, literal=False)
 
 
 # --------------------------------------------------------------------------------------------- D-02
 
-def patron_history(t: Tables, as_of) -> DataFrame:
+def patron_history(t: Tables, as_of=None) -> DataFrame:
     """patron_id -> all_loans, overdue_or_late_loans (every patron; zero when no loans)."""
     today = as_date(as_of)
     late = ((F.col("return_ts").isNull() & (F.col("due_ts") < today))
@@ -102,7 +102,7 @@ def patron_history(t: Tables, as_of) -> DataFrame:
                     F.coalesce("overdue_or_late_loans", F.lit(0).cast(BIG)).alias("overdue_or_late_loans")))
 
 
-def overdue_risk_rows(t: Tables, as_of) -> DataFrame:
+def overdue_risk_rows(t: Tables, as_of=None) -> DataFrame:
     """Loans open and due before ``as_of`` with days overdue, patron history, unpaid fines and risk score (NULL
     when the patron has no fine row)."""
     today = as_date(as_of)
@@ -123,7 +123,7 @@ def overdue_risk_rows(t: Tables, as_of) -> DataFrame:
                     score.cast("decimal(20,6)").alias("risk_score")))
 
 
-def d02_overdue_risk(t: Tables, as_of, limit: int | None = None) -> DataFrame:
+def d02_overdue_risk(t: Tables, as_of=None, limit: int | None = None) -> DataFrame:
     """Overdue loans with a risk score and its global RANK (descending score; NULL scores rank last).
 
     Without ``limit`` the rank is computed by the distributed prefix-count rank (no single-partition window);
@@ -140,7 +140,7 @@ def d02_overdue_risk(t: Tables, as_of, limit: int | None = None) -> DataFrame:
             .orderBy(F.col("risk_score").desc_nulls_last(), F.desc("days_overdue"), "loan_id"))
 
 
-def d02_overdue_risk_top(t: Tables, as_of, k: int = 10) -> DataFrame:
+def d02_overdue_risk_top(t: Tables, as_of=None, k: int = 10) -> DataFrame:
     """Dashboard route form: top ``k`` overdue loans by score, with patron_id and without the rank."""
     return (overdue_risk_rows(t, as_of)
             .orderBy(F.col("risk_score").desc_nulls_last(), F.desc("days_overdue"), "loan_id").limit(k))
@@ -207,7 +207,7 @@ def d03_book_catalog(t: Tables, search: str | None = None, subject_id: int | Non
 RISK_ORDER = {"HIGH": 1, "MEDIUM": 2}  # fixed values: route ordering of risk levels (others last)
 
 
-def _risk_profile(t: Tables, as_of) -> DataFrame:
+def _risk_profile(t: Tables, as_of=None) -> DataFrame:
     today = as_date(as_of)
     open_ = F.col("return_ts").isNull()
     per = t.loan.groupBy("patron_id").agg(
@@ -231,7 +231,7 @@ def _risk_profile(t: Tables, as_of) -> DataFrame:
     return p.withColumn("risk_level", level)
 
 
-def d04_patron_risk_profile(t: Tables, as_of) -> DataFrame:
+def d04_patron_risk_profile(t: Tables, as_of=None) -> DataFrame:
     """Per patron: loans (total, active, overdue), last loan, fines, risk level and recent-borrower flag (30 days)."""
     cutoff = _minus_days(as_of, 30)
     recent = (F.col("last_loan_ts").isNotNull() & (F.to_date("last_loan_ts") >= cutoff)).cast("int")
@@ -243,7 +243,7 @@ def d04_patron_risk_profile(t: Tables, as_of) -> DataFrame:
             .orderBy(F.desc("risk_level"), F.desc("unpaid_fines"), "patron_name", "patron_id"))
 
 
-def d04_patron_risk_route(t: Tables, as_of) -> DataFrame:
+def d04_patron_risk_route(t: Tables, as_of=None) -> DataFrame:
     """Patron list route form: names split, no recency flag, HIGH -> MEDIUM -> LOW then patron id."""
     lvl = F.col("risk_level")
     order = F.when(lvl == "HIGH", RISK_ORDER["HIGH"]).when(lvl == "MEDIUM", RISK_ORDER["MEDIUM"]).otherwise(3)
@@ -258,7 +258,7 @@ def d04_patron_risk_route(t: Tables, as_of) -> DataFrame:
 LOAN_STATUS_FILTERS = ("ALL", "CURRENT", "OVERDUE", "RETURNED")
 
 
-def d05_loans_segmented(t: Tables, as_of, status_filter: str = "ALL", limit: int | None = None,
+def d05_loans_segmented(t: Tables, as_of=None, status_filter: str = "ALL", limit: int | None = None,
                         with_patron_id: bool = False) -> DataFrame:
     """Loans with branch, status and duration against the patron's average over all of the patron's loans.
     Unknown filters mean ALL (as the route maps them)."""

@@ -86,14 +86,14 @@ def v05_current_loans(t: Tables) -> DataFrame:
         "loan_id", "copy_id", "barcode", "isbn", "title", "patron_id", "patron_name", "loan_ts", "due_ts")
 
 
-def v06_overdue_loans(t: Tables, as_of) -> DataFrame:
+def v06_overdue_loans(t: Tables, as_of=None) -> DataFrame:
     """Open loans whose due timestamp is before 'now' (``as_of``; a date means midnight)."""
     late = t.loan.filter(F.col("return_ts").isNull() & (F.col("due_ts") < as_timestamp(as_of)))
     return _loan_detail(t, late).select(
         "loan_id", "copy_id", "barcode", "isbn", "title", "patron_id", "patron_name", "loan_ts", "due_ts")
 
 
-def v07_patron_loans_with_status(t: Tables, as_of) -> DataFrame:
+def v07_patron_loans_with_status(t: Tables, as_of=None) -> DataFrame:
     """Every loan with copy, book, patron name and status Returned / Overdue (due before ``as_of``) / On loan."""
     status = (F.when(F.col("return_ts").isNotNull(), "Returned")
               .when(F.col("due_ts") < as_timestamp(as_of), "Overdue").otherwise("On loan"))
@@ -145,14 +145,14 @@ VIEWS = {
 }
 
 
-def register_views(t: Tables, as_of) -> None:
+def register_views(t: Tables, as_of=None) -> None:
     """Catalog of named views: every view becomes a temp view usable from ``spark.sql``."""
     for name, fn in VIEWS.items():
         df = fn(t, as_of) if name in ("vw_overdue_loans", "vw_patron_loans_with_status") else fn(t)
         df.createOrReplaceTempView(name)
 
 
-def view_counts(t: Tables, as_of) -> DataFrame:
+def view_counts(t: Tables, as_of=None) -> DataFrame:
     """Rows of every named view, asked through SQL on the registered names."""
     register_views(t, as_of)
     return t.patron.sparkSession.sql(" UNION ALL ".join(

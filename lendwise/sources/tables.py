@@ -92,7 +92,12 @@ def load_table(spark: SparkSession, table: str, path: str, fmt: str = "parquet",
     """
     if fmt not in TEXT_FORMATS:
         return conform(spark.read.schema(TABLES[table].schema).options(**(options or {})).format(fmt).load(path), table, collation)
-    raw = load_raw(spark, table, path, fmt, options)
+    return typed(load_raw(spark, table, path, fmt, options), table, collation, quarantine)
+
+
+def typed(raw: DataFrame, table: str, collation: str | None = None, quarantine: str | None = None) -> DataFrame:
+    """Text rows of a table in its declared types. A row with a value that does not convert goes to ``quarantine``, or
+    reading it raises an error."""
     if quarantine is not None:
         good, rejected = split_convertible(raw, table, collation)
         rejected.write.mode("append").parquet(quarantine)

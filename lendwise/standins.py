@@ -235,3 +235,24 @@ def signed_batches(rows: DataFrame, key: str, column: str, value: Column) -> lis
     return [rows.filter(first).select("*", plus),
             rows.filter(first & fifth).select("*", minus).unionByName(now.filter(first & fifth).select("*", plus)),
             rows.filter(~first).select("*", plus).unionByName(now.filter(F.col(key) % 4 == 0).select("*", minus))]
+
+
+def book_measures(t: Tables) -> DataFrame:
+    """(isbn, publisher_id, pub_year, measure): page-like counts from the ISBN's digits, some of them unknown."""
+    number = F.col("isbn").cast("bigint")
+    return t.book.select("isbn", "publisher_id", "pub_year", F.when(number % 23 != 7, number * 37 % 41).alias("measure"))
+
+
+def older_measures(t: Tables) -> DataFrame:
+    """The measures of each publisher's books before 1994, known only for some publishers: sets with and without
+    unknown elements, of one element, and empty ones."""
+    m = book_measures(t).filter("pub_year < 1994")
+    return m.filter((F.col("publisher_id") % 3 == 0) | F.col("measure").isNotNull()).filter(
+        "publisher_id % 5 <> 1").select("publisher_id", "measure")
+
+
+def awkward_patrons(t: Tables) -> DataFrame:
+    """Patrons whose names hold quotes, line ends, backslashes and what looks like SQL."""
+    odd = F.concat(F.col("last_name"), F.lit("'s \"q\"\n-- x); ('a\\n', \r\n/* NULL, 1);"))
+    return _vary(t.patron, "patron_id", {3: ("last_name", odd), 7: ("first_name", F.lit("")), 11: ("first_name", F.lit("NULL")),
+                                         13: ("last_name", F.lit("a\\"))})
