@@ -90,6 +90,6 @@ QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_decontamination, op3_secret_scan, op4_packing, op5_warc, op6_ngram_jaccard, op7_quality,
     op8_token_counts, op9_language_id, op10_topk, op11_importance_sample, op12_filter_audit, op13_chat_format)}
 ORACLES = {"op1_url_filter": url_filter.ORACLE, "op2_decontamination": decontamination.ORACLE,
-           "op5_warc": warc.ORACLE, "op10_topk": topk.ORACLE,
+           "op5_warc": warc.ORACLE, "op6_ngram_jaccard": jaccard_join.ORACLE, "op10_topk": topk.ORACLE,
            "op11_importance_sample": importance_sample.ORACLE, "op12_filter_audit": filter_audit.ORACLE,
            "op13_chat_format": chat_format.ORACLE}

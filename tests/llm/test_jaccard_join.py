@@ -23,14 +23,63 @@ def near_copies(groups=6, each=9, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, diff", [(256, 1024), (4, 1024), (4, 3)])
+def test_equals_brute_force(spark, monkeypatch, block, diff):
     monkeypatch.setattr(J, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(J, "DIFF_TEXTS", diff)
     rows = H.TRICKY + near_copies()
     got = H.rows_of(J.near_duplicates(H.docs(spark, rows, extra=True)), "doc_id", "class_id", "links")
     assert got == sorted(H.classes([(r[0], r[1]) for r in rows]), key=repr)
 
 
+def test_crowded_runs_keep_the_recall(spark, monkeypatch):
+    """Runs of one or two representatives are cut to longer prefixes, and shortened again where recall is short."""
+    monkeypatch.setattr(J, "CROWD", 1)
+    shared = [f"line{k}" for k in range(150)]  # half of every text: unlike texts that share many prefixes
+    rows = near_copies(4, 6) + [(5000 + k, " ".join(shared + [f"own{k}x{j}" for j in range(100)]), "en", "s", 1) for k in range(40)]
+    docs = H.docs(spark, rows)
+    forest = J._forest(J._signed(docs).withColumn("node", J.F.xxhash64("__t")))
+    assert J._links(forest, 1).filter("cut > 0").count() > 0 and J._links(forest, None).filter("cut > 0").count() == 0
+    got = H.rows_of(J.near_duplicates(docs), "doc_id", "class_id", "links")
+    assert got == sorted(H.classes([(r[0], r[1]) for r in rows]), key=repr)
+
+
+def test_a_large_group_ships_each_text_once(spark, monkeypatch):
+    """3,000 different near copies of one text, all partners of each other: links are counted, not compared."""
+    monkeypatch.setattr(J, "BLOCK_TEXTS", 64)
+    rng = random.Random(1)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(3000):
+        w = list(base)
+        w[rng.randrange(400)] = f"edit{k}"
+        rows.append((k, " ".join(w), "en", "s", 1))
+    apply = J._verify
+    calls = spark.sparkContext.accumulator(0)
+    texts = spark.sparkContext.accumulator(0)
+
+    def counted(key, table):
+        calls.add(1)
+        texts.add(table.num_rows)
+        return apply(key, table)
+
+    monkeypatch.setattr(J, "_verify", counted)
+    out = J.near_duplicates(H.docs(spark, rows)).collect()
+    assert {(r["class_id"], r["links"]) for r in out} == {(0, 2999)} and len(out) == 3000
+    assert texts.value <= 3000 + calls.value and calls.value == 47  # every text once, and the head to each chunk
+
+
+def test_links_in_a_run_are_fewer_than_its_texts():
+    rng = np.random.default_rng(4)
+    run, links = J.Run(), []
+    base = rng.integers(0, 2, 160).astype(np.uint8)
+    for k in range(500):
+        bits = base.copy()
+        bits[rng.integers(0, 160, rng.integers(0, 50))] ^= 1
+        links += run.add(k, np.frombuffer(np.packbits(bits).tobytes().ljust(J.SKETCH, b"\0"), np.uint64))
+    assert len(links) < 500 and len({x for pair in links for x in pair}) == 500
+
+
 def test_sample_table_and_one_per_class(spark):
     df = spark.read.parquet(f"{H.SF}/documents.parquet")
     want = H.classes([(r.doc_id, r.text) for r in df.collect()])
@@ -54,10 +103,15 @@ def test_empty_table(spark):
     assert J.one_per_class(H.docs(spark, [])).count() == 0
 
 
-def test_depth_reaches_recall():
-    d = J.depth()
-    assert 1 - (1 - J.THRESHOLD ** d) ** J.TREES >= J.RECALL > 1 - (1 - J.THRESHOLD ** (d + 1)) ** J.TREES
-    assert J.depth(trees=1, recall=0.99) == 1
+def test_prefixes_reach_the_recall():
+    assert J.missed([J.SHORT] * J.TREES) < 1 - J.RECALL < J.missed([J.DEPTH] * J.TREES)
+    assert J.missed([1]) == pytest.approx(0.2) and J.missed([]) == 1.0
+
+
+def test_one_row_of_equal_ids_and_texts_is_chosen_by_content(spark):
+    rows = [(1, "one two three four five six", lang, src, n) for lang in ("en", "de", None) for src in ("a", "b") for n in (1, 2)]
+    kept = {tuple(J.one_per_class(H.docs(spark, rows).repartition(k)).first()) for k in (1, 3, 5)}
+    assert len(kept) == 1
 
 
 def test_overlaps():
