@@ -23,7 +23,7 @@ from lendwise.llm.common import table
 
 def op1_url_filter(spark, sf_dir):
     """Rule and link-graph verdict of every page's url."""
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    return url_filter.verdicts(table(spark, sf_dir, "pages"))
 
 
 def op2_decontamination(spark, sf_dir):
