@@ -206,8 +206,9 @@ def routed(queries: DataFrame, blocks: dict, first: bool) -> DataFrame:
 
 
 def _searched(routes: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(qrow, query_id, vec_id, score, n, floor) of the k best of each routed query in its block. A block that many
-    queries come to is sent once per QUERY_BLOCK of them."""
+    """(qrow, query_id, vec_id, score, n, floor, floor_id) of the k best of each routed query in its block, without those
+    that come after its k-th best so far (``floor`` and, among equal scores, ``floor_id``). A block that many queries come
+    to is sent once per QUERY_BLOCK of them."""
     routes = materialize(routes, "routes")
     parts = routes.groupBy("width", "cb").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
     q = routes.join(parts, ["width", "cb"]).withColumn("part", F.pmod(F.xxhash64("qrow", F.lit(3)), "parts").cast("int")).drop("parts")
@@ -216,25 +217,28 @@ def _searched(routes: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
     def search(key, q, x):
         width = key[0].as_py()
-        out = [np.zeros(0, np.int64)] * 5 + [np.zeros(0)]
+        out = [np.zeros(0, np.int64)] * 5 + [np.zeros(0), np.zeros(0, np.int64)]
         if q.num_rows and x.num_rows:
             qid, xid = q.column("vec_id").to_numpy(), x.column("vec_id").to_numpy()
             floor = q.column("floor").to_numpy().astype(float)
             floor = np.where(np.isnan(floor), -np.inf, floor)
             hq, hx, scores = best_in_block(qid, _matrix(q.column("v"), width), xid, _matrix(x.column("v"), width), k, floor)
             full = np.bincount(hq, minlength=len(qid)) >= k  # rows come query by query, best first
-            last = np.full(len(qid), np.nan)
-            last[hq] = scores  # the last written is the least
+            last, last_id = np.full(len(qid), np.nan), np.zeros(len(qid), np.int64)
+            last[hq], last_id[hq] = scores, xid[hx]  # the last written is the least
             last[~full] = np.nan
             weight = q.column("n").to_numpy()[hq] * x.column("n").to_numpy()[hx]
-            out = [q.column("qrow").to_numpy()[hq], qid[hq], xid[hx], scores, weight, last[hq]]
-        kinds = [pa.int64()] * 5 + [pa.float64()]
+            out = [q.column("qrow").to_numpy()[hq], qid[hq], xid[hx], scores, weight, last[hq], last_id[hq]]
+            ends = q.column("floor_id").to_numpy().astype(float)[hq]
+            before = ~((scores == floor[hq]) & (xid[hx] > ends))
+            out = [o[before] for o in out]
+        kinds = [pa.int64()] * 5 + [pa.float64(), pa.int64()]
         return pa.Table.from_arrays([pa.array(o, kind, from_pandas=True) for o, kind in zip(out, kinds)],
-                                    names=["qrow", "query_id", "vec_id", "score", "n", "floor"])
+                                    names=["qrow", "query_id", "vec_id", "score", "n", "floor", "floor_id"])
 
     keys = ["width", "cb", "part"]
     return q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(
-        search, "qrow long, query_id long, vec_id long, score long, n long, floor double")
+        search, "qrow long, query_id long, vec_id long, score long, n long, floor double, floor_id long")
 
 
 def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -249,9 +253,11 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     blocks = summaries(vectors)
     queries = vectors.filter(F.col("vec_id") % every == 0).select(
         "vec_id", "v", "width", "n", F.xxhash64("vec_id", "v").alias("qrow"))
-    first = materialize(_searched(routed(queries.withColumn("floor", F.lit(None).cast("double")), blocks, True), vectors, k), "first-block")
-    floors = first.groupBy("qrow").agg(F.max("floor").alias("floor"))
-    rest = routed(queries.join(floors, "qrow", "left").select("vec_id", "v", "width", "n", "qrow", "floor"), blocks, False)
+    first = materialize(_searched(routed(queries.withColumns({
+        "floor": F.lit(None).cast("double"), "floor_id": F.lit(None).cast("long")}), blocks, True), vectors, k), "first-block")
+    floors = first.groupBy("qrow").agg(F.max("floor").alias("floor"), F.max("floor_id").alias("floor_id"))
+    rest = routed(queries.join(floors, "qrow", "left").select(
+        "vec_id", "v", "width", "n", "qrow", "floor", "floor_id"), blocks, False)
     found = first.unionByName(_searched(rest, vectors, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
