@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendwise.llm.common import hashed_sample, held_out, learnable
+from lendwise.llm.common import hashed_sample, held_out, learnable, text_key
 
 TRAIN_ROWS = 8192
 BUCKETS = 1 << 13
@@ -148,12 +148,16 @@ def _featured(batches):
 
 
 def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Model from a bounded sample of the labelled learnable documents."""
+    """Model from a bounded sample of the labelled learnable documents. Repeated rows of a document train once; at most
+    4 * train_rows rows reach the driver, however many rows a chosen document has."""
     known = labels.filter(learnable(F.col("doc_id")) & F.col("quality").isin(0, 1)).select(
         "doc_id", F.col("quality").cast("int").alias("label"))
     chosen = hashed_sample(known, "doc_id", train_rows)
     rows = documents.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id")  # at most 2 * train_rows rows
-    rows = rows.select("text", F.col("n_chars").cast("long"), "label", F.xxhash64("doc_id").alias("place"))
+    rows = rows.withColumn("__t", text_key(F.col("text"))).dropDuplicates(["doc_id", "__t", "label"])
+    rows = rows.select("text", F.col("n_chars").cast("long"), "label", F.xxhash64("doc_id").alias("place"), F.xxhash64(
+        "doc_id", "__t", "label").alias("row"))
+    rows = hashed_sample(rows, "row", 2 * train_rows).drop("row")
     table = rows.mapInArrow(_featured, "bucket array<int>, weight array<float>, stats array<double>, label int, place long")
     got = table.toArrow().sort_by([("place", "ascending"), ("label", "ascending")])
     parts = [got.column(k).combine_chunks() for k in range(3)]

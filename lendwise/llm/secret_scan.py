@@ -6,10 +6,13 @@ postings with each alternative gives the candidates of a rule, and only those ar
 without mandatory trigrams is scanned over every text.
 
 Spans are code point offsets, end exclusive, leftmost and non-overlapping per kind; matches that fail the rule's
-``accept`` pattern are dropped after matching. The index adds no spans of its own, so all spans are base spans.
+``accept`` pattern are dropped after matching. Besides the base rules the method has rules for secrets with a form of
+their own (private key headers, tokens of code hosts and chat services, signed web tokens); their spans are added to the
+base spans, which they never change.
 
-Cases: a null text is empty and has no spans; repeated rows each get their row; an empty table gives an empty result;
-only doc_id and text are read, so other columns may have any name.
+Cases: a null text is empty and has no spans; a text of any length is scanned whole; spans of several kinds at one place
+are sorted by kind as listed, and overlapping ones are masked by one mask; repeated rows each get their row; an empty
+table gives an empty result; only doc_id and text are read, so other columns may have any name, dots included.
 """
 
 from __future__ import annotations
@@ -50,6 +53,13 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", r"^.{20,}$", r"AKIA[A-Z0-9]{16}"),
     Rule("hex", r"[0-9a-f]+", r"^.{24,}$", r"[0-9a-f]{24}"),
 )
+# Forms of further secrets, after the base kinds.
+ADDED = (
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"^.", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("code_host", r"gh[pousr]_[A-Za-z0-9]+", r"^.{40,}$", r"gh[pousr]_[A-Za-z0-9]{36}"),
+    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", r"^.{15,}$", r"xox[abprs]-[A-Za-z0-9-]{10}"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"^.{40,}$", r"eyJ[A-Za-z0-9_-]+\.eyJ"),
+)
 ALTERNATIVES = 64  # strings held while a literal run is expanded; beyond it the run is cut, which only weakens the query
 
 
@@ -170,7 +180,7 @@ def find_spans(documents: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tup
     """doc_id, text key, the ``carry`` columns, and ``__spans``: sorted (start, kind number, end) of each document."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.regex))}
     docs = documents.select("doc_id", text_key(F.col("text")).alias("__t"),
-                            F.coalesce("text", F.lit("")).alias("__x"), *[F.col(c) for c in carry])
+                            F.coalesce("text", F.lit("")).alias("__x"), *[F.col(f"`{c}`") for c in carry])
     if queries:
         grams = sorted(set().union(*[c for q in queries.values() for c in q]))
         postings = materialize(trigram_postings(documents, grams), "trigram-postings")
@@ -184,27 +194,31 @@ def find_spans(documents: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tup
         if r.kind in queries:
             look = F.coalesce(F.array_contains("__kinds", r.kind), F.lit(False)) & look
         parts.append(F.when(look, _spans(_pieces(F.col("__x"), r.regex), no, r.accept)).otherwise(none))
-    return docs.select("doc_id", "__t", *carry, "__x", F.sort_array(F.concat(*parts)).alias("__spans"))
+    return docs.select("doc_id", "__t", *[F.col(f"`{c}`") for c in carry], "__x", F.sort_array(F.concat(*parts)).alias("__spans"))
+
+
+def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, added: tuple[Rule, ...] = ADDED) -> DataFrame:
+    """One row per document row: doc_id, n_<kind> per base rule, base_sha256 of the base spans, spans of all rules."""
+    names = F.array(*[F.lit(r.kind) for r in rules + added])
 
+    def told(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
-def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per document row: doc_id, n_<kind> per rule, base_sha256, spans."""
-    names = F.array(*[F.lit(r.kind) for r in rules])
-    found = find_spans(documents, rules).withColumn("spans", F.array_join(F.transform(
-        "__spans", lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ","))
+    found = find_spans(documents, rules + added).withColumn("spans", told("__spans")).withColumn(
+        "base", told(F.filter("__spans", lambda s: s["kind"] < len(rules))))
 
     def count(no: int) -> Column:
         return F.size(F.filter("__spans", lambda s: s["kind"] == no)).cast("long")
 
     counts = [count(no).alias(f"n_{r.kind}") for no, r in enumerate(rules)]
-    return found.select("doc_id", *counts, F.sha2(F.col("spans").cast("binary"), 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
-def redact(documents: DataFrame, mask: str = "[REDACTED]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(documents: DataFrame, mask: str = "[REDACTED]", rules: tuple[Rule, ...] = RULES + ADDED) -> DataFrame:
     """The documents, same columns, with every span's characters replaced by ``mask`` (overlapping spans of several
     kinds by one mask) and n_chars, if present, recounted. Documents without spans keep their row unchanged."""
     others = tuple(c for c in documents.columns if c not in ("doc_id", "text"))
-    plain = documents.select("doc_id", "text", *others)
+    plain = documents.select("doc_id", "text", *[F.col(f"`{c}`") for c in others])
     docs = plain.withColumn("__text", F.col("text"))
     found = find_spans(docs, rules, carry=("__text", *others))
 
@@ -223,7 +237,7 @@ def redact(documents: DataFrame, mask: str = "[REDACTED]", rules: tuple[Rule, ..
     text = F.when(hit, F.aggregate("__spans", zero, step, finish)).otherwise(F.col("__text"))
     found = found.withColumn("__new", text)
     out = {"doc_id": F.col("doc_id"), "text": F.col("__new")}
-    out |= {c: F.col(c) for c in others}
+    out |= {c: F.col(f"`{c}`") for c in others}
     if "n_chars" in others:
         kind = documents.schema["n_chars"].dataType
         out["n_chars"] = F.when(hit, F.char_length("__new").cast(kind)).otherwise(F.col("n_chars"))

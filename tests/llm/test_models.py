@@ -1,3 +1,4 @@
+import zlib
 """Language ID and the quality classifier: held-out accuracy, model identities and edge rows."""
 
 import sys
@@ -123,3 +124,20 @@ def test_rare_language_is_calibrated_in_a_large_table(spark):
     docs = H.docs(spark, [*rare, noise]).unionByName(many)
     out = L.language_id(docs).filter("lang_pred = 'de'").collect()
     assert len(out) == 41 and [r.doc_id for r in out if r.rejected] == [50]
+
+
+def test_quality_training_rows_are_bounded(spark):
+    """One chosen document with thousands of rows, equal or not, sends a bounded number of rows to the driver."""
+    from lendwise.llm import quality_fm as Q
+
+    doc = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5)
+    labels = spark.createDataFrame([(doc, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit, Q.fit = Q.fit, lambda rows: seen.append(len(rows)) or fit(rows)
+    try:
+        same = spark.range(5000).selectExpr(f"CAST({doc} AS LONG) AS doc_id", "'a text of words' AS text", "15L AS n_chars")
+        Q.train(same, labels, 16)
+        Q.train(same.selectExpr("doc_id", "concat(text, uuid()) AS text", "n_chars"), labels, 16)
+    finally:
+        Q.fit = fit
+    assert seen[0] == 1 and seen[1] <= 64
