@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import regex
@@ -20,7 +21,7 @@ from tokenizers import Tokenizer
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT = "byte_bpe_50k.json"
 BASE = 0x100000001B3F5A6D  # of the polynomial byte hashes
-CACHE = 1 << 19  # words a task remembers at once; beyond it the memory starts afresh
+CACHE, CACHE_BYTES = 1 << 19, 1 << 26  # words and bytes a task remembers at once; beyond them the memory starts afresh
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -116,6 +117,8 @@ class PrefixCounter:
         self.joins: dict[int, bool] = {}
         self.alone: dict[bytes, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.held = 0  # bytes of the counts in ``known``
+        self.automaton = None  # of all tokens, made when the first long word comes
         self.runs = regex.compile(r"\s{2,}(?=\S)")
         # tokens by number, and their hashes in order, to look up many byte strings at once
         self.tokens = list(self.vocab)
@@ -188,18 +191,37 @@ class PrefixCounter:
             ok = self.joins[key] = self._is_token(y) and (self._apart(a, b) if self.made else self._merge(x + y) == [x, y])
         return ok
 
+    def _ends(self, word: str):
+        """(end, token, its length) of every occurrence of a token in a word whose characters are its bytes: by end, the
+        longest first."""
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for k, t in enumerate(self.tokens):
+                self.automaton.add_word(t.decode("latin-1"), (k, len(t)))
+            self.automaton.make_automaton()
+        return self.automaton.iter(word)
+
     def _bytes(self, word: bytes) -> list[int]:
-        """Token count of every byte prefix of one word."""
-        last, count = [-1], [0]
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = self.number.get(word[start:end])
-                if token is not None and (self._joins(last[start], token) if start else self._is_token(word[:end])):
-                    last.append(token)
-                    count.append(count[start] + 1)
-                    break
+        """Token count of every byte prefix of one word. Only the tokens that end at a byte are looked at, so the work
+        grows with the word's length, whatever its letters."""
+        last, count = [-1] * (len(word) + 1), [0] * (len(word) + 1)
+        joins = self.joins
+        for at, (token, size) in self._ends(word.decode("latin-1")):
+            end = at + 1
+            if last[end] >= 0:
+                continue
+            start = end - size
+            if start:
+                before = last[start]
+                ok = joins.get(before << 32 | token)
+                if ok is None:
+                    ok = self._joins(before, token)
             else:
-                raise ValueError(f"no token ends at byte {end} of {word!r}")
+                ok = self._is_token(word[:end])
+            if ok:
+                last[end], count[end] = token, count[start] + 1
+        if -1 in last[1:]:
+            raise ValueError(f"no token ends at byte {last.index(-1, 1)} of {word[:80]!r}")
         return count[1:]
 
     def _many(self, raw: list[bytes]) -> np.ndarray:
@@ -262,6 +284,7 @@ class PrefixCounter:
         for w in long:
             raw = w.encode("utf-8")
             self.known[w] = self._by_character(w, raw, np.array(self._bytes(raw), "<u4"))
+        self.held += sum(len(self.known[w]) + len(w) for w in words)
         for w in set(words) & {"'re", "'ve", "'ll"}:  # cut after two characters, these split into a quote and a letter
             counts = np.frombuffer(self.known[w], "<u4").copy()
             counts[1] = self._total("'") + self._total(w[1])
@@ -302,8 +325,8 @@ class PrefixCounter:
 
     def counts_of(self, texts: list[str]):
         """The counts of many texts, whose words are learned together."""
-        if len(self.known) > CACHE:
-            self.known = {}
+        if len(self.known) > CACHE or self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
         cut = [self.split.segments(t) for t in texts]
         words = [[self.split.words(s) if k % 2 == 0 else [] for k, s in enumerate(segments)] for segments in cut]
         missing = set()

@@ -132,3 +132,24 @@ def test_packing_sample_table(spark, library):
     df = spark.read.parquet(f"{H.SF}/documents.parquet")
     lengths = check_packing(packing.pack(df).collect(), [(r.doc_id, r.text) for r in df.collect()], library)
     assert sum(lengths) / (packing.LENGTH * len(lengths)) > 0.98
+
+
+def test_long_words_take_linear_time():
+    """A word of 2,000,000 random letters: its work is a few lookups per byte, and its counts are the encoder's."""
+    import random
+    import time
+
+    content = tokens.vocabulary()
+    counter, encoder, rng = tokens.PrefixCounter(content), tokens.Encoder(content), random.Random(1)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2_000_000))
+    counter.counts("w" * 100)  # makes the automaton
+    began = time.process_time()
+    counts = counter.counts(word)
+    assert time.process_time() - began < 15  # about 4 s; 60 microseconds a byte would be 120 s
+    for n in (1, 7, 48, 49, 1000, 50_000):
+        assert counts[n - 1] == len(encoder.encode(word[:n])) // 4
+    assert counter.held > 8_000_000
+    list(counter.counts_of(["x"] * 2))
+    counter.held = tokens.CACHE_BYTES + 1
+    list(counter.counts_of(["y z"]))
+    assert counter.held < 100 and len(counter.known) < 10  # the memory is bounded by bytes, too
