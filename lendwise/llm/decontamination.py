@@ -8,7 +8,8 @@ one window of its own length L; it is found with hash length L and a winnowing w
 
 Cases: a null text has no words; an item without words has no windows; a null item_id adds hits but is not counted
 as an item; repeated document rows each get their row; repeated item rows count once per item_id; empty tables give
-empty or hit-free results; only doc_id, item_id and text are read, so other columns may have any name.
+empty or hit-free results; a text of any length is read whole, its windows are compared in one task; only doc_id,
+item_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from lendwise.llm.common import ascii_lower, materialize, text_key, words
 
 SPAN = 13  # guaranteed span, words
 GRAM = 7   # hash length; winnowing window = SPAN - GRAM + 1
+BUCKETS = 1 << 20  # hash buckets of candidate texts that are broadcast: at most so many numbers
 
 
 def _pairs(df: DataFrame, src: str, dst: str, gap: int, combine) -> DataFrame:
@@ -73,8 +75,10 @@ def benchmark_index(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[in
     spans = _benchmark_windows(benchmark)
     starts = F.sequence(F.lit(0), F.size("__w") - F.col("length"))
     windows = spans.withColumn("__p", _positions(F.col("length"), starts)).select(
-        "item_id", "length", F.explode("__p.window").alias("window")).distinct()
-    windows = materialize(windows, "bench-windows")
+        "item_id", "length", F.explode("__p.window").alias("window"))
+    # a window stands for its list of items; windows of the same items share the list
+    windows = windows.groupBy("length", "window").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    windows = materialize(windows.withColumn("list", F.xxhash64("items")), "bench-windows")
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())
     # explode_outer: a plain explode adds a size filter, which the optimizer would push down through every step of the
     # rolling hashes, repeating their expressions once per reference
@@ -87,8 +91,9 @@ def benchmark_index(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[in
     return materialize(fps.distinct(), "bench-fps"), windows, lengths
 
 
-def text_hits(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, text key, n_words; hits: text key, start, length, item_id for each matching window)."""
+def text_hits(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, text key, n_words; hits: text key, start, length, item list for each matching window; lists: the items
+    of each list). The documents are read twice, whatever the number of window lengths."""
     fps, windows, lengths = benchmark_index(benchmark)
     docs = documents.select("doc_id", text_key(F.col("text")).alias("__t"), words(F.col("text")).alias("__w"))
     docs = docs.withColumn("n_words", F.size("__w").cast("long"))
@@ -101,21 +106,31 @@ def text_hits(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Da
         F.collect_set("fp").alias("__match"))
     found = materialize(found, "doc-candidates")
 
-    texts = documents.select(text_key(F.col("text")).alias("__t"), "text").join(found, "__t")
-    texts = texts.select("__t", "__match", words(ascii_lower(F.col("text"))).alias("__w")).dropDuplicates(["__t"])
-    hits = None
-    for n in lengths:
-        one = with_fingerprints(texts, "__w", [n], ("__t", "__match", "__w"))
-        starts = F.filter(F.transform(f"__fp_{n}", lambda f, i: F.when(F.array_contains("__match", f), i)),
-                          lambda x: x.isNotNull())
-        one = one.withColumn("__s", starts).select("__t", F.lit(n).alias("length"), F.explode_outer(
-            _positions(F.lit(n), F.col("__s"))).alias("__p")).select("__t", "length", "__p.start", "__p.window")
-        one = one.join(windows, ["length", "window"]).select("__t", "start", "length", "item_id")
-        hits = one if hits is None else hits.unionAll(one)
-    if hits is None:
-        hits = found.select("__t", F.lit(0).alias("start"), F.lit(0).alias("length"),
-                            F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id")).limit(0)
-    return rows.drop("__fp"), hits
+    # most texts are no candidates: a bounded broadcast of the candidates' hash buckets keeps them out of the shuffle, and
+    # the copies of a text are reduced map-side, so a text that a third of all rows repeat is a row per task
+    bucket = F.pmod(F.xxhash64("__t"), F.lit(BUCKETS)).alias("bucket")
+    buckets = F.broadcast(found.select(bucket).distinct())
+    texts = documents.select(text_key(F.col("text")).alias("__t"), "text").select("*", bucket).join(
+        buckets, "bucket", "left_semi").select("__t", "text").dropDuplicates(["__t"]).join(found, "__t")
+    texts = materialize(texts.select("__t", "__match", words(ascii_lower(F.col("text"))).alias("__w")), "candidate-texts")
+    # all window lengths in one pass over the candidates
+    marked = with_fingerprints(texts, "__w", lengths, ("__t", "__match", "__w"))
+    at = [F.transform(F.filter(F.transform(f"__fp_{n}", _matched), lambda x: x.isNotNull()), _window(n)) for n in lengths]
+    none = F.array().cast("array<struct<length:int,start:int,window:string>>")
+    places = marked.select("__t", F.explode_outer(F.concat(none, *at)).alias("p")).select("__t", "p.*")
+    hits = places.join(windows, ["length", "window"]).select("__t", "start", "length", "list")
+    return rows.drop("__fp"), materialize(hits, "window-hits"), windows.select("list", "items").dropDuplicates(["list"])
+
+
+def _matched(print_: Column, i: Column) -> Column:
+    return F.when(F.array_contains("__match", print_), i)
+
+
+def _window(length: int):
+    """(length, start, window text) at a start; __w is referenced twice on purpose, so that the planner keeps it as a
+    column and does not recompute it per element."""
+    return lambda i: F.struct(F.lit(length).alias("length"), i.alias("start"), F.when(
+        F.size("__w") > 0, F.array_join(F.slice("__w", i + 1, length), " ")).alias("window"))
 
 
 def _covered(spans: Column) -> Column:
@@ -133,11 +148,12 @@ def _covered(spans: Column) -> Column:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    rows, hits = text_hits(documents, benchmark)
-    per_text = hits.groupBy("__t").agg(
-        F.sort_array(F.collect_set(F.struct("start", "length"))).alias("__s"),
-        F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("__i"))
-    per_text = per_text.select("__t", _covered(F.col("__s")).alias("n_hit"), F.size("__i").cast("long").alias("n_items"),
+    rows, hits, lists = text_hits(documents, benchmark)
+    covered = hits.groupBy("__t").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("__s"))
+    # each list of items comes to a text once, however many windows share it
+    items = hits.select("__t", "list").distinct().join(lists, "list").groupBy("__t").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__i"))
+    per_text = covered.join(items, "__t").select("__t", _covered(F.col("__s")).alias("n_hit"), F.size("__i").cast("long").alias("n_items"),
                                F.sha2(F.array_join("__i", ",").cast("binary"), 256).alias("items_sha256"))
     out = rows.join(materialize(per_text, "doc-hits"), "__t", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
@@ -150,7 +166,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, same columns, that are not contaminated. Only the contaminated texts' keys travel to the
     documents; repeated rows share their text's verdict."""
-    rows, hits = text_hits(documents, benchmark)
+    rows, hits, _ = text_hits(documents, benchmark)
     covered = hits.groupBy("__t").agg(_covered(F.sort_array(F.collect_set(F.struct("start", "length")))).alias("n_hit"))
     words_of = rows.select("__t", "n_words").join(covered, "__t").filter("20 * n_hit >= n_words")
     bad = materialize(words_of.select("__t").distinct(), "contaminated")

@@ -47,3 +47,36 @@ def test_shortest_guaranteed_span(spark):
     rows = [(i, " ".join(["pad"] * i + [span] + ["tail"] * (7 - i % 8)), "en", "s", 1) for i in range(20)]
     items = spark.createDataFrame([(1, "lead " + span + " trail more")], "item_id long, text string")
     assert {r.n_hit for r in D.decontaminate(H.docs(spark, rows), items).collect()} == {13}
+
+
+def test_all_lengths_in_one_pass(spark):
+    """Items of 1 to 13 words: as by brute force, and the candidates' texts are read once for all window lengths."""
+    import tempfile
+
+    from lendwise.plans import formatted_plan
+
+    rng_words = [f"t{k}" for k in range(200)]
+    items = [(n, " ".join(rng_words[n * 14:n * 14 + n])) for n in range(1, 14)] + [(50, " ".join(rng_words[180:195]))]
+    rows = [(k, " ".join(rng_words[k * 3:k * 3 + 40]), "en", "s", 1) for k in range(55)] + [(99, "t14", "en", "s", 1)] * 30
+    root = tempfile.mkdtemp(prefix="lendwise-decon-")
+    H.docs(spark, rows).write.parquet(f"{root}/documents")
+    docs = spark.read.parquet(f"{root}/documents")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = H.rows_of(D.decontaminate(docs, bench), *COLS)
+    assert got == sorted(H.contamination([(r[0], r[1]) for r in rows], items), key=repr)
+    written, put = [], D.materialize
+    D.materialize = lambda df, label: written.append((label, formatted_plan(df).count(f"{root}/documents]"))) or put(df, label)
+    try:
+        D.decontaminate(docs, bench)
+    finally:
+        D.materialize = put
+    assert sum(n for _, n in written) == 2 and dict(written)["window-hits"] == 0
+
+
+def test_shared_windows_name_every_item_once(spark):
+    """A window that many items and texts share: each item is counted once per text."""
+    shared = " ".join(f"s{k}" for k in range(13))
+    items = [(k, shared + f" own{k}") for k in range(40)] + [(None, shared)]
+    rows = [(k, f"x{k} {shared} y {shared}", "en", "s", 1) for k in range(20)]
+    out = D.decontaminate(H.docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["n_items"], r["n_hit"]) for r in out} == {(40, 26)}
