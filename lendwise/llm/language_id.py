@@ -5,15 +5,19 @@ Texts are lower-cased letters with single spaces between words. All learnable do
 counts and ``MAX_CELLS`` cells the tasks hold the model: per order a sorted array of packed n-grams and, per language,
 their interpolated log probabilities; contexts likewise with their back-off weights. A larger model stays in written
 tables that Spark computes from all counts, and batches of texts are joined with the terms of their own n-grams; both
-forms give the same probabilities (the tasks' arrays in single precision).
+forms give the same probabilities (the tasks' arrays in single precision) for texts of any length: a text that is read
+in several parts carries its last letters over each cut.
 
 A text gets the language of the lowest cross-entropy per character. It is rejected if it has no letter, or if its
 cross-entropy lies far above what texts of that language and length have: the limit is calibrated per language on all
-learnable documents of which the language is predicted.
+learnable documents of which the language is predicted. A language with fewer than FEW of them takes the spread and the
+quantile of the other languages, about its own median if it has any such document. The score is the language's share of
+the likelihood, on at most 64 characters' worth of it, so that long texts do not all score 1.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0, rejected; ties go to the first language in
 sorted order; a null doc_id is not held out and never learned from; if nothing can be learned (an empty table, no
-language given) every text is ``und``; repeated rows each get their row.
+language given) every text is ``und``; repeated rows each get their row; letters beyond 16 bits share 6,400 codes by
+their code point, so a few of them are taken for each other; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from lendwise.llm.common import held_out, learnable, materialize, text_key
 ORDER = 4
 MAX_PAIRS = 1 << 20
 MAX_CELLS = 1 << 23  # n-grams times languages in a model that tasks hold
+FEW = 8              # documents from which a language's own rejection limit is made
 GRID = 1 << 12       # steps per bit, or deviation, in which calibration takes its quantiles
 FAR_ABOVE = 1.5      # a rejected text's cross-entropy is at least so many times its language's; texts in two of the
 # learned languages stay below that
@@ -78,23 +83,44 @@ def chunks(texts, size: int = CHUNK):
         yield out
 
 
+class Grams:
+    """Parts of texts to 4-grams. A part that continues the text that the last list of parts ended with takes its contexts
+    from there, so cuts change nothing. One for each batch of texts."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.row, self.lead, self.before = table, None, np.zeros(ORDER - 1, np.uint64), SPACE
+
+    def __call__(self, parts) -> tuple[np.ndarray, np.ndarray]:
+        """(packed 4-grams, row of each): one for every letter and word gap; the contexts before a text's start are 0."""
+        codes = _codes("".join(p for _, p in parts), self.table)
+        lengths = np.array([len(p) for _, p in parts])
+        part = np.repeat(np.arange(len(parts)), lengths)
+        goes_on = parts[0][0] == self.row
+        before = np.empty_like(codes)
+        before[1:], before[:1] = codes[:-1], SPACE
+        before[(np.cumsum(lengths) - lengths)[lengths > 0]] = SPACE  # drops spaces at a text's start
+        if goes_on and len(codes):
+            before[0] = self.before
+        last = int(codes[-1]) if len(codes) else SPACE
+        keep = (codes != SPACE) | (before != SPACE)
+        codes, part = codes[keep], part[keep]
+        at = np.arange(len(codes)) + (ORDER - 1) * (part + 1)
+        line = np.zeros(len(codes) + (ORDER - 1) * (len(parts) + 1), np.uint64)
+        line[at] = codes
+        if goes_on:
+            line[:ORDER - 1] = self.lead
+        key = line[at]
+        for k in range(1, ORDER):
+            key = key | (line[at - k] << np.uint64(16 * k))
+        own = line[np.searchsorted(part, len(parts) - 1) + (ORDER - 1) * (len(parts) - 1):]
+        self.row, self.before = parts[-1][0], last
+        self.lead = own[:len(own) - (ORDER - 1)][-(ORDER - 1):] if len(own) >= 2 * (ORDER - 1) else own[-(ORDER - 1):]
+        return key, np.array([r for r, _ in parts])[part] if len(part) else part
+
+
 def grams(parts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(packed 4-grams, row of each): one for every letter and word gap; the contexts before a part's start are 0."""
-    codes = _codes("".join(p for _, p in parts), table)
-    lengths = np.array([len(p) for _, p in parts])
-    part = np.repeat(np.arange(len(parts)), lengths)
-    before = np.empty_like(codes)
-    before[1:], before[0] = codes[:-1], SPACE
-    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = SPACE  # drops spaces at a part's start
-    keep = (codes != SPACE) | (before != SPACE)
-    codes, part = codes[keep], part[keep]
-    at = np.arange(len(codes)) + (ORDER - 1) * (part + 1)
-    line = np.zeros(len(codes) + (ORDER - 1) * (len(parts) + 1), np.uint64)
-    line[at] = codes
-    key = line[at]
-    for k in range(1, ORDER):
-        key = key | (line[at - k] << np.uint64(16 * k))
-    return key, np.array([r for r, _ in parts])[part] if len(part) else part
+    """The 4-grams of whole texts."""
+    return Grams(table)(parts)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -105,9 +131,9 @@ def count_grams(docs: DataFrame) -> DataFrame:
         for batch in batches:
             langs = batch.column(0).to_pylist()
             names, which = np.unique(np.array(langs, dtype=object).astype(str), return_inverse=True)
-            held = {}
+            held, read = {}, Grams(table)
             for parts in chunks(batch.column(1).to_pylist()):
-                key, row = grams(parts, table)
+                key, row = read(parts)
                 lang = which[row] if len(row) else row
                 for k in np.unique(lang):
                     g, n = np.unique(key[lang == k], return_counts=True)
@@ -206,9 +232,9 @@ def build(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
 def score(texts, model: Model, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bits per text and language, letters and gaps per text)."""
     bits = np.zeros((len(texts), len(model.langs)))
-    n = np.zeros(len(texts), np.int64)
+    n, read = np.zeros(len(texts), np.int64), Grams(table)
     for parts in chunks(texts):
-        key, row = grams(parts, table)
+        key, row = read(parts)
         if len(key):
             n += np.bincount(row, minlength=len(texts))
             logs = _log_probs(model, key, 0) if model.langs else None
@@ -329,9 +355,9 @@ def _kinds(row: np.ndarray, key: np.ndarray):
 
 def _wanted(texts: pa.Table) -> pa.Table:
     """Distinct (kind, key) of a batch's texts."""
-    table, held = letter_table(), [np.zeros(0, np.uint64)] * (2 * ORDER)
+    read, held = Grams(letter_table()), [np.zeros(0, np.uint64)] * (2 * ORDER)
     for parts in chunks(texts.column("text").to_pylist()):
-        key, row = grams(parts, table)
+        key, row = read(parts)
         for kind, _, k, _ in _kinds(np.zeros_like(row), key):
             held[kind] = np.union1d(held[kind], k)
     batch = texts.column("batch")[0].as_py()
@@ -352,10 +378,10 @@ def _bits(texts, langs: int, unseen: float, found: pa.Table) -> tuple[np.ndarray
         own = np.flatnonzero(kind == k)
         places[k] = own[np.argsort(key[own])]
     keys = {k: key[p] for k, p in places.items()}
-    table, n = letter_table(), np.zeros(len(texts), np.int64)
+    read, n = Grams(letter_table()), np.zeros(len(texts), np.int64)
     logs = np.zeros(len(texts) * langs)
     for parts in chunks(texts, max(4096, min(CHUNK, (1 << 22) // langs))):
-        of, row = grams(parts, table)
+        of, row = read(parts)
         n += np.bincount(row, minlength=len(texts))
         for k, r, wanted, times in _kinds(row, of):
             at = _lookup(keys[k], wanted)
@@ -419,21 +445,32 @@ def _spread() -> Column:
     return F.sqrt(1 + 200 / F.greatest(F.col("__chars"), F.lit(1)))
 
 
-def calibrate(scores: DataFrame) -> DataFrame:
-    """(__of, __mean, __sd, __z) per language: what the rejection limit is made of, from all ``scores`` (lang and
-    SCORES of the learnable rows) whose language is predicted. Quantiles are taken of values rounded to GRID steps, so
-    what one group holds is bounded; with fewer than 8 such rows a language has no limit and never rejects."""
+def calibrate(scores: DataFrame, langs: list[str]) -> DataFrame:
+    """(__of, __mean, __sd, __z) per language of the model: what the rejection limit is made of, from all ``scores`` (lang
+    and SCORES of the learnable rows) whose language is predicted. Quantiles are taken of values rounded to GRID steps,
+    so what one group holds is bounded. A language with fewer than FEW such rows takes the others' relative spread and
+    largest quantile, and their middle if it has none; without any language of FEW rows there is no limit."""
     step = lambda c: F.round(c * GRID) / GRID
     hits = scores.filter("__chars > 0 AND __lang_pred = lang").select(F.col("lang").alias("__of"), "__bits", "__chars")
     per = hits.groupBy("__of").agg(
         F.percentile(step(F.col("__bits")), 0.5).alias("__mean"),
         F.greatest(F.stddev_pop("__bits"), 0.02 * F.avg("__bits")).alias("__sd"),
-        F.count(F.lit(1)).alias("n")).filter("n >= 8").drop("n")
+        F.count(F.lit(1)).alias("n"))
     per = materialize(per, "language-means")
+    many = per.filter(F.col("n") >= FEW)
     z = (F.col("__bits") - F.col("__mean")) / (F.col("__sd") * _spread())
-    tops = hits.join(per, "__of").groupBy("__of").agg(F.percentile(step(z), 0.999).alias("top"))
-    return materialize(per.join(tops, "__of").withColumn(
-        "__z", F.greatest(F.lit(6.0), 1.5 * F.col("top"))).drop("top"), "language-limits")
+    tops = hits.join(many, "__of").groupBy("__of").agg(F.percentile(step(z), 0.999).alias("top"))
+    own = many.join(tops, "__of").select("__of", "__mean", "__sd", F.greatest(F.lit(6.0), 1.5 * F.col("top")).alias("__z"))
+    own = materialize(own, "language-limits")
+    if not langs:
+        return own
+    names = scores.sparkSession.createDataFrame([(x,) for x in langs], "__of string")
+    few = names.join(own, "__of", "left_anti").join(per.select("__of", F.col("__mean").alias("middle")), "__of", "left")
+    others = own.agg(F.avg("__mean").alias("m"), F.avg(F.col("__sd") / F.col("__mean")).alias("s"), F.max("__z").alias("z"))
+    mean = F.coalesce("middle", "m")
+    # one row of averages
+    few = few.crossJoin(others).filter("z IS NOT NULL").select("__of", mean.alias("__mean"), (mean * F.col("s")).alias("__sd"), F.col("z").alias("__z"))
+    return materialize(own.unionByName(few), "language-limits")
 
 
 def judged(scores: DataFrame, limits: DataFrame) -> DataFrame:
@@ -446,8 +483,9 @@ def judged(scores: DataFrame, limits: DataFrame) -> DataFrame:
 
 def language_id(documents: DataFrame) -> DataFrame:
     """One row per document row: doc_id, held_out, lang_pred, score, cross_entropy, rejected."""
-    scores = materialize(scored(documents, train(documents), ["doc_id", "lang"]), "language-of-rows")
-    out = judged(scores, calibrate(_learned(scores)))
+    model = train(documents)
+    scores = materialize(scored(documents, model, ["doc_id", "lang"]), "language-of-rows")
+    out = judged(scores, calibrate(_learned(scores), model.langs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang_pred").alias("lang_pred"),
                       F.col("__score").alias("score"), F.col("__bits").alias("cross_entropy"),
                       F.col("__rejected").alias("rejected"))
@@ -457,7 +495,8 @@ def accepted(documents: DataFrame) -> DataFrame:
     """The documents, same columns, that are not rejected; equal texts share their verdict, so texts are scored once
     and the documents meet only the keys of the rejected ones."""
     keyed = documents.withColumn("__t", text_key(F.col("text")))
-    scores = materialize(scored(keyed, train(documents), ["doc_id", "lang", "__t"]), "language-of-rows")
-    out = judged(scores, calibrate(_learned(scores))).filter("__rejected").select("__t").distinct()
+    model = train(documents)
+    scores = materialize(scored(keyed, model, ["doc_id", "lang", "__t"]), "language-of-rows")
+    out = judged(scores, calibrate(_learned(scores), model.langs)).filter("__rejected").select("__t").distinct()
     return keyed.join(materialize(out, "language-rejected"), "__t", "left_anti").select(
         *[F.col(f"`{c}`") for c in documents.columns])

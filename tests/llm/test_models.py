@@ -1,7 +1,8 @@
-import zlib
 """Language ID and the quality classifier: held-out accuracy, model identities and edge rows."""
 
+import math
 import sys
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -141,3 +142,78 @@ def test_quality_training_rows_are_bounded(spark):
     finally:
         Q.fit = fit
     assert seen[0] == 1 and seen[1] <= 64
+
+
+def test_cuts_change_nothing():
+    """However a text is cut into parts, its 4-grams are those of the whole text, gaps and long blanks included."""
+    rng = np.random.default_rng(8)
+    table = L.letter_table()
+    texts = ["".join(rng.choice(list("abcé, 1\n"), n)) for n in (0, 1, 5, 900, 3000)] + ["a" + " " * 500 + "b", " " * 300, "1" * 400 + "ab c"]
+    want = L.grams([(k, t) for k, t in enumerate(texts)], table)
+    for size in (1, 2, 3, 7, 64, 1000):
+        read = L.Grams(table)
+        got = [read(parts) for parts in L.chunks(texts, size)]
+        assert np.concatenate([k for k, _ in got]).tolist() == want[0].tolist()
+        assert np.concatenate([r for _, r in got]).tolist() == want[1].tolist()
+
+
+def kneser_ney(counts, context, letter, alphabet):
+    """log2 probability by the textbook, from a dict {gram: count} of 4-letter tuples of one language."""
+    levels = [counts]
+    for k in (3, 2, 1):
+        shorter = {}
+        for g in levels[-1]:
+            shorter[g[1:]] = shorter.get(g[1:], 0) + 1
+        levels.append(shorter)
+
+    def p(level, ctx, c):
+        if level == 4:
+            return 1 / alphabet
+        table = levels[level]
+        n1, n2 = sum(v == 1 for v in table.values()), sum(v == 2 for v in table.values())
+        d = min(max(n1 / (n1 + 2 * n2) if n1 else 0.1, 0.1), 0.95)
+        seen = {g: v for g, v in table.items() if g[:-1] == ctx}
+        low = p(level + 1, ctx[1:], c)
+        if not seen:
+            return low
+        total = sum(seen.values())
+        return max(seen.get((*ctx, c), 0) - d, 0) / total + d * len(seen) / total * low
+
+    return math.log2(p(0, context, letter))
+
+
+def test_probabilities_are_the_textbooks():
+    """Every 4-gram of three small texts under each language's model, by dictionaries and recursion."""
+    table = L.letter_table()
+    texts = {"a": "abba baab ab bab abab cab " * 2, "b": "bcc cbc bbc ccb abc", "c": "éa éb éé a"}
+    rows, plain = [], {}
+    for lang, text in texts.items():
+        key, _ = L.grams([(0, text)], table)
+        rows.append((lang, *np.unique(key, return_counts=True)))
+        plain[lang] = {}
+        for k in key.tolist():
+            g = tuple(k >> 16 * j & 0xFFFF for j in (3, 2, 1, 0))
+            plain[lang][g] = plain[lang].get(g, 0) + 1
+    model = L.build(rows)
+    alphabet = len({g[3] for c in plain.values() for g in c}) + 1
+    keys = np.unique(np.concatenate([r[1] for r in rows]))
+    got = L._log_probs(model, keys, 0)
+    for k, logs in zip(keys.tolist(), got):
+        g = tuple(k >> 16 * j & 0xFFFF for j in (3, 2, 1, 0))
+        for lang, value in zip(model.langs, logs):
+            assert abs(value - kneser_ney(plain[lang], g[:3], g[3], alphabet)) < 1e-4
+
+
+def test_rare_languages_reject_too(spark):
+    """A language with two documents takes its limit from the others' spread."""
+    base = [(r.doc_id, r.text, r.lang, r.source, r.n_chars)
+            for r in spark.read.parquet(f"{H.SF}/documents.parquet").collect()]
+    rare = "жили были старик со старухой у самого синего моря они жили в ветхой землянке ровно тридцать лет и три года "
+    rng = np.random.default_rng(2)
+    noise = " ".join("".join(rng.choice(list("жбшщцфхэюя"), 9)) for _ in range(200))
+    ids = [k for k in range(910_000, 910_040) if zlib.crc32(str(k).encode()) % 5]
+    rows = base + [(ids[0], rare * 3, "ru", "s", 1), (ids[1], rare * 2, "ru", "s", 1), (ids[2], noise, None, "s", 1),
+                   (ids[3], rare, None, "s", 1)]
+    got = {r.doc_id: r for r in L.language_id(H.docs(spark, rows)).collect()}
+    assert got[ids[2]].lang_pred == got[ids[3]].lang_pred == "ru"
+    assert got[ids[2]].rejected and not got[ids[3]].rejected and not got[ids[0]].rejected
