@@ -50,7 +50,7 @@ def test_stages_keep_the_documents_columns(spark):
 
 def test_one_query_for_each_operator():
     names = list(queries.QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(names)
 
 
@@ -61,6 +61,6 @@ def test_nothing_else_imports_this_package():
 
 
 def test_native_operators_use_no_python_in_tasks():
-    for name in ("url_filter", "decontamination", "secret_scan", "components"):
+    for name in ("url_filter", "decontamination", "secret_scan", "components", "chat_format"):
         text = (ROOT / "lendwise" / "llm" / f"{name}.py").read_text()
         assert not re.search(r"udf|mapIn|applyIn|toPandas|\.rdd", text), name
