@@ -467,16 +467,20 @@ def book_loan_span(t: Tables) -> DataFrame:
 
 def book_loan_values(t: Tables) -> DataFrame:
     """COUNT OVER, FIRST_VALUE and LAST_VALUE over a book's loans (full frame, by loan time), one row per book (W-09,
-    W-10). Both values are those of the frame's ends, so they are partial aggregates: per copy before the copies meet
-    their books, then per book. No task holds a book's loans, however many there are. NULL times come first in the
-    frame's order, so a book with one has a NULL first value."""
+    W-10). A frame's ends lie among the first and last loans of the book's copies, so the loans are reduced per copy
+    before the copies meet their books, and the window holds two rows per copy, however many loans a book has. NULL
+    times come first in the frame's order, so a book with one has a NULL first value."""
     none_first = F.struct(F.col("loan_ts").isNotNull().alias("known"), F.col("loan_ts").alias("ts"))
     per_copy = t.loan.groupBy("copy_id").agg(F.count("loan_id").alias("n"), F.min(none_first).alias("lo"),
                                              F.max(none_first).alias("hi"))
-    books = per_copy.join(t.copy.select("copy_id", "isbn"), "copy_id").groupBy("isbn").agg(
-        F.sum("n").alias("total_loans"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return books.join(t.book.select("isbn"), "isbn", "left_semi").select(
-        "isbn", "total_loans", F.col("lo.ts").alias("first_loan_date"), F.col("hi.ts").alias("last_loan_date"))
+    ends = F.explode(F.array(F.struct(F.col("lo.ts").alias("ts"), F.col("n").alias("n")),
+                             F.struct(F.col("hi.ts").alias("ts"), F.lit(0).cast("bigint").alias("n")))).alias("e")
+    rows = per_copy.join(t.copy.select("copy_id", "isbn"), "copy_id").join(t.book.select("isbn"), "isbn", "left_semi").select(
+        "isbn", ends).select("isbn", "e.*")
+    w = Window.partitionBy("isbn").orderBy(F.asc_nulls_first("ts")).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.select("isbn", F.sum("n").over(w).alias("total_loans"), F.first("ts").over(w).alias("first_loan_date"),
+                       F.last("ts").over(w).alias("last_loan_date")).distinct()
 
 
 def q28_first_last_loan(t: Tables, k: int = 20) -> DataFrame:
