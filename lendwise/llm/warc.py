@@ -217,12 +217,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def _joined(spark: SparkSession, path: str, segments: DataFrame, records: DataFrame) -> DataFrame:
     """Records whose payload holds the cut, put together from their pieces. Pieces find their record as the last
-    record start at or before them in the file; a window per file passes over narrow rows only."""
+    record start at or before them: in their own block, else the last of the blocks before. Windows pass over a block's
+    narrow rows, or over one row per block of a file, so one huge archive is shared by many tasks."""
+    block = Window.partitionBy("file", "block").orderBy("start")
     marks = records.select("file", F.col("start").alias("record"), F.col("whole").alias("done"))
     spots = segments.join(marks.withColumn("start", F.col("record")), ["file", "start"], "left")
-    so_far = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    latest = F.last(F.when(F.col("record").isNotNull(), F.struct("record", "done")), ignorenulls=True).over(so_far)
-    owned = spots.withColumn("owner", latest).filter("NOT owner.done").select(
+    owner = F.when(F.col("record").isNotNull(), F.struct("record", "done"))
+    latest = F.last(owner, ignorenulls=True).over(block.rowsBetween(Window.unboundedPreceding, 0))
+    ends = spots.groupBy("file", "block").agg(F.max(owner).alias("end"))  # the largest start of a record, or null
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = materialize(ends.select("file", "block", F.last("end", ignorenulls=True).over(before).alias("carried")),
+                          "warc-carried")
+    owned = spots.withColumn("owner", latest).join(carried, ["file", "block"]).withColumn(
+        "owner", F.coalesce("owner", "carried")).filter("NOT owner.done").select(
         "file", "block", "no", "start", F.col("owner.record").alias("record"))
     owned = materialize(owned, "warc-parts")
     parts = _pieces(spark, path).mapInArrow(_raw, "file string, block long, no long, value binary").join(
