@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +42,7 @@ FAR_ABOVE = 1.5      # a rejected text's cross-entropy is at least so many times
 # learned languages stay below that
 BATCH = 1 << 22      # bytes of text that are scored together against written tables
 CHUNK = 1 << 20      # characters handled at once in a task
+CELLS = 1 << 22      # sums per 4-gram and language held at once against written tables
 SPACE = 32
 SCORES = ["__lang_pred", "__score", "__bits", "__chars"]
 
@@ -334,65 +336,73 @@ def tabulate(counts: DataFrame) -> Tables:
     return Tables(langs, float(-np.log2(alphabet)), materialize(deltas, "char-terms"))
 
 
-def _summed(row: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, key) with the sums of n."""
-    o = np.lexsort((key, row))
-    row, key = row[o], key[o]
-    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])])
-    return row[first], key[first], np.add.reduceat(n[o], first)
-
-
-def _kinds(row: np.ndarray, key: np.ndarray):
-    """(kind, row, key, n) of what the terms of 4-grams are keyed by: per order the n-gram and its context."""
-    if len(key):
-        row, key, n = _summed(row, key, np.ones(len(key)))
-        for level in range(ORDER):
-            if level:
-                row, key, n = _summed(row, key & np.uint64((1 << 16 * (ORDER - level)) - 1), n)
-            yield 2 * level, row, key, n
-            yield 2 * level + 1, *_summed(row, key >> np.uint64(16), n)
+def _kinds(grams: np.ndarray):
+    """(kind, key of each 4-gram) of the terms that make up a 4-gram's log probability: per order itself and its context."""
+    for level in range(ORDER):
+        own = grams & np.uint64((1 << 16 * (ORDER - level)) - 1)
+        yield 2 * level, own
+        yield 2 * level + 1, own >> np.uint64(16)
 
 
 def _wanted(texts: pa.Table) -> pa.Table:
     """Distinct (kind, key) of a batch's texts."""
-    read, held = Grams(letter_table()), [np.zeros(0, np.uint64)] * (2 * ORDER)
+    read, held = Grams(letter_table()), np.zeros(0, np.uint64)
     for parts in chunks(texts.column("text").to_pylist()):
-        key, row = read(parts)
-        for kind, _, k, _ in _kinds(np.zeros_like(row), key):
-            held[kind] = np.union1d(held[kind], k)
+        held = np.union1d(held, read(parts)[0])
     batch = texts.column("batch")[0].as_py()
-    key = np.concatenate(held)
+    own = [np.unique(k) for _, k in _kinds(held)]
+    key = np.concatenate(own)
     return pa.Table.from_arrays([pa.array([batch] * len(key), pa.int64()),
-                                 pa.array(np.repeat(np.arange(2 * ORDER), [len(h) for h in held]), pa.int32()),
+                                 pa.array(np.repeat(np.arange(2 * ORDER), [len(k) for k in own]), pa.int32()),
                                  pa.array(key.view(np.int64))], names=["batch", "kind", "key"])
 
 
+class Terms:
+    """The terms that a batch found, by kind in order of their keys."""
+
+    def __init__(self, found: pa.Table, langs: int):
+        self.langs = langs
+        kind, key = found.column("kind").to_numpy(), found.column("key").to_numpy().view(np.uint64)
+        self.lang, self.term = (found.column(c).combine_chunks().flatten().to_numpy() for c in ("langs", "terms"))
+        self.many = pc.list_value_length(found.column("langs").combine_chunks()).to_numpy().astype(np.int64)
+        self.start = np.cumsum(self.many) - self.many
+        self.places = [own[np.argsort(key[own])] for own in (np.flatnonzero(kind == k) for k in range(2 * ORDER))]
+        self.keys = [key[p] for p in self.places]
+
+    def sums(self, grams: np.ndarray) -> np.ndarray:
+        """The sum of a 4-gram's terms per language (rows: languages, columns: ``grams``)."""
+        out = np.zeros(self.langs * len(grams))
+        for kind, wanted in _kinds(grams):
+            at = _lookup(self.keys[kind], wanted)
+            column = np.flatnonzero(at >= 0)
+            at = self.places[kind][at[column]]
+            many = self.many[at]
+            entry = np.arange(many.sum()) + np.repeat(self.start[at] - (np.cumsum(many) - many), many)
+            # a language has one term of a kind and key, so no cell is met twice
+            out[self.lang[entry].astype(np.int64) * len(grams) + np.repeat(column, many)] += self.term[entry]
+        return out.reshape(self.langs, len(grams))
+
+
 def _bits(texts, langs: int, unseen: float, found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(bits per text and language, letters and gaps per text) from the terms of all kinds and keys in the texts."""
-    kind, key = found.column("kind").to_numpy(), found.column("key").to_numpy().view(np.uint64)
-    flat = [found.column(c).combine_chunks().flatten().to_numpy() for c in ("langs", "terms")]
-    length = np.diff(np.r_[0, np.cumsum([len(x) for x in found.column("langs").to_pylist()], dtype=np.int64)])
-    start = np.cumsum(length) - length
-    places = {}
-    for k in range(2 * ORDER):
-        own = np.flatnonzero(kind == k)
-        places[k] = own[np.argsort(key[own])]
-    keys = {k: key[p] for k, p in places.items()}
-    read, n = Grams(letter_table()), np.zeros(len(texts), np.int64)
-    logs = np.zeros(len(texts) * langs)
-    for parts in chunks(texts, max(4096, min(CHUNK, (1 << 22) // langs))):
-        of, row = read(parts)
-        n += np.bincount(row, minlength=len(texts))
-        for k, r, wanted, times in _kinds(row, of):
-            at = _lookup(keys[k], wanted)
-            hit = at >= 0
-            at, r, times = places[k][at[hit]], r[hit], times[hit]
-            many = length[at]
-            entry = np.arange(many.sum()) + np.repeat(start[at] - (np.cumsum(many) - many), many)
-            cell = np.repeat(r, many) * langs + flat[0][entry]
-            cells, back = np.unique(cell, return_inverse=True)
-            logs[cells] += np.bincount(back, np.repeat(times, many) * flat[1][entry], len(cells))
-    return -logs.reshape(len(texts), langs) - n[:, None] * unseen, n
+    """(bits per text and language, letters and gaps per text) from the terms of all kinds and keys in the texts. Terms
+    are added up once for each distinct 4-gram of a chunk, in slices of at most CELLS sums."""
+    terms, read, n = Terms(found, langs), Grams(letter_table()), np.zeros(len(texts), np.int64)
+    logs = np.zeros((langs, len(texts)))
+    step = max(1, CELLS // langs)
+    for parts in chunks(texts):
+        key, row = read(parts)
+        if not len(key):
+            continue
+        rows, row = np.unique(row, return_inverse=True)
+        n[rows] += np.bincount(row)
+        kinds, which = np.unique(key, return_inverse=True)
+        for at in range(0, len(kinds), step):
+            sums = terms.sums(kinds[at:at + step])
+            here = slice(None) if len(kinds) <= step else np.flatnonzero((which >= at) & (which < at + step))
+            spot, text = which[here] - at, row[here]
+            for k in range(langs):
+                logs[k, rows] += np.bincount(text, sums[k][spot], len(rows))
+    return -logs.T - n[:, None] * unseen, n
 
 
 def _scored_by_join(docs: DataFrame, model: Tables, columns: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
 sys.path.insert(0, str(Path(__file__).parent))
 import helpers as H
@@ -217,3 +218,18 @@ def test_rare_languages_reject_too(spark):
     got = {r.doc_id: r for r in L.language_id(H.docs(spark, rows)).collect()}
     assert got[ids[2]].lang_pred == got[ids[3]].lang_pred == "ru"
     assert got[ids[2]].rejected and not got[ids[3]].rejected and not got[ids[0]].rejected
+
+
+def test_terms_are_added_in_slices(spark, monkeypatch):
+    """The bits do not depend on how many 4-grams' sums are held at once; letters the model has not seen have no terms."""
+    docs = spark.read.parquet(f"{H.SF}/documents.parquet")
+    model = L.train(docs, max_pairs=100)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(20).collect()] + ["", None, "ჟღერს 123 მთა"]
+    batch = pa.table({"batch": pa.array([0] * len(texts), pa.int64()), "text": pa.array(texts)})
+    wanted = spark.createDataFrame(L._wanted(batch).to_pandas())
+    found = wanted.withColumn("kind", wanted.kind.cast("int")).join(model.deltas, ["kind", "key"]).toArrow()
+    bits, n = L._bits(texts, len(model.langs), model.unseen, found)
+    assert n[20] == n[21] == 0 and n[22] > 0
+    monkeypatch.setattr(L, "CELLS", 4001)
+    again, m = L._bits(texts, len(model.langs), model.unseen, found)
+    assert (n == m).all() and np.allclose(bits, again)
