@@ -4,8 +4,8 @@ Texts are lower-cased letters with single spaces between words. All learnable do
 4-grams of their own rows, Spark adds the counts up, and every count is kept. Up to ``MAX_PAIRS`` (language, 4-gram)
 counts and ``MAX_CELLS`` cells the tasks hold the model: per order a sorted array of packed n-grams and, per language,
 their interpolated log probabilities; contexts likewise with their back-off weights. A larger model stays in written
-tables that Spark computes from all counts, and batches of texts are joined with the terms of their own n-grams; both
-forms give the same probabilities (the tasks' arrays in single precision) for texts of any length: a text that is read
+tables that Spark computes from all counts, and blocks of texts are joined with the terms of their own n-grams; both
+forms give the same probabilities (kept in single precision) for texts of any length: a text that is read
 in several parts carries its last letters over each cut.
 
 A text gets the language of the lowest cross-entropy per character. It is rejected if it has no letter, or if its
@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +41,8 @@ FEW = 8              # documents from which a language's own rejection limit is
 GRID = 1 << 12       # steps per bit, or deviation, in which calibration takes its quantiles
 FAR_ABOVE = 1.5      # a rejected text's cross-entropy is at least so many times its language's; texts in two of the
 # learned languages stay below that
-BATCH = 1 << 22      # bytes of text that are scored together against written tables
+BATCH = 1 << 25      # bytes of text that are scored together against written tables
+GRAMS = 1 << 18      # or distinct 4-grams
 CHUNK = 1 << 20      # characters handled at once in a task
 CELLS = 1 << 22      # sums per 4-gram and language held at once against written tables
 SPACE = 32
@@ -332,7 +334,7 @@ def tabulate(counts: DataFrame) -> Tables:
         deltas = deltas.unionAll(part)
     both = F.collect_list(F.struct("l", "term"))
     deltas = deltas.groupBy("kind", "key").agg(both.alias("b")).select(
-        "kind", "key", F.col("b.l").alias("langs"), F.col("b.term").alias("terms"))
+        "kind", "key", F.col("b.l").alias("langs"), F.col("b.term").cast("array<float>").alias("terms"))
     return Tables(langs, float(-np.log2(alphabet)), materialize(deltas, "char-terms"))
 
 
@@ -344,17 +346,41 @@ def _kinds(grams: np.ndarray):
         yield 2 * level + 1, own >> np.uint64(16)
 
 
-def _wanted(texts: pa.Table) -> pa.Table:
-    """Distinct (kind, key) of a batch's texts."""
-    read, held = Grams(letter_table()), np.zeros(0, np.uint64)
-    for parts in chunks(texts.column("text").to_pylist()):
-        held = np.union1d(held, read(parts)[0])
-    batch = texts.column("batch")[0].as_py()
-    own = [np.unique(k) for _, k in _kinds(held)]
-    key = np.concatenate(own)
-    return pa.Table.from_arrays([pa.array([batch] * len(key), pa.int64()),
-                                 pa.array(np.repeat(np.arange(2 * ORDER), [len(k) for k in own]), pa.int32()),
-                                 pa.array(key.view(np.int64))], names=["batch", "kind", "key"])
+def _packed(batches):
+    """Rows (block, kind, key, data): the rows of a task in blocks of about BATCH bytes of text or GRAMS distinct 4-grams.
+    Kind -1 has the block's rows, compressed; the others are the distinct (kind, key) of its texts. A text is never cut."""
+    table, block = letter_table(), TaskContext.get().partitionId() << 32
+    held, rows, size = np.zeros(0, np.uint64), [], 0
+
+    def closed():
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in rows:
+                out.write_batch(part)
+        for kind, key in [(-1, np.zeros(1, np.uint64)), *((kind, np.unique(k)) for kind, k in _kinds(held))]:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(key), block)), pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)),
+                 pa.array([sink.getvalue().to_pybytes()] if kind < 0 else [None] * len(key), pa.binary())],
+                names=["block", "kind", "key", "data"])
+
+    for batch in batches:
+        text = batch.column(batch.num_columns - 1)
+        length = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(length, dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // CHUNK)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if end == start:
+                continue
+            rows.append(batch.slice(start, end - start))
+            size += int(length[start:end].sum())
+            read = Grams(table)
+            for parts in chunks(text[start:end].to_pylist()):
+                held = np.union1d(held, read(parts)[0])
+            if size >= BATCH or len(held) >= GRAMS:
+                yield from closed()
+                block, held, rows, size = block + 1, np.zeros(0, np.uint64), [], 0
+    if rows:
+        yield from closed()
 
 
 class Terms:
@@ -383,10 +409,10 @@ class Terms:
         return out.reshape(self.langs, len(grams))
 
 
-def _bits(texts, langs: int, unseen: float, found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _bits(texts, terms: Terms, unseen: float) -> tuple[np.ndarray, np.ndarray]:
     """(bits per text and language, letters and gaps per text) from the terms of all kinds and keys in the texts. Terms
     are added up once for each distinct 4-gram of a chunk, in slices of at most CELLS sums."""
-    terms, read, n = Terms(found, langs), Grams(letter_table()), np.zeros(len(texts), np.int64)
+    langs, read, n = terms.langs, Grams(letter_table()), np.zeros(len(texts), np.int64)
     logs = np.zeros((langs, len(texts)))
     step = max(1, CELLS // langs)
     for parts in chunks(texts):
@@ -406,26 +432,26 @@ def _bits(texts, langs: int, unseen: float, found: pa.Table) -> tuple[np.ndarray
 
 
 def _scored_by_join(docs: DataFrame, model: Tables, columns: list[str]) -> DataFrame:
-    """``scored`` with a written model: the distinct texts are dealt into batches of about BATCH bytes, each batch gets
-    the terms of its own n-grams by a join, and its texts are scored with those."""
+    """``scored`` with a written model: each task packs its rows into compressed blocks, so that rows stay spread as they
+    are, copies included; each block gets the terms of its own n-grams by a join, and its texts are scored with those."""
     langs, unseen = model.langs, model.unseen
-    texts = materialize(docs.select(text_key(F.col("text")).alias("__t"), F.coalesce("text", F.lit("")).alias("text"))
-                        .dropDuplicates(["__t"]), "language-texts")
-    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    texts = texts.withColumn("batch", F.pmod(F.xxhash64("__t"), F.lit(size // BATCH + 1)))
-    wanted = texts.groupBy("batch").applyInArrow(_wanted, "batch long, kind int, key long")
-    found = materialize(wanted.join(model.deltas, ["kind", "key"]), "language-terms")
-
-    def task(of_batch, terms):
-        bits, n = _bits(of_batch.column("text").to_pylist(), len(langs), unseen, terms)
-        return pa.Table.from_arrays([of_batch.column("__t").combine_chunks(), *_verdicts(bits, n, langs)],
-                                    names=["__t", *SCORES])
-
-    scores = texts.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(
-        task, "__t binary, __lang_pred string, __score double, __bits double, __chars long")
-    scores = materialize(scores, "language-scores")
-    return docs.withColumn("__t", text_key(F.col("text"))).join(scores, "__t").select(
-        *[F.col(f"`{c}`") for c in columns], *SCORES)
+    docs = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("__text"))
+    docs = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    kinds = [*[f.dataType for f in docs.schema.fields[:-1]], T.StringType(), T.DoubleType(), T.DoubleType(), T.LongType()]
+    schema = T.StructType([T.StructField(f"c{k}", t) for k, t in enumerate(kinds)])
+    packed = materialize(docs.mapInArrow(_packed, "block long, kind int, key long, data binary"), "language-blocks")
+    found = packed.filter("kind >= 0").select("block", "kind", "key").join(model.deltas, ["kind", "key"])
+
+    def task(block, found):
+        terms, out = Terms(found, len(langs)), []
+        for rows in pa.ipc.open_stream(block.column("data")[0].as_buffer()):
+            bits, n = _bits(rows.column(rows.num_columns - 1).to_pylist(), terms, unseen)
+            out.append(pa.Table.from_arrays([*rows.columns[:-1], *_verdicts(bits, n, langs)], names=schema.names))
+        return pa.concat_tables(out)
+
+    blocks = packed.filter("kind < 0").select(F.col("block").alias("block"), "data")  # a column of its own for the cogroup
+    scores = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(task, schema)
+    return scores.toDF(*columns, *SCORES)
 
 
 def train(documents: DataFrame, max_pairs: int = MAX_PAIRS) -> Model | Tables:

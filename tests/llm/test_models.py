@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 sys.path.insert(0, str(Path(__file__).parent))
 import helpers as H
@@ -220,16 +221,37 @@ def test_rare_languages_reject_too(spark):
     assert got[ids[2]].rejected and not got[ids[3]].rejected and not got[ids[0]].rejected
 
 
-def test_terms_are_added_in_slices(spark, monkeypatch):
-    """The bits do not depend on how many 4-grams' sums are held at once; letters the model has not seen have no terms."""
+def test_written_model_in_blocks_and_slices(spark, monkeypatch):
+    """The bits depend neither on where blocks end nor on how many 4-grams' sums are held at once; letters that the model
+    has not seen have no terms; rows keep their other columns, repeated and null ones included."""
     docs = spark.read.parquet(f"{H.SF}/documents.parquet")
     model = L.train(docs, max_pairs=100)
-    texts = [r.text for r in docs.orderBy("doc_id").limit(20).collect()] + ["", None, "ჟღერს 123 მთა"]
-    batch = pa.table({"batch": pa.array([0] * len(texts), pa.int64()), "text": pa.array(texts)})
-    wanted = spark.createDataFrame(L._wanted(batch).to_pandas())
-    found = wanted.withColumn("kind", wanted.kind.cast("int")).join(model.deltas, ["kind", "key"]).toArrow()
-    bits, n = L._bits(texts, len(model.langs), model.unseen, found)
-    assert n[20] == n[21] == 0 and n[22] > 0
-    monkeypatch.setattr(L, "CELLS", 4001)
-    again, m = L._bits(texts, len(model.langs), model.unseen, found)
-    assert (n == m).all() and np.allclose(bits, again)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(12).collect()] + ["", None, "ჟღერს 123 მთა"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["c0", "c1"])
+    monkeypatch.setattr(L.TaskContext, "get", lambda: type("", (), {"partitionId": lambda self: 3})())
+
+    def bits(cells, grams):
+        monkeypatch.setattr(L, "CELLS", cells)
+        monkeypatch.setattr(L, "GRAMS", grams)
+        monkeypatch.setattr(L, "CHUNK", 1 << 12 if grams < 1000 else 1 << 20)
+        packed = pa.Table.from_batches(list(L._packed([batch, batch.slice(0, 0)])))
+        wanted = spark.createDataFrame(packed.select(["block", "kind", "key"]).filter(pc.greater_equal(packed["kind"], 0)))
+        found = wanted.join(model.deltas, ["kind", "key"]).toArrow()
+        out = []
+        for row in packed.filter(pc.less(packed["kind"], 0)).to_pylist():
+            terms = L.Terms(found.filter(pc.equal(found["block"], row["block"])), len(model.langs))
+            for rows in pa.ipc.open_stream(row["data"]):
+                out += zip(rows["c0"].to_pylist(), rows["c1"].to_pylist(),
+                           *L._bits(rows["c1"].to_pylist(), terms, model.unseen), strict=True)
+        return packed["block"].unique().to_pylist(), out
+
+    blocks, want = bits(1 << 22, 1 << 18)
+    more, got = bits(4001, 10)
+    assert blocks == [3 << 32] and len(more) > 1 and [r[:2] for r in want] == [r[:2] for r in got] == list(enumerate(texts))
+    assert np.allclose([r[2] for r in want], [r[2] for r in got]) and [r[3] for r in want] == [r[3] for r in got]
+    assert want[12][3] == want[13][3] == 0 and want[14][3] > 0
+    rows = docs.limit(30).selectExpr("doc_id", "text", "NULL AS `a.b`").union(docs.limit(30).selectExpr("doc_id", "text", "'x'"))
+    monkeypatch.undo()
+    out = L.scored(rows, model, ["doc_id", "a.b"])
+    assert out.columns == ["doc_id", "a.b", *L.SCORES] and out.count() == 60
+    assert L.scored(rows.limit(0), model, ["doc_id"]).count() == 0
