@@ -43,6 +43,7 @@ FAR_ABOVE = 1.5      # a rejected text's cross-entropy is at least so many times
 # learned languages stay below that
 BATCH = 1 << 25      # bytes of text that are scored together against written tables
 GRAMS = 1 << 18      # or distinct 4-grams
+LEVEL = 9            # of their compression: they are written once and shuffled once
 CHUNK = 1 << 20      # characters handled at once in a task
 CELLS = 1 << 22      # sums per 4-gram and language held at once against written tables
 SPACE = 32
@@ -353,10 +354,10 @@ def _packed(batches):
     held, rows, size = np.zeros(0, np.uint64), [], 0
 
     def closed():
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            for part in rows:
-                out.write_batch(part)
+        sink, whole = pa.BufferOutputStream(), pa.Table.from_batches(rows).combine_chunks()
+        packer = pa.Codec("zstd", compression_level=LEVEL)
+        with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression=packer)) as out:
+            out.write_table(whole)
         for kind, key in [(-1, np.zeros(1, np.uint64)), *((kind, np.unique(k)) for kind, k in _kinds(held))]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(key), block)), pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)),
