@@ -17,7 +17,7 @@ from lendwise.functions import (as_timestamp, days_between, exact_avg, exact_avg
 from lendwise.operators import views as V
 from lendwise.operators.ranges import domain_of, range_join
 from lendwise.sources.schemas import PIVOT_TYPES, RESERVATION_OPEN
-from lendwise.sources.tables import Tables
+from lendwise.sources.tables import Tables, spread
 
 
 def _patron_names(t: Tables) -> DataFrame:
@@ -517,7 +517,8 @@ def q30_coauthors(t: Tables, min_books: int = 2) -> DataFrame:
     from lendwise.operators.pairs import shared_item_pairs
     links = (t.bookauthor.join(t.book.select("isbn"), "isbn", "left_semi")
              .join(t.author.select("author_id"), "author_id", "left_semi"))
-    pairs = shared_item_pairs(links, member="author_id", item="isbn", min_shared=min_books)
+    pairs = shared_item_pairs(links, member="author_id", item="isbn", min_shared=min_books,
+                              tasks=t.tasks and 2 * t.tasks)
     a1 = t.author.select(F.col("author_id").alias("author1_id"), full_name().alias("author1_name"))
     a2 = t.author.select(F.col("author_id").alias("author2_id"), full_name().alias("author2_name"))
     return (pairs.withColumnRenamed("member1", "author1_id").withColumnRenamed("member2", "author2_id")

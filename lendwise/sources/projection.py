@@ -17,7 +17,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lendwise.sources.tables import Tables, conform, from_rows
+from lendwise.sources.tables import Tables, conform, from_rows, spread, tasks_for
 
 # Reference date of every registered query: one day after the last order date of the test data.
 AS_OF = dt.date(2001, 8, 2)
@@ -70,7 +70,8 @@ def _dims(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def project(spark: SparkSession, sf_dir: str) -> Tables:
-    """Library tables derived from ``<sf_dir>/*.parquet`` (lazy; nothing is computed here)."""
+    """Library tables derived from ``<sf_dir>/*.parquet`` (lazy; only the number of line items is looked up, from the files'
+    footers)."""
     nation, region = _raw(spark, sf_dir, "nation"), _raw(spark, sf_dir, "region")
     part = _raw(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     customer = _raw(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
@@ -80,6 +81,7 @@ def project(spark: SparkSession, sf_dir: str) -> Tables:
     lineitem = _raw(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     events = _raw(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
 
+    tasks = tasks_for(spark, lineitem.count())
     t = _dims(spark)
 
     k = F.col("n_nationkey")
@@ -111,8 +113,9 @@ def project(spark: SparkSession, sf_dir: str) -> Tables:
     t["book"] = conform(part.select(
         _pad13(F.col("p_partkey")).alias("isbn"), F.col("p_name").alias("title"),
         brand_no.alias("publisher_id"), (F.lit(1990) + F.col("p_size") % 30).alias("pub_year")), "book")
-    t["bookauthor"] = conform(lineitem.select(
-        _pad13(F.col("l_partkey")).alias("isbn"), F.col("l_suppkey").alias("author_id")).distinct(), "bookauthor")
+    # dealt out before they are made distinct: no scan task holds its rows in a hash map
+    t["bookauthor"] = conform(spread(lineitem.select(
+        _pad13(F.col("l_partkey")).alias("isbn"), F.col("l_suppkey").alias("author_id")), "isbn", "author_id", tasks=tasks).distinct(), "bookauthor")
 
     copies = part.select("p_partkey", "p_size",
                          F.explode(F.sequence(F.lit(0), F.col("p_size") % 4)).alias("k"))
@@ -143,7 +146,8 @@ def project(spark: SparkSession, sf_dir: str) -> Tables:
         F.col("s_nationkey").alias("address_id"), F.lit(0).alias("balance")), "patron"))
 
     # one loan per distinct (order, part): the line items are the fact table, every order takes part
-    lines = lineitem.select("l_orderkey", "l_partkey").distinct()
+    # dealt by order before they are made distinct: the join with the orders needs no second shuffle of the lines
+    lines = spread(lineitem.select("l_orderkey", "l_partkey"), "l_orderkey", tasks=tasks).distinct()
     src = (orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
            .join(part.select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey")))
     ok = F.col("o_orderkey")
@@ -196,4 +200,4 @@ def project(spark: SparkSession, sf_dir: str) -> Tables:
                      (eid % 5 + 1).cast("int")).alias("status"),
         _to_second(F.col("ts")).alias("requested_at")), "illrequest")
 
-    return Tables(t)
+    return Tables(t, tasks)

@@ -12,10 +12,11 @@ from lendwise.sources.schemas import TABLES
 
 
 class Tables(Mapping):
-    """Name -> DataFrame for the 22 library tables, with attribute access (``t.loan``)."""
+    """Name -> DataFrame for the 22 library tables, with attribute access (``t.loan``). ``tasks``, if known, is the number
+    of partitions that suits a shuffle of the largest table's rows (``tasks_for``)."""
 
-    def __init__(self, frames: Mapping[str, DataFrame]):
-        self._frames = dict(frames)
+    def __init__(self, frames: Mapping[str, DataFrame], tasks: int | None = None):
+        self._frames, self.tasks = dict(frames), tasks
 
     def __getitem__(self, name: str) -> DataFrame:
         return self._frames[name]
@@ -35,7 +36,7 @@ class Tables(Mapping):
     def replace(self, **frames: DataFrame) -> "Tables":
         merged = dict(self._frames)
         merged.update(frames)
-        return Tables(merged)
+        return Tables(merged, self.tasks)
 
     def register_views(self, prefix: str = "") -> None:
         """Expose every table as a temp view so the same data can be queried with ``spark.sql``."""
@@ -43,6 +44,23 @@ class Tables(Mapping):
             df.createOrReplaceTempView(prefix + name)
 
 
+ROWS_PER_TASK, FEW_ROWS = 400_000, 50_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for ``rows`` rows: at most ``ROWS_PER_TASK`` of them each; fewer while cores are idle, but not fewer than
+    ``FEW_ROWS``."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, -(-rows // ROWS_PER_TASK), min(cores, -(-rows // FEW_ROWS)))
+
+
+def spread(df: DataFrame, *keys, tasks: int | None = None) -> DataFrame:
+    """``df`` dealt by ``keys`` to ``tasks`` partitions (default: as many as the session's shuffles have). Adaptive execution
+    merges the partitions of other shuffles by their compressed bytes; it keeps these, so that a step that makes many rows
+    of a few bytes, or gathers them in a hash map, has its share of them per task and no more."""
+    return df.repartition(tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def conform(df: DataFrame, table: str, collation: str | None = None) -> DataFrame:
     """Select and cast ``df`` to the declared column order and types of ``table``.
 
