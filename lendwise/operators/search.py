@@ -24,8 +24,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lendwise.sources.tables import spread, tasks_for
+
 FIELDS = ("title", "isbn")
 BUCKETS, SPREAD = 64, 8
+GRAMS = 16  # postings that a book is taken to have when their number of partitions is chosen
 
 
 def _fold_table(limit: int = 0x2E80) -> tuple[str, str]:
@@ -98,9 +101,11 @@ class TitleIndex:
         books.select("isbn", "title", *folded).write.mode("overwrite").parquet(f"{self.root}/texts")
         texts = self.texts(books.sparkSession)
         grams = F.explode(F.flatten(F.array(*[_postings_of(k) for k in range(len(FIELDS))]))).alias("g")
-        rows = texts.filter("isbn IS NOT NULL").select("isbn", grams).select("g.field", "g.trigram", "isbn").distinct()
-        rows = rows.withColumn("bucket", _bucket(F.col("trigram"), self.buckets))
-        (rows.repartition("bucket", F.pmod(F.xxhash64("isbn"), F.lit(SPREAD))).sortWithinPartitions("bucket", "trigram", "isbn")
+        # the texts are dealt out before their trigrams are made: a few MB of them would be read, and made distinct, by one task
+        tasks = tasks_for(books.sparkSession, GRAMS * texts.count())
+        rows = spread(texts.filter("isbn IS NOT NULL"), "isbn", tasks=tasks).select("isbn", grams)
+        rows = rows.select("g.field", "g.trigram", "isbn").distinct().withColumn("bucket", _bucket(F.col("trigram"), self.buckets))
+        (spread(rows, "bucket", F.pmod(F.xxhash64("isbn"), F.lit(SPREAD)), tasks=tasks).sortWithinPartitions("bucket", "trigram", "isbn")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings"))
         return self
 
