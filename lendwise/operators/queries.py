@@ -301,15 +301,24 @@ def q22_subject_patterns(t: Tables, patron_id=None, min_total: int = 5, limit: i
     loans = t.loan.select("loan_id", "patron_id", "copy_id")
     if patron_id is not None:
         loans = loans.filter(F.col("patron_id") == patron_id)
-    subj = t.subject.select("subject_id", F.col("name").alias("subject_name"))
-    # loans reduced to one row per (patron, copy) before fanning out to the book's subjects; each loan counts
-    # once per subject of its book, so a subject's loan count is the sum over the patron's copies
-    per_copy = loans.groupBy("patron_id", "copy_id").agg(F.count("loan_id").alias("n"))
-    psl = (per_copy.join(t.copy.select("copy_id", "isbn"), "copy_id")
-           .join(t.book.select("isbn"), "isbn")
-           .join(t.booksubject, "isbn").join(subj, "subject_id")
-           .groupBy("patron_id", "subject_id", "subject_name")
-           .agg(F.sum("n").alias("loan_count"), F.countDistinct("isbn").alias("unique_books")))
+    one = F.count(F.lit(1))
+    subj = t.subject.groupBy("subject_id", F.col("name").alias("subject_name")).agg(one.alias("_s"))
+    # a book's subjects as one list, with how often each is stored; the list travels with the patron's loans of the book
+    # and is taken apart where they are counted, so the shuffles carry a row per (patron, book) and not per subject
+    listed = t.booksubject.groupBy("isbn", "subject_id").agg(one.alias("m")).groupBy("isbn").agg(
+        F.collect_list(F.struct("subject_id", "m")).alias("subjects"))
+    shelf = t.book.groupBy("isbn").agg(one.alias("b")).join(listed, "isbn")
+    per_book = (spread(loans.join(t.copy.select("copy_id", "isbn"), "copy_id").select("loan_id", "patron_id", "isbn"),
+                       "patron_id", "isbn", tasks=t.tasks)
+                .groupBy("patron_id", "isbn").agg(F.count("loan_id").alias("n")))
+    read = spread(per_book.join(shelf, "isbn").select("patron_id", (F.col("n") * F.col("b")).alias("n"), "subjects"),
+                  "patron_id", tasks=t.tasks)
+    # each loan counts once per subject of its book, so a subject's loan count is the sum over the patron's books
+    psl = (read.select("patron_id", "n", F.inline("subjects"))
+           .groupBy("patron_id", "subject_id")
+           .agg(F.sum(F.col("n") * F.col("m")).alias("_n"), one.alias("unique_books"))
+           .join(subj, "subject_id")
+           .select("patron_id", "subject_id", "subject_name", (F.col("_n") * F.col("_s")).alias("loan_count"), "unique_books"))
     # patron totals by aggregation + join (one row per patron on the small side) rather than a window over
     # each patron's rows
     totals = psl.groupBy("patron_id").agg(F.sum("loan_count").alias("total_loans"))
