@@ -42,8 +42,12 @@ def _through_script(t: Tables, table: str, rows: DataFrame) -> DataFrame:
 
 
 def _stream(t: Tables, table: str, changes: DataFrame, cuts: list[str], **kwargs) -> DataFrame:
-    """Decisions of the streaming admission over change rows in micro-batches: id, op, accepted, reason."""
-    return streaming.replay(S.in_batches(changes, cuts), table, _scratch(t, "admission"), **kwargs)
+    """Decisions of the streaming admission over change rows in micro-batches: id, op, accepted, reason. The change rows
+    are written once, as a stream's source would hold them, and each micro-batch reads its own."""
+    path, schema = _scratch(t, "changes"), changes.schema
+    changes.write.parquet(path)
+    source = changes.sparkSession.read.schema(schema).parquet(path)
+    return streaming.replay(S.in_batches(source, cuts), table, _scratch(t, "admission"), **kwargs)
 
 
 REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {

@@ -181,11 +181,13 @@ def term_batch(t: Tables, variant: int = 0):
 def as_changes(rows: DataFrame, item: str, opened_at: str, closed_at: str, opened: dict[str, Column]) -> DataFrame:
     """Each row as it was inserted (``opened`` replaces columns), and for the closed ones an update with its final
     values: change rows with ``op`` and ``at``."""
-    inserted = rows.select(*[opened.get(c, F.col(c)).alias(c) if c in opened else F.col(c) for c in rows.columns],
-                           F.lit("insert").alias("op"), F.col(opened_at).alias("at"))
-    updates = rows.filter(F.col(closed_at).isNotNull()).select(
-        *rows.columns, F.lit("update").alias("op"), F.col(closed_at).alias("at"))
-    return inserted.unionByName(updates)
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    inserted = F.struct(*[opened.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in rows.columns],
+                        F.lit("insert").alias("op"), F.col(opened_at).alias("at"))
+    update = F.struct(*rows.columns, F.lit("update").alias("op"), F.col(closed_at).alias("at"))
+    # both from one pass over the rows, not from a union that makes them twice
+    changes = F.when(F.col(closed_at).isNotNull(), F.array(inserted, update)).otherwise(F.array(inserted))
+    return rows.select(F.explode(changes).alias("_change")).select("_change.*")
 
 
 def loan_changes(t: Tables) -> DataFrame:
