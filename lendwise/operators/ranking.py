@@ -162,14 +162,33 @@ def top_k_ranked(df: DataFrame, order_by: OrderSpec, tie_break: Sequence[str], k
     return top.withColumn(rank, F.rank().over(w))
 
 
-def lag_within(df: DataFrame, partition_by: Sequence[str], order_by: OrderSpec, column: str,
-               out: str) -> DataFrame:
-    """LAG(column) OVER (PARTITION BY ... ORDER BY ...) without a per-partition window.
+LAG_ROWS = 1_000_000  # rows of a partition that one window may hold
+
 
-    ``order_by`` must make rows unique inside a partition (end it with a primary key). Each row gets its
-    position from ``prefix_counts``; the previous row is found by an equi-join on (partition, position - 1),
-    whose key is unique, so a partition holding a third of the rows is still spread over all tasks. Only the key and the
-    lagged column are numbered; the rows' other columns meet the result once, on the key."""
+def lag_within(df: DataFrame, partition_by: Sequence[str], order_by: OrderSpec, column: str,
+               out: str, limit: int | None = None) -> DataFrame:
+    """LAG(column) OVER (PARTITION BY ... ORDER BY ...) without a large per-partition window.
+
+    ``order_by`` must make rows unique inside a partition (end it with a primary key). Partitions of up to ``LAG_ROWS``
+    rows take a window: what one task holds of a partition is bounded. The few larger ones, at most a ``LAG_ROWS``-th of
+    the rows in number, are named by one count; their rows are numbered by ``prefix_counts``, and the previous row is found
+    by an equi-join on (partition, position - 1), whose key is unique, so a partition holding a third of the rows is still
+    spread over all tasks."""
+    sizes = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_rows"))
+    large = sizes.filter(F.col("_rows") > (LAG_ROWS if limit is None else limit)).select(*partition_by).collect()
+    window = Window.partitionBy(*partition_by).orderBy(*_sort_exprs((), order_by))
+    if not large:
+        return df.withColumn(out, F.lag(column).over(window))
+    named = F.broadcast(df.sparkSession.createDataFrame(large, df.select(*partition_by).schema).select(
+        *[F.col(c).alias("_k_" + c) for c in partition_by]))
+    on = _null_safe_on(df, named, partition_by, "_k_")
+    small = df.join(named, on, "left_anti").withColumn(out, F.lag(column).over(window))
+    return small.unionByName(_lag_spread(df.join(named, on, "left_semi"), partition_by, order_by, column, out))
+
+
+def _lag_spread(df: DataFrame, partition_by: Sequence[str], order_by: OrderSpec, column: str, out: str) -> DataFrame:
+    """``lag_within`` by positions. Only the key and the lagged column are numbered; the rows' other columns meet the
+    result once, on the key."""
     cols = [*partition_by, *[c for c, _ in order_by]]
     keys = df.select(*cols, F.col(column).alias("_lagged"), F.lit(1).alias("_one"))
     numbered = prefix_counts(keys, partition_by, order_by, ["_one"])
