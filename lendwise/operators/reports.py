@@ -270,13 +270,14 @@ def d05_loans_segmented(t: Tables, as_of=None, status_filter: str = "ALL", limit
     # copies with book and branch: the only loans that count are those of such copies
     shelf = (t.copy.select("copy_id", "barcode", "isbn", "branch_id").join(t.book.select("isbn", "title"), "isbn")
              .join(br, "branch_id").drop("branch_id"))
-    # the averages come from one row per (patron, copy), not from the loans joined to everything
-    use = t.loan.groupBy("patron_id", "copy_id").agg(F.count(F.lit(1)).alias("n"), F.sum(dur).alias("d"))
-    per_patron = use.join(shelf.select("copy_id"), "copy_id", "left_semi").groupBy("patron_id").agg(
-        exact_avg_from_sums(F.sum("d"), F.sum("n")).alias("avg_duration_per_patron"))
-    rows = (t.loan.withColumn("status", st).withColumn("duration_days", dur).join(shelf, "copy_id")
-            .join(t.patron.select("patron_id", full_name().alias("patron_name")), "patron_id")
-            .join(per_patron, "patron_id", "left"))
+    # the averages come from three narrow columns, shuffled once for the copies they may count
+    use = t.loan.select("patron_id", "copy_id", dur.alias("d")).join(shelf.select("copy_id"), "copy_id", "left_semi")
+    per_patron = use.groupBy("patron_id").agg(
+        exact_avg_from_sums(F.sum("d"), F.count(F.lit(1))).alias("avg_duration_per_patron"))
+    # the patron's columns first, the wide ones of the shelf last: only the final sort shuffles titles and barcodes
+    who = t.patron.select("patron_id", full_name().alias("patron_name")).join(per_patron, "patron_id", "left")
+    rows = (t.loan.withColumn("status", st).withColumn("duration_days", dur).join(who, "patron_id")
+            .join(shelf, "copy_id"))
     sf = status_filter.upper() if status_filter else "ALL"
     if sf in LOAN_STATUS_FILTERS and sf != "ALL":
         rows = rows.filter(F.col("status") == sf)
