@@ -523,10 +523,10 @@ def q30_coauthors(t: Tables, min_books: int = 2) -> DataFrame:
     """Author pairs (smaller id first) sharing at least ``min_books`` books, counted exactly by
     ``pairs.shared_item_pairs``."""
     from lendwise.operators.pairs import shared_item_pairs
-    links = (t.bookauthor.join(t.book.select("isbn"), "isbn", "left_semi")
+    # the books are joined where their links are, not collected: the planner takes a table of a few MB of Parquet for small
+    links = (t.bookauthor.join(t.book.select("isbn").hint("shuffle_hash"), "isbn", "left_semi")
              .join(t.author.select("author_id"), "author_id", "left_semi"))
-    pairs = shared_item_pairs(links, member="author_id", item="isbn", min_shared=min_books,
-                              tasks=t.tasks and 2 * t.tasks)
+    pairs = shared_item_pairs(links, member="author_id", item="isbn", min_shared=min_books, tasks=t.tasks)
     a1 = t.author.select(F.col("author_id").alias("author1_id"), full_name().alias("author1_name"))
     a2 = t.author.select(F.col("author_id").alias("author2_id"), full_name().alias("author2_name"))
     return (pairs.withColumnRenamed("member1", "author1_id").withColumnRenamed("member2", "author2_id")

@@ -113,9 +113,9 @@ def project(spark: SparkSession, sf_dir: str) -> Tables:
     t["book"] = conform(part.select(
         _pad13(F.col("p_partkey")).alias("isbn"), F.col("p_name").alias("title"),
         brand_no.alias("publisher_id"), (F.lit(1990) + F.col("p_size") % 30).alias("pub_year")), "book")
-    # dealt out before they are made distinct: no scan task holds its rows in a hash map
+    # dealt by book before they are made distinct: no scan task holds its rows in a hash map, and a book's authors arrive together
     t["bookauthor"] = conform(spread(lineitem.select(
-        _pad13(F.col("l_partkey")).alias("isbn"), F.col("l_suppkey").alias("author_id")), "isbn", "author_id", tasks=tasks).distinct(), "bookauthor")
+        _pad13(F.col("l_partkey")).alias("isbn"), F.col("l_suppkey").alias("author_id")), "isbn", tasks=tasks).distinct(), "bookauthor")
 
     copies = part.select("p_partkey", "p_size",
                          F.explode(F.sequence(F.lit(0), F.col("p_size") % 4)).alias("k"))
